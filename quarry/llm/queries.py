@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.common import table
+from quarry.llm.line_dedup import LineDedup, dedup_lines
 from quarry.llm.near_dedup import NearDedup, near_duplicates
 
 WORDS_SQL = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -27,5 +28,23 @@ c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
-ORACLE = {"op1_minhash_near_dedup": OP1_SQL}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), LineDedup(min_words=3, fuzzy_words=8))
+
+
+OP2_SQL = f"""
+WITH l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, unnest(range(1, len(ls) + 1)) AS i FROM documents)),
+w AS MATERIALIZED (SELECT doc_id, pos, line, {WORDS_SQL.format("lower(line)")} AS ws FROM l),
+d AS MATERIALIZED (SELECT ws, len(ws) AS n, min((doc_id, pos)) AS first FROM w WHERE len(ws) >= 3 GROUP BY ws),
+f AS MATERIALIZED (SELECT *, ws[1] || ' ' || ws[2] AS head, ws[n - 1] || ' ' || ws[n] AS tail FROM d WHERE n >= 8),
+p AS (SELECT a.first AS x, a.ws AS u, b.ws AS v FROM f a JOIN f b ON a.head = b.head AND a.n BETWEEN b.n - 1 AND b.n + 1 AND b.first < a.first
+      UNION ALL SELECT a.first, a.ws, b.ws FROM f a JOIN f b ON a.tail = b.tail AND a.n BETWEEN b.n - 1 AND b.n + 1 AND b.first < a.first),
+e AS (SELECT x, u, v, coalesce(list_position(list_transform(range(1, greatest(len(u), len(v)) + 1), lambda i: u[i] IS DISTINCT FROM v[i]), true), 0) AS k FROM p),
+g AS (SELECT DISTINCT x FROM e WHERE (len(u) = len(v) AND u[k + 1:] = v[k + 1:]) OR (len(u) = len(v) + 1 AND u[k + 1:] = v[k:]) OR (len(u) + 1 = len(v) AND u[k:] = v[k + 1:])),
+k AS (SELECT w.doc_id, w.pos, w.line, len(w.ws) < 3 OR ((w.doc_id, w.pos) = d.first AND g.x IS NULL) AS stays
+      FROM w LEFT JOIN d ON w.ws = d.ws AND len(w.ws) >= 3 LEFT JOIN g ON d.first = g.x)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS text, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped FROM k GROUP BY doc_id
+"""
+
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_line_dedup": op2_line_dedup}
+ORACLE = {"op1_minhash_near_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL}
