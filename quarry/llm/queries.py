@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.common import table
 from quarry.llm.line_dedup import LineDedup, dedup_lines
+from quarry.llm.licences import licences
+from quarry.llm.licences import oracle_sql as licences_sql
 from quarry.llm.near_dedup import NearDedup, near_duplicates
+from quarry.llm.warc import archived_pages
 
 WORDS_SQL = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,5 +49,31 @@ k AS (SELECT w.doc_id, w.pos, w.line, len(w.ws) < 3 OR ((w.doc_id, w.pos) = d.fi
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS text, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped FROM k GROUP BY doc_id
 """
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_line_dedup": op2_line_dedup}
-ORACLE = {"op1_minhash_near_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL}
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (d)
+"""
+
+
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_warc_salvage": op3_warc_salvage,
+    "op4_licence_scan": op4_licence_scan,
+}
+ORACLE = {
+    "op1_minhash_near_dedup": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
+    "op3_warc_salvage": OP3_SQL,
+    "op4_licence_scan": licences_sql(),
+}
