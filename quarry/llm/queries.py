@@ -8,6 +8,8 @@ from quarry.llm.common import table
 from quarry.llm.line_dedup import LineDedup, dedup_lines
 from quarry.llm.licences import licences
 from quarry.llm.licences import oracle_sql as licences_sql
+from quarry.llm.mixing import mixed
+from quarry.llm.mixing import oracle_sql as mixing_sql
 from quarry.llm.near_dedup import NearDedup, near_duplicates
 from quarry.llm.warc import archived_pages
 
@@ -65,15 +67,26 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents"))
 
 
+#: Target weights of the sources; any other source shares the rest.
+WEIGHTS = {"src0": 20, "src1": 9, "src2": 8, "src3": 7, "src4": 6, "src5": 5, "src6": 5, "src7": 5} | {f"src{i}": 3 for i in range(8, 19)}
+OTHER, BLOCK_BYTES, SEED = 2, 65536, 17
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), WEIGHTS, OTHER, BLOCK_BYTES, SEED)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc_salvage": op3_warc_salvage,
     "op4_licence_scan": op4_licence_scan,
+    "op5_source_mixing": op5_source_mixing,
 }
 ORACLE = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op3_warc_salvage": OP3_SQL,
     "op4_licence_scan": licences_sql(),
+    "op5_source_mixing": mixing_sql(WEIGHTS, OTHER, BLOCK_BYTES, SEED),
 }
