@@ -11,6 +11,7 @@ from quarry.llm.licences import oracle_sql as licences_sql
 from quarry.llm.mixing import mixed
 from quarry.llm.mixing import oracle_sql as mixing_sql
 from quarry.llm.near_dedup import NearDedup, near_duplicates
+from quarry.llm.sharding import sharded
 from quarry.llm.warc import archived_pages
 
 WORDS_SQL = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -76,12 +77,17 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), WEIGHTS, OTHER, BLOCK_BYTES, SEED)
 
 
+def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc_salvage": op3_warc_salvage,
     "op4_licence_scan": op4_licence_scan,
     "op5_source_mixing": op5_source_mixing,
+    "op10_minimax_sharding": op10_minimax_sharding,
 }
 ORACLE = {
     "op1_minhash_near_dedup": OP1_SQL,
