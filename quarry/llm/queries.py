@@ -11,6 +11,7 @@ from quarry.llm.licences import oracle_sql as licences_sql
 from quarry.llm.mixing import mixed
 from quarry.llm.mixing import oracle_sql as mixing_sql
 from quarry.llm.near_dedup import NearDedup, near_duplicates
+from quarry.llm import secrets
 from quarry.llm.sharding import sharded
 from quarry.llm.warc import archived_pages
 
@@ -81,12 +82,17 @@ def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc_salvage": op3_warc_salvage,
     "op4_licence_scan": op4_licence_scan,
     "op5_source_mixing": op5_source_mixing,
+    "op8_secret_scan": op8_secret_scan,
     "op10_minimax_sharding": op10_minimax_sharding,
 }
 ORACLE = {
@@ -95,4 +101,5 @@ ORACLE = {
     "op3_warc_salvage": OP3_SQL,
     "op4_licence_scan": licences_sql(),
     "op5_source_mixing": mixing_sql(WEIGHTS, OTHER, BLOCK_BYTES, SEED),
+    "op8_secret_scan": secrets.oracle_sql(secrets.sample_weights()),
 }
