@@ -12,8 +12,11 @@ from quarry.llm.mixing import mixed
 from quarry.llm.mixing import oracle_sql as mixing_sql
 from quarry.llm.near_dedup import NearDedup, near_duplicates
 from quarry.llm import secrets
+from quarry.llm.packing import packed
+from quarry.llm.quality import quality
 from quarry.llm.sharding import sharded
 from quarry.llm.warc import archived_pages
+from quarry.llm.webp import media_report, to_media
 
 WORDS_SQL = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,13 +89,28 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
 
 
+def op6_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_report(to_media(table(spark, sf_dir, "documents")))
+
+
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), window=2048, end_id=1)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc_salvage": op3_warc_salvage,
     "op4_licence_scan": op4_licence_scan,
     "op5_source_mixing": op5_source_mixing,
+    "op6_lossless_webp": op6_lossless_webp,
+    "op7_quality_cascade": op7_quality_cascade,
     "op8_secret_scan": op8_secret_scan,
+    "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_minimax_sharding": op10_minimax_sharding,
 }
 ORACLE = {
