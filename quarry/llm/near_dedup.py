@@ -5,9 +5,10 @@ most ``errors * chunks + chunks - 1`` symbols agree, by the pigeonhole principle
 signature is filed once for every chunk and every choice of ``errors`` symbols of it to leave out: all pairs under the signature
 distance meet in a bucket. Links are confirmed on the full shingle sets.
 
-A bucket's pairs are never listed. Equal sets are one class from the start. In a round, each member of a bucket meets one leader;
-confirmed links join components. What is left for the next round are buckets whose members lie in more than one component, and once
-those hold few pairs (or a bounded number of rounds is over), all their pairs across components are compared, so no link is lost.
+Equal sets are one class from the start. The pairs of a small bucket are listed. Buckets of more than ``listed`` members, which large
+groups of near copies and common passages make, are joined to clusters where they share members; a cluster is split into blocks of
+bounded size, each pair of blocks is compared in one task, by signature and then on the full sets, and only links between texts that are
+not yet connected there come out. So all pairs under the signature distance are compared, but the pairs of a group are never listed.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ class NearDedup:
     chunks: int = 14
     width: int = 5
     errors: int = 1
-    leaders: int = 6  # rounds with one leader for each bucket, before the rest is compared in full
+    listed: int = 16  # members of a bucket whose pairs are listed; larger ones are compared in blocks
+    block_rows: int = 1024
+    block_bytes: int = 8_000_000
 
     @property
     def symbols(self) -> int:
@@ -145,31 +148,15 @@ def near_signatures(pairs: DataFrame, reps: DataFrame, p: NearDedup) -> DataFram
 def confirmed(pairs: DataFrame, docs: DataFrame, p: NearDedup) -> DataFrame:
     """Those pairs whose full shingle sets are similar enough. ``pairs`` is a cut table."""
 
-    def sets(batch: pa.RecordBatch):
-        made = [hashes.tobytes() for _, hashes in shingle_sets(batch.column("text"), p.words)]
-        at = 0
-        while at < len(made):  # a batch of sets stays within a few MB
-            j, size = at, 0
-            while j < len(made) and (j == at or size + len(made[j]) <= 8_000_000):
-                size += len(made[j])
-                j += 1
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, j - at), pa.array(made[at:j], pa.binary())], names=["doc_id", "words"])
-            at = j
-
     def similar(batch: pa.RecordBatch):
-        good = []
-        for x, y in zip(batch.column("words_a"), batch.column("words_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * both >= p.similar * (len(x) + len(y) - both))
-        keep = pa.array(good, pa.bool_())
+        sides = ((np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)) for c in ("words_a", "words_b"))
+        keep = pa.array([_similar(x, y, p) for x, y in zip(*sides, strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
-    found = texts.mapInArrow(arrow_batches(sets), "doc_id long, words binary")
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    found = word_sets(docs, ids, p)
     both = pairs.join(found.toDF("b", "words_b"), "b").join(found.toDF("a", "words_a"), "a")
-    return both.select("a", "b", "words_a", "words_b").mapInArrow(arrow_batches(similar), "a long, b long")
+    return both.select("a", "b", "words_a", "words_b").mapInArrow(arrow_batches(similar), LINKS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -178,22 +165,91 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds: each links the neighbours of a node to the smallest of them, until nothing
     changes. Minima are aggregated before the shuffle, so a node with very many links is no burden.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
+    edges, before = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links"), None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        down = large.join(least, "a")
-        star = down.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
-        star = cut(star, "links")
-        same = star.join(edges, ["a", "b"], "left_anti").limit(1).count() == 0 and edges.join(star, ["a", "b"], "left_anti").limit(1).count() == 0
-        edges = star
-        if same:
+        star = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
+        edges = cut(star, "links")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 20)), F.bit_xor(F.xxhash64("b", "a"))).first()
+        if now == before:
             break
+        before = now
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
+LINKS = "a long, b long"
+
+
+def word_sets(docs: DataFrame, ids: DataFrame, p: NearDedup) -> DataFrame:
+    """(doc_id, words): the sorted shingle hashes, as bytes, of the documents that the cut table ``ids`` (doc_id) names."""
+
+    def sets(batch: pa.RecordBatch):
+        made = [hashes.tobytes() for _, hashes in shingle_sets(batch.column("text"), p.words)]
+        at = 0
+        while at < len(made):  # a batch of sets stays within a few MB
+            j, size = at, 0
+            while j < len(made) and (j == at or size + len(made[j]) <= 8_000_000):
+                size += len(made[j])
+                j += 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, j - at), pa.array(made[at:j], pa.binary())], names=["doc_id", "words"])
+            at = j
+
+    texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
+    return texts.mapInArrow(arrow_batches(sets), "doc_id long, words binary")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, p: NearDedup) -> bool:
+    """Whether sorted sets are similar enough."""
+    few, many = min(len(x), len(y)), max(len(x), len(y))
+    if 100 * few < p.similar * many:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= p.similar * (few + many - both)
+
+
+def links_in_blocks(clusters: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDedup) -> DataFrame:
+    """Links (a, b) that connect what is connected within each cluster; ``clusters`` (rep, cluster) is cut."""
+    ids = clusters.select(F.col("rep").alias("doc_id"))
+    sizes = clusters.join(classes.select("rep", "n_shingles"), "rep")
+    blocks = sizes.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / p.block_rows, F.sum("n_shingles") * 8 / p.block_bytes)).cast("int").alias("blocks"))
+    rows = clusters.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.join(classes.select("rep", "sig"), "rep").join(word_sets(docs, ids, p).withColumnRenamed("doc_id", "rep"), "rep")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "sig", "words")
+
+    def compare(table: pa.Table) -> pa.Table:
+        rep = table.column("rep").to_numpy()
+        own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(rep), -1)
+        words = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
+        left = np.flatnonzero(own == i)
+        right = left if i[0] == j[0] else np.flatnonzero(own == j)
+        root = list(range(len(rep)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for x in left.tolist():
+            far = (sig[right] != sig[x]).sum(axis=1)
+            near = np.flatnonzero(far <= p.most)
+            for k in near[np.argsort(far[near], kind="stable")].tolist():
+                y = int(right[k])
+                if (right is left and y <= x) or find(x) == find(y) or not _similar(words[x], words[y], p):
+                    continue
+                root[find(x)] = find(y)
+                found.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, LINKS)
+
+
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of ``docs`` (doc_id long, text string; other columns are ignored).
 
@@ -205,38 +261,18 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     base = cut(signatures(docs, p), "signatures")
     classes = cut(base.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "classes")
     keys = bucket_keys(classes, p)
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(keys.join(many, "key", "left_semi"), "buckets")
-
-    named = shared.withColumn("component", F.col("rep"))
-    links = tested = None
-    for k in range(p.leaders + 1):
-        mixed = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias("leader")).where("least < most")
-        left = named.join(mixed.select("key", "leader"), "key")
-        if k:
-            counts = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("rows"))
-            pairs, rows = counts.agg(F.sum("pairs"), F.sum("rows")).first()
-            if not pairs:
-                break
-            rest = k == p.leaders or pairs <= 2 * rows
-        else:
-            rest = False
-        if rest:
-            other = left.select("key", F.col("rep").alias("a"), F.col("component").alias("component_a"))
-            new = left.join(other, "key").where("rep > a and component <> component_a").select("a", F.col("rep").alias("b"))
-        else:
-            new = left.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-        new = new.distinct()
-        if tested is not None:
-            new = new.join(tested, ["a", "b"], "left_anti")
-        new = cut(new, "pairs")
-        tested = new if tested is None else tested.union(new)
-        good = cut(confirmed(cut(near_signatures(new, classes, p), "near"), docs, p), "confirmed")
-        links = good if links is None else links.union(good)
-        found = components(links)
-        if rest:
-            break
-        named = shared.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
+    shared = cut(keys.join(many, "key"), "buckets")
+
+    grouped = components(shared.where((F.col("n") > p.listed) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    grouped = cut(grouped.union(grouped.select("component", "component").distinct()).toDF("rep", "cluster"), "clusters")
+    inside = cut(links_in_blocks(grouped, classes, docs, p), "block-links")
+
+    listed = shared.where(F.col("n") <= p.listed).join(grouped, "rep", "left").select("key", "rep", "cluster")
+    other = listed.select("key", F.col("rep").alias("a"), F.col("cluster").alias("cluster_a"))
+    pairs = listed.join(other, "key").where("rep > a and (cluster is null or cluster_a is null or cluster <> cluster_a)").select("a", F.col("rep").alias("b"))
+    pairs = cut(near_signatures(pairs.distinct(), classes, p), "near")
+    found = components(inside.union(cut(confirmed(pairs, docs, p), "confirmed")))
     of_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["n_shingles", "h1", "h2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
