@@ -14,6 +14,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +29,26 @@ NAMES = [x.split()[0] for x in OUT.split(", ")]
 
 #: White space beyond ASCII, after which texts aren't split; and a string that the tokenizer reads as one id.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|endoftext\\|>")
+#: One of these bytes is in all that ODD finds.
+_HINT = np.zeros(256, bool)
+_HINT[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, ord("<")]] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 
 
 class Encoder:
     """Token ids of texts, equal to those of ``tokenizers`` with the vocabulary of byte_bpe_50k.json.
 
-    This vocabulary never joins a single blank or line feed to what stands before it. So a text falls into segments that begin with
-    one, each is encoded once and remembered by a 64-bit hash, up to ``most`` segments. Texts with other white space, or with the
-    text of the special token, are encoded whole by ``tokenizers``.
+    This vocabulary never joins a single blank or line feed, nor a mark after an ASCII letter, to what stands before it. So a text falls
+    into segments that begin with one, each is encoded once and remembered by a 64-bit hash, up to ``most`` segments. Texts with other
+    white space, or with the text of the special token, are encoded whole by ``tokenizers``.
     """
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str, most: int = 400_000) -> None:
+    def __init__(self, json_path: str, ranks_path: str, pattern: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
@@ -53,15 +61,16 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # sorted hashes, and the place of each
+        self.place = np.zeros(0, np.int64)
         self.ids: np.ndarray = np.zeros(1 << 20, np.uint32)
         self.ends: np.ndarray = np.zeros(1 << 18, np.int64)
         self.n = 0
 
     def _learn(self, segments: list[str]) -> None:
-        made = [self.fast.encode_ordinary(s) for s in segments]
+        made = list(map(self.fast._core_bpe.encode_ordinary, segments))
         lengths = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for x in made for i in x), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(made), np.uint32, int(lengths.sum()))
         last = int(self.ends[self.n])
         while last + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
@@ -78,25 +87,35 @@ class Encoder:
         cut = np.zeros(len(data), bool)
         if len(data) > 2:
             cut[1:-1] = ((data[1:-1] == 0x20) | (data[1:-1] == 0x0A)) & ink[:-2] & ink[2:]
+            cut[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
         inner = offsets[1:-1]
         inner = inner[inner < len(data)]
         cut[inner[inner > 0] - 1] = False  # the last character of a text
         cut[inner] = False
-        starts = np.union1d(np.flatnonzero(cut), offsets[:-1][np.diff(offsets) > 0])
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(cut)
         ends = np.concatenate((starts[1:], [len(data)])) if len(starts) else starts
         hashes = span_hashes(data, starts, ends)
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)
+        sorted_ = hashes[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = sorted_[1:] != sorted_[:-1]
+        unique, first = sorted_[fresh], order[fresh]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(fresh) - 1
         if self.n + len(unique) > self.most:
             self._forget()
-        known = self.known
-        places = np.fromiter((known.get(h, -1) for h in unique.tolist()), np.int64, len(unique))
-        new = np.flatnonzero(places < 0)
+        there = np.searchsorted(self.known, unique)
+        hit = there < len(self.known)
+        hit[hit] = self.known[there[hit]] == unique[hit]
+        places = np.full(len(unique), -1, np.int64)
+        places[hit] = self.place[there[hit]]
+        new = np.flatnonzero(~hit)
         if len(new):
-            raw = data.tobytes()
-            self_n = self.n
-            self._learn([raw[starts[k] : ends[k]].decode("utf-8", "replace") for k in first[new]])
-            places[new] = np.arange(self_n, self_n + len(new))
-            known.update(zip(unique[new].tolist(), range(self_n, self_n + len(new)), strict=True))
+            raw, n = data.tobytes(), self.n
+            self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            places[new] = np.arange(n, n + len(new))
+            self.known, self.place = np.insert(self.known, there[new], unique[new]), np.insert(self.place, there[new], places[new])
         at = places[back]
         begin, length = self.ends[at], self.ends[at + 1] - self.ends[at]
         total = np.concatenate(([0], np.cumsum(length)))
@@ -106,7 +125,7 @@ class Encoder:
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         for i, j, data, offsets in text_pieces(column):
-            odd = ODD.search(data.tobytes().decode("utf-8", "replace"))
+            odd = _HINT[data].any() and ODD.search(data.tobytes().decode("utf-8", "replace"))
             ids = self.piece(data, offsets) if not odd else None
             for k in range(j - i):
                 if odd:
