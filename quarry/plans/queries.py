@@ -1,4 +1,524 @@
-"""The registered queries of the core engine and their SQL."""
+"""The registered queries of the core engine and their SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from quarry.functions import text as T
+from quarry.functions import vectors as V
+from quarry.operators import catalog, chunking, context, conversations, memory, retrieval, stats
+from quarry.schemas import GENERAL
+from quarry.sources import documents as sources
+
+NOW = "2024-01-31 12:00:00"
+QUESTION = "Which license was released with the thble attion, thtion and erble of thanea?"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query and its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def now() -> Column:
+    return F.lit(NOW).cast("timestamp")
+
+
+def r6(c) -> Column:
+    return F.round(c, 6)
+
+
+def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
+    """The vector of one row stands for an embedded question."""
+    return list(table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
+
+
+def query_label(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> int:
+    """The label (domain) of that row."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("label").first()[0]
+
+
+# --- pieces of SQL ---
+
+STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+def toks(text: str) -> str:
+    return f"list_filter(string_split_regex(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: length(w) > 2 AND w NOT IN ({STOP}))"
+
+
+DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
+BLANKS = "'^[\\p{Zs}\\t]+|[\\p{Zs}\\t]+$'"
+SPACES = "'^[\\t\\n\\x0B\\f\\r\\x{85}\\p{Z}]+|[\\t\\n\\x0B\\f\\r\\x{85}\\p{Z}]+$'"
+
+
+def trimmed(x: str, what: str = SPACES) -> str:
+    return f"regexp_replace({x}, {what}, '', 'g')"
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def stripped(x: str) -> str:
+    for pattern, by in T.HTML_STEPS:
+        x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(by)}, 'g')"
+    return trimmed(x)
+
+
+def top_words(source: str, key: str, text: str, k: int) -> str:
+    return f"""(SELECT {key}, list(w ORDER BY n DESC, w) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, w) AS r FROM
+    (SELECT {key}, w, count(*) AS n FROM (SELECT {key}, unnest({toks(text)}) AS w FROM {source}) GROUP BY ALL)) WHERE r <= {k} GROUP BY {key})"""
+
+
+def chunk_sql(source: str, key: str, text: str) -> str:
+    """CTEs that end in ``chunks`` (key, i, content)."""
+    t = trimmed("cur")
+    return f"""
+paras AS MATERIALIZED (SELECT {key}, list_filter(list_transform(string_split(coalesce({text}, ''), chr(10) || chr(10)), lambda p: {trimmed('p', BLANKS)}), lambda p: p <> '') AS ps FROM {source}),
+fold AS (
+  SELECT {key}, 0 AS i, '' AS cur, []::VARCHAR[] AS done FROM paras
+  UNION ALL
+  SELECT {key}, i + 1,
+    CASE WHEN full_ THEN right(cur, 100) || chr(10) || chr(10) || p WHEN cur <> '' THEN cur || chr(10) || chr(10) || p ELSE p END,
+    CASE WHEN full_ THEN list_append(done, {t}) ELSE done END
+  FROM (SELECT *, length(cur) + length(p) + 2 > 600 AND length(cur) >= 150 AS full_ FROM (SELECT f.*, ps[f.i + 1] AS p FROM fold f JOIN paras USING ({key}) WHERE f.i < len(ps)))),
+ends AS (SELECT f.{key}, done, {t} AS rest FROM fold f JOIN paras p ON f.{key} = p.{key} AND f.i = len(p.ps)),
+lists AS (SELECT {key}, CASE WHEN length(rest) >= 150 THEN list_append(done, rest) WHEN rest <> '' AND len(done) > 0 THEN list_append(done[:len(done) - 1], done[len(done)] || chr(10) || chr(10) || rest) ELSE done END AS cs FROM ends),
+chunks AS (SELECT {key}, i - 1 AS "index", cs[i] AS content FROM (SELECT {key}, cs, unnest(range(1, len(cs) + 1)) AS i FROM lists))"""
+
+
+# --- vectors ---
+
+
+@query(f"""SELECT vec_id, label, round(score, 6) AS score FROM (SELECT e.vec_id, e.label, {DOT.format('e.embedding', 'q.embedding')} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
+WHERE score > 0.3 ORDER BY score DESC, vec_id LIMIT 5""")
+def vector_topk(spark, sf_dir):
+    return retrieval.vector_topk(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), "vec_id", 5).select("vec_id", "label", r6("score").alias("score"))
+
+
+@query(f"""SELECT vec_id, label, round(score, 6) AS score FROM (SELECT e.vec_id, e.label, {DOT.format('e.embedding', 'q.embedding')} AS score FROM embeddings e, (SELECT embedding, label FROM embeddings WHERE vec_id = 0) q WHERE e.label = q.label)
+WHERE score > 0.3 ORDER BY score DESC, vec_id LIMIT 3""")
+def vector_topk_domain(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where(F.col("label") == query_label(spark, sf_dir))
+    return retrieval.vector_topk(rows, query_vector(spark, sf_dir), "vec_id", 3).select("vec_id", "label", r6("score").alias("score"))
+
+
+@query(f"""SELECT vec_id, round(sqrt(s), 6) AS magnitude, abs(s - 1) < 0.01 AS is_unit, round(CASE WHEN abs(s - 1) < 0.01 THEN d ELSE d / sqrt(s) END, 6) AS cosine, round(embedding[1]::DOUBLE / sqrt(s), 6) AS first_normalized
+FROM (SELECT e.vec_id, e.embedding, {DOT.format('e.embedding', 'e.embedding')} AS s, {DOT.format('e.embedding', 'q.embedding')} AS d FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)""")
+def vector_norms(spark, sf_dir):
+    q = V.literal(query_vector(spark, sf_dir))
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", r6(V.magnitude(e)).alias("magnitude"), V.is_normalized(e).alias("is_unit"), r6(V.cosine(e, q)).alias("cosine"), r6(V.normalized(e)[0]).alias("first_normalized"))
+
+
+@query("SELECT vec_id, 8 * len(embedding) AS n_bytes, true AS same FROM embeddings")
+def vector_codec(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("b", V.to_bytes("v"))
+    return rows.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), (V.from_bytes("b") == F.col("v")).alias("same"))
+
+
+@query("""WITH m AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(range(1, 65)) AS i, embedding[i]::DOUBLE AS v FROM embeddings) GROUP BY ALL), n AS (SELECT label, sqrt(sum(v * v)) AS n FROM m GROUP BY label)
+SELECT label, round(first(v / n) FILTER (i = 1), 5) AS first_value, round(sum(v * v / n / n), 5) AS squared FROM m JOIN n USING (label) GROUP BY label""")
+def mean_pooling(spark, sf_dir):
+    means = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    pooled = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v")).withColumn("v", V.normalized(F.col("v")))
+    return pooled.select("label", F.round(F.col("v")[0], 5).alias("first_value"), F.round(V.dot(F.col("v"), F.col("v")), 5).alias("squared"))
+
+
+# --- text ---
+
+
+@query(f"SELECT DISTINCT doc_id, unnest({toks('text')}) AS word FROM documents")
+def tokenize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("word"))
+
+
+@query(f"SELECT doc_id, coalesce(keywords, []) AS keywords FROM documents LEFT JOIN {top_words('documents', 'doc_id', 'text', 8)} USING (doc_id)")
+def keywords_top8(spark, sf_dir):
+    return T.top_keywords(table(spark, sf_dir, "documents"), ["doc_id"], "text", 8)
+
+
+@query("""SELECT conv_id, CASE WHEN length(t) > 30 THEN left(t, 30) || '...' ELSE t END AS title FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)""")
+def auto_title(spark, sf_dir):
+    return conversations.titles(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query(f"""SELECT conv_id, turn, list_filter(list_transform(string_split(text, ','), lambda k: lower({trimmed('k', BLANKS)})), lambda k: k <> '') AS keywords FROM conversations""")
+def keyword_parse(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.keyword_list(F.col("text"), F.array().cast("array<string>")).alias("keywords"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[' || source || ', ' || upper(lang) || '] ' || text WHEN doc_id % 3 = 1 THEN '  NONE' || chr(10) || text ELSE '[ , ] ' || text END AS t FROM documents),
+l AS (SELECT doc_id, i - 1 AS line, {trimmed("ls[i]", BLANKS)} AS l FROM (SELECT doc_id, string_split(t, chr(10)) AS ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
+g AS (SELECT * FROM l WHERE l <> '' AND upper(l) <> 'NONE'), f AS (SELECT doc_id * 1000000 + line AS id, doc_id, line, l FROM g WHERE NOT regexp_matches(l, '^\\[([^\\]]*)\\]')),
+b AS (SELECT doc_id, line, {trimmed("regexp_extract(l, '^\\[([^\\]]*)\\]([\\s\\S]*)$', 2)", BLANKS)} AS content,
+      list_filter(list_transform(string_split(regexp_extract(l, '^\\[([^\\]]*)\\]', 1), ','), lambda k: lower({trimmed('k', BLANKS)})), lambda k: k <> '') AS keywords FROM g WHERE regexp_matches(l, '^\\[([^\\]]*)\\]'))
+SELECT * FROM (SELECT doc_id, line, content, keywords FROM b UNION ALL SELECT doc_id, line, l, keywords FROM f JOIN {top_words('f', 'id', 'l', 5)} USING (id)) WHERE content <> '' AND len(keywords) > 0""")
+def fact_lines(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    text = F.when(k == 0, F.concat(F.lit("["), "source", F.lit(", "), F.upper("lang"), F.lit("] "), "text")).when(k == 1, F.concat(F.lit("  NONE\n"), "text")).otherwise(F.concat(F.lit("[ , ] "), "text"))
+    return T.fact_lines(table(spark, sf_dir, "documents").select("doc_id", text.alias("t")), "doc_id", "t")
+
+
+@query("SELECT page_id, regexp_replace(lower(replace(url, ' ', '_')), '[^\\p{L}\\p{M}\\p{N}_]', '', 'g') AS tool, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem FROM pages")
+def tool_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.tool_name(F.col("url")).alias("tool"), sources.file_stem(F.col("url")).alias("stem"))
+
+
+@query(f"SELECT page_id, {stripped('html')} AS text FROM pages")
+def strip_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+
+
+# --- chunks ---
+
+
+def sections(spark, sf_dir) -> DataFrame:
+    """Documents as one section each, with line feeds as paragraph breaks."""
+    text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("pos"), F.lit("Full Text").alias("label"), text.alias("text"))
+
+
+SPACED = "replace(text, chr(10), chr(10) || chr(10))"
+
+
+@query(f"WITH RECURSIVE {chunk_sql('documents', 'doc_id', SPACED)} SELECT doc_id, \"index\", 'Full Text' AS location_label, content FROM chunks")
+def chunk_documents(spark, sf_dir):
+    return chunking.chunk_sections(sections(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH RECURSIVE s AS (SELECT page_id, {stripped('html')} AS text FROM pages), {chunk_sql('s', 'page_id', 'text')} SELECT page_id, \"index\", 'Chapter 1' AS location_label, content FROM chunks")
+def chunk_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit(0).alias("pos"), F.lit("Chapter 1").alias("label"), T.strip_html(F.col("html")).alias("text"))
+    return chunking.chunk_sections(pages, "page_id")
+
+
+@query(f"""WITH RECURSIVE {chunk_sql('documents', 'doc_id', SPACED)}, k AS (SELECT doc_id * 1000000 + "index" AS id, doc_id, "index", content FROM chunks)
+SELECT doc_id, "index", coalesce(keywords, []) AS keywords FROM k LEFT JOIN {top_words('k', 'id', 'content', 8)} USING (id)""")
+def chunk_keywords(spark, sf_dir):
+    return chunking.with_keywords(chunking.chunk_sections(sections(spark, sf_dir), "doc_id"), ["doc_id", "index"]).select("doc_id", "index", "keywords")
+
+
+@query("""SELECT source, pos_in_source AS "index", doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS pos_in_source FROM documents)""")
+def enumerated(spark, sf_dir):
+    index = F.row_number().over(W.partitionBy("source", "lang").orderBy("doc_id")) - 1
+    return table(spark, sf_dir, "documents").select("source", index.cast("long").alias("index"), "doc_id")
+
+
+# --- index and keyword retrieval ---
+
+
+@query(f"SELECT w AS word, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest(list_append({toks('text')}, lower(source))) AS w FROM documents) GROUP BY w")
+def inverted_index(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("keywords", F.array("source"))
+    return retrieval.inverted_index(docs, "doc_id", "text", "keywords").groupBy("word").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
+
+
+BENCH_WORDS = f"(SELECT DISTINCT unnest({toks('text')}) AS word FROM benchmark)"
+INDEX = f"(SELECT DISTINCT doc_id, unnest({toks('text')}) AS word FROM documents)"
+
+
+def bench_words(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.explode(T.tokenize(F.col("text"))).alias("word")).distinct()
+
+
+@query(f"SELECT DISTINCT doc_id FROM {INDEX} WHERE word IN {BENCH_WORDS}")
+def candidates_exact(spark, sf_dir):
+    return retrieval.candidates_exact(retrieval.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text"), bench_words(spark, sf_dir), "doc_id")
+
+
+@query(f"""WITH v AS (SELECT DISTINCT word FROM {INDEX} WHERE length(word) >= 5), q AS (SELECT word AS query_word FROM {BENCH_WORDS} WHERE length(word) >= 5)
+SELECT word, query_word FROM v JOIN q ON left(word, 5) = left(query_word, 5) WHERE starts_with(word, query_word) OR starts_with(query_word, word)""")
+def candidates_prefix(spark, sf_dir):
+    vocabulary = table(spark, sf_dir, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("word")).distinct()
+    return retrieval.prefix_matches(vocabulary, bench_words(spark, sf_dir)).select("word", "query_word")
+
+
+def score_sql(words: str, q: str = "q") -> str:
+    near = f"len(list_filter({words}, lambda e: length(e) >= 5 AND (starts_with(e, w) OR starts_with(w, e)))) > 0"
+    return f"list_sum(list_transform({q}, lambda w: CASE WHEN list_contains({words}, w) THEN 1.0 WHEN length(w) >= 5 AND {near} THEN 0.5 ELSE 0.0 END))::DOUBLE / len({q})"
+
+
+QWORDS = f"(SELECT list_distinct({toks(quoted(QUESTION))}) AS q)"
+
+
+def docs_with_words(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", T.tokenize(F.col("text")).alias("words"))
+
+
+@query(f"""SELECT doc_id, lang, round(score, 6) AS score FROM (SELECT doc_id, lang, {score_sql('ws')} AS score FROM (SELECT doc_id, lang, list_distinct({toks('text')}) AS ws FROM documents), {QWORDS})
+WHERE score >= 0.3 ORDER BY score DESC, doc_id LIMIT 10""")
+def keyword_retrieve(spark, sf_dir):
+    return retrieval.keyword_retrieve(docs_with_words(spark, sf_dir), retrieval.query_words(spark, QUESTION), "doc_id", 10).select("doc_id", "lang", r6("score").alias("score"))
+
+
+def memories(spark, sf_dir) -> DataFrame:
+    """Documents with an event's time and, where there is one, a vector."""
+    ts = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("created_at"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return docs_with_words(spark, sf_dir).join(ts, "doc_id").join(vectors, "doc_id", "left")
+
+
+BONUS = f"(1 / log2(greatest(1.0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 86400000000) + 1))"
+MEMORIES = f"(SELECT d.doc_id, lang, ts, embedding, list_distinct({toks('text')}) AS ws FROM documents d JOIN events e ON e.event_id = d.doc_id LEFT JOIN embeddings v ON v.vec_id = d.doc_id)"
+
+
+@query(f"""SELECT doc_id, lang, round(s + 0.05 * {BONUS}, 6) AS score FROM (SELECT doc_id, lang, ts, {score_sql('ws')} AS s FROM {MEMORIES}, {QWORDS}) WHERE s >= 0.25 ORDER BY s + 0.05 * {BONUS} DESC, doc_id LIMIT 5""")
+def memory_keyword_retrieve(spark, sf_dir):
+    return retrieval.memory_retrieve(memories(spark, sf_dir), None, retrieval.query_words(spark, QUESTION), now(), "doc_id", 5).select("doc_id", "lang", r6("score").alias("score"))
+
+
+@query(f"""SELECT doc_id, lang, round(s + 0.02 * {BONUS}, 6) AS score FROM (SELECT m.doc_id, lang, ts, {DOT.format('m.embedding', 'q.embedding')} AS s FROM {MEMORIES} m, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE m.embedding IS NOT NULL)
+WHERE s > 0.3 ORDER BY s + 0.02 * {BONUS} DESC, doc_id LIMIT 5""")
+def memory_retrieve(spark, sf_dir):
+    return retrieval.memory_retrieve(memories(spark, sf_dir), query_vector(spark, sf_dir), retrieval.query_words(spark, QUESTION), now(), "doc_id", 5).select("doc_id", "lang", r6("score").alias("score"))
+
+
+def two_phase_sql(where: str) -> str:
+    return f"""WITH r AS (SELECT vec_id, label, embedding, list_distinct({toks('text')}) AS ws FROM embeddings JOIN documents ON doc_id = vec_id),
+c AS (SELECT *, len(list_filter(ws, lambda e: list_contains(q, e) OR (length(e) >= 5 AND len(list_filter(q, lambda w: length(w) >= 5 AND (starts_with(e, w) OR starts_with(w, e)))) > 0))) > 0 AS hit FROM r, {QWORDS}),
+n AS (SELECT (SELECT count(*) FROM c WHERE hit) AS everywhere, count(*) AS own_rows, count(*) FILTER (hit) AS own FROM c WHERE {where}),
+s AS (SELECT vec_id, label, hit, {DOT.format('c.embedding', 'v.embedding')} AS score FROM c, (SELECT embedding FROM embeddings WHERE vec_id = 0) v WHERE {where})
+SELECT vec_id, label, round(score, 6) AS score FROM s, n WHERE score > 0.3 AND (hit OR own_rows < 200 OR everywhere < 20 OR own = 0) ORDER BY s.score DESC, vec_id LIMIT 5"""
+
+
+def vectors_with_words(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").join(docs_with_words(spark, sf_dir).withColumnRenamed("doc_id", "vec_id"), "vec_id")
+
+
+@query(two_phase_sql("true"))
+def two_phase_retrieve(spark, sf_dir):
+    found = retrieval.two_phase(vectors_with_words(spark, sf_dir), query_vector(spark, sf_dir), retrieval.query_words(spark, QUESTION), "vec_id", 5)
+    return found.select("vec_id", "label", r6("score").alias("score"))
+
+
+@query(two_phase_sql("label = (SELECT label FROM embeddings WHERE vec_id = 0)"))
+def two_phase_small_domain(spark, sf_dir):
+    rows = vectors_with_words(spark, sf_dir)
+    index = rows.select(F.explode("words").alias("word"), "vec_id")
+    found = retrieval.two_phase(rows.where(F.col("label") == query_label(spark, sf_dir)), query_vector(spark, sf_dir), retrieval.query_words(spark, QUESTION), "vec_id", 5, index=index)
+    return found.select("vec_id", "label", r6("score").alias("score"))
+
+
+# --- context ---
+
+
+@query("""SELECT conv_id, count(*) AS kept, sum(length(text))::BIGINT AS chars FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations) WHERE used <= 1500 GROUP BY conv_id""")
+def context_budget(spark, sf_dir):
+    kept = context.within_budget(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.length("text"), 1500)
+    return kept.groupBy("conv_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(f"""WITH q AS (SELECT conv_id, text FROM conversations WHERE turn = 0), m AS (SELECT conv_id, turn, text FROM conversations WHERE turn IN (1, 2)), c AS (SELECT conv_id, turn, role AS label, text FROM conversations WHERE turn > 2),
+mm AS (SELECT conv_id, string_agg('- ' || text, chr(10) ORDER BY turn) AS mem, count(*) AS n FROM m GROUP BY conv_id),
+b AS (SELECT q.conv_id, q.text, mem, coalesce(n, 0) AS memory_count, 1500 - coalesce(length(mem), 0) AS room FROM q LEFT JOIN mm USING (conv_id)),
+u AS (SELECT conv_id, turn, label, '[' || label || '] ' || c.text AS t, room, sum(length(t)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM c JOIN b USING (conv_id)),
+p AS (SELECT conv_id, string_agg(t, chr(10) || '---' || chr(10) ORDER BY turn) AS parts, count(*) AS chunk_count, list_sort(list_distinct(list(label))) AS document_names FROM u WHERE used <= room GROUP BY conv_id)
+SELECT conv_id AS query_id, CASE WHEN mem IS NULL AND parts IS NULL THEN text ELSE text || {quoted(context.NOTE)} || concat_ws(chr(10) || chr(10), {quoted(context.MEMORY_HEAD)} || mem, {quoted(context.CHUNK_HEAD)} || parts) END AS prompt,
+memory_count, coalesce(chunk_count, 0) AS chunk_count, coalesce(document_names, []) AS document_names FROM b LEFT JOIN p USING (conv_id)""")
+def context_pack(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "query_id")
+    mem = c.where("turn in (1, 2)").select("query_id", F.col("turn").alias("rank"), F.col("text").alias("content"))
+    chunks = c.where("turn > 2").select("query_id", F.col("turn").alias("rank"), F.col("role").alias("label"), F.col("text").alias("content"), F.col("role").alias("name"))
+    return context.pack_context(c.where("turn = 0").select("query_id", "text"), mem, chunks, 1500)
+
+
+@query("""SELECT conv_id, round(least((sum(length(text)) + 600) / 3.5 / 4096, 1.0), 6) AS usage, CASE WHEN least((sum(length(text)) + 600) / 3.5 / 4096, 1.0) > 0.85 THEN 'high' WHEN least((sum(length(text)) + 600) / 3.5 / 4096, 1.0) > 0.6 THEN 'medium' ELSE 'low' END AS level
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6 GROUP BY conv_id""")
+def context_usage(spark, sf_dir):
+    used = context.context_usage(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", turns=3, overhead=600)
+    return used.select("conv_id", r6("usage").alias("usage"), context.context_level(F.col("usage")).alias("level"))
+
+
+@query("""SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) AS transcript
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6 GROUP BY conv_id""")
+def transcript_tail(spark, sf_dir):
+    return conversations.transcripts(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 6)
+
+
+# --- conversations ---
+
+
+@query(f"""SELECT bucket, count(*) AS n, min(event_id) AS first_event FROM (SELECT event_id, CASE WHEN ts::DATE = TIMESTAMP '{NOW}'::DATE THEN 'Today' WHEN ts::DATE = TIMESTAMP '{NOW}'::DATE - 1 THEN 'Yesterday'
+WHEN ts > TIMESTAMP '{NOW}' - INTERVAL 7 DAY THEN 'This Week' WHEN ts > TIMESTAMP '{NOW}' - INTERVAL 1 MONTH THEN 'This Month' ELSE 'Older' END AS bucket FROM events) GROUP BY bucket""")
+def date_buckets(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("bucket", conversations.date_bucket(F.col("ts"), now()))
+    out = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+    return out.orderBy(conversations.bucket_rank(F.col("bucket")))
+
+
+@query("""SELECT user_id, event_id, b IS NULL OR b::DATE <> ts::DATE AS separator FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)""")
+def date_separator(spark, sf_dir):
+    return conversations.date_separators(table(spark, sf_dir, "events"), "user_id", "event_id", "ts").select("user_id", "event_id", "separator")
+
+
+@query("""SELECT conv_id, turn, coalesce(turn = max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id), false) AS is_last FROM conversations""")
+def last_assistant(spark, sf_dir):
+    return conversations.last_of_role(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "is_last")
+
+
+@query("""WITH a AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS assistant FROM conversations GROUP BY conv_id)
+SELECT conv_id, any_value(assistant) AS assistant, max(turn) FILTER (role = 'user' AND turn < assistant) AS "user" FROM conversations JOIN a USING (conv_id) GROUP BY conv_id""")
+def regenerate_pair(spark, sf_dir):
+    return conversations.regenerate_pair(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@query("""SELECT conv_id, count(*) AS kept FROM conversations c WHERE turn < (SELECT max(turn) FROM conversations d WHERE d.conv_id = c.conv_id AND role = 'user') GROUP BY conv_id""")
+def edit_and_resend(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    targets = c.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("target")).where("target is not null")
+    return conversations.truncated(c.join(targets.select("conv_id"), "conv_id", "left_semi"), targets, "conv_id", "turn").groupBy("conv_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("""SELECT DISTINCT conv_id FROM conversations WHERE contains(lower(text), 'tion the')""")
+def conversation_search(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return conversations.search(c, conversations.titles(c, "conv_id", "turn", "text"), "TION the", "conv_id", "text")
+
+
+@query("""SELECT conv_id, least(floor(count(*) FILTER (role <> 'system') / 2), 6)::BIGINT AS turns FROM conversations GROUP BY conv_id""")
+def restored_turns(spark, sf_dir):
+    return conversations.restored_turns(table(spark, sf_dir, "conversations"), "conv_id")
+
+
+@query(f"""WITH t AS (SELECT conv_id, CASE WHEN length(t) > 30 THEN left(t, 30) || '...' ELSE t END AS title FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)),
+l AS (SELECT conv_id, string_agg('[] ' || CASE role WHEN 'user' THEN 'You' WHEN 'assistant' THEN 'Assistant' ELSE 'System' END || ':' || chr(10) || text || chr(10), chr(10) ORDER BY turn) AS b FROM conversations GROUP BY conv_id)
+SELECT conv_id, '# ' || title || chr(10) || 'Date: 2024-01-31 12:00' || chr(10) || 'System: Be brief.' || chr(10) || chr(10) || b AS text FROM t JOIN l USING (conv_id)""")
+def conversation_export(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    heads = conversations.titles(c, "conv_id", "turn", "text").withColumns({"created_at": now(), "prompt": F.lit("Be brief.")})
+    return conversations.exported(c, heads, "conv_id", "turn", "text")
+
+
+# --- catalogue, statistics, memory ---
+
+
+def domains(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("id"), F.upper("lang").alias("name")).distinct()
+
+
+def bases(spark, sf_dir) -> DataFrame:
+    """Documents as knowledge bases; every seventh has no domain."""
+    domain = F.when(F.col("doc_id") % 7 != 0, F.col("lang"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), domain.alias("domain_id"), F.octet_length("text").cast("long").alias("file_size"), (F.col("doc_id") % 5).alias("chunk_count"), F.when(F.col("doc_id") % 3 == 0, "m1").alias("embedding_model_id")
+    )
+
+
+BASES = "(SELECT doc_id AS id, 'doc ' || doc_id AS name, CASE WHEN doc_id % 7 <> 0 THEN lang END AS domain_id, strlen(text) AS file_size, doc_id % 5 AS chunk_count, CASE WHEN doc_id % 3 = 0 THEN 'm1' END AS model FROM documents)"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT lang AS id, upper(lang) AS name FROM documents UNION ALL SELECT '{GENERAL}', 'General'), b AS (SELECT coalesce(domain_id, '{GENERAL}') AS id, count(*) AS n FROM {BASES} GROUP BY 1),
+m AS (SELECT lang AS id, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1) SELECT d.id, d.name, coalesce(b.n, 0) AS n_bases, coalesce(m.n, 0) AS n_memories FROM d LEFT JOIN b USING (id) LEFT JOIN m USING (id)""")
+def domain_counts(spark, sf_dir):
+    named = domains(spark, sf_dir).withColumns({"created_at": now(), "is_default": F.lit(False)})
+    every = catalog.ensure_general(named, now()).select("id", "name")
+    mem = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("lang").alias("domain_id"))
+    return catalog.domain_counts(every, bases(spark, sf_dir), mem)
+
+
+@query(f"SELECT id, list(name ORDER BY id2) AS names FROM (SELECT domain_id AS id, id AS id2, name FROM {BASES} WHERE domain_id IS NOT NULL) GROUP BY id")
+def grouped_by_domain(spark, sf_dir):
+    return catalog.grouped_by_domain(domains(spark, sf_dir).select("id"), bases(spark, sf_dir), "id", "name")
+
+
+@query(f"SELECT id, CASE WHEN coalesce(domain_id, '{GENERAL}') = 'de' THEN '{GENERAL}' ELSE coalesce(domain_id, '{GENERAL}') END AS domain_id FROM {BASES}")
+def domain_delete(spark, sf_dir):
+    rows = catalog.adopt_orphans(bases(spark, sf_dir).select("id", "domain_id"))
+    return catalog.domain_deleted(domains(spark, sf_dir).withColumn("is_default", F.lit(False)), rows, "de")[1]
+
+
+@query(f"SELECT id, CASE WHEN chunk_count > 2 THEN 'fr' ELSE domain_id END AS domain_id FROM {BASES}")
+def move_domain(spark, sf_dir):
+    return catalog.moved(bases(spark, sf_dir).select("id", "domain_id", "chunk_count"), F.col("chunk_count") > 2, "fr").select("id", "domain_id")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de')")
+def cascade_delete(spark, sf_dir):
+    gone = table(spark, sf_dir, "documents").where("lang = 'de'")
+    return catalog.without(table(spark, sf_dir, "embeddings").select("vec_id", "label"), gone, "vec_id", "doc_id").select("vec_id", "label")
+
+
+@query("SELECT item_id, text FROM benchmark WHERE text NOT IN (SELECT text FROM documents) AND item_id NOT IN (SELECT doc_id FROM labels)")
+def anti_presets(spark, sf_dir):
+    new = catalog.missing_by(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "text")
+    return catalog.missing_by(new, table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "item_id"), "item_id").select("item_id", "text")
+
+
+@query(f"SELECT id FROM {BASES} WHERE chunk_count > 0 AND model IS DISTINCT FROM 'm1'")
+def stale_vectors(spark, sf_dir):
+    return catalog.stale(bases(spark, sf_dir), "m1").select("id")
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 4 = 0 THEN NULL WHEN vec_id % 4 = 1 THEN 1 ELSE len(embedding) END::INT AS n FROM embeddings")
+def updated_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    updates = e.where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 1, F.slice("embedding", 1, 1)).alias("embedding"))
+    return catalog.updated_vectors(e, updates).select("id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("n"))
+
+
+@query("SELECT count(*) AS chunks, (sum(strlen(text)) + 4096 * count(vec_id))::BIGINT AS bytes FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+def storage_stats(spark, sf_dir):
+    return stats.storage_by(stored(spark, sf_dir))
+
+
+@query("SELECT source, count(*) AS chunks, (sum(strlen(text)) + 4096 * count(vec_id))::BIGINT AS bytes FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY source")
+def storage_by_source(spark, sf_dir):
+    return stats.storage_by(stored(spark, sf_dir), "source")
+
+
+def stored(spark, sf_dir) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("content")).join(vectors, "doc_id", "left")
+
+
+@query(f"SELECT sum(file_size)::BIGINT AS file_size, sum(chunk_count)::BIGINT AS chunk_count, count(*) FILTER (domain_id IS NULL) AS orphans FROM {BASES}")
+def base_totals(spark, sf_dir):
+    return bases(spark, sf_dir).agg(F.sum("file_size").alias("file_size"), F.sum("chunk_count").alias("chunk_count"), F.count_if(F.col("domain_id").isNull()).alias("orphans"))
+
+
+STATUS = "CASE event_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'processing' ELSE 'queued' END"
+
+
+@query(f"SELECT event_type, round(avg(CASE WHEN s IN ('completed', 'failed') THEN 1.0 WHEN s = 'processing' THEN 0.5 ELSE 0.0 END), 6) AS progress FROM (SELECT event_type, {STATUS} AS s FROM events) GROUP BY event_type")
+def queue_progress(spark, sf_dir):
+    k = F.col("event_id") % 4
+    status = F.when(k == 0, "completed").when(k == 1, "failed").when(k == 2, "processing").otherwise("queued")
+    return table(spark, sf_dir, "events").withColumn("s", status).groupBy("event_type").agg(r6(stats.queue_progress(F.col("s"))).alias("progress"))
+
+
+@query("SELECT role, sum(length(role) + length(text) + 80)::BIGINT AS chars FROM conversations GROUP BY role")
+def tool_schema_chars(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(stats.schema_chars(F.col("role"), F.col("text")).alias("chars"))
+
+
+@query()
+def memory_add_log(spark, sf_dir):
+    """A fold over each log in order; tests hold it against a plain fold."""
+    return memory.memory_log(table(spark, sf_dir, "documents").select(F.col("lang").alias("log"), F.col("doc_id").alias("seq"), F.col("text").alias("content")))
+
+
+@query("""SELECT doc_id AS id, regexp_replace('a/b:' || doc_id, '[/:]', '-', 'g') || '.kb.json' AS file_name, count(vec_id) AS n_chunks FROM documents LEFT JOIN embeddings ON vec_id % 100 = doc_id % 100 AND doc_id < 100 GROUP BY doc_id""")
+def kb_export(spark, sf_dir):
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("a/b:"), F.col("doc_id").cast("string")).alias("name"))
+    chunks = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 100).alias("knowledge_base_id"), F.col("vec_id").alias("index"), F.col("label").cast("string").alias("content"))
+    out = sources.exported_bases(b, chunks, now())
+    return out.select("id", "file_name", F.size(F.from_json("json", "struct<chunks: array<struct<index: bigint>>>")["chunks"]).cast("long").alias("n_chunks"))
