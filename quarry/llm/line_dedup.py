@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, small, words_of
+from quarry.llm.common import cut, small
 
 
 @dataclass(frozen=True)
@@ -26,14 +26,25 @@ class LineDedup:
     fuzzy_words: int = 8
 
 
-def _hash(words: Column) -> Column:
-    return F.xxhash64(words)
+#: White space that parts words, as an alternative to the others.
+GAPS = "\t\n\x0b\f\r"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, words of every line."""
+def _words(line: Column) -> Column:
+    """The words of a line in lower case. White space is made blanks first, as a split at one character needs no pattern."""
+    return F.filter(F.split(F.translate(F.lower(line), GAPS, " " * len(GAPS)), " "), lambda w: w != "")
+
+
+def _lines(docs: DataFrame, min_words: int = 0) -> DataFrame:
+    """doc_id, pos, words of every line with so many words."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), words_of(F.lower("line")).alias("words"))
+    lines = lines.where(_has_words(F.col("line"), min_words)) if min_words else lines
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), _words(F.col("line")).alias("words"))
+
+
+def _has_words(line: Column, n: int) -> Column:
+    """So many words at least; the pattern ends where it knows."""
+    return line.rlike("^[\\x20\\x09-\\x0D]*" + "[\\x20\\x09-\\x0D]+".join(["[^\\x20\\x09-\\x0D]+"] * (n - 1) + ["[^\\x20\\x09-\\x0D]"]))
 
 
 def _at(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -44,17 +55,17 @@ def _at(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _halves(words: Column, n: Column) -> list[Column]:
-    """(side, words of the shorter line, hash) for each way in which a near copy can share a half."""
-    m = (n - 1).cast("int")
-    half, lesser = (n / 2).cast("int"), (m / 2).cast("int")
+    """Hashes of (side, length of the shorter line, half), from the words' hashes, for each way in which a near copy can share a half."""
+    m = n - 1
+    half, lesser = F.shiftright(n, 1), F.shiftright(m, 1)
     rest = m - lesser
     ways = [
-        ("L", n, F.slice(words, F.lit(1), half)),
-        ("R", n, F.slice(words, half + 1, n.cast("int"))),
-        ("L", m, F.slice(words, F.lit(1), lesser)),
-        ("R", m, F.slice(words, n.cast("int") - rest + 1, F.greatest(rest, F.lit(1)))),
+        (0, n, F.slice(words, F.lit(1), half)),
+        (1, n, F.slice(words, half + 1, n)),
+        (0, m, F.slice(words, F.lit(1), lesser)),
+        (1, m, F.slice(words, n - rest + 1, F.greatest(rest, F.lit(1)))),
     ]
-    return [_hash(F.concat(part, F.array(F.lit(side), k.cast("string")))).alias(f"half{i}") for i, (side, k, part) in enumerate(ways)]
+    return [F.xxhash64(part, F.lit(side), k).alias(f"half{i}") for i, (side, k, part) in enumerate(ways)]
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -77,21 +88,26 @@ def near_copies(lines: DataFrame, docs: DataFrame, p: LineDedup) -> DataFrame:
     many = cut(halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half"), "halves")
     sides = cut(halves.join(small(many), "half", "left_semi").groupBy("doc_id", "pos").agg(F.max(F.col("way") % 2 == 0).alias("left"), F.max(F.col("way") % 2 == 1).alias("right")), "sides")
 
-    w, n = F.col("words"), F.size("words")
+    hashed = _at(sides, docs).select("doc_id", "pos", "left", "right", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+    w, n = F.col("w"), F.size("w")
     where = F.filter(F.sequence(F.lit(1), n), lambda i: (F.col("left") & (i >= n / 2)) | (F.col("right") & (i <= n / 2 + 1)))
-    without = lambda i: F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n))
-    rows = F.flatten(
-        F.transform(where, lambda i: F.array(F.struct(F.lit("S").alias("kind"), F.xxhash64(without(i), i).alias("key")), F.struct(F.lit("V").alias("kind"), F.xxhash64(without(i)).alias("key"))))
-    )
-    rows = F.concat(rows, F.array(F.struct(F.lit("W").alias("kind"), F.xxhash64(w).alias("key"))))
-    variants = _at(sides, docs).select(F.struct("doc_id", "pos").alias("line"), F.explode(rows).alias("v")).select("line", "v.kind", (F.col("v.kind") == "S").alias("same"), "v.key")
-    met = variants.groupBy("same", "key").agg(F.min(F.when(F.col("kind") == "W", F.col("line"))).alias("whole"), F.min(F.when(F.col("kind") != "W", F.col("line"))).alias("short"), F.count(F.lit(1)).alias("c"))
-    met = cut(met.where("c > 1 and (same or (whole is not null and short is not null))").drop("c"), "variants")
-    witness = F.when(F.col("kind") == "V", F.col("whole")).otherwise(F.col("short"))
-    found = cut(variants.join(small(met), ["same", "key"]).where(witness < F.col("line")).groupBy("line").agg(F.min(witness).alias("witness")), "near-lines")
+    without = F.transform(where, lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n))).alias("key")))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.xxhash64(w).alias("key")))  # nothing left out
+    variants = cut(hashed.select("doc_id", "pos", F.explode(F.concat(without, whole)).alias("v")).select("doc_id", "pos", "v.i", "v.key"), "variants")
+
+    line = F.struct("doc_id", "pos")
+    same = variants.where("i > 0").groupBy("key", "i").agg(F.min(line).alias("witness"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    short, full = F.min(F.when(F.col("i") > 0, line)), F.min(F.when(F.col("i") == 0, line))
+    other = variants.groupBy("key").agg(short.alias("short"), full.alias("full")).where("short is not null and full is not null")
+    # a line that is met in full is compared with the earliest shortened one, a shortened one with the full one
+    met = cut(same.select("key", "i", "witness").union(other.select("key", F.lit(0), "short")).union(other.select("key", F.lit(-1), "full")), "met")
+    there = small(met)
+    replaced = variants.join(there, ["key", "i"]).select("doc_id", "pos", "witness")
+    added = variants.where("i > 0").join(there.where("i = -1").drop("i"), "key").select("doc_id", "pos", "witness")
+    found = replaced.union(added).where(F.col("witness") < line).groupBy("doc_id", "pos").agg(F.min("witness").alias("witness"))
+    named = cut(found, "near-lines")
 
     # verify the edit distance on the words themselves; other witnesses share the variant, so a failed check means equal hashes only
-    named = found.select("line.*", "witness")
     texts = _at(named, docs).select(F.struct("doc_id", "pos").alias("line"), "witness", F.col("words").alias("a"))
     others = _at(cut(named.select("witness.*").distinct(), "witnesses"), docs).select(F.struct("doc_id", "pos").alias("witness"), F.col("words").alias("b"))
     return texts.join(others, "witness").where(_near(F.col("a"), F.col("b"))).select("line.*", "witness")
@@ -105,15 +121,16 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     Columns named n_lines or n_dropped are replaced.
     """
     source = docs.select("doc_id", "text")
-    w = F.col("words")
-    lines = _lines(source).where(F.size("words") >= p.min_words).select("doc_id", "pos", F.size("words").alias("n"), _hash(w).alias("h"), F.hash(w).alias("g"), *_halves(w, F.size("words")))
+    w = F.col("w")
+    lines = _lines(source, p.min_words).select("doc_id", "pos", F.transform("words", lambda x: F.xxhash64(x)).alias("w"))
+    lines = lines.select("doc_id", "pos", F.size("w").alias("n"), F.xxhash64("w").alias("h"), F.hash("w").alias("g"), *_halves(w, F.size("w")))
     first = lines.groupBy("n", "h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"), *(F.any_value(f"half{i}").alias(f"half{i}") for i in range(4)))
     distinct = cut(first.select("n", "first.*", "half0", "half1", "half2", "half3"), "lines")
     near = cut(near_copies(distinct, source, p).select("doc_id", "pos").distinct(), "dropped")
     kept = distinct.select("doc_id", "pos").join(small(near), ["doc_id", "pos"], "left_anti").groupBy("doc_id").agg(F.collect_list("pos").alias("__keep"))
 
     all_lines = F.split("text", "\n")
-    brief = F.filter(F.transform(all_lines, lambda x, i: F.when(F.size(words_of(x)) < p.min_words, i.cast("long"))), lambda i: i.isNotNull())
+    brief = F.filter(F.transform(all_lines, lambda x, i: F.when(~_has_words(x, p.min_words), i.cast("long"))), lambda i: i.isNotNull())
     stay = F.array_sort(F.array_union(brief, F.coalesce("__keep", F.array().cast("array<long>"))))
     out = docs.drop("n_lines", "n_dropped").join(kept, "doc_id", "left").withColumn("__lines", all_lines).withColumn("__stay", stay)
     text = F.array_join(F.transform("__stay", lambda i: F.get("__lines", i.cast("int"))), "\n")
