@@ -51,18 +51,22 @@ def samples(spark: SparkSession, random: int = 600, ordinary: int = 40) -> DataF
     return spark.createDataFrame(rows, "token string, random boolean")
 
 
+#: What is added to each count.
+LEAST = 0.1
+
+
 def char_class(c: Column) -> Column:
     """0 for characters outside the alphabet, else its place from 1."""
     return F.instr(F.lit(ALPHABET), c)
 
 
 def _weights(counts: dict[tuple[bool, int, int], int]) -> list[int]:
-    """Thousandths of a nat for each pair of classes, with half a count added to each."""
+    """Thousandths of a nat for each pair of classes, with a share of a count added to each."""
     out = []
     for a in range(SIZE):
         sums = [sum(counts.get((kind, a, b), 0) for b in range(SIZE)) for kind in (True, False)]
         for b in range(SIZE):
-            p, q = ((counts.get((kind, a, b), 0) + 0.5) / (sums[k] + 0.5 * SIZE) for k, kind in enumerate((True, False)))
+            p, q = ((counts.get((kind, a, b), 0) + LEAST) / (sums[k] + LEAST * SIZE) for k, kind in enumerate((True, False)))
             out.append(round(1000 * math.log(p / q)))
     return out
 
@@ -113,7 +117,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_spans(docs: DataFrame, weights: list[int], threshold: int = 700) -> DataFrame:
+def secret_spans(docs: DataFrame, weights: list[int], threshold: int = 0) -> DataFrame:
     """doc_id and base and markov (arrays of struct(start, rank, kind, end)) of ``docs`` (doc_id, text; others are ignored).
 
     Null and empty texts have none; rows that repeat a doc_id are each answered. Offsets count code points, ends are exclusive. Markov
@@ -137,7 +141,7 @@ def secret_spans(docs: DataFrame, weights: list[int], threshold: int = 700) -> D
     return out.select("doc_id", "base", free.alias("markov"))
 
 
-def secret_report(docs: DataFrame, weights: list[int], threshold: int = 700) -> DataFrame:
+def secret_report(docs: DataFrame, weights: list[int], threshold: int = 0) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans."""
     found = secret_spans(docs, weights, threshold)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -146,7 +150,7 @@ def secret_report(docs: DataFrame, weights: list[int], threshold: int = 700) ->
     )
 
 
-def oracle_sql(weights: list[int], threshold: int = 700) -> str:
+def oracle_sql(weights: list[int], threshold: int = 0) -> str:
     """The same for DuckDB."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
     cls = lambda c: f"instr({q(ALPHABET)}, {c})"

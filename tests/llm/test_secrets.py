@@ -1,0 +1,45 @@
+import base64
+import hashlib
+import random
+import re
+
+from quarry.llm.secrets import ASSIGN, samples, sample_weights, secret_report, secret_spans, train
+
+BASE = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
+
+
+def plain(text):
+    found = [(m.start(), rank, name, m.end()) for rank, (name, pattern, good) in enumerate(BASE) for m in pattern.finditer(text or "") if good(m)]
+    return [f"{n}:{a}:{b}" for a, _, n, b in sorted(found)]
+
+
+def test_base_spans_equal_brute_force(spark):
+    rng = random.Random(9)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "abc", "abcdef", "0123456789abcdef", "AKIA", "ABCDEFGH12345678", "é", "😀", "\n", ".", "-", "_x", "ſecret", "toKen"]
+    texts = [None, "", "secret: token:abcdefgh", "token=token=abcdefgh", "x" * 100_000 + " password=hunter22"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    for r in secret_report(df, sample_weights()).collect():
+        expected = plain(texts[r.doc_id])
+        assert [s for s in r.spans.split(",") if s and not s.startswith("markov")] == expected, repr(texts[r.doc_id])[:100]
+        assert r.base_sha256 == hashlib.sha256(",".join(expected).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in expected) for k in ("assign", "access", "hex"))
+
+
+def test_training_in_spark_equals_the_plain_count(spark):
+    assert train(samples(spark)) == sample_weights()
+
+
+def test_held_out_accuracy(spark):
+    rng = random.Random(10)
+    secrets = [base64.b64encode(rng.randbytes(24)).decode() for _ in range(150)] + [base64.b32encode(rng.randbytes(20)).decode().lower() for _ in range(50)]
+    words = "account server request handler button image width default config version update search result filter object string number index value query table column record session user group client option status error message".split()
+    plain_ones = [rng.choice(["_", "-", "/", ""]).join(rng.choice(words).capitalize() if rng.random() < 0.3 else rng.choice(words) for _ in range(4)) + str(rng.randint(0, 99)) for _ in range(200)]
+    rows = [(i, f"x {s} y", True) for i, s in enumerate(secrets)] + [(1000 + i, f"x {s} y", False) for i, s in enumerate(plain_ones)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, random boolean")
+    found = {r.doc_id for r in secret_spans(df, train(samples(spark))).collect() if r.markov or r.base}
+    assert len([i for i, _, s in rows if s and i in found]) >= 0.9 * len(secrets)
+    assert len([i for i, _, s in rows if not s and i in found]) <= 0.02 * len(plain_ones)
+
+
+def test_the_pattern_is_the_given_one():
+    assert ASSIGN.lower().count("[pp][aa][ss][ss]") == 2
