@@ -65,10 +65,7 @@ def keyword_score(words: Column, query: list[str]) -> Column:
 
 
 def keyword_retrieve(rows: DataFrame, query: list[str], key: str, k: int = 3, least: float = 0.30, words: str = "words") -> DataFrame:
-    """The ``k`` rows that match the query's words best, with ``score``; none for a query without words.
-
-    Only rows that an equal or a prefix match can reach are scored in full; the rest can't reach ``least``.
-    """
+    """The ``k`` rows that match the query's words best, with ``score``; none for a query without words."""
     if not query:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
     scored = rows.withColumn("score", keyword_score(F.col(words), query))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from quarry.functions import text as T
 from quarry.functions import vectors as V
-from quarry.operators import catalog, chunking, context, conversations, memory, retrieval, stats
+from quarry.operators import catalog, chunking, context, conversations, memory, retrieval, stats, workers
 from quarry.schemas import GENERAL
 from quarry.sources import documents as sources
 
@@ -522,3 +522,26 @@ def kb_export(spark, sf_dir):
     chunks = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 100).alias("knowledge_base_id"), F.col("vec_id").alias("index"), F.col("label").cast("string").alias("content"))
     out = sources.exported_bases(b, chunks, now())
     return out.select("id", "file_name", F.size(F.from_json("json", "struct<chunks: array<struct<index: bigint>>>")["chunks"]).cast("long").alias("n_chunks"))
+
+
+@query("""SELECT user_id, 'Used ' || CASE WHEN count(DISTINCT event_type) > 1 THEN array_to_string(list_sort(list_distinct(list(event_type))), ', ') ELSE min(event_type) || CASE WHEN count(*) > 1 THEN ' (' || count(*) || 'x)' ELSE '' END END AS summary FROM events GROUP BY user_id""")
+def worker_usage(spark, sf_dir):
+    return workers.usage_summaries(table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+@query(f"""SELECT conv_id, 'Be brief.' || CASE WHEN count(*) FILTER (role = 'assistant') > 0 THEN {quoted(workers.MANAGER_NOTE)} ELSE '' END || CASE WHEN max(text) <> '' THEN chr(10) || 'Context: ' || left(arg_min(text, turn), 40) ELSE '' END AS prompt FROM conversations GROUP BY conv_id""")
+def manager_prompt(spark, sf_dir):
+    by = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("n"), F.left(F.min_by("text", "turn"), F.lit(40)).alias("s"))
+    return by.select("conv_id", workers.manager_prompt(F.lit("Be brief."), F.col("n"), F.col("s")).alias("prompt"))
+
+
+@query(f"""SELECT doc_id AS id, text AS content, coalesce(keywords, []) AS keywords, 'Shared Content' AS source_title FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) LEFT JOIN {top_words('documents', 'doc_id', 'text', 5)} USING (doc_id)""")
+def shared_dispatch(spark, sf_dir):
+    action = F.when(F.col("doc_id") % 2 == 0, "saveAsMemory").otherwise("startConversation")
+    return workers.shared_memories(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", action.alias("action")))
+
+
+@query("""SELECT conv_id, CASE WHEN string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'user') IS NULL THEN string_agg(text, chr(10) || chr(10) ORDER BY turn) ELSE string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'user') END AS text FROM conversations GROUP BY conv_id""")
+def shared_intake(spark, sf_dir):
+    items = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "text").otherwise("url").alias("kind"), F.col("text").alias("value"))
+    return workers.intake(items, "conv_id", "turn")
