@@ -190,21 +190,29 @@ NAMES = [x.split()[0] for x in READ.split(", ")]
 TYPES = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in READ.split(", ")]
 
 
-def record_types(pages: DataFrame, least: int) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload of ``least`` bytes or more a smaller page_id has as well."""
-    digests = pages.select("page_id", F.octet_length("payload").alias("n"), F.sha2(F.col("payload").cast("binary"), 256).alias("digest")).where(F.col("n") >= least)
-    first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    return digests.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to")
+def record_types(digests: DataFrame, least: int) -> DataFrame:
+    """(page_id, refers_to) of the pages (page_id, n, digest) whose payload of ``least`` bytes or more a smaller page_id has as well."""
+    large = digests.where(F.col("n") >= least)
+    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    return large.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to")
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 100, records_per_file: int = 2000, date: str = "2024-01-01T00:00:00Z") -> None:
+def records_for(digests: DataFrame, bytes_per_file: int = 64_000_000, most_bytes: int = 1_000_000_000) -> int:
+    """Records for an archive of about so many bytes, and of at most ``most_bytes``."""
+    mean, most = digests.agg(F.avg("n"), F.max("n")).first()
+    return max(1, min(10_000, int(bytes_per_file / (1000 + (mean or 0))), int(most_bytes / (1000 + (most or 0)))))
+
+
+def write_warc(pages: DataFrame, path: str, least: int = 100, records_per_file: int | None = None, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write a record per row of ``pages`` (page_id, url, html; others are ignored) below ``path``.
 
     Of records with equal payloads of ``least`` bytes or more, that with the smallest page_id is a response, the others are revisits
     without a payload. A null html is an empty payload, a null url an empty address. Rows that repeat a page_id are each written.
+    Archives hold about 64 MB, and 1 GB at most, unless ``records_per_file`` is given.
     """
     pages = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
-    again = cut(record_types(pages, least), "revisits")
+    digests = cut(pages.select("page_id", F.octet_length("payload").alias("n"), F.sha2(F.col("payload").cast("binary"), 256).alias("digest")), "digests")
+    again = cut(record_types(digests, least), "revisits")
     rows = pages.join(small(again.distinct()), "page_id", "left")
     crlf = "\r\n"
     n = F.octet_length("payload")
@@ -228,7 +236,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, records_per_file:
         F.col("b"),
         F.lit(""),
     )
-    rows.withColumn("b", block).select(record.alias("value")).write.option("lineSep", crlf).option("maxRecordsPerFile", records_per_file).text(path)
+    rows.withColumn("b", block).select(record.alias("value")).write.option("lineSep", crlf).option("maxRecordsPerFile", records_per_file or records_for(digests)).text(path)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
