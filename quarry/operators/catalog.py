@@ -85,7 +85,10 @@ def domain_counts(domains: DataFrame, bases: DataFrame, memories: DataFrame) ->
     return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_bases", "n_memories")})
 
 
-def grouped_by_domain(domains: DataFrame, rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Domains that have rows, with these as an array of names in order."""
-    held = rows.groupBy(effective_domain(F.col("domain_id")).alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n")))).alias("__r"))
-    return domains.join(held, "id").withColumn("names", F.transform("__r", lambda r: r["n"])).drop("__r")
+def grouped_by_domain(domains: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (domain_id, ...) beside their domain (id, name, ...), as ``domain_id`` and ``domain_name``; domains without rows don't occur.
+
+    Groups stay rows, to be sorted or written by domain: as one array, a large domain would have to fit into one task.
+    """
+    named = domains.select(F.col("id").alias("domain_id"), F.col("name").alias("domain_name"))
+    return rows.withColumn("domain_id", effective_domain(F.col("domain_id"))).join(named, "domain_id")

@@ -435,9 +435,9 @@ def domain_counts(spark, sf_dir):
     return catalog.domain_counts(every, bases(spark, sf_dir), mem)
 
 
-@query(f"SELECT id, list(name ORDER BY id2) AS names FROM (SELECT domain_id AS id, id AS id2, name FROM {BASES} WHERE domain_id IS NOT NULL) GROUP BY id")
+@query(f"SELECT upper(domain_id) AS domain_name, id, name FROM {BASES} WHERE domain_id IS NOT NULL")
 def grouped_by_domain(spark, sf_dir):
-    return catalog.grouped_by_domain(domains(spark, sf_dir).select("id"), bases(spark, sf_dir), "id", "name")
+    return catalog.grouped_by_domain(domains(spark, sf_dir), bases(spark, sf_dir)).select("domain_name", "id", "name")
 
 
 @query(f"SELECT id, CASE WHEN coalesce(domain_id, '{GENERAL}') = 'de' THEN '{GENERAL}' ELSE coalesce(domain_id, '{GENERAL}') END AS domain_id FROM {BASES}")
