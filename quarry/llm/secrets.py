@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,9 +39,9 @@ northern-hemisphere-winter-2020 questions-and-answers-part-1 photographs/holiday
 """.split()
 
 
-def samples(spark: SparkSession, random: int = 600, ordinary: int = 40) -> DataFrame:
-    """(token, random) rows to train from: ``random`` digests in base 64, base 32 and letters with digits, and the ordinary identifiers
-    with variants in other letter cases, each repeated to even the classes out. The bound is (random + 3 * ordinary) rows."""
+def labelled(random: int = 600, ordinary: int = 40) -> list[tuple[str, bool]]:
+    """(token, random) rows to train from: ``random`` digests in base 64, base 32, base 85 and hex, and the ordinary identifiers with
+    variants in other letter cases. The bound is (random + 3 * ordinary) rows."""
     rows = []
     for i in range(random):
         digest = hashlib.sha256(f"sample {i}".encode()).digest()
@@ -48,7 +49,13 @@ def samples(spark: SparkSession, random: int = 600, ordinary: int = 40) -> DataF
         rows.append((kinds[i % 5].decode()[:40], True))
     for x in ORDINARY[:ordinary]:
         rows += [(x, False), (x.lower(), False), (x.title(), False)]
-    return spark.createDataFrame(rows, "token string, random boolean")
+    return rows
+
+
+def samples(spark: SparkSession, random: int = 600, ordinary: int = 40) -> DataFrame:
+    """The labelled rows as a DataFrame (token string, random boolean)."""
+    rows = json.dumps([{"token": t, "random": r} for t, r in labelled(random, ordinary)])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<token: string, random: boolean>>")))
 
 
 #: What is added to each count.
@@ -82,13 +89,7 @@ def train(labelled: DataFrame) -> list[int]:
 def sample_weights() -> list[int]:
     """The same table from the same samples without Spark, for the SQL."""
     counts: dict[tuple[bool, int, int], int] = {}
-
-    class Rows:
-        @staticmethod
-        def createDataFrame(rows, _):  # noqa: N802
-            return rows
-
-    for token, random in samples(Rows):
+    for token, random in labelled():
         for x, y in zip(token, token[1:], strict=False):
             key = (random, ALPHABET.find(x) + 1, ALPHABET.find(y) + 1)
             counts[key] = counts.get(key, 0) + 1
