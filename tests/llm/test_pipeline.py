@@ -1,10 +1,8 @@
-import pytest
 from pyspark.sql import functions as F
 
-pipeline = pytest.importorskip("corpus_pipeline")
-
-from tests.conftest import SF  # noqa: E402
-from tests.llm.test_packing import check_pieces  # noqa: E402
+import corpus_pipeline as pipeline
+from tests.conftest import SF
+from tests.llm.test_packing import check_pieces
 
 
 def test_stages(spark, tmp_path):
