@@ -88,7 +88,8 @@ def near_copies(lines: DataFrame, docs: DataFrame, p: LineDedup) -> DataFrame:
     many = cut(halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half"), "halves")
     sides = cut(halves.join(small(many), "half", "left_semi").groupBy("doc_id", "pos").agg(F.max(F.col("way") % 2 == 0).alias("left"), F.max(F.col("way") % 2 == 1).alias("right")), "sides")
 
-    hashed = _at(sides, docs).select("doc_id", "pos", "left", "right", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+    texts = cut(_at(sides, docs), "candidates")  # the only time that texts are read for near copies
+    hashed = texts.select("doc_id", "pos", "left", "right", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
     w, n = F.col("w"), F.size("w")
     where = F.filter(F.sequence(F.lit(1), n), lambda i: (F.col("left") & (i >= n / 2)) | (F.col("right") & (i <= n / 2 + 1)))
     without = F.transform(where, lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n))).alias("key")))
@@ -108,9 +109,9 @@ def near_copies(lines: DataFrame, docs: DataFrame, p: LineDedup) -> DataFrame:
     named = cut(found, "near-lines")
 
     # verify the edit distance on the words themselves; other witnesses share the variant, so a failed check means equal hashes only
-    texts = _at(named, docs).select(F.struct("doc_id", "pos").alias("line"), "witness", F.col("words").alias("a"))
-    others = _at(cut(named.select("witness.*").distinct(), "witnesses"), docs).select(F.struct("doc_id", "pos").alias("witness"), F.col("words").alias("b"))
-    return texts.join(others, "witness").where(_near(F.col("a"), F.col("b"))).select("line.*", "witness")
+    ours = texts.select("doc_id", "pos", F.col("words").alias("a")).join(small(named), ["doc_id", "pos"])
+    theirs = texts.select(F.struct("doc_id", "pos").alias("witness"), F.col("words").alias("b"))
+    return ours.join(theirs, "witness").where(_near(F.col("a"), F.col("b"))).select("doc_id", "pos", "witness")
 
 
 def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
