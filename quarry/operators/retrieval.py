@@ -53,23 +53,25 @@ def words_frame(spark, words: list[str]) -> DataFrame:
     return spark.createDataFrame([(w,) for w in words], "word string")
 
 
-def keyword_score(words: Column, query: list[str]) -> Column:
-    """Over the query's words: 1 for an equal word, else 0.5 for a prefix match of five characters or more; divided by their number."""
-    q = F.array(*(F.lit(w) for w in query)) if query else F.array().cast("array<string>")
+def keyword_scored(rows: DataFrame, query: list[str], name: str, words: str = "words") -> DataFrame:
+    """``rows`` with a score: over the query's words 1 for an equal word, else 0.5 for a prefix match of five characters or more, divided
+    by their number. The row's words that can be a prefix match, by their first five characters, are picked once for all of the query."""
+    starts = sorted({w[:PREFIX] for w in query if len(w) >= PREFIX})
+    near = F.filter(words, lambda e: F.substring(e, 1, PREFIX).isin(starts)) if starts else F.array().cast("array<string>")
 
-    def match(w: Column) -> Column:
-        near = F.exists(words, lambda e: (F.length(e) >= PREFIX) & (e.startswith(w) | w.startswith(e)))
-        return F.when(F.array_contains(words, w), 1.0).when((F.length(w) >= PREFIX) & near, 0.5).otherwise(0.0)
+    def match(w: str) -> Column:
+        found = F.when(F.array_contains(words, w), 1.0)
+        return (found.when(F.exists("__near", lambda e: e.startswith(w) | F.lit(w).startswith(e)), 0.5) if len(w) >= PREFIX else found).otherwise(0.0)
 
-    return F.aggregate(q, F.lit(0.0), lambda s, w: s + match(w)) / max(1, len(query))
+    total = sum((match(w) for w in query), F.lit(0.0)) / max(1, len(query))
+    return rows.withColumn("__near", near).withColumn(name, total).drop("__near")
 
 
 def keyword_retrieve(rows: DataFrame, query: list[str], key: str, k: int = 3, least: float = 0.30, words: str = "words") -> DataFrame:
     """The ``k`` rows that match the query's words best, with ``score``; none for a query without words."""
     if not query:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
-    scored = rows.withColumn("score", keyword_score(F.col(words), query))
-    return scored.where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(k)
+    return keyword_scored(rows, query, "score", words).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(k)
 
 
 def two_phase(rows: DataFrame, query: list[float], words: list[str], key: str, k: int = 3, many: int = 200, index: DataFrame | None = None) -> DataFrame:
@@ -101,5 +103,5 @@ def memory_retrieve(rows: DataFrame, query: list[float] | None, words: list[str]
             return near
     if not words:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
-    scored = rows.withColumn("__s", keyword_score(F.col("words"), words)).where(F.col("__s") >= 0.25)
+    scored = keyword_scored(rows, words, "__s").where(F.col("__s") >= 0.25)
     return scored.withColumn("score", F.col("__s") + recency_bonus(F.col("created_at"), now) * 0.05).drop("__s").orderBy(F.desc("score"), key).limit(k)
