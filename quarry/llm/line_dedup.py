@@ -119,8 +119,11 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
 
     Null and empty texts stay as they are, with one (blank) line. All copies of a line but the earliest go, within a document too; an
     earlier near copy counts even if it goes itself. doc_id should be unique: rows with equal doc_id and text get equal results.
-    Columns named n_lines or n_dropped are replaced.
+    Columns named n_lines or n_dropped are replaced. Rows without a doc_id stay as they are and witness nothing.
     """
+    docs = docs.drop("n_lines", "n_dropped")
+    nameless = docs.where("doc_id is null").withColumns({"n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(1)).cast("long"), "n_dropped": F.lit(0).cast("long")})
+    docs = docs.where("doc_id is not null")
     source = docs.select("doc_id", "text")
     w = F.col("w")
     lines = _lines(source, p.min_words).select("doc_id", "pos", F.transform("words", lambda x: F.xxhash64(x)).alias("w"))
@@ -133,11 +136,10 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     all_lines = F.split("text", "\n")
     brief = F.filter(F.transform(all_lines, lambda x, i: F.when(~_has_words(x, p.min_words), i.cast("long"))), lambda i: i.isNotNull())
     stay = F.array_sort(F.array_union(brief, F.coalesce("__keep", F.array().cast("array<long>"))))
-    out = docs.drop("n_lines", "n_dropped").join(kept, "doc_id", "left").withColumn("__lines", all_lines).withColumn("__stay", stay)
+    out = docs.join(kept, "doc_id", "left").withColumn("__lines", all_lines).withColumn("__stay", stay)
     text = F.array_join(F.transform("__stay", lambda i: F.get("__lines", i.cast("int"))), "\n")
     n = F.coalesce(F.size("__lines"), F.lit(1)).cast("long")
     n = F.when(F.col("text").isNull(), F.lit(1).cast("long")).otherwise(n)
     gone = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n - F.size("__stay"))
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    out = out.select(*others, F.when(F.col("text").isNotNull(), text).alias("text"), n.alias("n_lines"), gone.alias("n_dropped"))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    out = out.withColumns({"text": F.when(F.col("text").isNotNull(), text), "n_lines": n, "n_dropped": gone})
+    return out.select(*docs.columns, "n_lines", "n_dropped").unionByName(nameless)

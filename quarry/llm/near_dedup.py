@@ -255,11 +255,11 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
 
     Null and empty texts have no shingles and are linked with nothing; texts under ``p.words`` words are one shingle; repeated rows
     with one doc_id stay rows of one component. ``component_id`` is the smallest linked doc_id, ``kept`` marks that document.
-    An empty table gives an empty result.
+    Rows without a doc_id get the component of an equal set, or none, and aren't kept. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = cut(signatures(docs, p), "signatures")
-    classes = cut(base.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "classes")
+    classes = cut(base.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")).where("rep is not null"), "classes")
     keys = bucket_keys(classes, p)
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
     shared = cut(keys.join(many, "key"), "buckets")
@@ -276,4 +276,4 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     of_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["n_shingles", "h1", "h2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

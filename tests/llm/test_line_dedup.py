@@ -48,3 +48,9 @@ def test_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_an_id_stay(spark):
+    df = spark.createDataFrame([(None, "one two three\none two three"), (None, None), (1, "one two three\none two three")], "doc_id long, text string")
+    got = {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in dedup_lines(df).collect()}
+    assert got == {(None, "one two three\none two three", 2, 0), (None, None, 1, 0), (1, "one two three", 2, 1)}

@@ -80,3 +80,8 @@ def test_the_signature_distance_rarely_passes_its_bound():
     rng = np.random.default_rng(0)
     assert (rng.binomial(p.symbols, 0.15, 1_000_000) > p.most).mean() < 1e-5
     assert (rng.binomial(p.symbols, 0.20, 1_000_000) > p.most).mean() < 1e-3
+
+
+def test_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "a b"), (2, "a b"), (None, "c d")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect()} == {(None, 2, False), (2, 2, True), (None, None, False)}
