@@ -21,34 +21,41 @@ from quarry.llm.queries import BLOCK_BYTES, OTHER, SEED, WEIGHTS
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the doc_ids of a cut table; texts are shuffled only if there are very many of these."""
-    return docs.join(small(ids), "doc_id", "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, cut, with a number as doc_id that no other row has and that sorts as doc_id does (none: last), and doc_id as ``named``.
+
+    So rows without a doc_id, or with one that others have too, are documents of their own.
+    """
+    rows = docs.sort(F.asc_nulls_last("doc_id"), F.xxhash64("text", "source")).withColumn("named", F.col("doc_id"))
+    return cut(rows.withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
+
+
+def _renamed(docs: DataFrame) -> DataFrame:
+    """The columns of documents from numbered rows."""
+    return docs.withColumn("doc_id", F.col("named")).select(*COLUMNS)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    docs = docs.select(*COLUMNS)
-    return _without(docs, cut(quality(docs).where("not kept").select("doc_id").distinct(), "rejected"))
+    return quality(docs.select(*COLUMNS), carry=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand earlier; n_chars is counted anew. A document of which no word is left goes."""
-    out = dedup_lines(docs.select(*COLUMNS)).where((F.col("n_dropped") == 0) | (F.size(words_of(F.col("text"))) > 0))
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    out = dedup_lines(_numbered(docs.select(*COLUMNS))).where((F.col("n_dropped") == 0) | (F.size(words_of(F.col("text"))) > 0))
+    return _renamed(out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id."""
-    docs = docs.select(*COLUMNS)
-    return _without(docs, cut(near_duplicates(docs, NearDedup(words=5, similar=80)).where("not kept").select("doc_id").distinct(), "copies"))
+    """Of each group of near copies the document with the smallest doc_id. Texts are shuffled only if very many go."""
+    docs = _numbered(docs.select(*COLUMNS))
+    copies = cut(near_duplicates(docs, NearDedup(words=5, similar=80)).where("not kept").select("doc_id"), "copies")
+    return _renamed(docs.join(small(copies), "doc_id", "left_anti"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix."""
-    docs = docs.select(*COLUMNS)
-    places = mixed(docs.select("doc_id", "text", "source"), WEIGHTS, OTHER, BLOCK_BYTES, SEED).select("doc_id", "slot", "place").distinct()
-    rows = docs.join(places, "doc_id")
+    rows = mixed(docs.select(*COLUMNS), WEIGHTS, OTHER, BLOCK_BYTES, SEED, with_text=True)
     return rows.sort("slot", "place", "doc_id").select(*COLUMNS)
 
 

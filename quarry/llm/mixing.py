@@ -45,19 +45,19 @@ def schedule(spark: SparkSession, weights: list[int]) -> DataFrame:
     return spark.range(1).select(F.inline(whole))
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_bytes: int = 65536, seed: int = 17) -> DataFrame:
-    """``docs`` (doc_id, text, source and any other columns, without text in the result) with their place in the mix.
+def mixed(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_bytes: int = 65536, seed: int = 17, with_text: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text, source and any other columns; text is in the result only ``with_text``) with their place in the mix.
 
     ``weights``: whole positive weights of named sources; all other sources and null share one lane of weight ``other``. Added
     (long): block, slot, release, due, place (bytes of the lane before the document, so (slot, place, doc_id) sorts the mix).
     A document counts as its UTF-8 bytes plus 1 (null text: 1); one of several blocks stays whole and begins in its first. Equal
-    doc_ids have equal places. Columns with these names are replaced.
+    doc_ids of a lane have equal places; rows without one go by their text. Columns with these names are replaced.
     """
     names = list(weights)
     lane = F.coalesce(*(F.when(F.col("source") == n, F.lit(k)) for k, n in enumerate(names)), F.lit(len(names))) if names else F.lit(0)
     added = ("block", "slot", "release", "due", "place")
-    rest = [c for c in docs.columns if c != "text" and c not in added]
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))
+    rest = [c for c in docs.columns if (with_text or c != "text") and c not in added]
+    order = F.coalesce(*(F.md5(F.concat(F.lit(f"{seed}:{by}:" if by == "text" else f"{seed}:"), F.col(by).cast("string"))) for by in ("doc_id", "text")))
     rows = docs.select(*rest, lane.alias("__lane"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("__size"), F.coalesce(order, F.lit("0" * 32)).alias("__order"))
     rows = cut(rows.withColumn("__slice", (F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") * SLICES / 2**32).cast("int")), "mix")
 

@@ -8,7 +8,7 @@ put in the order of rejections per second. The order decides what is computed, n
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -206,8 +206,8 @@ def measured_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int
     return sorted((r.name for r in rules), key=lambda n: (-rate.get(n, 0), cost.get(n, 0), n))
 
 
-def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None) -> DataFrame:
-    """doc_id, the base figures, base_failed and kept of ``docs`` (doc_id, text; other columns are ignored).
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns named in ``carry``, the base figures, base_failed and kept of ``docs`` (doc_id, text; others are ignored).
 
     Null and empty texts have no words, fail the base rule and are not kept. Rows that repeat a doc_id are each answered. An empty
     table gives an empty result. ``order`` names the rules in the order of evaluation; by default it is measured.
@@ -222,8 +222,10 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] |
             base = base_figures(t)
             failed = base_fails(base["n_words"], base["n_repeat_words"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), *(pa.array(base[n].astype(np.int64)) for n in names), pa.array(failed), pa.array(cascade(t, base, ordered))], names=["doc_id", *names, "base_failed", "kept"]
+                [*(batch.column(n).slice(i, j - i) for n in ("doc_id", *carry)), *(pa.array(base[n].astype(np.int64)) for n in names), pa.array(failed), pa.array(cascade(t, base, ordered))], names=["doc_id", *carry, *names, "base_failed", "kept"]
             )
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(arrow_batches(of), "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(n for n in carry if n != "text"))
+    kinds = dict(docs.dtypes)
+    carried = "".join(f"`{n}` {kinds[n]}, " for n in carry)
+    return docs.mapInArrow(arrow_batches(of), f"doc_id long, {carried}" + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean")

@@ -35,3 +35,31 @@ def test_clean_documents_stay_and_copies_go(spark):
 def test_run_equals_the_stages(spark):
     rows = pipeline.run(spark, SF)
     assert rows.where(F.col("length") <= 0).count() == 0 and rows.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("d")).where("n <> d").count() == 0
+
+
+def test_null_and_repeated_doc_ids(spark):
+    text = lambda k, n=120: " ".join(f"{k}{i}" for i in range(n))
+    junk = "same " * 40
+    rows = [
+        (None, text("alpha"), "src0"), (None, text("beta"), "src1"), (None, junk, "src0"), (None, text("copied"), None),
+        (7, text("gamma"), "src0"), (7, text("delta"), "src1"), (7, junk, "src1"), (8, text("epsilon"), "src2"), (9, text("copied"), "src2"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(pipeline.STAGES)
+    listed = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    good = sorted(((i, t) for i, t, _ in rows if t != junk), key=repr)
+    once = [x for x in good if x != (None, text("copied"))]
+    assert listed(stages["quality rules"](spark, docs, SF)) == good
+    clean = docs.where(F.col("text") != junk)
+    assert listed(stages["line dedup"](spark, clean, SF)) == once
+    assert listed(stages["near dedup"](spark, clean, SF)) == once
+    assert listed(stages["mixing"](spark, docs, SF)) == sorted(((i, t) for i, t, _ in rows), key=repr)
+    assert stages["packing"](spark, docs, SF).where("start = 0").count() == len(rows)
+
+
+def test_shared_doc_ids_keep_their_own_lines(spark):
+    line = lambda k: " ".join(f"{k}{i}" for i in range(12))
+    rows = [(1, line("a") + "\n" + line("b")), (1, line("c") + "\n" + line("a")), (None, line("b") + "\n" + line("d"))]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.text for r in pipeline.drop_lines(spark, docs, SF).collect()]
+    assert sorted("\n".join(got).split("\n")) == [line(k) for k in "abcd"]
