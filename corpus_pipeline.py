@@ -1,8 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs; all but the last
-return the columns of documents. The mixing stage writes the rows in the order of the mix, so the packing stage, which packs each part
-of its input by itself, meets the sources in their target weights.
+return the columns of documents. Files that are read again have no order, so the packing stage works out the mix once more and sorts by
+it before it packs: its sequences are numbered along the mix and meet the sources in their target weights.
 """
 
 from __future__ import annotations
@@ -53,15 +53,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _renamed(docs.join(small(copies), "doc_id", "left_anti"))
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix."""
+def _in_mix_order(docs: DataFrame) -> DataFrame:
+    """``docs`` sorted by their place in the mix, over all partitions."""
     rows = mixed(docs.select(*COLUMNS), WEIGHTS, OTHER, BLOCK_BYTES, SEED, with_text=True)
     return rows.sort("slot", "place", "doc_id").select(*COLUMNS)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mix."""
+    return _in_mix_order(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 2048 tokens."""
-    return packed(docs, window=2048, end_id=1)
+    """The pieces of all documents in windows of 2048 tokens; sequence_id follows the order of the mix."""
+    return packed(_in_mix_order(docs), window=2048, end_id=1)
 
 
 STAGES = [("quality rules", keep_good), ("line dedup", drop_lines), ("near dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]

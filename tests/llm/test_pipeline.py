@@ -63,3 +63,16 @@ def test_shared_doc_ids_keep_their_own_lines(spark):
     docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [r.text for r in pipeline.drop_lines(spark, docs, SF).collect()]
     assert sorted("\n".join(got).split("\n")) == [line(k) for k in "abcd"]
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    text = lambda i: " ".join(f"w{(i * 7919 + k * 104729) % 99991}" for k in range(1200))
+    rows = [(i, text(i), "en", "src0" if i < 380 else "src1", 9) for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartitionByRange(6, "doc_id").write.parquet(str(tmp_path / "docs"))  # no file has the mix
+    packed = pipeline.pack(spark, spark.read.parquet(str(tmp_path / "docs")), SF).collect()
+    packed.sort(key=lambda r: (r.sequence_id, r.offset))
+    size = {0: 0, 1: 0}
+    for r in packed[: len(packed) // 3]:
+        size[int(r.doc_id >= 380)] += r.length
+    assert abs(size[1] / sum(size.values()) - 9 / 29) < 0.05  # of all it is 0.21
