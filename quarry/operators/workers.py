@@ -34,10 +34,10 @@ def saved(workers: DataFrame, id_: str, name: str, trigger: str, instructions: s
     return workers.withColumns({k: F.when(full & (F.col("id") == id_), trim_space(F.lit(v))).otherwise(F.col(k)) for k, v in texts.items()})
 
 
-def usage_summaries(invocations: DataFrame, key: str, worker: str, limit: int = 100) -> DataFrame:
-    """(key, summary): "Used X", "Used X (3x)", or the names, sorted. ``limit`` bounds the names that are kept of one key."""
+def usage_summaries(invocations: DataFrame, key: str, worker: str) -> DataFrame:
+    """(key, summary): "Used X", "Used X (3x)", or all names, sorted."""
     counts = invocations.groupBy(key, worker).agg(F.count(F.lit(1)).alias("n"))
-    by = counts.groupBy(key).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_list(worker)), 1, limit).alias("names"))
+    by = counts.groupBy(key).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.array_sort(F.collect_list(worker)).alias("names"))
     once = F.concat(F.lit("Used "), F.col("names")[0], F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit("x)"))).otherwise(""))
     return by.select(key, F.when(F.col("kinds") == 1, once).otherwise(F.concat(F.lit("Used "), F.array_join("names", ", "))).alias("summary"))
 

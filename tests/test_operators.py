@@ -174,3 +174,10 @@ def test_schema_helpers(spark):
 
 def test_progress_of_no_jobs_is_zero(spark):
     assert spark.createDataFrame([], "s string").agg(stats.queue_progress(F.col("s")).alias("p")).first().p == 0
+
+
+def test_usage_names_all_workers(spark):
+    from quarry.operators import workers
+
+    rows = spark.createDataFrame([(1, f"w{i:03}") for i in range(150)], "k long, worker string")
+    assert workers.usage_summaries(rows, "k", "worker").first()["summary"] == "Used " + ", ".join(f"w{i:03}" for i in range(150))
