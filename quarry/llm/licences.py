@@ -77,6 +77,20 @@ HINT = "licen[cs]|permission|warrant|redistribut|copyright|public domain|rights
 END = "[!?]+|\\.(?:[\\x20\\x09-\\x0D]+|$)|\\n[\\x20\\x09-\\x0D#*/]*\\n"
 JUNK = "[^a-z0-9.]+|\\.(?:[^a-z0-9]+|$)"
 
+#: What standard notices need beyond the tables above, from which the SQL is made: the SQL is fixed, so it doesn't have these. In lower case,
+#: an SPDX line ends a sentence, "2.0+" is "2.0-or-later", "license v. 2" is "license version 2", and ; ends a sentence before
+#: "you may" or a line break, unless a GPL notice goes on there.
+STEPS = [
+    ("(spdx-license-identifier:[^\\n+]*[0-9])\\+", "$1-or-later"),
+    ("(spdx-license-identifier:[^\\n]*)\\n", "$1\n\n"),
+    ("(licen[cs]e,?[^a-z0-9]+)v\\.?[\\x20\\x09]*(?=[0-9])", "$1version "),
+    (";(?=[^a-z0-9]*you\\s+may\\s)|;(?=[\\x20\\x09\\r]*\\n(?![^a-z0-9]*(?:you\\s+can|either|version|or)\\b))", "\n\n"),
+]
+WIDER = {"SPDX:$1": "spdx license identifier ([a-z0-9. ]+?)", "ApacheCopy": "you may obtain a copy of the license at(?: http[a-z0-9. ]*)?"}
+KNOWN = [(name, WIDER.get(name, pattern)) for name, pattern in SENTENCES]
+#: Words of a hint may be apart by a line break and comment marks.
+HINTS = HINT.replace(" ", "[^a-z0-9]+") + "|cc[^a-z0-9]+by"
+
 
 def whole(pattern: str) -> str:
     """A pattern for a whole sentence; words may stand before the known ones, as a heading does that ends without a dot."""
@@ -84,15 +98,18 @@ def whole(pattern: str) -> str:
 
 
 def sentences(text: Column) -> Column:
-    """The normalised sentences that may be licence sentences. They end at a dot before white space, at ! and ?, and at blank lines."""
-    parts = F.filter(F.split(F.lower(text), END), lambda s: s.rlike(HINT))
+    """The normalised sentences that may be licence sentences. They end at a dot before white space, at ! and ?, and at blank lines, and as STEPS says."""
+    low = F.lower(text)
+    for pattern, by in STEPS:
+        low = F.regexp_replace(low, pattern, by)
+    parts = F.filter(F.split(low, END), lambda s: s.rlike(HINTS))
     return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, JUNK, " "))), lambda s: s != "")
 
 
 def identifier(sentence: Column) -> Column:
     """The identifier of a normalised sentence, null if unknown."""
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(SENTENCES):
+    for name, pattern in reversed(KNOWN):
         out = F.when(sentence.rlike(whole(pattern)), F.regexp_replace(sentence, whole(pattern), name) if "$" in name else F.lit(name)).otherwise(out)
     return out
 
@@ -117,7 +134,7 @@ def licences(docs: DataFrame) -> DataFrame:
     answered; other columns are ignored; an empty table gives an empty result. A very long text is one row like any other.
     """
     low = F.coalesce(F.col("text"), F.lit(""))
-    found = F.when(F.lower(low).rlike(HINT), F.filter(F.transform(sentences(low), identifier), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.lower(low).rlike(HINTS), F.filter(F.transform(sentences(low), identifier), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
     step = docs.select("doc_id", found.alias("ids"))
     step = step.select("doc_id", "ids", F.concat(F.array_join("ids", "\n"), F.when(F.size("ids") > 0, "\n").otherwise("")).alias("rest"), F.array().cast("array<string>").alias("names"))
     for licence, pattern in RULES:

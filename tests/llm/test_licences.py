@@ -47,3 +47,41 @@ def test_wrapped_header(spark):
 
 def test_empty_table(spark):
     assert licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+"""
+LGPL = """ * This library is free software;
+ * you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation;
+ * either version 2.1 of the License, or (at your option) any later version.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+HEADERS = {
+    APACHE: "Apache-2.0",
+    APACHE.replace("# ", "").replace("\n#\n", "\n\n"): "Apache-2.0",
+    APACHE.replace("at\n#\n#     http", "at http"): "Apache-2.0",
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.': "Apache-2.0",
+    "// Copyright 2020 Someone\n// SPDX-License-Identifier: Apache-2.0\nimport os\n": "SPDX-APACHE-2.0",
+    "/* SPDX-License-Identifier: GPL-2.0-only */\nint main;": "SPDX-GPL-2.0-ONLY",
+    "# SPDX-License-Identifier: GPL-2.0+\nx = 1": "SPDX-GPL-2.0-OR-LATER",
+    "SPDX-License-Identifier: MIT\nSome words": "SPDX-MIT",
+    GPL2: "GPL-2-or-later",
+    LGPL: "LGPL-2.1-or-later",
+    MPL: "MPL-2.0",
+    "This work is licensed under the GNU General Public License v. 2.": "GPL-2-only",
+    "Available under CC BY 4.0.": "CC-BY-4.0",
+    "Placed into the public\n# domain.": "PublicDomain",
+}
+
+
+def test_standard_headers(spark):
+    df = spark.createDataFrame(list(enumerate(HEADERS)), "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences(df).collect()}
+    assert [got[i] for i in range(len(HEADERS))] == list(HEADERS.values())
