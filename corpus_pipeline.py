@@ -22,10 +22,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs``, cut, with a number as doc_id that no other row has and that sorts as doc_id does (none: last), and doc_id as ``named``.
+    """``docs`` with a number as doc_id that no other row has and that sorts as doc_id does (none: last), and doc_id as ``named``.
 
-    So rows without a doc_id, or with one that others have too, are documents of their own.
+    So rows without a doc_id, or with one that others have too, are documents of their own. Where doc_id is such a number already, it is
+    taken, and no texts are written.
     """
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        return docs.withColumn("named", F.col("doc_id"))
     rows = docs.sort(F.asc_nulls_last("doc_id"), F.xxhash64("text", "source")).withColumn("named", F.col("doc_id"))
     return cut(rows.withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
 
