@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of ids is broadcast only up to this many rows (8 bytes each); beyond it the plan shuffles.
-BROADCAST_ROWS = 2_000_000
+#: A table of fixed-width columns is broadcast only if it takes at most so many bytes in memory; beyond it the plan shuffles.
+BROADCAST_BYTES = 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or one set here where it is unset."""
+    """The folder that all executors see: ``spark.checkpoint.dir``.
+
+    Where it is unset, a new local folder is set if all runs in one process (as in tests); on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quarry-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,17 +41,63 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: no lineage is left, and a lost executor costs nothing."""
+#: Paths of the cut tables of each open scope, the innermost last.
+_scopes: list[list[str]] = []
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: no lineage is left, and a lost executor costs nothing.
+
+    In a ``scope`` the table goes with it; with ``keep`` it goes with the scope around that, if there is one.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged. ``df`` is counted, so cut it before."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, whatever file system it is on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut in here are deleted at the end, so nothing lazy may refer to them beyond it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, at 40 bytes and 16 for each fixed-width value, take at most ``most_bytes``, else unchanged.
+
+    ``df`` is a cut table: its rows are counted from the footers of its files.
+    """
+
+    def values(kind) -> int:
+        return sum(values(f.dataType) for f in kind.fields) if hasattr(kind, "fields") else 1
+
+    return F.broadcast(df) if df.count() * (40 + 16 * values(df.schema)) <= most_bytes else df
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a number as doc_id that no other row has and that sorts as doc_id does (none: last), and doc_id as ``named``; and
+    whether the numbers are new.
+
+    So rows without a doc_id, or with one that others have too, are documents of their own. Where doc_id is such a number already, it is
+    taken, and no texts are written.
+    """
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        return docs.withColumn("named", F.col("doc_id")), False
+    rows = docs.sort(F.asc_nulls_last("doc_id"), F.xxhash64("text")).withColumn("named", F.col("doc_id"))
+    return cut(rows.withColumn("doc_id", F.monotonically_increasing_id()), "numbered"), True
 
 
 def words_of(text: Column) -> Column:
@@ -55,10 +107,6 @@ def words_of(text: Column) -> Column:
 
 # --- byte kernel -------------------------------------------------------------------------------------------------------
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -75,21 +123,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end) of ``data``: equal spans, equal values."""
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+#: Keeps the first k bytes of a little-endian word, for k from 0 to 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end) of ``data``: equal spans, equal values.
+
+    Each run of 8 bytes of a span is scrambled together with its place in the span before the runs are summed, so no byte's part in the
+    sum is a multiple of another's. Spans of one length up to 8 never collide. ``seed`` picks an independent function.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    runs = np.maximum(1, (lengths + 7) >> 3)
+    first = np.cumsum(runs) - runs
+    place = np.arange(int(runs.sum()), dtype=np.int64) - np.repeat(first, runs)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left = np.repeat(lengths, runs) - (place << 3)
+    values = words[np.minimum(np.repeat(starts, runs) + (place << 3), len(data))] & _FIRST[np.clip(left, 0, 8)]
+    salt = mix(place.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)))
+    return mix(np.add.reduceat(mix(values ^ salt), first) + lengths.astype(np.uint64))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

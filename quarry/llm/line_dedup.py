@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, small
+from quarry.llm.common import cut, numbered, scope, small
 
 
 @dataclass(frozen=True)
@@ -68,6 +68,30 @@ def _halves(words: Column, n: Column) -> list[Column]:
     return [F.xxhash64(part, F.lit(side), k).alias(f"half{i}") for i, (side, k, part) in enumerate(ways)]
 
 
+def _xor(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+
+
+def _keys_without_one(here: Column, before: Column) -> Column:
+    """For each word, the key of its line without that word: the xor of the hashes of the other words with their places.
+
+    ``here`` has the hashes of the words with their own places, ``before`` those with the places one less, which words behind a missing
+    one take. From one key to the next only two hashes change, so the keys are a running xor, worked out by doubling steps.
+    """
+    n = F.size(here)
+    first = _xor(F.slice(before, F.lit(2), F.greatest(n, F.lit(1))))  # without the first word
+    change = F.zip_with(F.slice(here, F.lit(1), n - 1), F.slice(before, F.lit(2), F.greatest(n, F.lit(1))), lambda x, y: x.bitwiseXOR(y))
+    keys = F.concat(F.array(first), change)
+    steps = F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    none = F.lit(0).cast("long")
+
+    def double(x: Column, k: Column) -> Column:
+        shift = F.pow(F.lit(2), k).cast("int")
+        return F.zip_with(x, F.concat(F.array_repeat(none, shift), F.slice(x, F.lit(1), F.greatest(n - shift, F.lit(0)))), lambda a, b: a.bitwiseXOR(b))
+
+    return F.aggregate(steps, keys, double)
+
+
 def _near(a: Column, b: Column) -> Column:
     """One word edit at most lies between the word lists."""
     differ = F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y))
@@ -89,12 +113,12 @@ def near_copies(lines: DataFrame, docs: DataFrame, p: LineDedup) -> DataFrame:
     sides = cut(halves.join(small(many), "half", "left_semi").groupBy("doc_id", "pos").agg(F.max(F.col("way") % 2 == 0).alias("left"), F.max(F.col("way") % 2 == 1).alias("right")), "sides")
 
     texts = cut(_at(sides, docs), "candidates")  # the only time that texts are read for near copies
-    hashed = texts.select("doc_id", "pos", "left", "right", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
-    w, n = F.col("w"), F.size("w")
-    where = F.filter(F.sequence(F.lit(1), n), lambda i: (F.col("left") & (i >= n / 2)) | (F.col("right") & (i <= n / 2 + 1)))
-    without = F.transform(where, lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n))).alias("key")))
-    whole = F.array(F.struct(F.lit(0).alias("i"), F.xxhash64(w).alias("key")))  # nothing left out
-    variants = cut(hashed.select("doc_id", "pos", F.explode(F.concat(without, whole)).alias("v")).select("doc_id", "pos", "v.i", "v.key"), "variants")
+    keyed = texts.select("doc_id", "pos", "left", "right", F.transform("words", lambda w, i: F.xxhash64(w, i + 1)).alias("here"), F.transform("words", lambda w, i: F.xxhash64(w, i)).alias("before"))
+    n = F.size("here")
+    needed = lambda i: (F.col("left") & (i >= n / 2)) | (F.col("right") & (i <= n / 2 + 1))
+    without = F.filter(F.transform(_keys_without_one(F.col("here"), F.col("before")), lambda k, i: F.struct((i + 1).alias("i"), k.alias("key"))), lambda v: needed(v["i"]))
+    whole = F.array(F.struct(F.lit(0).alias("i"), _xor(F.col("here")).alias("key")))  # nothing left out
+    variants = cut(keyed.select("doc_id", "pos", F.explode(F.concat(without, whole)).alias("v")).select("doc_id", "pos", "v.i", "v.key"), "variants")
 
     line = F.struct("doc_id", "pos")
     same = variants.where("i > 0").groupBy("key", "i").agg(F.min(line).alias("witness"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
@@ -118,20 +142,22 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with the repeated lines taken out of ``text``, and n_lines, n_dropped (long).
 
     Null and empty texts stay as they are, with one (blank) line. All copies of a line but the earliest go, within a document too; an
-    earlier near copy counts even if it goes itself. doc_id should be unique: rows with equal doc_id and text get equal results.
-    Columns named n_lines or n_dropped are replaced. Rows without a doc_id stay as they are and witness nothing.
+    earlier near copy counts even if it goes itself. Rows that repeat a doc_id and rows without one (they come last) are documents of
+    their own, in the order of a hash of the text. Columns named n_lines or n_dropped are replaced. An empty table gives an empty result.
+    A line may have very many words: its variants cost their number times its logarithm.
     """
-    docs = docs.drop("n_lines", "n_dropped")
-    nameless = docs.where("doc_id is null").withColumns({"n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(1)).cast("long"), "n_dropped": F.lit(0).cast("long")})
-    docs = docs.where("doc_id is not null")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    docs, new = numbered(docs.select(*columns))
     source = docs.select("doc_id", "text")
     w = F.col("w")
     lines = _lines(source, p.min_words).select("doc_id", "pos", F.transform("words", lambda x: F.xxhash64(x)).alias("w"))
     lines = lines.select("doc_id", "pos", F.size("w").alias("n"), F.xxhash64("w").alias("h"), F.hash("w").alias("g"), *_halves(w, F.size("w")))
     first = lines.groupBy("n", "h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"), *(F.any_value(f"half{i}").alias(f"half{i}") for i in range(4)))
-    distinct = cut(first.select("n", "first.*", "half0", "half1", "half2", "half3"), "lines")
-    near = cut(near_copies(distinct, source, p).select("doc_id", "pos").distinct(), "dropped")
-    kept = distinct.select("doc_id", "pos").join(small(near), ["doc_id", "pos"], "left_anti").groupBy("doc_id").agg(F.collect_list("pos").alias("__keep"))
+    with scope(docs.sparkSession):
+        distinct = cut(first.select("n", "first.*", "half0", "half1", "half2", "half3"), "lines")
+        near = cut(near_copies(distinct, source, p).select("doc_id", "pos").distinct(), "dropped")
+        stay = cut(distinct.select("doc_id", "pos").join(small(near), ["doc_id", "pos"], "left_anti"), "stay", keep=True)
+    kept = stay.groupBy("doc_id").agg(F.collect_list("pos").alias("__keep"))
 
     all_lines = F.split("text", "\n")
     brief = F.filter(F.transform(all_lines, lambda x, i: F.when(~_has_words(x, p.min_words), i.cast("long"))), lambda i: i.isNotNull())
@@ -142,4 +168,5 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     n = F.when(F.col("text").isNull(), F.lit(1).cast("long")).otherwise(n)
     gone = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n - F.size("__stay"))
     out = out.withColumns({"text": F.when(F.col("text").isNotNull(), text), "n_lines": n, "n_dropped": gone})
-    return out.select(*docs.columns, "n_lines", "n_dropped").unionByName(nameless)
+    out = out.withColumn("doc_id", F.col("named")) if new else out
+    return out.select(*columns, "n_lines", "n_dropped")

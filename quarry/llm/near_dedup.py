@@ -6,9 +6,11 @@ signature is filed once for every chunk and every choice of ``errors`` symbols o
 distance meet in a bucket. Links are confirmed on the full shingle sets.
 
 Equal sets are one class from the start. The pairs of a small bucket are listed. Buckets of more than ``listed`` members, which large
-groups of near copies and common passages make, are joined to clusters where they share members; a cluster is split into blocks of
-bounded size, each pair of blocks is compared in one task, by signature and then on the full sets, and only links between texts that are
-not yet connected there come out. So all pairs under the signature distance are compared, but the pairs of a group are never listed.
+groups of near copies and common passages make, are joined to clusters where they share members. First each member of a cluster is
+compared with one leader, the least member of its large buckets, in one linear pass, which connects what a group of near copies holds.
+What is left is compared in blocks of bounded size: each pair of blocks in one task, by signature and then on the full sets, but never two
+blocks of one group that the pass connected. So all pairs under the signature distance are compared or already connected, the pairs of
+a group are never listed, and a group of near copies costs a pass and not a square.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER, arrow_batches, cut, mix, signed, small, span_hashes, text_pieces, word_spans
+from quarry.llm.common import LOWER, arrow_batches, cut, mix, numbered, scope, signed, small, span_hashes, text_pieces, word_spans
 
 
 @dataclass(frozen=True)
@@ -163,21 +165,22 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) of all ids in links (a, b): the smallest id that can be reached.
 
     Alternating large-star and small-star rounds: each links the neighbours of a node to the smallest of them, until nothing
-    changes. Minima are aggregated before the shuffle, so a node with very many links is no burden.
+    changes. Minima are aggregated before the shuffle; the join of a node that very many links share is split by Spark's skew handling.
     """
-    edges, before = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links"), None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
-        edges = cut(star, "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 20)), F.bit_xor(F.xxhash64("b", "a"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    spark, before = links.sparkSession, None
+    with scope(spark):
+        edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
+        while True:
+            both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            star = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
+            edges = cut(star, "links")
+            now = edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 20)), F.bit_xor(F.xxhash64("b", "a"))).first()
+            if now == before:
+                return cut(edges.select(F.col("a").alias("id"), F.col("b").alias("component")), "components", keep=True)
+            before = now
 
 
 LINKS = "a long, b long"
@@ -210,24 +213,37 @@ def _similar(x: np.ndarray, y: np.ndarray, p: NearDedup) -> bool:
     return 100 * both >= p.similar * (few + many - both)
 
 
-def links_in_blocks(clusters: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDedup) -> DataFrame:
-    """Links (a, b) that connect what is connected within each cluster; ``clusters`` (rep, cluster) is cut."""
-    ids = clusters.select(F.col("rep").alias("doc_id"))
-    sizes = clusters.join(classes.select("rep", "n_shingles"), "rep")
-    blocks = sizes.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / p.block_rows, F.sum("n_shingles") * 8 / p.block_bytes)).cast("int").alias("blocks"))
-    rows = clusters.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def links_in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDedup) -> DataFrame:
+    """Links (a, b) that, with those that made the groups, connect what is connected within each cluster.
+
+    ``members`` (rep, cluster, group) is cut. A group of a block's size or more fills blocks of its own, smaller ones share blocks, and
+    two blocks of one large group aren't compared.
+    """
+    sizes = members.join(classes.select("rep", "n_shingles"), "rep").groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    own = F.when((F.col("n") >= p.block_rows) | (8 * F.col("s") >= p.block_bytes), F.col("group")).otherwise(F.lit(-1))
+    shares = cut(sizes.withColumn("own", own), "groups")
+    parts = shares.groupBy("cluster", "own").agg(F.ceil(F.greatest(F.sum("n") / p.block_rows, F.sum("s") * 8 / p.block_bytes)).cast("long").alias("parts"))
+    parts = cut(parts, "parts")
+    blocks = parts.select("cluster", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("cluster", F.struct("own", "part").alias("block"))
+    i, j = blocks.select("cluster", F.col("block").alias("i")), blocks.select("cluster", F.col("block").alias("j"))
+    pairs = cut(i.join(j, "cluster").where((F.col("i") <= F.col("j")) & ((F.col("i.own") != F.col("j.own")) | (F.col("i.own") == -1))), "block-pairs")
+
+    rows = members.join(shares.select("cluster", "group", "own"), ["cluster", "group"]).join(parts, ["cluster", "own"])
+    rows = rows.select("cluster", "rep", "group", F.struct("own", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")).alias("block"))
+    ids = cut(rows.join(pairs.select("cluster", F.explode(F.array("i", "j")).alias("block")).distinct(), ["cluster", "block"], "left_semi").select(F.col("rep").alias("doc_id")), "block-ids")
     rows = rows.join(classes.select("rep", "sig"), "rep").join(word_sets(docs, ids, p).withColumnRenamed("doc_id", "rep"), "rep")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "sig", "words")
+    left = rows.join(pairs, (rows["cluster"] == pairs["cluster"]) & (rows["block"] == pairs["i"])).select(rows["cluster"], "i", "j", F.lit(True).alias("left"), "rep", "group", "sig", "words")
+    right = rows.join(pairs, (rows["cluster"] == pairs["cluster"]) & (rows["block"] == pairs["j"])).where("i <> j").select(rows["cluster"], "i", "j", F.lit(False).alias("left"), "rep", "group", "sig", "words")
 
     def compare(table: pa.Table) -> pa.Table:
         rep = table.column("rep").to_numpy()
-        own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(rep), -1)
         words = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
-        left = np.flatnonzero(own == i)
-        right = left if i[0] == j[0] else np.flatnonzero(own == j)
-        root = list(range(len(rep)))
+        first = table.column("left").to_numpy()
+        left = np.flatnonzero(first)
+        right = left if len(left) == len(rep) else np.flatnonzero(~first)
+        _, at, back = np.unique(table.column("group").to_numpy(), return_index=True, return_inverse=True)
+        root = at[back].tolist()  # a group is connected from the start
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -247,33 +263,44 @@ def links_in_blocks(clusters: DataFrame, classes: DataFrame, docs: DataFrame, p:
                 found.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, LINKS)
+    return left.union(right).groupBy("cluster", "i", "j").applyInArrow(compare, LINKS)
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of ``docs`` (doc_id long, text string; other columns are ignored).
 
-    Null and empty texts have no shingles and are linked with nothing; texts under ``p.words`` words are one shingle; repeated rows
-    with one doc_id stay rows of one component. ``component_id`` is the smallest linked doc_id, ``kept`` marks that document.
-    Rows without a doc_id get the component of an equal set, or none, and aren't kept. An empty table gives an empty result.
+    Null and empty texts have no shingles and are linked with nothing; texts under ``p.words`` words are one shingle. A component's
+    first row, by doc_id, then by a hash of the text, gives ``component_id`` its doc_id, and it alone is ``kept``. Rows that repeat a doc_id
+    and rows without one (they come last, and may give a null component_id) are documents of their own. An empty table gives an empty
+    result; a very long text is one set like any other.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs, new = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    names, docs = docs.select("doc_id", "named"), docs.select("doc_id", "text")
     base = cut(signatures(docs, p), "signatures")
-    classes = cut(base.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")).where("rep is not null"), "classes")
-    keys = bucket_keys(classes, p)
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
-    shared = cut(keys.join(many, "key"), "buckets")
-
-    grouped = components(shared.where((F.col("n") > p.listed) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    grouped = cut(grouped.union(grouped.select("component", "component").distinct()).toDF("rep", "cluster"), "clusters")
-    inside = cut(links_in_blocks(grouped, classes, docs, p), "block-links")
-
-    listed = shared.where(F.col("n") <= p.listed).join(grouped, "rep", "left").select("key", "rep", "cluster")
-    other = listed.select("key", F.col("rep").alias("a"), F.col("cluster").alias("cluster_a"))
-    pairs = listed.join(other, "key").where("rep > a and (cluster is null or cluster_a is null or cluster <> cluster_a)").select("a", F.col("rep").alias("b"))
-    pairs = cut(near_signatures(pairs.distinct(), classes, p), "near")
-    found = components(inside.union(cut(confirmed(pairs, docs, p), "confirmed")))
-    of_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    with scope(docs.sparkSession):
+        classes = cut(base.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "classes")
+        keys = bucket_keys(classes, p)
+        many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
+        shared = cut(keys.join(many, "key"), "buckets")
+
+        large = shared.where((F.col("n") > p.listed) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b"))
+        clusters = components(large)
+        clusters = clusters.union(clusters.select("component", "component").distinct()).toDF("rep", "cluster")
+        led = cut(confirmed(cut(near_signatures(large.groupBy("a").agg(F.min("b").alias("b")), classes, p), "leaders"), docs, p), "led")
+        members = clusters.join(components(led).toDF("rep", "group"), "rep", "left").select("rep", "cluster", F.coalesce("group", "rep").alias("group"))
+        members = cut(members, "members")
+        inside = cut(links_in_blocks(members, classes, docs, p), "block-links")
+
+        listed = shared.where(F.col("n") <= p.listed).join(members, "rep", "left").select("key", "rep", "cluster")
+        other = listed.select("key", F.col("rep").alias("a"), F.col("cluster").alias("cluster_a"))
+        pairs = listed.join(other, "key").where("rep > a and (cluster is null or cluster_a is null or cluster <> cluster_a)").select("a", F.col("rep").alias("b"))
+        pairs = cut(near_signatures(pairs.distinct(), classes, p), "near")
+        found = components(led.union(inside).union(confirmed(pairs, docs, p)))
+        of_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+        of_class = cut(of_class, "components-of-classes", keep=True)
     out = base.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["n_shingles", "h1", "h2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if new:
+        out = out.join(names.toDF("component_id", "component"), "component_id").join(names, "doc_id").select(F.col("named").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+    return out

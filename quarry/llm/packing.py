@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import span_hashes, text_pieces
+from quarry.llm.common import cut, small, span_hashes, text_pieces
 
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in OUT.split(", ")]
@@ -44,7 +45,7 @@ class Encoder:
     """Token ids of texts, equal to those of ``tokenizers`` with the vocabulary of byte_bpe_50k.json.
 
     This vocabulary never joins a single blank or line feed, nor a mark after an ASCII letter, to what stands before it. So a text falls
-    into segments that begin with one, each is encoded once and remembered by a 64-bit hash, up to ``most`` segments. Texts with other
+    into segments that begin with one, each is encoded once and remembered by a hash of 128 bits, up to ``most`` segments. Texts with other
     white space, or with the text of the special token, are encoded whole by ``tokenizers``.
     """
 
@@ -61,7 +62,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # sorted hashes, and the place of each
+        self.known = np.zeros(0, np.uint64)  # sorted hashes; of each a second one, and the place
+        self.check = np.zeros(0, np.uint64)
         self.place = np.zeros(0, np.int64)
         self.ids: np.ndarray = np.zeros(1 << 20, np.uint32)
         self.ends: np.ndarray = np.zeros(1 << 18, np.int64)
@@ -95,7 +97,7 @@ class Encoder:
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.concatenate((starts[1:], [len(data)])) if len(starts) else starts
-        hashes = span_hashes(data, starts, ends)
+        hashes, second = span_hashes(data, starts, ends), span_hashes(data, starts, ends, 1)
         order = np.argsort(hashes)
         sorted_ = hashes[order]
         fresh = np.ones(len(order), bool)
@@ -108,6 +110,8 @@ class Encoder:
         there = np.searchsorted(self.known, unique)
         hit = there < len(self.known)
         hit[hit] = self.known[there[hit]] == unique[hit]
+        if (second != second[first][back]).any() or (self.check[there[hit]] != second[first[hit]]).any():
+            return self._one_by_one(data, offsets)
         places = np.full(len(unique), -1, np.int64)
         places[hit] = self.place[there[hit]]
         new = np.flatnonzero(~hit)
@@ -115,7 +119,7 @@ class Encoder:
             raw, n = data.tobytes(), self.n
             self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             places[new] = np.arange(n, n + len(new))
-            self.known, self.place = np.insert(self.known, there[new], unique[new]), np.insert(self.place, there[new], places[new])
+            self.known, self.check, self.place = (np.insert(x, there[new], y) for x, y in ((self.known, unique[new]), (self.check, second[first[new]]), (self.place, places[new])))
         at = places[back]
         begin, length = self.ends[at], self.ends[at + 1] - self.ends[at]
         total = np.concatenate(([0], np.cumsum(length)))
@@ -123,6 +127,11 @@ class Encoder:
         bounds = total[np.searchsorted(starts, offsets)]
         return [flat[bounds[k] : bounds[k + 1]] for k in range(len(offsets) - 1)]
 
+    def _one_by_one(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The same without what is remembered, for segments that differ and share a hash."""
+        parts = (data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+        return [np.array(self.whole.encode(x, add_special_tokens=False).ids, np.uint32) for x in parts]
+
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         for i, j, data, offsets in text_pieces(column):
             odd = _HINT[data].any() and ODD.search(data.tobytes().decode("utf-8", "replace"))
@@ -200,9 +209,14 @@ class Packer:
         while n - at >= self.window:
             self._write([(doc, at, ids[at : at + self.window], n)])
             at += self.window
-        if at < n and (full := self.levels.put(n - at, (doc, at, ids[at:], n))):
+        if at < n and (full := self.levels.put(n - at, (doc, at, ids[at:].copy() if at else ids, n))):  # no view of a long text's ids
             self._write(full)
 
+    def taken(self) -> list[tuple]:
+        """The rows made since the last call."""
+        made, self.rows = self.rows, []
+        return made
+
     def finish(self) -> None:
         held, fill = [], 0
         for doc, start, ids, total in self.levels.rest():
@@ -218,35 +232,80 @@ class Packer:
             self._write(held)
 
 
+def _files(json_path: str | None, ranks_path: str | None) -> tuple[str, str]:
+    import public_tokenizers
+
+    return str(json_path or public_tokenizers.path("byte_bpe_50k.json")), str(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def _batches(made: list[tuple], kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(made), 20_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made[at : at + 20_000], strict=True), kinds, strict=True)], names=names)
+
+
 def packed(docs: DataFrame, window: int = 2048, end_id: int = 1, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """The pieces of ``docs`` (doc_id, text; others are ignored) in windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset.
 
     A document is its ids and ``end_id``; null and empty texts are that id alone. Each partition of the input packs for itself, without
-    a shuffle, and ids of sequences don't clash between partitions. Rows that repeat a doc_id are documents of their own.
+    a shuffle, and ids of sequences don't clash between partitions. Rows that repeat a doc_id, or have none, are documents of their own.
+    Whole windows of a very long text are handed on at once. An empty table gives an empty result.
     """
-    if json_path is None or ranks_path is None:
-        import public_tokenizers
-
-        json_path, ranks_path = json_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    paths = _files(json_path, ranks_path)
 
     def of(batches):
         import public_tokenizers
 
-        encoder = Encoder(str(json_path), str(ranks_path), public_tokenizers.PATTERN)
+        encoder = Encoder(*paths, public_tokenizers.PATTERN)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], np.uint32)
-
-        def rows():
-            made, packer.rows = packer.rows, []
-            for at in range(0, len(made), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made[at : at + 20_000], strict=True)], names=NAMES)
-
+        kinds = [pa.int64()] * len(NAMES)
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.texts(batch.column("text")), strict=True):
                 packer.add(doc, np.concatenate((ids, end)))
-            yield from rows()
+            yield from _batches(packer.taken(), kinds, NAMES)
         packer.finish()
-        yield from rows()
+        yield from _batches(packer.taken(), kinds, NAMES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, OUT)
+
+
+def packed_in_order(docs: DataFrame, part: str, row: str, window: int = 2048, end_id: int = 1, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    """The pieces of ``docs`` as ``packed`` gives them, with sequences numbered from 0, without gaps, along the order (part, row).
+
+    ``part`` and ``row`` (whole numbers) name columns in whose order each partition's rows already stand, as rows of files stand by file and row
+    index; only texts of one unbroken run of rows share windows. So the texts aren't shuffled: a run numbers its sequences itself, and the
+    runs' numbers of sequences are summed in their order. There are about as many runs as partitions and files.
+    """
+    paths = _files(json_path, ranks_path)
+
+    def of(batches):
+        import public_tokenizers
+
+        encoder = Encoder(*paths, public_tokenizers.PATTERN)
+        end, packer, run, after = np.array([end_id], np.uint32), Packer(window, 0), None, None
+        names, kinds = ["part", "row", *NAMES], [pa.int64()] * (2 + len(NAMES))
+
+        def taken():
+            return [(*run, *x) for x in packer.taken()] if run else []
+
+        for batch in batches:
+            made = []
+            for doc, p, r, ids in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("row").to_pylist(), encoder.texts(batch.column("text")), strict=True):
+                if (p, r) != after:  # another run begins
+                    packer.finish()
+                    made += taken()
+                    packer, run = Packer(window, 0), (p, r)
+                packer.add(doc, np.concatenate((ids, end)))
+                after = (p, r + 1)
+            yield from _batches(made + taken(), kinds, names)
+        packer.finish()
+        yield from _batches(taken(), kinds, names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(part).cast("long").alias("part"), F.col(row).cast("long").alias("row"))
+    pieces = cut(rows.mapInArrow(of, "part long, row long, " + OUT), "pieces")
+    runs = pieces.groupBy("part", "row").agg((F.max("sequence_id") + 1).alias("n"))
+    upto = F.sum("n").over(W.orderBy("part", "row"))  # a row for each run
+    first = runs.select("part", "row", (upto - F.col("n")).alias("first"))
+    out = pieces.join(small(cut(first, "runs")), ["part", "row"]).withColumn("sequence_id", F.col("first") + F.col("sequence_id"))
+    return out.select(*NAMES)

@@ -1,14 +1,16 @@
 """Quality rules as a short-circuit cascade.
 
 Every text gets its base figures. Those that the base rule keeps go through the cascade: each rule looks only at the texts that all
-rules before it kept. On a bounded sample each rule's seconds per text and its share of rejected texts are measured, and the rules are
-put in the order of rejections per second. The order decides what is computed, never the verdict: a text is kept if no rule rejects it.
+rules before it kept. Each task measures every rule's seconds and share of rejected texts on a sample, the first texts that it reads and
+the base rule keeps, and puts the rules in the order of rejections per second for the rest of its texts. So no text is read twice, the
+order fits the part of the data at hand, and a task that is run again needs nothing from elsewhere. The order decides what is computed,
+never the verdict: a text is kept if no rule rejects it.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_batches, mix, span_hashes, text_pieces, word_spans
+from quarry.llm.common import mix, span_hashes, text_pieces, word_spans
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -137,8 +139,8 @@ def _capitals(t: Texts, b: dict) -> np.ndarray:
 
 def _exclaims(t: Texts, b: dict) -> np.ndarray:
     """Over a third of the words end in two exclamation marks."""
-    _, ends, first = t.words()
-    shout = (t.data[ends - 1] == 33) & (t.data[np.maximum(ends - 2, 0)] == 33) if len(ends) else np.zeros(0, bool)
+    starts, ends, first = t.words()
+    shout = (ends - starts > 1) & (t.data[ends - 1] == 33) & (t.data[ends - 2] == 33)
     total = np.concatenate(([0], np.cumsum(shout)))
     return 3 * (total[first[1:]] - total[first[:-1]]) > b["n_words"]
 
@@ -171,61 +173,90 @@ RULES = (
 )
 
 
-def cascade(t: Texts, base: dict[str, np.ndarray], rules: Iterable[Rule]) -> np.ndarray:
-    """Which texts all rules keep; a rule sees only what is left."""
-    left = np.flatnonzero(~base_fails(base["n_words"], base["n_repeat_words"]))
-    kept = np.zeros(len(t), bool)
-    for rule in rules:
-        if not len(left):
-            break
-        some = len(left) < len(t)
-        gone = rule.rejects(t.pick(left) if some else t, {k: v[left] for k, v in base.items()} if some else base)
-        left = left[~gone]
-    kept[left] = True
-    return kept
-
-
-def measured_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = 2000) -> list[str]:
-    """The names of the rules by rejections per second on at most ``sample`` texts: those with the smallest hashes of doc_id among the
-    texts of a hash range that holds about twice as many. Only sums of each rule come to the driver."""
-    share = min(1.0, 2 * sample / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text").limit(sample)
-
-    def of(batch: pa.RecordBatch):
-        for _, _, data, offsets in text_pieces(batch.column("text")):
-            t = Texts(data, offsets)
-            base = base_figures(t)
-            for rule in rules:
-                began = time.perf_counter()
-                gone = int(rule.rejects(t, base).sum())
-                yield pa.RecordBatch.from_arrays([pa.array([rule.name]), pa.array([gone]), pa.array([time.perf_counter() - began])], names=["rule", "gone", "s"])
-
-    sums = some.mapInArrow(arrow_batches(of), "rule string, gone long, s double").groupBy("rule").agg(F.sum("gone").alias("gone"), F.sum("s").alias("s")).collect()
-    rate = {r["rule"]: r["gone"] / max(r["s"], 1e-9) for r in sums}
-    cost = {r["rule"]: r["s"] for r in sums}
-    return sorted((r.name for r in rules), key=lambda n: (-rate.get(n, 0), cost.get(n, 0), n))
-
-
-def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+class Cascade:
+    """The rules in the order of rejections per second, once ``sample`` texts are measured; until then every rule sees every text."""
+
+    def __init__(self, rules: Iterable[Rule], sample: int = 500) -> None:
+        self.rules, self.sample, self.seen = list(rules), sample, 0
+        self.gone = {r.name: 0 for r in self.rules}
+        self.seconds = {r.name: 0.0 for r in self.rules}
+
+    def measure(self, t: Texts, base: dict[str, np.ndarray]) -> np.ndarray:
+        """Which of these texts go; each rule's seconds and rejections are counted, and the order is made from all counts so far."""
+        out = np.zeros(len(t), bool)
+        for rule in self.rules:
+            began = time.perf_counter()
+            gone = rule.rejects(t, base)
+            self.seconds[rule.name] += time.perf_counter() - began
+            self.gone[rule.name] += int(gone.sum())
+            out |= gone
+        self.seen += len(t)
+        self.rules.sort(key=lambda r: (-self.gone[r.name] / max(self.seconds[r.name], 1e-9), self.seconds[r.name]))
+        return out
+
+    def kept(self, t: Texts, base: dict[str, np.ndarray]) -> np.ndarray:
+        """Which texts the base rule and all others keep; a rule sees only what is left."""
+        left = np.flatnonzero(~base_fails(base["n_words"], base["n_repeat_words"]))
+        part = lambda: (t.pick(left), {k: v[left] for k, v in base.items()}) if len(left) < len(t) else (t, base)
+        kept = np.zeros(len(t), bool)
+        if len(left) and self.seen < self.sample:
+            left = left[~self.measure(*part())]
+        else:
+            for rule in self.rules:
+                if not len(left):
+                    break
+                left = left[~rule.rejects(*part())]
+        kept[left] = True
+        return kept
+
+
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None, carry: Sequence[str] = (), sample: int = 500) -> DataFrame:
     """doc_id, the columns named in ``carry``, the base figures, base_failed and kept of ``docs`` (doc_id, text; others are ignored).
 
-    Null and empty texts have no words, fail the base rule and are not kept. Rows that repeat a doc_id are each answered. An empty
-    table gives an empty result. ``order`` names the rules in the order of evaluation; by default it is measured.
+    Null and empty texts have no words, fail the base rule and are not kept. Rows that repeat a doc_id are each answered, as are rows
+    without one. An empty table gives an empty result; a very long text is one row like any other. ``order`` names the rules in the order
+    of evaluation; by default each task measures it on ``sample`` texts.
     """
     by_name = {r.name: r for r in rules}
-    ordered = [by_name[n] for n in (measured_order(docs, rules) if order is None else order)]
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
-    def of(batch: pa.RecordBatch):
-        for i, j, data, offsets in text_pieces(batch.column("text")):
-            t = Texts(data, offsets)
-            base = base_figures(t)
-            failed = base_fails(base["n_words"], base["n_repeat_words"])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n).slice(i, j - i) for n in ("doc_id", *carry)), *(pa.array(base[n].astype(np.int64)) for n in names), pa.array(failed), pa.array(cascade(t, base, ordered))], names=["doc_id", *carry, *names, "base_failed", "kept"]
-            )
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = Cascade(rules, sample) if order is None else Cascade([by_name[n] for n in order], 0)
+        for batch in batches:
+            for i, j, data, offsets in text_pieces(batch.column("text")) if batch.num_rows else ():
+                t = Texts(data, offsets)
+                base = base_figures(t)
+                failed = base_fails(base["n_words"], base["n_repeat_words"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(n).slice(i, j - i) for n in ("doc_id", *carry)), *(pa.array(base[n].astype(np.int64)) for n in FIGURES), pa.array(failed), pa.array(cascade.kept(t, base))],
+                    names=["doc_id", *carry, *FIGURES, "base_failed", "kept"],
+                )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(n for n in carry if n != "text"))
     kinds = dict(docs.dtypes)
     carried = "".join(f"`{n}` {kinds[n]}, " for n in carry)
-    return docs.mapInArrow(arrow_batches(of), f"doc_id long, {carried}" + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean")
+    return docs.mapInArrow(of, f"doc_id long, {carried}" + ", ".join(f"{n} long" for n in FIGURES) + ", base_failed boolean, kept boolean")
+
+
+#: The same for DuckDB, written from the rules' statements.
+ORACLE_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws, string_split(t, chr(10)) AS ls FROM documents),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+w AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY doc_id, w) GROUP BY doc_id),
+f AS (SELECT doc_id, t, ws, ls, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+      length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS filled,
+      len(filled) - len(list_distinct(filled)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(most, 0) AS most,
+      length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters,
+      length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) AS beyond
+      FROM d LEFT JOIN c USING (doc_id) LEFT JOIN w USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR n_repeat_words > 0.5 * n_words AS base_failed,
+       NOT (base_failed OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words OR n_symbols > 0.1 * n_words
+            OR (n_dup_lines >= 3 AND n_dup_lines > 0.3 * len(list_filter(ls, lambda x: x <> '')))
+            OR upper > 0.6 * greatest(letters, 1) OR len(list_filter(ws, lambda w: suffix(w, '!!'))) > n_words / 3 OR most > 0.3 * n_words
+            OR letters + beyond < 0.5 * word_chars) AS kept
+FROM f
+"""

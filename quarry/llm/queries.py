@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm.common import table
 from quarry.llm.line_dedup import LineDedup, dedup_lines
@@ -13,6 +14,7 @@ from quarry.llm.mixing import oracle_sql as mixing_sql
 from quarry.llm.near_dedup import NearDedup, near_duplicates
 from quarry.llm import secrets
 from quarry.llm.packing import packed
+from quarry.llm.quality import ORACLE_SQL as QUALITY_SQL
 from quarry.llm.quality import quality
 from quarry.llm.sharding import sharded
 from quarry.llm.warc import archived_pages
@@ -23,7 +25,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), NearDedup(words=5, similar=85))
+    found = near_duplicates(table(spark, sf_dir, "documents"), NearDedup(words=5, similar=85))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 OP1_SQL = f"""
@@ -119,5 +122,6 @@ ORACLE = {
     "op3_warc_salvage": OP3_SQL,
     "op4_licence_scan": licences_sql(),
     "op5_source_mixing": mixing_sql(WEIGHTS, OTHER, BLOCK_BYTES, SEED),
+    "op7_quality_cascade": QUALITY_SQL,
     "op8_secret_scan": secrets.oracle_sql(secrets.sample_weights()),
 }

@@ -50,7 +50,17 @@ def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_rows_without_an_id_stay(spark):
-    df = spark.createDataFrame([(None, "one two three\none two three"), (None, None), (1, "one two three\none two three")], "doc_id long, text string")
-    got = {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in dedup_lines(df).collect()}
-    assert got == {(None, "one two three\none two three", 2, 0), (None, None, 1, 0), (1, "one two three", 2, 1)}
+def test_rows_without_an_id_or_with_a_shared_one(spark):
+    two = "one two three\none two three"
+    df = spark.createDataFrame([(None, two), (None, None), (1, two), (1, two), (1, "four five six\n" + two)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in dedup_lines(df).collect()), key=repr)
+    kept = [x for _, t, _, _ in got if t for x in t.split("\n")]
+    assert sorted(kept) == ["four five six", "one two three"]
+    assert [(i, n, gone) for i, _, n, gone in got if i is None] == [(None, 2, 2), (None, 1, 0)] and sum(n for _, _, n, _ in got) == 10
+
+
+def test_a_line_of_very_many_words(spark):
+    line = [f"w{i}" for i in range(20_000)]
+    rows = [(1, " ".join(line)), (2, " ".join(line[:15_000] + ["other"] + line[15_001:])), (3, " ".join(line[:700] + line[701:])), (4, " ".join(line[:5] + line[7:]))]
+    got = {r.doc_id: r.n_dropped for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0}

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from quarry.llm.near_dedup import NearDedup, components, near_duplicates
+from tests.llm.test_quality import thue_morse
 
 
 def plain(docs, words=5, similar=85):
@@ -82,6 +83,23 @@ def test_the_signature_distance_rarely_passes_its_bound():
     assert (rng.binomial(p.symbols, 0.20, 1_000_000) > p.most).mean() < 1e-3
 
 
-def test_rows_without_an_id(spark):
-    df = spark.createDataFrame([(None, "a b"), (2, "a b"), (None, "c d")], "doc_id long, text string")
-    assert {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect()} == {(None, 2, False), (2, 2, True), (None, None, False)}
+def test_rows_without_an_id_or_with_a_shared_one(spark):
+    df = spark.createDataFrame([(None, "a b"), (2, "a b"), (None, "c d"), (5, "e f"), (5, "g h"), (5, "g h")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(None, 2, False), (2, 2, True), (None, None, True), (5, 5, True), (5, 5, True), (5, 5, False)], key=repr)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_with_structure_are_no_copies(spark, n):
+    rows = [(i, f"{w} {w} one two three") for i, w in enumerate(thue_morse(n))]
+    assert {r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0, 1}
+
+
+def test_a_large_group_takes_no_blocks(spark):
+    """A group of copies of one text is connected by its leaders; only what they leave is compared in blocks."""
+    rng = random.Random(3)
+    base = [f"v{i}" for i in range(200)]
+    rows = [(i, " ".join(edited(rng, base, 1))) for i in range(300)] + [(1000 + i, " ".join(edited(rng, base, 18))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df, NearDedup(block_rows=32)).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == plain(rows)

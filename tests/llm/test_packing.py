@@ -6,7 +6,10 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from quarry.llm.packing import Encoder, Packer, SumOfSquares, packed
+from pyspark.sql import functions as F
+
+from quarry.llm.packing import Encoder, Packer, SumOfSquares, packed, packed_in_order
+from tests.llm.test_quality import thue_morse
 
 
 def encoder():
@@ -84,3 +87,37 @@ def test_a_packer_holds_only_open_windows():
     for i in range(5000):
         p.add(i, np.ones(rng.randint(1, 200), np.uint32))
     assert sum(map(len, p.levels.open)) < 400
+
+
+def test_texts_with_structure_and_repeated_rows(spark):
+    texts = {2 * k + j: x for k, n in enumerate((1024, 4096, 65536)) for j, x in enumerate(thue_morse(n))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    check_pieces(packed(df).collect(), texts, 2048)
+    twice = packed(df.where("doc_id = 0").union(df.where("doc_id = 0")).union(spark.createDataFrame([(None, "a")], df.schema)).coalesce(1), window=64).collect()
+    rows = [(r.doc_id, r.start, r.length) for r in twice]
+    assert sum(n for i, _, n in rows if i == 0) == 2 * twice[0].doc_tokens and (None, 2) == next((i, n) for i, _, n in rows if i is None)
+
+
+def test_equal_hashes_change_no_ids(monkeypatch):
+    from quarry.llm import packing
+
+    real = packing.span_hashes
+    monkeypatch.setattr(packing, "span_hashes", lambda d, a, b, seed=0: real(d, a, b, seed) if seed else real(d, a, b) % np.uint64(50))
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    some = [" ".join(f"word{k * j}" for j in range(40)) for k in range(30)]
+    assert [x.tolist() for x in encoder().texts(pa.array(some))] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_sequences_are_numbered_in_order(spark, tmp_path):
+    rng = random.Random(16)
+    texts = {i: " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(0, 200))) for i in range(300)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    docs = docs.select("*", F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("long").alias("part"), F.col("_metadata.row_index").alias("row"))
+    rows = packed_in_order(docs, "part", "row", window=128).collect()
+    sequences = check_pieces(rows, texts, 128)
+    assert sorted(sequences) == list(range(len(sequences)))
+    parts = {r.doc_id: r.part for r in docs.collect()}
+    by_number = [parts[r.doc_id] for r in sorted(rows, key=lambda r: r.sequence_id)]
+    assert by_number == sorted(by_number)
+    assert packed_in_order(docs.limit(0), "part", "row").count() == 0

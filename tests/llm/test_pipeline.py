@@ -70,8 +70,10 @@ def test_sequences_follow_the_mix(spark, tmp_path):
     rows = [(i, text(i), "en", "src0" if i < 380 else "src1", 9) for i in range(480)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.repartitionByRange(6, "doc_id").write.parquet(str(tmp_path / "docs"))  # no file has the mix
-    packed = pipeline.pack(spark, spark.read.parquet(str(tmp_path / "docs")), SF).collect()
+    pipeline.mix_sources(spark, spark.read.parquet(str(tmp_path / "docs")), SF).write.parquet(str(tmp_path / "mix"))
+    packed = pipeline.pack(spark, spark.read.parquet(str(tmp_path / "mix")), SF).collect()
     packed.sort(key=lambda r: (r.sequence_id, r.offset))
+    assert {r.sequence_id for r in packed} == set(range(packed[-1].sequence_id + 1))
     size = {0: 0, 1: 0}
     for r in packed[: len(packed) // 3]:
         size[int(r.doc_id >= 380)] += r.length

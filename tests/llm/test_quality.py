@@ -2,10 +2,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm.quality import RULES, measured_order, quality
+from quarry.llm.quality import RULES, Cascade, Texts, base_figures, quality
 from tests.conftest import SF
 
 
@@ -39,9 +40,48 @@ def test_base_figures_equal_brute_force(spark):
 
 def test_the_order_never_changes_a_verdict(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    orders = [[r.name for r in RULES], [r.name for r in reversed(RULES)], measured_order(docs)]
-    verdicts = [{(r.doc_id, r.kept) for r in quality(docs, order=o).collect()} for o in orders]
-    assert verdicts[0] == verdicts[1] == verdicts[2] and sorted(orders[2]) == sorted(orders[0])
+    names = [r.name for r in RULES]
+    ways = [quality(docs, order=names), quality(docs, order=names[::-1]), quality(docs, sample=20), quality(docs, sample=10**6)]
+    verdicts = [{(r.doc_id, r.kept) for r in way.collect()} for way in ways]
+    assert all(v == verdicts[0] for v in verdicts)
+
+
+def batch(texts):
+    raw = [x.encode() for x in texts]
+    t = Texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return t, base_figures(t)
+
+
+def test_rules_are_ordered_by_rejections_per_second():
+    shouts = [" ".join(f"NO{i}!!" for i in range(60))] * 30 + [" ".join(f"fine{i}" for i in range(60))] * 30
+    c = Cascade(RULES, 50)
+    kept = c.kept(*batch(shouts))
+    assert kept.tolist() == [False] * 30 + [True] * 30 and c.seen == 60
+    assert {r.name for r in c.rules[:3]} == {"capitals", "exclaims", "few_letters"} and len(c.rules) == len(RULES)
+    assert c.kept(*batch(shouts[::-1])).tolist() == [True] * 30 + [False] * 30 and c.seen == 60
+
+
+def test_a_verdict_never_depends_on_the_text_before():
+    shout = " ".join(f"a{i} !" for i in range(40))
+    rule = next(r for r in RULES if r.name == "exclaims")
+    for before in ("", "x!", "!"):
+        t, b = batch([before, "! " + shout])
+        assert not rule.rejects(t, b)[1]
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 65536])
+def test_lines_with_structure_differ(spark, n):
+    a, b = thue_morse(n)
+    text = f"{a}\n{b}\n" + f"{a} {b} {a}\n{b} {a} {b}\n{a}"
+    row = quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words, row.base_failed) == plain(text)
 
 
 @pytest.mark.parametrize("sf", ["sf0.01"])
