@@ -1,8 +1,11 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs; all but the last
-return the columns of documents. Files that are read again have no order, so the packing stage works out the mix once more and sorts by
-it before it packs: its sequences are numbered along the mix and meet the sources in their target weights.
+return the columns of documents. The mixing stage sorts, so its files hold the mix in order of file and row; the packing stage goes along
+that order, and its sequences are numbered along the mix.
+
+In every stage rows without a doc_id, and rows that repeat one, are documents of their own; null texts count as empty; other columns than
+those of documents are left out; an empty table gives an empty one; a very long text is one row like any other.
 """
 
 from __future__ import annotations
@@ -10,66 +13,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, small, table, words_of
+from quarry.llm.common import cut, numbered, remove, scope, shared_path, small, table, words_of
 from quarry.llm.line_dedup import dedup_lines
 from quarry.llm.mixing import mixed
 from quarry.llm.near_dedup import NearDedup, near_duplicates
-from quarry.llm.packing import packed
+from quarry.llm.packing import packed_in_order
 from quarry.llm.quality import quality
 from quarry.llm.queries import BLOCK_BYTES, OTHER, SEED, WEIGHTS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number as doc_id that no other row has and that sorts as doc_id does (none: last), and doc_id as ``named``.
-
-    So rows without a doc_id, or with one that others have too, are documents of their own. Where doc_id is such a number already, it is
-    taken, and no texts are written.
-    """
-    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
-        return docs.withColumn("named", F.col("doc_id"))
-    rows = docs.sort(F.asc_nulls_last("doc_id"), F.xxhash64("text", "source")).withColumn("named", F.col("doc_id"))
-    return cut(rows.withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
-
-
-def _renamed(docs: DataFrame) -> DataFrame:
-    """The columns of documents from numbered rows."""
-    return docs.withColumn("doc_id", F.col("named")).select(*COLUMNS)
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects. Null and empty texts have no words, so they go; of equal rows all stay or go."""
     return quality(docs.select(*COLUMNS), carry=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand earlier; n_chars is counted anew. A document of which no word is left goes."""
-    out = dedup_lines(_numbered(docs.select(*COLUMNS))).where((F.col("n_dropped") == 0) | (F.size(words_of(F.col("text"))) > 0))
-    return _renamed(out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
+    """Texts without lines that stand earlier, by (doc_id, line); n_chars is counted anew. A document of which no word is left goes."""
+    out = dedup_lines(docs.select(*COLUMNS)).where((F.col("n_dropped") == 0) | (F.size(words_of(F.col("text"))) > 0))
+    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id. Texts are shuffled only if very many go."""
-    docs = _numbered(docs.select(*COLUMNS))
-    copies = cut(near_duplicates(docs, NearDedup(words=5, similar=80)).where("not kept").select("doc_id"), "copies")
-    return _renamed(docs.join(small(copies), "doc_id", "left_anti"))
+    """Of each group of near copies (also of equal rows) the document with the smallest doc_id. Texts are shuffled only if very many go."""
+    docs, new = numbered(docs.select(*COLUMNS))
+    with scope(spark):
+        copies = cut(near_duplicates(docs, NearDedup(words=5, similar=80)).where("not kept").select("doc_id"), "copies", keep=True)
+    rest = docs.join(small(copies), "doc_id", "left_anti")
+    return (rest.withColumn("doc_id", F.col("named")) if new else rest).select(*COLUMNS)
 
 
-def _in_mix_order(docs: DataFrame) -> DataFrame:
-    """``docs`` sorted by their place in the mix, over all partitions."""
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mix, over all partitions. Rows with equal places stand side by side."""
     rows = mixed(docs.select(*COLUMNS), WEIGHTS, OTHER, BLOCK_BYTES, SEED, with_text=True)
     return rows.sort("slot", "place", "doc_id").select(*COLUMNS)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix."""
-    return _in_mix_order(docs)
-
-
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 2048 tokens; sequence_id follows the order of the mix."""
-    return packed(_in_mix_order(docs), window=2048, end_id=1)
+    """The pieces of all documents in windows of 2048 tokens; sequence_id follows the order of the files' rows.
+
+    A table that isn't read from files goes in the order of its partitions.
+    """
+    if docs.inputFiles():
+        name = F.col("_metadata.file_name")
+        number = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).cast("long"), F.lit(0))
+        part, row = number("part-([0-9]+)") * 1_000_000 + number("-c([0-9]+)[.]"), F.col("_metadata.row_index")
+    else:
+        part, row = F.spark_partition_id(), F.monotonically_increasing_id()
+    rows = docs.select("doc_id", "text", part.cast("long").alias("part"), row.alias("row"))
+    return packed_in_order(rows, "part", "row", window=2048, end_id=1)
 
 
 STAGES = [("quality rules", keep_good), ("line dedup", drop_lines), ("near dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]
@@ -79,8 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over the whole documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn over the whole documents table. What a stage wrote for itself goes as soon as its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared_path(spark, name.replace(" ", "-"))
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
