@@ -1,11 +1,13 @@
-"""Lossless WebP media columns: a full decoder, and a writer of flat streams.
+"""Lossless WebP media columns: a full decoder, and a writer that uses what the decoder reads.
 
 The decoder reads the lossless bit stream: prefix codes (one group or many, chosen by an entropy image), back-references with the
-two-dimensional distance codes, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms. Where all
-prefix codes of an image give every symbol one length, its pixels have one width in bits and are read at once with numpy.
+two-dimensional distance codes, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms. A symbol's
+place depends on all before it; so with one group the step from every bit to the next pixel is worked out at once by table, and then the
+steps are followed from the first one.
 
-The writer gives each channel a prefix code with one length for just the values that occur, without transforms: it is lossless, smaller
-than raw samples where few values occur, and both directions cost a few operations on whole arrays for each image.
+The writer stores pixels by prefix codes from their frequencies, back-references for repeated runs, and a colour cache where that is
+shorter by entropy. Its transforms vary as those of images from many writers do: by the payload's CRC-32 an image gets the palette (if it has
+256 colours at most), a predictor per block, cross-colour multipliers per block, or subtract-green. So equal payloads have equal streams.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StringType
 
-from quarry.llm.common import arrow_batches, text_pieces
+from quarry.llm.common import arrow_batches, mix, text_pieces
 
 #: Fixed value: the order in which the lengths of the code-length code are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -58,51 +61,49 @@ class Bits:
         return np.unpackbits(np.frombuffer(self.data, np.uint8, (shift + n + 7) // 8, i), bitorder="little")[shift : shift + n]
 
 
+def _turned(width: int) -> np.ndarray:
+    """The numbers below 2**width with their bits turned round."""
+    return _TURNED[: 1 << width] >> (16 - width)
+
+
+_TURNED = np.zeros(1 << 16, np.int64)
+for _k in range(16):
+    _TURNED |= ((np.arange(1 << 16) >> _k) & 1) << (15 - _k)
+
+
 class Code:
     """A canonical prefix code from the lengths of its symbols."""
 
     def __init__(self, lengths: np.ndarray) -> None:
         used = np.flatnonzero(lengths)
-        if not len(used):
-            used = np.array([0])
-            lengths = np.array([1])
-        self.width = int(lengths[used].max())
-        self.symbols: list[int] | None = None
-        self.flat: np.ndarray | None = None
-        if len(used) == 1:  # takes no bits
-            self.width, self.flat, self.only = 0, used, int(used[0])
+        if len(used) < 2:  # takes no bits
+            self.width, self.only = 0, int(used[0]) if len(used) else 0
+            self.symbols, self.lengths = np.array([self.only]), np.zeros(1, np.int64)
             return
-        if sum(1 << (self.width - int(n)) for n in lengths[used]) != 1 << self.width:
+        sizes = lengths[used]
+        self.width = int(sizes.max())
+        if int((1 << (self.width - sizes)).sum()) != 1 << self.width:
             raise ValueError("a prefix code is not complete")
-        order = used[np.argsort(lengths[used], kind="stable")]
-        if (lengths[order] == self.width).all():
-            self.flat = order
-        self.order, self.lengths = order, lengths
-
-    def table(self) -> list[tuple[int, int]]:
-        """(symbol, length) by the next ``width`` bits."""
-        if not hasattr(self, "_table"):
-            out: list = [None] * (1 << self.width)
-            code, last = 0, int(self.lengths[self.order[0]])
-            for s in self.order.tolist():
-                n = int(self.lengths[s])
-                code <<= n - last
-                last = n
-                low = int(format(code, f"0{n}b")[::-1], 2)
-                for k in range(low, 1 << self.width, 1 << n):
-                    out[k] = (s, n)
-                code += 1
-            self._table = out
-        return self._table
+        order = np.argsort(sizes, kind="stable")
+        shares = 1 << (self.width - sizes[order])
+        turned = _turned(self.width)  # by the next ``width`` bits
+        self.symbols, self.lengths = np.repeat(used[order], shares)[turned], np.repeat(sizes[order], shares)[turned]
 
     def next(self, bits: Bits) -> int:
         if not self.width:
             return self.only
-        symbol, n = self.table()[bits.peek(self.width)]
-        bits.at += n
+        k = bits.peek(self.width)
+        bits.at += int(self.lengths[k])
         if bits.at > bits.size:
             raise ValueError("the stream ends early")
-        return symbol
+        return int(self.symbols[k])
+
+
+@lru_cache(256)
+def _code_of_lengths(steps: bytes) -> tuple[list[int], list[int], int, int]:
+    """Symbols and lengths by the next bits, the number of these bits, and the symbol of a code without bits."""
+    code = Code(np.frombuffer(steps, np.uint8).astype(np.int64))
+    return code.symbols.tolist(), code.lengths.tolist(), code.width, code.only if not code.width else 0
 
 
 def read_code(bits: Bits, alphabet: int) -> Code:
@@ -123,25 +124,34 @@ def read_code(bits: Bits, alphabet: int) -> Code:
         most = 2 + bits.read(2 + 2 * bits.read(3))
         if most > alphabet:
             raise ValueError("too many code lengths")
-    code = Code(steps)
-    if code.width == 1 and code.flat is not None and code.flat[-1] < 16:  # one bit for each length: all at once
-        lengths[:most] = code.flat[bits.array(most)]
-        return Code(lengths)
-    at, last = 0, 8
+    symbols, sizes, width, only = _code_of_lengths(steps.astype(np.uint8).tobytes())
+    at, last, mask = 0, 8, (1 << width) - 1
+    ahead, place = bits.peek(2048), 0
+    found: list[int] = []
     while at < alphabet and most:
         most -= 1
-        s = code.next(bits)
+        if place > 2000:
+            bits.at += place
+            ahead, place = bits.peek(2048), 0
+        k = (ahead >> place) & mask
+        s = symbols[k] if width else only
+        place += sizes[k] if width else 0
         if s < 16:
-            lengths[at] = s
+            found.append(s)
             at += 1
             last = s or last
             continue
-        value = last if s == 16 else 0
-        times = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-        if at + times > alphabet:
-            raise ValueError("a run of code lengths is too long")
-        lengths[at : at + times] = value
+        extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+        times = least + ((ahead >> place) & ((1 << extra) - 1))
+        place += extra
+        found += [last if s == 16 else 0] * times
         at += times
+    bits.at += place
+    if bits.at > bits.size:
+        raise ValueError("the stream ends early")
+    if at > alphabet:
+        raise ValueError("a run of code lengths is too long")
+    lengths[:at] = found
     return Code(lengths)
 
 
@@ -167,15 +177,14 @@ def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
         meta = ((_image(bits, -(-width >> block), -(-height >> block), False) >> 8) & 0xFFFF).reshape(-(-height >> block), -1)
     groups = [_group(bits, cache_bits) for _ in range(int(meta.max()) + 1 if meta is not None else 1)]
     n = width * height
-    if len(groups) == 1 and not cache_bits and all(c.flat is not None for c in groups[0][:4]) and groups[0][0].flat[-1] < 256:
-        return _flat(bits, groups[0], n)
+    if meta is None:
+        return _one_group(bits, groups[0], n, width, cache_bits)
     out = np.zeros(n, np.uint32)
     cache = [0] * (1 << cache_bits) if cache_bits else []
-    shift, at, group, wide = 32 - cache_bits, 0, groups[0], meta.tolist() if meta is not None else None
+    shift, at, wide = 32 - cache_bits, 0, meta.tolist()
     while at < n:
-        if wide is not None:
-            y, x = divmod(at, width)
-            group = groups[wide[y >> block][x >> block]]
+        y, x = divmod(at, width)
+        group = groups[wide[y >> block][x >> block]]
         s = group[0].next(bits)
         if s < 256:
             r, b, a = group[1].next(bits), group[2].next(bits), group[3].next(bits)
@@ -201,25 +210,102 @@ def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     return out
 
 
-def _reversed(width: int) -> np.ndarray:
-    """The numbers below 2**width with their bits turned round."""
-    x, out = np.arange(1 << width), np.zeros(1 << width, np.int64)
-    for k in range(width):
-        out |= ((x >> k) & 1) << (width - 1 - k)
-    return out
+#: Bits of which the steps are worked out at once, and bits that a step may reach beyond.
+CHUNK, REACH = 1 << 17, 128
 
 
-def _flat(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
+def _values(prefix: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers by their prefix codes and the bits after these, and how many of these bits count."""
+    extra = np.maximum(prefix - 2, 0) >> 1
+    return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << extra) + (after & ((1 << extra) - 1))) + 1, extra
+
+
+def _steps(bits: Bits, codes: list[Code], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each literal, copy or cached pixel of one group: the green symbol, the pixel, and for copies length and distance code."""
+    green, red, blue, alpha, far = codes
+    found: list[tuple] = []
+    made, copies = 0, bool((green.symbols >= 256).any())
+    while made < n:
+        size = min(bits.size - bits.at, CHUNK)
+        if size <= 0:
+            raise ValueError("the stream ends early")
+        first, shift = divmod(bits.at, 8)
+        part = bits.data[first : first + (shift + size + REACH) // 8 + 2] + b"\0" * (REACH // 8 + 16)
+        windows = np.ndarray(((shift + size + REACH) // 8 + 1,), "<u8", part, strides=(1,))
+        ahead = ((windows[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).reshape(-1)[shift : shift + size + REACH].astype(np.int64)
+        here = np.arange(size)
+        k = ahead[:size] & ((1 << green.width) - 1)
+        symbol, after = green.symbols[k], here + green.lengths[k]
+        at = [after]
+        for code in (red, blue, alpha):  # where the next channel begins
+            at.append(at[-1] + code.lengths[ahead[at[-1]] & ((1 << code.width) - 1)] if code.width else at[-1])
+        then, count, distance = at[3].copy(), np.ones(size, np.int64), np.zeros(size, np.int64)
+        if copies:
+            many = np.flatnonzero((symbol >= 256) & (symbol < 256 + 24))
+            count[many], extra = _values(symbol[many] - 256, ahead[after[many]])
+            to = after[many] + extra
+            k = ahead[to] & ((1 << far.width) - 1)
+            to += far.lengths[k]
+            distance[many], extra = _values(far.symbols[k], ahead[to])
+            then[many] = to + extra
+            held = symbol >= 256 + 24
+            then[held] = after[held]
+        steps, place, path = memoryview(then), 0, []
+        if copies:
+            counts = memoryview(count)
+            while place < size and made < n:
+                path.append(place)
+                made += counts[place]
+                place = steps[place]
+        else:
+            while place < size and made < n:
+                path.append(place)
+                made += 1
+                place = steps[place]
+        bits.at += place
+        on = np.array(path, np.int64)
+        pixel = symbol[on] << 8
+        for code, begin, to in zip((red, blue, alpha), at, (16, 0, 24), strict=False):
+            pixel |= (code.symbols[ahead[begin[on]] & ((1 << code.width) - 1)] if code.width else np.int64(code.only)) << to
+        found.append((symbol[on], pixel, count[on], distance[on]))
+    if bits.at > bits.size:
+        raise ValueError("the stream ends early")
+    if made > n:
+        raise ValueError("a back-reference leaves the image")
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _one_group(bits: Bits, codes: list[Code], n: int, width: int, cache_bits: int) -> np.ndarray:
+    if not any(c.width for c in codes[:4]) and codes[0].only < 256:
+        return np.full(n, codes[3].only << 24 | codes[1].only << 16 | codes[0].only << 8 | codes[2].only, np.uint32)
+    symbol, pixel, count, code = _steps(bits, codes, n)
+    copy = (symbol >= 256) & (symbol < 256 + 24)
+    near = np.array([0, *(max(1, x + y * width) for x, y in NEARBY)])
+    back = np.where(code > 120, code - 120, near[np.minimum(code, 120)])
+    place = np.cumsum(count) - count
+    if (back > place)[copy].any():
+        raise ValueError("a back-reference leaves the image")
     out = np.zeros(n, np.uint32)
-    widths = [c.width for c in codes[:4]]
-    fields = bits.array(n * sum(widths)).reshape(n, -1)
-    at = 0
-    for code, width, shift in zip(codes, widths, (8, 16, 0, 24), strict=False):
-        value = np.zeros(n, np.int64)
-        for k in range(width):
-            value |= fields[:, at + k].astype(np.int64) << k
-        out |= code.flat[_reversed(width)[value]].astype(np.uint32) << np.uint32(shift)
-        at += width
+    if not cache_bits:
+        out[place[~copy]] = pixel[~copy]
+        for at, length, far in zip(place[copy].tolist(), count[copy].tolist(), back[copy].tolist(), strict=True):
+            out[at : at + length] = out[at - far : at - far + length] if far >= length else np.resize(out[at - far : at], length)
+        return out
+    shift = 32 - cache_bits
+    slot = np.where(symbol < 256, ((pixel * 0x1E35A7BD) & 0xFFFFFFFF) >> shift, symbol - 256 - 24)
+    cache, made = [0] * (1 << cache_bits), []
+    for s, p, k, length, far in zip(symbol.tolist(), pixel.tolist(), slot.tolist(), count.tolist(), back.tolist(), strict=True):
+        if s < 256:
+            cache[k] = p
+            made.append(p)
+        elif s >= 256 + 24:
+            made.append(cache[k])
+        else:
+            for _ in range(length):  # may overlap itself
+                p = made[-far]
+                cache[((0x1E35A7BD * p) & 0xFFFFFFFF) >> shift] = p
+                made.append(p)
+    out[:] = made
     return out
 
 
@@ -228,55 +314,73 @@ def _split(pixels: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(pixels.astype("<u4")).view(np.uint8).reshape(*pixels.shape, 4)
 
 
+def _floor_half(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a + b) >> 1
+
+
+#: Predictions that need only the row above: left of it, above, right of it.
+ABOVE = {2: lambda c, u, r: u, 3: lambda c, u, r: r, 4: lambda c, u, r: c, 8: lambda c, u, r: _floor_half(c, u), 9: lambda c, u, r: _floor_half(u, r)}
+
+
 def _unpredict(pixels: np.ndarray, modes: np.ndarray, block: int, width: int, height: int) -> np.ndarray:
-    out = _split(pixels).astype(np.int64).reshape(height * width, 4).tolist()
+    """Rows are taken at once where a prediction needs only the row above, or the left pixel alone (a running sum); others go pixel by pixel."""
+    out = _split(pixels).astype(np.int64).reshape(height, width, 4)
+    out[0, 0] += BLACK
+    out[0] = np.cumsum(out[0], axis=0) & 255
+    for y in range(1, height):
+        row, up = out[y], out[y - 1]
+        row[0] = (row[0] + up[0]) & 255
+        if width == 1:
+            continue
+        mode = modes[y >> block]
+        kinds = set(mode)
+        wide = np.repeat(mode, 1 << block)[:width] if len(kinds) > 1 else None
+        right = np.concatenate((up[1:], row[:1]))
+        for kind in kinds & {0, 14, 15, *ABOVE}:
+            guess = ABOVE[kind](up[:-1], up[1:], right[1:]) if kind in ABOVE else BLACK
+            if wide is None:
+                row[1:] = (row[1:] + guess) & 255
+            else:
+                here = np.flatnonzero(wide[1:] == kind)
+                row[here + 1] = (row[here + 1] + (guess[here] if kind in ABOVE else guess)) & 255
+        if kinds - {0, 14, 15, *ABOVE}:
+            for k, kind in enumerate(mode):
+                first, last = max(1, k << block), min(width, (k + 1) << block)
+                if kind == 1:
+                    row[first - 1 : last] = np.cumsum(row[first - 1 : last], axis=0) & 255
+                elif kind not in ABOVE and 0 < kind < 14:
+                    _by_pixel(row, up, right, kind, first, last)
+    return out.astype(np.uint8).reshape(height * width, 4).view("<u4").reshape(-1)
+
+
+BLACK = np.array([0, 0, 0, 255])
+
+
+def _by_pixel(row: np.ndarray, up: np.ndarray, right: np.ndarray, kind: int, first: int, last: int) -> None:
+    """Add the predictions that mix the left pixel with those above."""
     half = lambda a, b: [(x + y) >> 1 for x, y in zip(a, b, strict=True)]
     clamp = lambda v: 0 if v < 0 else 255 if v > 255 else v
-    black = [0, 0, 0, 255]
-    for y in range(height):
-        for x in range(width):
-            i = y * width + x
-            if not i:
-                p = black
-            elif not y:
-                p = out[i - 1]
-            elif not x:
-                p = out[i - width]
-            else:
-                left, up, corner, right = out[i - 1], out[i - width], out[i - width - 1], out[i - width + 1]
-                m = modes[y >> block][x >> block]
-                if m == 1:
-                    p = left
-                elif m == 2:
-                    p = up
-                elif m == 3:
-                    p = right
-                elif m == 4:
-                    p = corner
-                elif m == 5:
-                    p = half(half(left, right), up)
-                elif m == 6:
-                    p = half(left, corner)
-                elif m == 7:
-                    p = half(left, up)
-                elif m == 8:
-                    p = half(corner, up)
-                elif m == 9:
-                    p = half(up, right)
-                elif m == 10:
-                    p = half(half(left, corner), half(up, right))
-                elif m == 11:
-                    to_left = sum(abs(t - c) for t, c in zip(up, corner, strict=True))
-                    to_up = sum(abs(t - c) for t, c in zip(left, corner, strict=True))
-                    p = left if to_left < to_up else up
-                elif m == 12:
-                    p = [clamp(a + b - c) for a, b, c in zip(left, up, corner, strict=True)]
-                elif m == 13:
-                    p = [clamp(a + int((a - c) / 2)) for a, c in zip(half(left, up), corner, strict=True)]
-                else:
-                    p = black
-            out[i] = [(v + q) & 255 for v, q in zip(out[i], p, strict=True)]
-    return np.array(out, np.uint8).reshape(height * width, 4).view("<u4").reshape(-1)
+    left = row[first - 1].tolist()
+    for x in range(first, last):
+        top, corner = up[x].tolist(), up[x - 1].tolist()
+        if kind == 5:
+            p = half(half(left, right[x].tolist()), top)
+        elif kind == 6:
+            p = half(left, corner)
+        elif kind == 7:
+            p = half(left, top)
+        elif kind == 10:
+            p = half(half(left, corner), half(top, right[x].tolist()))
+        elif kind == 11:
+            to_left = sum(abs(t - c) for t, c in zip(top, corner, strict=True))
+            to_up = sum(abs(t - c) for t, c in zip(left, corner, strict=True))
+            p = left if to_left < to_up else top
+        elif kind == 12:
+            p = [clamp(a + b - c) for a, b, c in zip(left, top, corner, strict=True)]
+        else:
+            p = [clamp(a + int((a - c) / 2)) for a, c in zip(half(left, top), corner, strict=True)]
+        left = [(v + q) & 255 for v, q in zip(row[x].tolist(), p, strict=True)]
+        row[x] = left
 
 
 def _uncross(pixels: np.ndarray, elements: np.ndarray, block: int, width: int, height: int) -> np.ndarray:
@@ -290,8 +394,9 @@ def _uncross(pixels: np.ndarray, elements: np.ndarray, block: int, width: int, h
     return c.reshape(-1, 4).view("<u4").reshape(-1)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of a lossless WebP file: height x width x 4 (red, green, blue, alpha)."""
+def decode(data: bytes, most_pixels: int = 1 << 26) -> np.ndarray:
+    """The pixels of a lossless WebP file: height x width x 4 (red, green, blue, alpha). A few bytes can name a very large image of one
+    colour; beyond ``most_pixels`` that is an error."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at, chunk = 12, None
@@ -306,6 +411,8 @@ def decode(data: bytes) -> np.ndarray:
     bits = Bits(chunk)
     bits.at = 8
     width, height = bits.read(14) + 1, bits.read(14) + 1
+    if width * height > most_pixels:
+        raise ValueError("more pixels than allowed")
     alpha = bits.read(1)
     if bits.read(3):
         raise ValueError("unknown version")
@@ -348,63 +455,324 @@ def decode(data: bytes) -> np.ndarray:
     return out
 
 
+# --- writer ------------------------------------------------------------------------------------------------------------
+
+MOST_LENGTH = 12  # bits of a code; 15 are allowed, but the reader's tables grow with it
+#: Lengths of the code for code lengths: all are used but 16.
+STEP_LENGTHS = np.array([5 if s in (1, 13, 14, 15) else 4 for s in range(16)] + [0, 4, 4])
+
+
+def code_lengths(counts: np.ndarray, most: int = MOST_LENGTH) -> np.ndarray:
+    """Huffman's lengths for symbols with counts; where one would be longer than ``most``, counts are evened out."""
+    lengths = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        lengths[used if len(used) else [0]] = 1
+        return lengths
+    counts = counts[used]
+    while True:
+        order = np.argsort(counts, kind="stable")
+        n, weights = len(order), counts[order].tolist()
+        inner, parent, i, j = [], [0] * (2 * n - 1), 0, 0
+        for k in range(n - 1):  # the two least of the leaves, and of the nodes made before, which are in order too
+            total = 0
+            for _ in range(2):
+                if i < n and (j >= len(inner) or weights[i] <= inner[j]):
+                    total += weights[i]
+                    parent[i] = n + k
+                    i += 1
+                else:
+                    total += inner[j]
+                    parent[n + j] = n + k
+                    j += 1
+            inner.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= most:
+            lengths[used[order]] = depth[:n]
+            return lengths
+        counts = (counts >> 1) | 1
+
+
+def _codes(lengths: np.ndarray) -> np.ndarray:
+    """The canonical codes as they stand in the stream, the first bit lowest."""
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    shares = 1 << (16 - lengths[order])
+    out = np.zeros(len(lengths), np.int64)
+    out[order] = _TURNED[np.cumsum(shares) - shares]
+    return out
+
+
+STEP_CODES = _codes(STEP_LENGTHS)
+#: What stands before the code lengths: an ordinary code, the lengths of all 19 steps, lengths for the whole alphabet.
+_STEPS_HEAD = (15 << 1 | sum(int(STEP_LENGTHS[s]) << (5 + 3 * k) for k, s in enumerate(LENGTH_ORDER)), 1 + 4 + 57 + 1)
+
+
+def _zeros(gap: int) -> tuple[int, int]:
+    """Up to 138 lengths of zero: value and bits."""
+    if gap < 3:
+        return sum(int(STEP_CODES[0]) << (k * int(STEP_LENGTHS[0])) for k in range(gap)), gap * int(STEP_LENGTHS[0])
+    s, least, extra = (17, 3, 3) if gap < 11 else (18, 11, 7)
+    return int(STEP_CODES[s]) | (gap - least) << int(STEP_LENGTHS[s]), int(STEP_LENGTHS[s]) + extra
+
+
+_ZEROS = np.array([_zeros(g) for g in range(139)], np.int64).T
+
+
+@lru_cache(64)
+def _near_codes(width: int) -> dict[int, int]:
+    """Distance codes of the nearby pixels, by distance."""
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEARBY)))}
+
+
+
+
 class _Writer:
+    """Fields of bits, the first lowest; they are joined at the end."""
+
     def __init__(self) -> None:
-        self.value, self.n = 0, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.few: tuple[list[int], list[int]] = ([], [])
 
     def write(self, value: int, n: int) -> None:
-        self.value |= value << self.n
-        self.n += n
-
-
-def _write_code(w: _Writer, used: np.ndarray, alphabet: int) -> None:
-    """A prefix code with one length for 2**k symbols."""
-    k = (len(used) - 1).bit_length()
-    if not k:
-        w.write(0b101, 3)  # simple, one symbol, of 8 bits
-        w.write(int(used[0]), 8)
-        return
-    w.write(0, 1)
-    places = [LENGTH_ORDER.index(0), LENGTH_ORDER.index(k)]
-    n = max(4, max(places) + 1)
-    w.write(n - 4, 4)
-    for i in range(n):
-        w.write(int(i in places), 3)
-    w.write(0, 1)  # lengths for the whole alphabet, one bit each
-    mask = np.zeros(alphabet, np.uint8)
-    mask[used] = 1
-    w.write(int.from_bytes(np.packbits(mask, bitorder="little").tobytes(), "little"), alphabet)
-
-
-def encode(rgb: np.ndarray) -> bytes:
+        self.few[0].append(value)
+        self.few[1].append(n)
+
+    def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self._flush()
+        self.parts.append((values.astype(np.uint64), sizes.astype(np.int64)))
+
+    def _flush(self) -> None:
+        if self.few[0]:
+            self.parts.append((np.array(self.few[0], np.uint64), np.array(self.few[1], np.int64)))
+            self.few = ([], [])
+
+    def bytes(self) -> bytes:
+        self._flush()
+        out, left = [], np.zeros(0, np.uint8)
+        for values, sizes in self.parts:
+            for at in range(0, len(values), 100_000):
+                v, n = values[at : at + 100_000], sizes[at : at + 100_000]
+                begin = np.cumsum(n) - n
+                place = np.arange(int(n.sum())) - np.repeat(begin, n)
+                bits = np.concatenate((left, ((np.repeat(v, n) >> place.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)))
+                whole = len(bits) & ~7
+                out.append(np.packbits(bits[:whole], bitorder="little").tobytes())
+                left = bits[whole:]
+        return b"".join(out) + np.packbits(left, bitorder="little").tobytes()
+
+
+def _write_code(w: _Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Write a prefix code for symbols with counts; its codes and lengths."""
+    used = np.flatnonzero(counts)
+    if len(used) < 3 and (not len(used) or used[-1] < 256):
+        some = used.tolist() or [0]
+        w.write(1, 1)
+        w.write(len(some) - 1, 1)
+        w.write(1, 1)  # symbols of 8 bits
+        for s in some:
+            w.write(s, 8)
+        codes, lengths = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+        if len(some) == 2:
+            codes[some[1]], lengths[some] = 1, 1
+        return codes, lengths
+    if len(used) == 1:
+        counts = counts.copy()
+        counts[0] += 1
+    lengths = code_lengths(counts)
+    w.write(*_STEPS_HEAD)
+    at = np.append(np.flatnonzero(lengths), len(lengths))
+    gap = np.diff(at, prepend=-1) - 1
+    while (gap > 138).any():  # more than one run of zeros
+        k = int(np.argmax(gap > 138))
+        at, gap = np.insert(at, k, at[k] - gap[k] + 137), np.insert(gap, k, 138)
+        gap[k + 1] -= 138
+    step = np.where(at < len(lengths), lengths[np.minimum(at, len(lengths) - 1)], 0)
+    value, n = _ZEROS[0][gap], _ZEROS[1][gap]
+    w.many(value | np.where(step > 0, STEP_CODES[step], 0) << n, n + np.where(step > 0, STEP_LENGTHS[step], 0))
+    return _codes(lengths), lengths
+
+
+def _copies(px: np.ndarray, least: int = 3, most: int = 4096, far: int = (1 << 20) - 120) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of runs of pixels that stand before: always the last place at which the same three pixels stood."""
+    n = len(px) - least + 1
+    if n < 2:
+        return []
+    x = px.astype(np.uint64)
+    key = mix(x[:n] | x[1 : n + 1] << np.uint64(32)) ^ x[2 : n + 2]
+    order = np.argsort(key, kind="stable")
+    again = key[order[1:]] == key[order[:-1]]
+    if not again.any():
+        return []
+    back = np.zeros(n + 1, np.int64)
+    back[order[1:][again]] = (order[1:] - order[:-1])[again]
+    at = np.flatnonzero(back)
+    same = (px[at] == px[at - back[at]]) & (px[at + 1] == px[at + 1 - back[at]]) & (px[at + 2] == px[at + 2 - back[at]]) & (back[at] <= far)
+    back[at[~same]] = 0
+    edges = np.flatnonzero(np.diff(back, prepend=0))
+    out, reached = [], 0
+    for first, last, distance in zip(edges.tolist(), [*edges[1:].tolist(), n], back[edges].tolist(), strict=True):
+        begin, end = max(first, reached), last + least - 1
+        if distance and end - begin >= least:
+            out += [(k, min(most, end - k), distance) for k in range(begin, end, most)]
+            reached = end
+    return out
+
+
+def _entropy(*counts: np.ndarray) -> float:
+    """Bits that symbols with these counts take."""
+    out = 0.0
+    for c in counts:
+        c = c[c > 0]
+        out += float((c * np.log2(c.sum() / c)).sum()) if len(c) else 0.0
+    return out
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix code, extra bits and how many, of numbers from 1."""
+    v = values - 1
+    extra = np.maximum(np.frexp(v.astype(np.float64))[1] - 2, 0)
+    extra = np.where(v < 4, 0, extra)
+    return np.where(v < 4, v, 2 * extra + ((v >> extra) & 1) + np.where(v < 4, 0, 2)), v & ((1 << extra) - 1), extra
+
+
+def _write_image(w: _Writer, px: np.ndarray, width: int, top: bool = False, cache_bits: int = 7) -> None:
+    """Write pixels (ARGB): prefix codes for one group, back-references, and the colour cache where it saves bits."""
+    n = len(px)
+    channels = _split(px)
+    copies = np.array(_copies(px), np.int64).reshape(-1, 3)
+    free = np.ones(n, bool)
+    if len(copies):
+        free[np.repeat(copies[:, 0] - (np.cumsum(copies[:, 1]) - copies[:, 1]), copies[:, 1]) + np.arange(copies[:, 1].sum())] = False
+    count = lambda where, sizes=(256, 256, 256, 256): [np.bincount(channels[where, k], minlength=m) for k, m in zip((1, 2, 0, 3), sizes, strict=True)]
+    held = np.zeros(n, bool)
+    plain = count(free)
+    if n >= 64:
+        slot = (px.astype(np.int64) * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits)
+        order = np.argsort(slot, kind="stable")
+        known = np.zeros(n, bool)
+        known[order[1:]] = (px[order[1:]] == px[order[:-1]]) & (slot[order[1:]] == slot[order[:-1]])
+        known &= free
+        rest = count(free & ~known)
+        slots = np.bincount(slot[known], minlength=1 << cache_bits)
+        if 1.04 * _entropy(np.concatenate((rest[0], slots)), *rest[1:]) + 400 < _entropy(*plain):  # the cache's symbols have code lengths too
+            held, plain = known, rest
+    used = held.any()
+    w.write(int(used), 1)
+    if used:
+        w.write(cache_bits, 4)
+    if top:
+        w.write(0, 1)  # no entropy image
+    symbol = channels[:, 1].astype(np.int64)
+    if used:
+        symbol[held] = 256 + 24 + slot[held]
+    start = np.zeros(n, bool)
+    start[copies[:, 0]] = True
+    length, length_bits, length_extra = _prefixes(copies[:, 1])
+    near = _near_codes(width)
+    code = np.array([near.get(d, d + 120) for d in copies[:, 2].tolist()], np.int64)
+    distance, distance_bits, distance_extra = _prefixes(code)
+    symbol[copies[:, 0]] = 256 + length
+    keep = free | start
+    green, green_n = _write_code(w, np.bincount(symbol[keep], minlength=256 + 24 + ((1 << cache_bits) if used else 0)))
+    (red, red_n), (blue, blue_n), (alpha, alpha_n) = (_write_code(w, c) for c in plain[1:])
+    far, far_n = _write_code(w, np.bincount(distance, minlength=40))
+    value, size = green[symbol], green_n[symbol]
+    literal = free & ~held
+    for k, codes, sizes in ((2, red, red_n), (0, blue, blue_n), (3, alpha, alpha_n)):
+        if sizes.any():
+            c = channels[:, k]
+            value = np.where(literal, value | codes[c] << size, value)
+            size = np.where(literal, size + sizes[c], size)
+    at = copies[:, 0]
+    for v, m in ((length_bits, length_extra), (far[distance], far_n[distance]), (distance_bits, distance_extra)):
+        value[at] |= v << size[at]
+        size[at] += m
+    w.many(value[keep], size[keep])
+
+
+def _blocks(cost: np.ndarray, block: int) -> np.ndarray:
+    """Sums over blocks of the last two axes."""
+    *rest, h, w = cost.shape
+    side = 1 << block
+    padded = np.zeros((*rest, -(-h // side) * side, -(-w // side) * side), cost.dtype)
+    padded[..., :h, :w] = cost
+    return padded.reshape(*rest, -(-h // side), side, -(-w // side), side).sum(axis=(-3, -1))
+
+
+def _predict(c: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Modes by block and what is left of the samples (height x width x 4)."""
+    h, width, _ = c.shape
+    x = c.astype(np.int16)
+    left, up, corner = np.roll(x, 1, axis=1), np.roll(x, 1, axis=0), np.roll(np.roll(x, 1, axis=0), 1, axis=1)
+    right = np.roll(up, -1, axis=1)
+    right[:, -1] = x[:, 0]
+    guesses = np.stack([np.broadcast_to(BLACK.astype(np.int16), x.shape), left, *(guess(corner, up, right) for guess in ABOVE.values())])
+    names = np.array([0, 1, *ABOVE])
+    away = (x - guesses).astype(np.int8)
+    best = _blocks(np.abs(away.astype(np.int16)).sum(axis=-1).astype(np.int64), block).argmin(axis=0)
+    wide = best.repeat(1 << block, 0).repeat(1 << block, 1)[:h, :width]
+    out = np.take_along_axis(away, wide[None, :, :, None], axis=0)[0].view(np.uint8)
+    out[0, 1:], out[1:, 0] = (x[0, 1:] - x[0, :-1]).astype(np.uint8), (x[1:, 0] - x[:-1, 0]).astype(np.uint8)
+    out[0, 0] = (x[0, 0] - BLACK).astype(np.uint8)
+    return names[best], np.ascontiguousarray(out)
+
+
+def _cross(c: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers by block (least squares, in 32nds) and what is left of the samples."""
+    h, width, _ = c.shape
+    blue, green, red = (c[..., k].view(np.int8).astype(np.int64) for k in (0, 1, 2))
+    square = np.maximum(_blocks(green * green, block), 1)
+    fit = lambda s: np.clip(np.rint(32 * s / square), -127, 127).astype(np.int64)
+    to_red, to_blue = fit(_blocks(green * red, block)), fit(_blocks(green * blue, block))
+    wide = lambda e: e.repeat(1 << block, 0).repeat(1 << block, 1)[:h, :width]
+    out = c.copy()
+    out[..., 2] = (red - ((wide(to_red) * green) >> 5)).astype(np.uint8)
+    out[..., 0] = (blue - ((wide(to_blue) * green) >> 5)).astype(np.uint8)
+    return (to_blue & 255) << 8 | (to_red & 255), out
+
+
+def encode(rgb: np.ndarray, block: int = 4) -> bytes:
     """A lossless WebP file of height x width x 3 samples."""
     height, width, _ = rgb.shape
     if not (0 < width <= MOST_SIDE and 0 < height <= MOST_SIDE):
         raise ValueError("the image is too large")
     w = _Writer()
-    w.write(0x2F, 8)
-    w.write(width - 1, 14)
-    w.write(height - 1, 14)
-    w.write(0, 1 + 3)  # no alpha, version 0
-    w.write(0, 3)  # no transform, no colour cache, no entropy image
-    flat = rgb.reshape(-1, 3)
-    fields, total = np.zeros(len(flat), np.uint32), 0
-    for channel, alphabet in ((1, 256 + 24), (0, 256), (2, 256)):
-        seen = np.zeros(256, bool)
-        seen[flat[:, channel]] = True
-        used = np.flatnonzero(seen)
-        k = (len(used) - 1).bit_length() if len(used) > 1 else 0
-        used = np.sort(np.concatenate((used, np.flatnonzero(~seen)[: (1 << k) - len(used)])))
-        _write_code(w, used, alphabet)
-        code = np.zeros(256, np.uint32)
-        code[used] = _reversed(k)
-        fields |= code[flat[:, channel]] << np.uint32(total)
-        total += k
-    _write_code(w, np.array([255]), 256)
-    _write_code(w, np.array([0]), 40)
-    head = np.unpackbits(np.frombuffer(w.value.to_bytes((w.n + 7) // 8, "little"), np.uint8), bitorder="little")[: w.n]
-    bits = np.unpackbits(fields.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :total]
-    body = np.packbits(np.concatenate((head, bits.reshape(-1))), bitorder="little").tobytes()
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 4)):  # no alpha, version 0
+        w.write(value, n)
+    c = np.full((height, width, 4), 255, np.uint8)
+    c[..., :3] = rgb[..., ::-1]
+    px = c.view("<u4").reshape(-1)
+    kind = zlib.crc32(rgb.tobytes()) & 3
+    colours = np.unique(px)
+    opaque = np.uint32(0xFF000000)
+    if kind & 1 and len(colours) <= 256:
+        packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        for value, n in ((1, 1), (3, 2), (len(colours) - 1, 8)):
+            w.write(value, n)
+        _write_image(w, np.diff(_split(colours), axis=0, prepend=np.zeros((1, 4), np.uint8)).view("<u4").reshape(-1), len(colours))
+        index = np.searchsorted(colours, px).astype(np.uint32).reshape(height, width)
+        index = np.pad(index, ((0, 0), (0, -width % (1 << packed)))).reshape(height, -1, 1 << packed)
+        index = (index << (np.arange(1 << packed, dtype=np.uint32) * np.uint32(8 >> packed))).sum(axis=2, dtype=np.uint32)
+        width = index.shape[1]
+        px = opaque | index.reshape(-1) << np.uint32(8)
+    elif kind == 2:
+        w.write(0b101, 3)  # subtract green
+        c[..., 0] -= c[..., 1]
+        c[..., 2] -= c[..., 1]
+        px = c.view("<u4").reshape(-1)
+    else:
+        fields, rest = _predict(c, block) if kind != 1 else _cross(c, block)
+        fields = fields << 8 if kind != 1 else fields
+        for value, n in ((1, 1), (int(kind == 1), 2), (block - 2, 3)):
+            w.write(value, n)
+        _write_image(w, opaque | fields.astype(np.uint32).reshape(-1), fields.shape[1])
+        px = rest.view("<u4").reshape(-1)
+    w.write(0, 1)  # no more transforms
+    _write_image(w, px, width, top=True)
+    body = w.bytes()
     body += b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
 
