@@ -212,6 +212,7 @@ def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
 
 #: Bits of which the steps are worked out at once, and bits that a step may reach beyond.
 CHUNK, REACH = 1 << 17, 128
+_EIGHT = np.arange(8, dtype=np.uint64)
 
 
 def _values(prefix: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,15 +233,16 @@ def _steps(bits: Bits, codes: list[Code], n: int) -> tuple[np.ndarray, np.ndarra
         first, shift = divmod(bits.at, 8)
         part = bits.data[first : first + (shift + size + REACH) // 8 + 2] + b"\0" * (REACH // 8 + 16)
         windows = np.ndarray(((shift + size + REACH) // 8 + 1,), "<u8", part, strides=(1,))
-        ahead = ((windows[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).reshape(-1)[shift : shift + size + REACH].astype(np.int64)
+        ahead = (windows[:, None] >> _EIGHT).view(np.int64).reshape(-1)[shift : shift + size + REACH]  # 57 bits or more from each bit on
         here = np.arange(size)
         k = ahead[:size] & ((1 << green.width) - 1)
         symbol, after = green.symbols[k], here + green.lengths[k]
         at = [after]
         for code in (red, blue, alpha):  # where the next channel begins
             at.append(at[-1] + code.lengths[ahead[at[-1]] & ((1 << code.width) - 1)] if code.width else at[-1])
-        then, count, distance = at[3].copy(), np.ones(size, np.int64), np.zeros(size, np.int64)
+        then, count, distance = at[3], np.broadcast_to(1, size), np.broadcast_to(0, size)
         if copies:
+            then, count, distance = then.copy(), np.ones(size, np.int64), np.zeros(size, np.int64)
             many = np.flatnonzero((symbol >= 256) & (symbol < 256 + 24))
             count[many], extra = _values(symbol[many] - 256, ahead[after[many]])
             to = after[many] + extra
@@ -552,15 +554,15 @@ class _Writer:
     def bytes(self) -> bytes:
         self._flush()
         out, left = [], np.zeros(0, np.uint8)
-        for values, sizes in self.parts:
-            for at in range(0, len(values), 100_000):
-                v, n = values[at : at + 100_000], sizes[at : at + 100_000]
-                begin = np.cumsum(n) - n
-                place = np.arange(int(n.sum())) - np.repeat(begin, n)
-                bits = np.concatenate((left, ((np.repeat(v, n) >> place.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)))
-                whole = len(bits) & ~7
-                out.append(np.packbits(bits[:whole], bitorder="little").tobytes())
-                left = bits[whole:]
+        values, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        for at in range(0, len(values), 100_000):
+            v, n = values[at : at + 100_000], sizes[at : at + 100_000]
+            upto = np.cumsum(n)
+            place = np.arange(upto[-1], dtype=np.uint64) - np.repeat((upto - n).astype(np.uint64), n)
+            bits = np.concatenate((left, ((np.repeat(v, n) >> place) & np.uint64(1)).astype(np.uint8)))
+            whole = len(bits) & ~7
+            out.append(np.packbits(bits[:whole], bitorder="little").tobytes())
+            left = bits[whole:]
         return b"".join(out) + np.packbits(left, bitorder="little").tobytes()
 
 
@@ -668,26 +670,27 @@ def _write_image(w: _Writer, px: np.ndarray, width: int, top: bool = False, cach
     symbol = channels[:, 1].astype(np.int64)
     if used:
         symbol[held] = 256 + 24 + slot[held]
-    start = np.zeros(n, bool)
-    start[copies[:, 0]] = True
-    length, length_bits, length_extra = _prefixes(copies[:, 1])
-    near = _near_codes(width)
-    code = np.array([near.get(d, d + 120) for d in copies[:, 2].tolist()], np.int64)
-    distance, distance_bits, distance_extra = _prefixes(code)
-    symbol[copies[:, 0]] = 256 + length
-    keep = free | start
+    keep, distance = free, np.zeros(0, np.int64)
+    if len(copies):
+        length, length_bits, length_extra = _prefixes(copies[:, 1])
+        near = _near_codes(width)
+        distance, distance_bits, distance_extra = _prefixes(np.array([near.get(d, d + 120) for d in copies[:, 2].tolist()], np.int64))
+        symbol[copies[:, 0]] = 256 + length
+        keep = free.copy()
+        keep[copies[:, 0]] = True
     green, green_n = _write_code(w, np.bincount(symbol[keep], minlength=256 + 24 + ((1 << cache_bits) if used else 0)))
     (red, red_n), (blue, blue_n), (alpha, alpha_n) = (_write_code(w, c) for c in plain[1:])
     far, far_n = _write_code(w, np.bincount(distance, minlength=40))
     value, size = green[symbol], green_n[symbol]
-    literal = free & ~held
     for k, codes, sizes in ((2, red, red_n), (0, blue, blue_n), (3, alpha, alpha_n)):
         if sizes.any():
             c = channels[:, k]
-            value = np.where(literal, value | codes[c] << size, value)
-            size = np.where(literal, size + sizes[c], size)
+            more, wider = codes[c] << size, sizes[c]
+            if used or len(copies):
+                more[~free | held], wider[~free | held] = 0, 0
+            value, size = value | more, size + wider
     at = copies[:, 0]
-    for v, m in ((length_bits, length_extra), (far[distance], far_n[distance]), (distance_bits, distance_extra)):
+    for v, m in ((length_bits, length_extra), (far[distance], far_n[distance]), (distance_bits, distance_extra)) if len(copies) else ():
         value[at] |= v << size[at]
         size[at] += m
     w.many(value[keep], size[keep])
@@ -734,7 +737,7 @@ def _cross(c: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return (to_blue & 255) << 8 | (to_red & 255), out
 
 
-def encode(rgb: np.ndarray, block: int = 4) -> bytes:
+def encode(rgb: np.ndarray, block: int = 6) -> bytes:
     """A lossless WebP file of height x width x 3 samples."""
     height, width, _ = rgb.shape
     if not (0 < width <= MOST_SIDE and 0 < height <= MOST_SIDE):

@@ -291,6 +291,66 @@ def test_round_trip_of_the_writer():
         assert (decode(encode(image))[..., :3] == image).all()
 
 
+def test_code_lengths_are_complete_and_short():
+    rng = np.random.default_rng(1)
+    for counts in (np.array([5]), np.array([0, 3, 9]), rng.integers(0, 50, 280), np.array([1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987, 1597, 2584, 4181]), np.zeros(4, np.int64)):
+        lengths = webp.code_lengths(counts)
+        used = lengths[lengths > 0]
+        assert used.max() <= webp.MOST_LENGTH and ((lengths > 0) == (counts > 0))[counts > 0].all()
+        assert len(used) == 1 or (2.0**-used).sum() == 1
+
+
+def test_the_query_goes_through_all_of_the_decoder(monkeypatch):
+    """On a whole small table: codes of uneven lengths, references, the cache, and each transform are written and undone."""
+    import pyarrow.parquet as pq
+
+    met = {"codes": 0, "references": 0, "cache": 0}
+
+    def seen(name, real, note=lambda a: None):
+        def call(*a):
+            met[name] = met.get(name, 0) + 1
+            note(a)
+            return real(*a)
+
+        monkeypatch.setattr(webp, name, call)
+
+    def group(a):
+        met["codes"] += any(c.width and len(set(c.lengths.tolist())) > 1 for c in a[1])
+        met["cache"] += a[4] > 0
+        met["references"] += bool((a[1][0].symbols >= 256).any())
+
+    seen("_one_group", webp._one_group, group)
+    seen("_unpredict", webp._unpredict)
+    seen("_uncross", webp._uncross)
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist():
+        image = image_of(payload_of((text or "").encode()))
+        assert (decode(encode(image))[..., :3] == image).all()
+    assert min(met.values()) >= 3 and {"_unpredict", "_uncross"} <= set(met)
+    kinds = {zlib.crc32(image_of(payload_of(b"t%d" % i)).tobytes()) & 3 for i in range(40)}
+    assert kinds == {0, 1, 2, 3}  # the palette for short texts, subtract-green
+
+
+def test_features(spark):
+    image = np.zeros((2, 64, 3), np.uint8)
+    image[:, ::2] = (10, 20, 30)
+    df = spark.createDataFrame([(1, 384, encode(image))], "doc_id long, n_bytes long, media binary")
+    assert media_report(df).first().feature == "64x2:5000:10000:15000:20000"
+
+
+def test_references_longer_than_the_most_and_texts_of_one_letter():
+    for text in (b"abc" * 70_000, b"x" * 50_000, b"abcdefg" * 9_000 + b"!" + b"abcdefg" * 9_000):
+        image = image_of(payload_of(text))
+        stored = encode(image)
+        assert (decode(stored)[..., :3] == image).all() and len(stored) < len(text) // 20
+
+
+def test_a_huge_image_of_few_bytes_is_an_error():
+    one = encode(np.zeros((16384, 64, 3), np.uint8))
+    assert len(one) < 5000
+    with pytest.raises(ValueError, match="more pixels"):
+        decode(one, most_pixels=1 << 16)
+
+
 def test_broken_files():
     good = encode(np.arange(192, dtype=np.uint8).reshape(1, 64, 3))
     for bad in (b"", b"RIFF", good[:30], good[: len(good) // 2], b"x" + good[1:]):
