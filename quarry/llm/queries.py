@@ -67,7 +67,7 @@ OP3_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first < page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (d)
+       CASE WHEN first < page_id THEN first END AS refers_to, 0::BIGINT AS gap_before FROM p LEFT JOIN f USING (d)
 """
 
 

@@ -1,14 +1,15 @@
 """WARC archives: a writer on Spark's text sink and a reader that salvages what can be read of damaged files.
 
-The reader takes whole archives (their size is bounded by the writer's ``records_per_file``) as rows of the ``binaryFile`` source. A file
-is a run of gzip members or plain records. Where a member doesn't inflate, or a record's version line, headers, length, closing blank
-lines or digests fail, the reader searches for the next place at which a valid member or version line starts, goes on there, and logs
-the bytes between as a quarantined gap.
+The reader takes whole archives (the writer bounds their size) as rows of the ``binaryFile`` source. A file is a run of gzip members and
+plain records, which are parsed one after the other. Only where a member doesn't inflate, or a record's version line, headers, length,
+closing blank lines or digests fail, the reader searches for the next place at which a whole member or a record that holds begins, goes on
+there, and logs the bytes between as a quarantined gap.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -106,76 +107,101 @@ def plain_records(data: bytes, base: int = 0) -> Iterator[Record | tuple[int, in
         at = following
 
 
-def member_at(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """What the gzip member at an offset holds and its length, if it is whole (its check sum and size hold)."""
-    inflate = zlib.decompressobj(31)
+def member_at(data: bytes, at: int, most: int) -> tuple[bytes | None, int] | None:
+    """What the gzip member at an offset holds and its length, if it is whole (its check sum and size hold).
+
+    It is inflated step by step; of more than ``most`` bytes only the end is found, and None stands for them.
+    """
+    inflate, out, n, end = zlib.decompressobj(31), [], 0, at
+    view = memoryview(data)
     try:
-        out = inflate.decompress(memoryview(data)[at:])
+        while not inflate.eof:
+            part = inflate.unconsumed_tail or view[end : end + 65536]
+            if not len(part):
+                return None
+            end += 0 if inflate.unconsumed_tail else len(part)
+            some = inflate.decompress(part, 1 << 20)
+            n += len(some)
+            if n <= most:
+                out.append(some)
+            else:
+                out.clear()
     except zlib.error:
         return None
-    return (out, len(data) - at - len(inflate.unused_data)) if inflate.eof else None
+    return b"".join(out) if n <= most else None, end - at - len(inflate.unused_data)
 
 
-def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """Records and gaps of an archive, compressed by member, plain or both. Offsets are those of the file."""
-    at = 0
+def salvage(data: bytes, most: int = 1 << 28) -> Iterator[Record | tuple[int, int, str]]:
+    """Records and gaps (start, end, reason) of an archive, compressed by member, plain or both. Offsets are those of the file.
+
+    A member that inflates to more than ``most`` bytes is a gap.
+    """
+    at, known = 0, None
     while at < len(data):
-        if data.startswith(MEMBER, at) and (member := member_at(data, at)):
-            inner, length = member
-            for x in plain_records(inner):
-                if isinstance(x, Record):
-                    x.offset, x.length = at, length
-                    yield x
-                else:
-                    yield at, at + length, f"in a member: {x[2]}"
-            at += length
-            continue
-        if VERSION.match(data, at):
-            end, held = data.find(MEMBER, at), None  # plain records go up to the next whole member
-            while end >= 0 and (held := member_at(data, end)) is None:
-                end = data.find(MEMBER, end + 1)
-            stop = end if held else len(data)
-            if held and isinstance(first := parse_record(data, at), Record) and at + first.length > stop:
-                stop = len(data)  # the member lies within a record's block
-            yield from plain_records(data[at:stop], at)
-            at = stop
-            continue
-        following, why = at, "a member is damaged" if data.startswith(MEMBER, at) else "neither a member nor a version line"
-        while True:
+        if data.startswith(MEMBER, at):
+            member = known or member_at(data, at, most)
+            known = None
+            if member:
+                inner, length = member
+                if inner is None:
+                    yield at, at + length, f"a member of more than {most} bytes"
+                for x in plain_records(inner or b""):
+                    if isinstance(x, Record):
+                        x.offset, x.length = at, length
+                        yield x
+                    else:
+                        yield at, at + length, f"in a member: {x[2]}"
+                at += length
+                continue
+            why = "a member is damaged"
+        else:
+            found = parse_record(data, at)
+            if isinstance(found, Record):
+                yield found
+                at += found.length
+                continue
+            why = found
+        following = at
+        while True:  # the next place at which a member or a record holds
             m = VERSION.search(data, following + 1)
             nexts = [x for x in (data.find(MEMBER, following + 1), m.start() if m else -1) if x >= 0]
             following = min(nexts, default=len(data))
-            if not nexts or (member_at(data, following) if data.startswith(MEMBER, following) else isinstance(parse_record(data, following), Record)):
+            if not nexts or (known := member_at(data, following, most) if data.startswith(MEMBER, following) else None):
+                break
+            if not data.startswith(MEMBER, following) and isinstance(parse_record(data, following), Record):
                 break
         yield at, following, why
         at = following
 
 
-READ = "path string, offset long, length long, gap string, warc_type string, record_id string, target_uri string, refers_to_id string, payload_digest string, payload_bytes long, payload_sha256 string, payload binary"
+READ = "path string, offset long, length long, gap string, gap_before long, warc_type string, record_id string, target_uri string, refers_to_id string, payload_digest string, payload_bytes long, payload_sha256 string, payload binary"
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payloads: bool = True, most: int = 1 << 28) -> DataFrame:
     """Records of all archives under ``path``, and a row with ``gap`` (the reason) for each quarantined range of bytes.
 
-    ``payload_bytes`` and ``payload_sha256`` come from the bytes read; a revisit has none of its own, and there they are what its headers
-    state. An empty file gives no row. With ``payloads=False`` the payload column is null.
+    ``gap_before`` of a record counts the quarantined bytes since the record before it. ``payload_bytes`` and ``payload_sha256`` come from
+    the bytes read; a revisit has none of its own, and there they are what its headers state. An empty file gives no row. With
+    ``payloads=False`` the payload column is null. Members that inflate to more than ``most`` bytes are gaps.
     """
 
     def of(batches):
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                rows, size = [], 0
-                for x in salvage(content.as_py() or b""):
+                rows, size, lost = [], 0, 0
+                for x in salvage(content.as_py() or b"", most):
                     if isinstance(x, tuple):
-                        rows.append((name.as_py(), x[0], x[1] - x[0], x[2], *[None] * 8))
+                        rows.append((name.as_py(), x[0], x[1] - x[0], x[2], *[None] * 9))
+                        lost += x[1] - x[0]
                     else:
                         h, body = x.headers, x.payload
                         stated = sha256_of(h.get("warc-payload-digest", "")) or b""
                         again = h.get("warc-type") == "revisit"
                         n = int(h["warc-payload-length"]) if again and h.get("warc-payload-length", "").isdigit() else None if again else len(body)
                         digest = stated.hex() or None if again else hashlib.sha256(body).hexdigest()
-                        rows.append((name.as_py(), x.offset, x.length, None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), n, digest, body if payloads else None))
+                        rows.append((name.as_py(), x.offset, x.length, None, lost, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), n, digest, body if payloads else None))
                         size += len(body) * payloads
+                        lost = 0
                     if size > 8_000_000 or len(rows) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=NAMES)
                         rows, size = [], 0
@@ -191,10 +217,10 @@ TYPES = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.sp
 
 
 def record_types(digests: DataFrame, least: int) -> DataFrame:
-    """(page_id, refers_to) of the pages (page_id, n, digest) whose payload of ``least`` bytes or more a smaller page_id has as well."""
+    """(page_id, digest, refers_to) of the payloads (page_id, n, digest) of ``least`` bytes or more that a smaller page_id has as well."""
     large = digests.where(F.col("n") >= least)
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    return large.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to")
+    return large.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def records_for(digests: DataFrame, bytes_per_file: int = 64_000_000, most_bytes: int = 1_000_000_000) -> int:
@@ -203,17 +229,42 @@ def records_for(digests: DataFrame, bytes_per_file: int = 64_000_000, most_bytes
     return max(1, min(10_000, int(bytes_per_file / (1000 + (mean or 0))), int(most_bytes / (1000 + (most or 0)))))
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 100, records_per_file: int | None = None, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write a record per row of ``pages`` (page_id, url, html; others are ignored) below ``path``.
+#: A gzip member ends with its size, of which the last byte is 0 below 16 MB; that byte is written as the separator of lines. Larger
+#: members get an empty one behind them, which ends so too.
+EMPTY = gzip.compress(b"", mtime=0)
+
 
-    Of records with equal payloads of ``least`` bytes or more, that with the smallest page_id is a response, the others are revisits
-    without a payload. A null html is an empty payload, a null url an empty address. Rows that repeat a page_id are each written.
-    Archives hold about 64 MB, and 1 GB at most, unless ``records_per_file`` is given.
+def _members(records: DataFrame) -> DataFrame:
+    """``records`` (value string) as gzip members without their last byte."""
+
+    def of(batches):
+        for batch in batches:
+            out, size = [], 0
+            for x in batch.column("value"):
+                member = gzip.compress(x.as_buffer(), 6, mtime=0)
+                out.append(member[:-1] if member[-1] == 0 else member + EMPTY[:-1])
+                size += len(out[-1])
+                if size > 8_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                    out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    return records.select(F.col("value").cast("binary")).mapInArrow(of, "value binary").select(F.col("value").cast("string"))
+
+
+def write_warc(pages: DataFrame, path: str, least: int = 100, records_per_file: int | None = None, date: str = "2024-01-01T00:00:00Z", members: bool = True) -> None:
+    """Write a record per row of ``pages`` (page_id, url, html; others are ignored) below ``path``, each a gzip member, or plain.
+
+    Of records with equal payloads of ``least`` bytes or more, those with the smallest page_id are responses, the others are revisits
+    without a payload. A null html is an empty payload, a null url an empty address; without a page_id a row is a response whose record has
+    no number. Rows that repeat a page_id are each written. An archive holds about 64 MB of records, and 1 GB at most, unless
+    ``records_per_file`` is given. An empty table gives no record.
     """
-    pages = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
-    digests = cut(pages.select("page_id", F.octet_length("payload").alias("n"), F.sha2(F.col("payload").cast("binary"), 256).alias("digest")), "digests")
+    body = F.coalesce("html", F.lit(""))
+    pages = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", "").alias("url"), body.alias("payload"), F.sha2(body.cast("binary"), 256).alias("digest"))
+    digests = cut(pages.select("page_id", F.octet_length("payload").alias("n"), "digest"), "digests")
     again = cut(record_types(digests, least), "revisits")
-    rows = pages.join(small(again.distinct()), "page_id", "left")
+    rows = pages.join(small(again), ["page_id", "digest"], "left")
     crlf = "\r\n"
     n = F.octet_length("payload")
     revisit = F.col("refers_to").isNotNull()
@@ -223,10 +274,10 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, records_per_file:
         crlf,
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">")),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
-        F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.sha2(F.col("payload").cast("binary"), 256)),
+        F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.when(revisit, F.concat(F.lit("WARC-Payload-Length: "), n.cast("string"))),
@@ -236,20 +287,35 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, records_per_file:
         F.col("b"),
         F.lit(""),
     )
-    rows.withColumn("b", block).select(record.alias("value")).write.option("lineSep", crlf).option("maxRecordsPerFile", records_per_file or records_for(digests)).text(path)
+    lines = rows.withColumn("b", block).select(record.alias("value"))
+    lines = _members(lines.select(F.concat("value", F.lit(crlf)).alias("value"))) if members else lines
+    lines.write.option("lineSep", "\0" if members else crlf).option("maxRecordsPerFile", records_per_file or records_for(digests)).text(path)
 
 
-def archived_pages(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` as archives in the shared folder and read them back; a row per record."""
-    spark = pages.sparkSession
-    path = shared_path(spark, "warc")
-    write_warc(pages, path)
-    back = read_warc(spark, path, payloads=False)
-    page = lambda c: F.regexp_extract(c, "urn:page:(-?[0-9]+)", 1)
-    return back.where("gap is null").select(
-        page("record_id").cast("long").alias("page_id"),
+def pages_of(records: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and gap_before of the records that ``read_warc`` could read."""
+    page = lambda c: F.nullif(F.regexp_extract(c, "urn:page:(-?[0-9]+)", 1), F.lit("")).cast("long")
+    return records.where("gap is null").select(
+        page("record_id").alias("page_id"),
         "payload_bytes",
         F.col("payload_sha256").alias("payload_digest"),
         F.col("warc_type").alias("record_type"),
-        F.when(F.col("refers_to_id").isNotNull(), page("refers_to_id").cast("long")).alias("refers_to"),
+        F.when(F.col("refers_to_id").isNotNull(), page("refers_to_id")).alias("refers_to"),
+        "gap_before",
     )
+
+
+def quarantine(records: DataFrame) -> DataFrame:
+    """The log of what ``read_warc`` couldn't read: path, offset, length and the reason."""
+    return records.where("gap is not null").select("path", "offset", "length", "gap")
+
+
+def archived_pages(pages: DataFrame) -> DataFrame:
+    """Write ``pages`` as archives in the shared folder and read them back; a row per record, as ``pages_of`` gives it.
+
+    All that was read stays as a table there, gaps included; a record behind a gap names the bytes lost before it.
+    """
+    spark = pages.sparkSession
+    path = shared_path(spark, "warc")
+    write_warc(pages, path)
+    return pages_of(cut(read_warc(spark, path, payloads=False), "warc-records"))

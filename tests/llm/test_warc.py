@@ -1,8 +1,10 @@
 import gzip
 import hashlib
 import random
+from pathlib import Path
 
-from quarry.llm.warc import Record, archived_pages, read_warc, salvage, write_warc
+from quarry.llm import warc
+from quarry.llm.warc import Record, archived_pages, pages_of, quarantine, read_warc, salvage, write_warc
 
 
 def record(n, body, kind="response", good=True):
@@ -73,7 +75,66 @@ def test_round_trip(spark, tmp_path):
         first = html.index(h)
         again = len(body) >= 100 and first != i
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == (len(body), hashlib.sha256(body).hexdigest(), "revisit" if again else "response", first if again else None)
-    write_warc(df, str(tmp_path / "w"), records_per_file=2)
-    back = read_warc(spark, str(tmp_path / "w")).where("warc_type = 'response'").collect()
-    assert {bytes(r.payload).decode() for r in back} == {h or "" for h in html}
+    for members in (True, False):
+        write_warc(df, str(tmp_path / f"w{members}"), records_per_file=2, members=members)
+        back = read_warc(spark, str(tmp_path / f"w{members}")).where("warc_type = 'response'").collect()
+        assert {bytes(r.payload).decode() for r in back} == {h or "" for h in html}
+        for file in (tmp_path / f"w{members}").glob("part-*"):  # others can read the files too
+            raw = gzip.decompress(file.read_bytes()) if members else file.read_bytes()
+            assert raw[:10] == b"WARC/1.1\r\n" and raw.endswith(b"\r\n\r\n")
     assert archived_pages(df.limit(0)).count() == 0
+
+
+def test_repeated_and_missing_page_ids(spark):
+    a, b, c = ("a" * 200, "b" * 200, "c" * 200)
+    rows = [(1, a), (2, c), (5, a), (5, b), (5, c), (5, b), (None, a), (None, b), (7, b)]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = sorted(((r.page_id, r.payload_digest, r.refers_to) for r in archived_pages(df).collect()), key=repr)
+    again = {(5, a): 1, (5, c): 2, (7, b): 5}
+    assert got == sorted(((i, sha(h), again.get((i, h))) for i, h in rows), key=repr)
+
+
+def test_a_member_in_a_later_block_is_no_record():
+    data = record(0, b"plain") + record(1, b"x" + gzip.compress(record(9, b"inner")) + b"y") + record(2, b"z")
+    found = list(salvage(data))
+    assert ids(found) == list("012") and not gaps(found)
+
+
+def test_members_that_inflate_too_far():
+    big = gzip.compress(record(1, b"\0" * 3_000_000))
+    data = gzip.compress(record(0, b"a")) + big + gzip.compress(record(2, b"b"))
+    found = list(salvage(data, 1_000_000))
+    at = len(gzip.compress(record(0, b"a")))
+    assert ids(found) == ["0", "2"] and gaps(found) == [(at, at + len(big), "a member of more than 1000000 bytes")]
+    assert ids(salvage(data)) == list("012")
+
+
+def test_large_members_end_with_an_empty_one(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "big " * 5_000_000), (2, "u", "small")], "page_id long, url string, html string").coalesce(1)
+    write_warc(df, str(tmp_path / "w"))
+    assert {(r.page_id, r.payload_bytes) for r in pages_of(read_warc(spark, str(tmp_path / "w"), payloads=False)).collect()} == {(1, 20_000_000), (2, 5)}
+
+
+def test_a_damaged_archive_in_the_querys_path(spark, monkeypatch):
+    """The archives are damaged between writing and reading: what is whole comes back, and the gap is logged."""
+    real = warc.write_warc
+
+    def damaged(pages, path):
+        real(pages, path)
+        [file] = Path(path).glob("part-*")
+        data = bytearray(file.read_bytes())
+        at = data.index(warc.MEMBER, 40)  # the second member
+        data[at + 30] ^= 0xFF
+        file.write_bytes(bytes(data))
+        for crc in Path(path).glob(".*.crc"):
+            crc.unlink()
+
+    monkeypatch.setattr(warc, "write_warc", damaged)
+    read = []
+    cut = warc.cut
+    monkeypatch.setattr(warc, "cut", lambda df, name: read.append(cut(df, name)) or read[-1])
+    df = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 40) for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.gap_before for r in archived_pages(df).collect()}
+    [gap] = quarantine(read[-1]).collect()
+    assert set(got) == {0, 2, 3, 4} and got[2] == gap.length > 0 and got[3] == 0 and gap.gap == "a member is damaged"
