@@ -105,6 +105,18 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def running(values: Column, combine, none: Column) -> Column:
+    """The running totals of an array under ``combine``, for which ``none`` changes nothing, by doubling steps: no array grows entry by entry."""
+    n = F.size(values)
+    steps = F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def double(x: Column, k: Column) -> Column:
+        shift = F.pow(F.lit(2), k).cast("int")
+        return F.zip_with(x, F.concat(F.array_repeat(none, shift), F.slice(x, F.lit(1), F.greatest(n - shift, F.lit(0)))), combine)
+
+    return F.aggregate(steps, values, double)
+
+
 # --- byte kernel -------------------------------------------------------------------------------------------------------
 
 SPACE = np.zeros(256, bool)

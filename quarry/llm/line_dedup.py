@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, numbered, scope, small
+from quarry.llm.common import cut, numbered, running, scope, small
 
 
 @dataclass(frozen=True)
@@ -81,15 +81,7 @@ def _keys_without_one(here: Column, before: Column) -> Column:
     n = F.size(here)
     first = _xor(F.slice(before, F.lit(2), F.greatest(n, F.lit(1))))  # without the first word
     change = F.zip_with(F.slice(here, F.lit(1), n - 1), F.slice(before, F.lit(2), F.greatest(n, F.lit(1))), lambda x, y: x.bitwiseXOR(y))
-    keys = F.concat(F.array(first), change)
-    steps = F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    none = F.lit(0).cast("long")
-
-    def double(x: Column, k: Column) -> Column:
-        shift = F.pow(F.lit(2), k).cast("int")
-        return F.zip_with(x, F.concat(F.array_repeat(none, shift), F.slice(x, F.lit(1), F.greatest(n - shift, F.lit(0)))), lambda a, b: a.bitwiseXOR(b))
-
-    return F.aggregate(steps, keys, double)
+    return running(F.concat(F.array(first), change), lambda a, b: a.bitwiseXOR(b), F.lit(0).cast("long"))
 
 
 def _near(a: Column, b: Column) -> Column:
