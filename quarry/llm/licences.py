@@ -38,6 +38,24 @@ SENTENCES = [
     ("MPLLic:$1", "(?:this source code form is subject to the terms of|(?:licensed|released|distributed|available) under (?:the terms of )?)(?: )?the mozilla public licen[cs]e (?:v |version )?([0-9.]+)"),
     ("ISCLic", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
     ("BoostLic:$1", "distributed under the boost software license version ([0-9.]+)"),
+    ("MITLic", "(?:licensed|released|distributed|available) under (?:the terms of )?the (?:mit|expat) licen[cs]e see .*"),
+    ("ApacheTitle:$1", "apache license version ([0-9.]+) january 2004.*"),
+    ("GPLTitle:$1:$2", "gnu (lesser general|library general|affero general|general) public licen[cs]e version ([0-9.]+)(?: [0-9]+)? [a-z]+ [0-9]+"),
+    ("GPLOnly:$1:$2", "(?:this program|this library|it) is free software you can redistribute it and or modify it under the terms of the gnu (lesser general|affero general|general) public licen[cs]e version ([0-9.]+) (?:only )?as published by the free software foundation"),
+    ("GPLOnly:$1:$2", "(?:this program|this library|it) is free software you can redistribute it and or modify it under the terms of the gnu (lesser general|affero general|general) public licen[cs]e as published by the free software foundation version ([0-9.]+) of the licen[cs]e(?: only)?"),
+    ("MPLTitle:$1", "mozilla public licen[cs]e version ([0-9.]+)"),
+    ("EPLLic:$1", "(?:this program and the accompanying materials are made available|licensed|released|distributed|available) under (?:the terms of )?the eclipse public licen[cs]e (?:v |v|version )?([0-9.]+)(?: which .*)?"),
+    ("EPLTitle:$1", "eclipse public licen[cs]e (?:v |version )([0-9.]+)"),
+    ("CDDLLic", "the contents of this file are subject to the terms of (?:either )?the common development and distribution licen[cs]e.*"),
+    ("CDDLTitle:$1", "common development and distribution licen[cs]e cddl version ([0-9.]+)"),
+    ("ZlibWarranty", "this software is provided as is without any express or implied warranty"),
+    ("ZlibLiable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("ZlibPermission", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions.*"),
+    ("ArtisticLic:$1", "(?:licensed|released|distributed|available) under (?:the terms of )?the artistic licen[cs]e (?:v |version )?([0-9.]+)"),
+    ("ArtisticTitle:$1", "the artistic licen[cs]e ([0-9.]+)(?: copyright .*)?"),
+    ("PerlTerms", "(?:this program|this library|this module|it) is free software you can redistribute it and or modify it under the same terms as perl itself"),
+    ("WTFPLTitle", "do what the fuck you want to public licen[cs]e version 2.*"),
+    ("WTFPLLic", "(?:licensed|released|distributed|available) under (?:the terms of )?the (?:wtfpl|do what the fuck you want to public licen[cs]e).*"),
     ("Unlicense", "this is free and unencumbered software released into the public domain"),
     ("PublicDomain", "(?:released|placed) (?:into|in) the public domain"),
     ("AllRights", "(?:.* )?all rights reserved"),
@@ -57,11 +75,25 @@ RULES = [
     ("AGPL-$1-or-later", "GPLVerPlus:affero general:([^:\\n]+)\\n"),
     ("LGPL-$1-or-later", "GPLVerPlus:lesser general:([^:\\n]+)\\n"),
     ("GPL-$1-or-later", "GPLVerPlus:general:([^:\\n]+)\\n"),
+    ("AGPL-$1-only", "GPLOnly:affero general:([^\\n]+)\\n(?:GPLNoWarranty\\n)?(?:GPLCopy\\n)?"),
+    ("LGPL-$1-only", "GPLOnly:lesser general:([^\\n]+)\\n(?:GPLNoWarranty\\n)?(?:GPLCopy\\n)?"),
+    ("GPL-$1-only", "GPLOnly:general:([^\\n]+)\\n(?:GPLNoWarranty\\n)?(?:GPLCopy\\n)?"),
+    ("Apache-$1", "ApacheTitle:([^\\n]+)\\n"),
+    ("AGPL-$1", "GPLTitle:affero general:([^\\n]+)\\n"),
+    ("LGPL-$1", "GPLTitle:(?:lesser|library) general:([^\\n]+)\\n"),
+    ("GPL-$1", "GPLTitle:general:([^\\n]+)\\n"),
+    ("EPL-$1", "EPL(?:Lic|Title):([^\\n]+)\\n"),
+    ("CDDL-$1", "CDDLTitle:([^\\n]+)\\n"),
+    ("CDDL", "CDDLLic\\n(?:ApacheUse\\n)?"),
+    ("Zlib", "(?:ZlibWarranty\\n)?(?:ZlibLiable\\n)?ZlibPermission\\n"),
+    ("Artistic-$1", "Artistic(?:Lic|Title):([^\\n]+)\\n"),
+    ("Artistic-1.0-Perl OR GPL-1.0-or-later", "PerlTerms\\n"),
+    ("WTFPL", "WTFPL(?:Lic|Title)\\n"),
     ("BSD-3-Clause", "BSDRedist\\nBSDSource\\nBSDBinary\\nBSDEndorse\\n(?:BSDWarranty\\n)?"),
     ("BSD-2-Clause", "BSDRedist\\nBSDSource\\nBSDBinary\\n(?:BSDWarranty\\n)?"),
     ("BSD-$1-Clause", "BSDLic:([^\\n]+)\\n"),
     ("MIT", "MITLic\\n|MITPermission\\n(?:MITNotice\\n)?(?:MITWarranty\\n)?"),
-    ("MPL-$1", "MPLLic:([^\\n]+)\\n"),
+    ("MPL-$1", "MPL(?:Lic|Title):([^\\n]+)\\n"),
     ("CC-$1-$2", "CC:([^:\\n]+):([^\\n]+)\\n"),
     ("CC0-1.0", "CC0\\n"),
     ("ISC", "ISCLic\\n(?:MITWarranty\\n)?"),
@@ -73,7 +105,7 @@ RULES = [
 ]
 
 #: A sentence without any of these can be none of the above.
-HINT = "licen[cs]|permission|warrant|redistribut|copyright|public domain|rights reserved|free software|neither the name|copy of the gnu|cc0|creative commons"
+HINT = "licen[cs]|perl itself|held liable|permission|warrant|redistribut|copyright|public domain|rights reserved|free software|neither the name|copy of the gnu|cc0|creative commons"
 END = "[!?]+|\\.(?:[\\x20\\x09-\\x0D]+|$)|\\n[\\x20\\x09-\\x0D#*/]*\\n"
 JUNK = "[^a-z0-9.]+|\\.(?:[^a-z0-9]+|$)"
 

@@ -25,6 +25,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents at Jaccard similarity 0.85 or more on 5-word shingles. Null and empty texts are alone; equal rows share a component. An empty table gives an empty result; very long texts and clashing columns are no special case."""
     found = near_duplicates(table(spark, sf_dir, "documents"), NearDedup(words=5, similar=85))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
@@ -42,6 +43,7 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that an equal or near-equal earlier line makes superfluous. Null texts stay null; rows that repeat a doc_id are their own. An empty table gives an empty result; very long texts and clashing columns are no special case."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), LineDedup(min_words=3, fuzzy_words=8))
 
 
@@ -60,6 +62,7 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '
 """
 
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as gzip members of WARC archives and read back by the salvage reader. A null html is empty; equal rows are all records. An empty table gives an empty result; very long texts and clashing columns are no special case."""
     return archived_pages(table(spark, sf_dir, "pages"))
 
 
@@ -72,6 +75,7 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first < page_
 
 
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences and the licences that rules read from them. Null and empty texts have none; equal rows have equal answers. An empty table gives an empty result; very long texts and clashing columns are no special case."""
     return licences(table(spark, sf_dir, "documents"))
 
 
@@ -81,26 +85,32 @@ OTHER, BLOCK_BYTES, SEED = 2, 65536, 17
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block, slot, release, deadline and place of each document in the mix. Null texts count as one byte; equal rows have equal places. An empty table gives an empty result; very long texts and clashing columns are no special case."""
     return mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), WEIGHTS, OTHER, BLOCK_BYTES, SEED)
 
 
 def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 23 of nearly equal bytes, equal texts together. Null texts count as empty; equal rows get slots of their own. An empty table gives an empty result; very long texts and clashing columns are no special case."""
     return sharded(table(spark, sf_dir, "documents"), shards=24)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets by pattern and by character models. Null and empty texts have none; equal rows have equal answers. An empty table gives an empty result; very long texts and clashing columns are no special case."""
     return secrets.secret_report(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
 
 
 def op6_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as lossless WebP images, decoded again: digests and features. Null texts are empty; equal texts have equal streams. An empty table gives an empty result; very long texts and clashing columns are no special case."""
     return media_report(to_media(table(spark, sf_dir, "documents")))
 
 
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdicts of the quality rules. Null and empty texts have no words and aren't kept; equal rows have equal answers. An empty table gives an empty result; very long texts and clashing columns are no special case."""
     return quality(table(spark, sf_dir, "documents"))
 
 
 def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of tokenised documents in windows of 2048. Null and empty texts are the end id alone; equal rows are packed each. An empty table gives an empty result; very long texts and clashing columns are no special case."""
     return packed(table(spark, sf_dir, "documents"), window=2048, end_id=1)
 
 

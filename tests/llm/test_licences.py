@@ -85,3 +85,67 @@ def test_standard_headers(spark):
     df = spark.createDataFrame(list(enumerate(HEADERS)), "doc_id long, text string")
     got = {r.doc_id: r.licences for r in licences(df).collect()}
     assert [got[i] for i in range(len(HEADERS))] == list(HEADERS.values())
+
+
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.
+"""
+ISC = 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.\n'
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation.
+
+"""
+BSD3 = BSD2 + """3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software.
+
+"""
+#: Public notices and the heads of licence files, with what they mean, written down by hand.
+NOTICES = {
+    "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS\n": "Apache-2.0",
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n": "GPL-3",
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n": "GPL-2",
+    "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n": "LGPL-3",
+    "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n": "AGPL-3",
+    "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n": "MPL-2.0",
+    "Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM": "EPL-2.0",
+    "/* All rights are as follows. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at\n * http://www.eclipse.org/legal/epl-v10.html */": "EPL-1.0",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License.": "CDDL",
+    "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0\n\n1. Definitions.\n": "CDDL-1.0",
+    ZLIB: "Zlib",
+    ISC: "ISC",
+    BSD2: "BSD-2-Clause",
+    BSD3: "BSD-3-Clause",
+    "                 The Artistic License 2.0\n\n           Copyright (c) 2000-2006, The Perl Foundation.\n": "Artistic-2.0",
+    "This library is free software; you can redistribute it and/or modify\nit under the same terms as Perl itself.\n": "Artistic-1.0-Perl OR GPL-1.0-or-later",
+    "            DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n                    Version 2, December 2004\n\n": "WTFPL",
+    " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License version 2 as\n * published by the Free Software Foundation.\n": "GPL-2-only",
+    "Licensed under the GNU Affero General Public License v3.0.": "AGPL-3.0-only",
+    "Distributed under the MIT license (see LICENSE).": "MIT",
+    "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)": "BSL-1.0",
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy": "Unlicense",
+    "This work is dedicated to the public domain under the CC0 1.0 Universal license.": "CC0-1.0",
+    "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-ATTRIBUTION-SHAREALIKE-4.0",
+    "You may get the drug only with a prescription and a driving permit.": "",
+}
+
+
+def test_public_notices(spark):
+    df = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.sentence_ids) for r in licences(df).collect()}
+    wrong = {i: (text, want, got[i]) for i, (text, want) in enumerate(NOTICES.items()) if got[i][0] != want}
+    assert not wrong
+

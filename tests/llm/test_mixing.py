@@ -38,3 +38,10 @@ def test_whole_and_edge_cases(spark):
 def test_a_small_weight_and_no_names(spark):
     df = spark.createDataFrame([(i, "t", "s") for i in range(10)], "doc_id long, text string, source string")
     assert mixed(df, {}, other=3, block_bytes=4).count() == 10
+
+
+def test_rows_without_an_id_are_spread_by_their_text(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "a") for i in range(400)], "doc_id long, text string, source string")
+    for with_text in (True, False):
+        got = mixed(df, {"a": 1}, other=1, block_bytes=50, with_text=with_text).collect()
+        assert len(got) == 400 and len({r.place for r in got}) == 400 and len({r.slot for r in got}) > 50

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm.sharding import cuts, sharded
 
@@ -45,3 +46,20 @@ def test_shards(spark):
     assert set(by) <= set(range(24)) and all(sorted(s) == list(range(len(s))) for s in by.values()) and all(len(g) == 1 for g in groups.values())
     assert max(sizes.values()) <= sum(sizes.values()) / 24 + max(900 * 20, 10_008)
     assert sharded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shards_equal_a_plain_filling(spark):
+    """Groups in the order of their hashes fill shards up to the smallest capacity, one after the other."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    units = {r.doc_id: (r.u, r.n) for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 49).alias("u"), (F.octet_length(F.coalesce("text", F.lit(""))) + 8).alias("n")).collect()}
+    sizes = {}
+    for u, n in units.values():
+        sizes[u] = sizes.get(u, 0) + n
+    order = sorted(sizes)
+    capacity, shard, load, where = least_capacity([sizes[u] for u in order], 24), 0, 0, {}
+    for u in order:
+        if load + sizes[u] > capacity:
+            shard, load = shard + 1, 0
+        load += sizes[u]
+        where[u] = shard
+    assert {r.doc_id: r.shard for r in sharded(docs).collect()} == {i: where[u] for i, (u, _) in units.items()}
