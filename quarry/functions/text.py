@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 # Words that carry no meaning for search.
 STOP_WORDS = """
@@ -41,15 +40,23 @@ def tokenize(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
-def top_keywords(df: DataFrame, keys: list[str], text: str, limit: int = 5, name: str = "keywords") -> DataFrame:
-    """(keys, name): the most frequent significant words of each row, by count, then by word; an empty array where there are none.
+def keywords_of(text: Column, limit: int = 5) -> Column:
+    """The most frequent significant words of a text, by count, then by word; an empty array where there are none.
 
-    ``keys`` identify a row. Words are counted before the shuffle; what is ranked is the vocabulary of one row.
+    In a sorted array a word's run ends where the next word differs; runs are ranked by their lengths. So nothing is shuffled.
     """
-    words = df.select(*keys, F.explode(tokens(F.col(text))).alias("__w")).groupBy(*keys, "__w").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = words.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("__n"), "__w"))).where(F.col("__r") <= limit)
-    best = ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__w"))), lambda s: s["__w"]).alias(name))
-    return df.select(*keys).join(best, keys, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+
+    def ranked(words: Column) -> Column:
+        ends = F.filter(F.transform(words, lambda w, i: F.when(~w.eqNullSafe(F.get(words, i + 1)), i + 1)), lambda i: i.isNotNull())
+        runs = F.zip_with(ends, F.concat(F.array(F.lit(0)), ends), lambda e, b: F.struct((b - e).alias("n"), F.get(words, e - 1).alias("w")))
+        return F.transform(F.slice(F.array_sort(F.filter(runs, lambda r: r["n"].isNotNull())), 1, limit), lambda r: r["w"])
+
+    return F.get(F.transform(F.array(F.array_sort(tokens(text))), ranked), F.lit(0))  # the sorted words are made once
+
+
+def top_keywords(df: DataFrame, keys: list[str], text: str, limit: int = 5, name: str = "keywords") -> DataFrame:
+    """(keys, name): the keywords of each row."""
+    return df.select(*keys, keywords_of(F.col(text), limit).alias(name))
 
 
 def keyword_list(text: Column, automatic: Column) -> Column:
@@ -58,6 +65,17 @@ def keyword_list(text: Column, automatic: Column) -> Column:
     return F.when(F.coalesce(trim_blanks(text), F.lit("")) == "", automatic).otherwise(parts)
 
 
+def suggested_keywords(text: Column, limit: int = 5) -> Column:
+    """Keywords as they are suggested while a text is typed: none up to ten characters."""
+    trimmed = trim_space(text)
+    return keywords_of(F.when(F.length(trimmed) > 10, trimmed), limit)
+
+
+def keyword_preview(keywords: Column, n: int = 3) -> Column:
+    """The first few keywords."""
+    return F.slice(keywords, 1, n)
+
+
 def strip_html(html: Column) -> Column:
     """Text of HTML by plain replacements, in order and with regard to case; ``&amp;lt;`` becomes ``<`` as ampersands come first."""
     for pattern, by in HTML_STEPS:
@@ -103,6 +121,5 @@ def fact_lines(df: DataFrame, key: str, text: str, limit: int = 5) -> DataFrame:
     form = "^\\[([^\\]]*)\\]([\\s\\S]*)$"
     marked = F.col("__l").rlike(form)
     listed = lines.where(marked).select(key, "line", trim_blanks(F.regexp_extract("__l", form, 2)).alias("content"), keyword_list(F.regexp_extract("__l", form, 1), F.array().cast("array<string>")).alias("keywords"))
-    free = lines.where(~marked).select(key, "line", F.col("__l").alias("content"))
-    free = free.join(top_keywords(free, [key, "line"], "content", limit), [key, "line"])
+    free = lines.where(~marked).select(key, "line", F.col("__l").alias("content"), keywords_of(F.col("__l"), limit).alias("keywords"))
     return listed.unionByName(free).where((F.col("content") != "") & (F.size("keywords") > 0))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructType
 
 
 def literal(vector) -> Column:
@@ -50,16 +53,52 @@ def mean_pooled(vectors: Column) -> Column:
     return F.when((F.size(vectors) > 0) & (magnitude(total) > 0), normalized(total))
 
 
-@F.pandas_udf(BinaryType())
-def to_bytes(v: pd.Series) -> pd.Series:
-    """Little-endian doubles."""
-    return v.map(lambda x: None if x is None else np.asarray(x, "<f8").tobytes())
+def matrix_rows(rows: DataFrame, vector: str, dimension: int) -> DataFrame:
+    """``rows`` with a vector of this dimension, as floats of length 1 (a zero vector stays as it is)."""
+    return rows.where(usable(F.col(vector), dimension)).withColumn(vector, normalized(F.col(vector)).cast("array<float>"))
+
+
+def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, vector): the normalised mean of each key's vectors; sums are made before the shuffle."""
+    means = rows.select(key, F.posexplode(vector).alias("__i", "__v")).groupBy(key, "__i").agg(F.avg(F.col("__v").cast("double")).alias("__v"))
+    whole = means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__v"))), lambda x: x["__v"]).alias(vector))
+    return whole.withColumn(vector, F.when(magnitude(F.col(vector)) > 0, normalized(F.col(vector))))
+
+
+def to_bytes(rows: DataFrame, vector: str, name: str) -> DataFrame:
+    """``rows`` with the column ``name``: the vector (array of doubles) as little-endian doubles. Whole batches are cut from one buffer."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(vector)
+            flat = np.ascontiguousarray(column.values.to_numpy(zero_copy_only=False), "<f8")
+            ends = (8 * column.offsets.to_numpy()).astype(np.int32)
+            made = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(pc.is_valid(column), made, pa.scalar(None, pa.binary()))], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(of, StructType(list(rows.schema.fields)).add(name, BinaryType()))
+
+
+def from_bytes(rows: DataFrame, data: str, name: str) -> DataFrame:
+    """``rows`` with the column ``name``: the vector of the little-endian doubles in ``data``; bytes that make no whole number are left out."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(data)
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) // 8
+            raw = b"".join(x.as_py()[: 8 * n] if n else b"" for x, n in zip(column, sizes, strict=True)) if (pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) % 8).any() or column.null_count else _data_of(column)
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(raw, "<f8")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(pc.is_valid(column), made, pa.scalar(None, made.type))], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(of, StructType(list(rows.schema.fields)).add(name, ArrayType(DoubleType())))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def from_bytes(b: pd.Series) -> pd.Series:
-    """Vectors of little-endian doubles."""
-    return b.map(lambda x: None if x is None else np.frombuffer(bytes(x), "<f8"))
+def _data_of(column: pa.Array) -> bytes:
+    """The bytes of all values of a binary column without nulls, one after the other."""
+    _, index, data = column.buffers()
+    ends = np.frombuffer(index, np.int32)[column.offset : column.offset + len(column) + 1]
+    return data.to_pybytes()[ends[0] : ends[-1]] if data is not None else b""
 
 
 def recency_bonus(created: Column, now: Column) -> Column:

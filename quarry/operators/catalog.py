@@ -6,7 +6,94 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import trim_space
-from quarry.schemas import GENERAL, effective_domain
+from quarry.schemas import GENERAL, effective_domain, reference_date
+
+
+def by_id(rows: DataFrame, id_: Column | str | int, key: str = "id") -> DataFrame:
+    """The row with an id; the filter reaches the scan."""
+    return rows.where(F.col(key) == id_)
+
+
+def listed(rows: DataFrame, newest_first: bool = False, key: str = "id") -> DataFrame:
+    """All rows by ``created_at``: knowledge bases with the newest first, domains with the oldest; ties by id."""
+    return rows.orderBy(F.desc("created_at") if newest_first else F.asc("created_at"), key)
+
+
+def chunks_of(chunks: DataFrame, kb: Column | str | int, key: str = "knowledge_base_id", limit: int | None = None) -> DataFrame:
+    """A knowledge base's chunks by index, or the first ``limit`` of them; none for an unknown one."""
+    out = chunks.where(F.col(key) == kb).orderBy("index")
+    return out if limit is None else out.limit(limit)
+
+
+def loaded(bases: DataFrame, chunks: DataFrame, key: str = "knowledge_base_id") -> DataFrame:
+    """The chunks of the knowledge bases that exist, with the names of these (``base_name``)."""
+    return chunks.join(bases.select(F.col("id").alias(key), F.col("name").alias("base_name")), key)
+
+
+def orphans(rows: DataFrame) -> DataFrame:
+    """Rows without a domain."""
+    return rows.where(F.col("domain_id").isNull())
+
+
+def with_flags(bases: DataFrame) -> DataFrame:
+    """``bases`` with ``is_updated`` (changed over a second after it was made) and ``is_embedded`` (a model is named)."""
+    later = F.unix_micros(F.col("updated_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp")) > 1_000_000
+    return bases.withColumns({"is_updated": F.coalesce(later, F.lit(False)), "is_embedded": F.coalesce(F.col("embedding_model_id") != "", F.lit(False))})
+
+
+def filled_in(*texts: Column) -> Column:
+    """Whether all of these texts hold more than white space, as what is saved must."""
+    out = F.lit(True)
+    for t in texts:
+        out = out & (F.coalesce(trim_space(t), F.lit("")) != "")
+    return out
+
+
+def domain_label(rows: DataFrame, domains: DataFrame, hide_general: bool = True) -> DataFrame:
+    """``rows`` with ``domain_label``: the domain's name. In lists (``hide_general``) "General" and unknown ones have none; in pickers unknown ones are "General"."""
+    named = rows.join(domains.select(F.col("id").alias("domain_id"), F.col("name").alias("__n")), "domain_id", "left")
+    label = F.when(F.col("__n") != "General", F.col("__n")) if hide_general else F.coalesce("__n", F.lit("General"))
+    return named.withColumn("domain_label", label).drop("__n")
+
+
+def domain_created(domains: DataFrame, id_: str, name: str, now: Column) -> DataFrame:
+    """``domains`` with a new one, its name trimmed; nothing for a blank name."""
+    new = domains.sparkSession.range(1).where(filled_in(F.lit(name))).select(F.lit(id_).alias("id"), trim_space(F.lit(name)).alias("name"), now.cast("timestamp").alias("created_at"), F.lit(False).alias("is_default"))
+    return domains.unionByName(new)
+
+
+def bases_from_json(rows: DataFrame) -> DataFrame:
+    """Knowledge bases from rows of ``KNOWLEDGE_BASE_JSON``: dates count from 2001, a missing ``updatedAt`` is ``createdAt``, missing model and domain are null."""
+    return rows.select(
+        "id", "name", F.col("documentType").alias("document_type"), reference_date(F.col("createdAt")).alias("created_at"), reference_date(F.coalesce("updatedAt", "createdAt")).alias("updated_at"),
+        F.col("chunkCount").alias("chunk_count"), F.col("fileSize").alias("file_size"), F.col("embeddingModelID").alias("embedding_model_id"), F.col("domainID").alias("domain_id"),
+    )
+
+
+def migrated(bases: DataFrame, old_bases: DataFrame, chunks: DataFrame, old_chunks: DataFrame, key: str = "knowledge_base_id") -> tuple[DataFrame, DataFrame]:
+    """Old knowledge bases that don't exist yet, with their chunks, put to the others. Doing it again changes nothing; one without chunks comes without."""
+    new = missing_by(old_bases, bases, "id")
+    return bases.unionByName(new), chunks.unionByName(old_chunks.join(new.select(F.col("id").alias(key)), key, "left_semi"))
+
+
+def settings_migrated(settings: DataFrame, legacy: DataFrame) -> DataFrame:
+    """(key, value): the settings, and legacy ones for keys that are absent."""
+    return settings.unionByName(legacy.join(settings.select("key"), "key", "left_anti"))
+
+
+def reimported(bases: DataFrame, chunks: DataFrame, new: DataFrame, now: Column, key: str = "knowledge_base_id") -> tuple[DataFrame, DataFrame]:
+    """Knowledge bases that were read again: their chunks give way to the ``new`` ones, ``chunk_count`` and ``updated_at`` follow; ids stay."""
+    counts = new.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("__n"))
+    out = bases.join(counts, "id", "left").withColumns({"chunk_count": F.coalesce("__n", "chunk_count"), "updated_at": F.when(F.col("__n").isNotNull(), now).otherwise(F.col("updated_at"))})
+    return out.drop("__n"), replaced(chunks, new, key)
+
+
+def reembedded(bases: DataFrame, chunks: DataFrame, model: str, embed, key: str = "knowledge_base_id") -> tuple[DataFrame, DataFrame]:
+    """Stale knowledge bases with the vectors of their chunks made anew by ``embed`` (of a content column), and the model's name put down."""
+    old = stale(bases, model).select(F.col("id").alias(key), F.lit(True).alias("__s"))
+    made = chunks.join(old, key, "left").withColumn("embedding", F.when(F.col("__s"), embed(F.col("content"))).otherwise(F.col("embedding"))).drop("__s")
+    is_stale = (F.col("chunk_count") > 0) & ~F.col("embedding_model_id").eqNullSafe(F.lit(model))
+    return bases.withColumn("embedding_model_id", F.when(is_stale, F.lit(model)).otherwise(F.col("embedding_model_id"))), made
 
 
 def of_domain(rows: DataFrame, domain: str, other: bool = False) -> DataFrame:

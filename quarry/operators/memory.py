@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.text import trim_space
+from quarry.functions.text import keyword_list, keywords_of, trim_space
+from quarry.schemas import effective_domain
 
 HELD = "log string, seq long, content string"
 
@@ -32,7 +34,8 @@ def add_all(held: list[tuple[int, str]], adds: Iterator[tuple[int, str]], capaci
 def memory_log(adds: DataFrame, capacity: int = 100) -> DataFrame:
     """(log, seq, content) held after all adds (log, seq, content), blank contents left out.
 
-    A log's adds stream through one fold in order, a batch at a time; of them only ``capacity`` entries are held.
+    A log's adds stream through one fold in order, a batch at a time, as places and digests of contents; only ``capacity`` entries are held.
+    The contents of what is held are fetched afterwards.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,15 +45,47 @@ def memory_log(adds: DataFrame, capacity: int = 100) -> DataFrame:
                 if name != log:
                     out += [(log, s, c) for s, c in held]
                     log, held = name, []
-                held = add_all(held, zip(rows["seq"], rows["content"], strict=True), capacity)
+                held = add_all(held, zip(rows["seq"], rows["digest"], strict=True), capacity)
             if out:
-                yield pd.DataFrame(out, columns=["log", "seq", "content"])
+                yield pd.DataFrame(out, columns=["log", "seq", "digest"])
                 out = []
         if held:
-            yield pd.DataFrame([(log, s, c) for s, c in held], columns=["log", "seq", "content"])
+            yield pd.DataFrame([(log, s, c) for s, c in held], columns=["log", "seq", "digest"])
 
     rows = adds.where(trim_space(F.col("content")) != "").select(F.col("log").cast("string").alias("log"), F.col("seq").cast("long").alias("seq"), "content")
-    return rows.repartition("log").sortWithinPartitions("log", "seq").mapInPandas(fold, HELD)
+    named = rows.select("log", "seq", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+    held = named.repartition("log").sortWithinPartitions("log", "seq").mapInPandas(fold, "log string, seq long, digest string")
+    whole = rows.withColumn("digest", F.sha2(F.col("content").cast("binary"), 256)).join(held, ["log", "seq", "digest"], "left_semi")
+    return whole.select("log", "seq", "content").dropDuplicates(["log", "seq", "content"])
+
+
+def saved(memories: DataFrame, entry: DataFrame, capacity: int = 100) -> DataFrame:
+    """``memories`` (id, content, keywords, source_title, created_at, domain_id, embedding) with new entries (the same, ``typed`` for keywords), as they are saved by hand.
+
+    Typed keywords are parsed at commas, or else found in the text; a blank text or one that is held is refused; the newest ``capacity`` stay.
+    """
+    text = trim_space(F.col("content"))
+    rows = entry.withColumn("content", text).where(F.col("content") != "")
+    rows = rows.withColumn("keywords", keyword_list(F.col("typed"), keywords_of(F.col("content"), 5))).drop("typed")
+    fresh = rows.join(memories.select("content"), "content", "left_anti")
+    first = F.row_number().over(W.partitionBy("content").orderBy("created_at", "id"))
+    fresh = fresh.withColumn("__r", first).where("__r = 1").drop("__r")
+    return memories.unionByName(fresh.select(*memories.columns)).orderBy(F.desc("created_at"), F.desc("id")).limit(capacity)
+
+
+def deleted(memories: DataFrame, id_: str | int | None = None, key: str = "id") -> DataFrame:
+    """Without one entry, or without all."""
+    return memories.where(F.col(key) != id_) if id_ is not None else memories.limit(0)
+
+
+def of_domain(memories: DataFrame, domain: str) -> DataFrame:
+    """The entries of a domain; those without one are the default one's."""
+    return memories.where(effective_domain(F.col("domain_id")) == domain)
+
+
+def moved(memories: DataFrame, id_: str | int, domain: str, key: str = "id") -> DataFrame:
+    """An entry in another domain; an unknown id changes nothing."""
+    return memories.withColumn("domain_id", F.when(F.col(key) == id_, F.lit(domain)).otherwise(F.col("domain_id")))
 
 
 def updated(memories: DataFrame, id_: str, content: str, keywords: list[str]) -> DataFrame:

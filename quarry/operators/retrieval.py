@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokenize
@@ -53,42 +58,135 @@ def words_frame(spark, words: list[str]) -> DataFrame:
     return spark.createDataFrame([(w,) for w in words], "word string")
 
 
-def keyword_scored(rows: DataFrame, query: list[str], name: str, words: str = "words") -> DataFrame:
-    """``rows`` with a score: over the query's words 1 for an equal word, else 0.5 for a prefix match of five characters or more, divided
-    by their number. The row's words that can be a prefix match, by their first five characters, are picked once for all of the query."""
+def _near_words(words: str | Column, query: list[str]) -> Column:
+    """The words of a row that can match one of the query's words: equal, or alike in the first five characters."""
     starts = sorted({w[:PREFIX] for w in query if len(w) >= PREFIX})
-    near = F.filter(words, lambda e: F.substring(e, 1, PREFIX).isin(starts)) if starts else F.array().cast("array<string>")
+    return F.filter(words, lambda e: e.isin(query) | F.substring(e, 1, PREFIX).isin(starts) if starts else e.isin(query))
+
 
-    def match(w: str) -> Column:
-        found = F.when(F.array_contains(words, w), 1.0)
-        return (found.when(F.exists("__near", lambda e: e.startswith(w) | F.lit(w).startswith(e)), 0.5) if len(w) >= PREFIX else found).otherwise(0.0)
+def _match(e: Column, w: str) -> Column:
+    """What a row's word gives for a word of the query: 1 if equal, 0.5 if one begins with the other and both have five characters, else 0."""
+    found = F.when(e == w, 1.0)
+    return (found.when((F.length(e) >= PREFIX) & (e.startswith(w) | F.lit(w).startswith(e)), 0.5) if len(w) >= PREFIX else found).otherwise(0.0)
 
-    total = sum((match(w) for w in query), F.lit(0.0)) / max(1, len(query))
-    return rows.withColumn("__near", near).withColumn(name, total).drop("__near")
+
+def keyword_scored(rows: DataFrame, query: list[str], name: str, key: str, words: str = "words") -> DataFrame:
+    """The rows (by ``key``) that match a word of the query, with a score: over the query's words the best match, divided by their number.
+
+    Words are made once: those that may match are taken out of a row before anything else looks at them.
+    """
+    near = rows.select(*[c for c in rows.columns if c != words], F.explode(_near_words(words, query)).alias("__e"))
+    rest = [c for c in near.columns if c not in (key, "__e")]
+    best = near.groupBy(key).agg(*(F.any_value(c).alias(c) for c in rest), *(F.max(_match(F.col("__e"), w)).alias(f"__m{i}") for i, w in enumerate(query)))
+    total = sum((F.col(f"__m{i}") for i in range(len(query))), F.lit(0.0)) / max(1, len(query))
+    return best.select(key, *rest, total.alias(name))
 
 
 def keyword_retrieve(rows: DataFrame, query: list[str], key: str, k: int = 3, least: float = 0.30, words: str = "words") -> DataFrame:
     """The ``k`` rows that match the query's words best, with ``score``; none for a query without words."""
     if not query:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
-    return keyword_scored(rows, query, "score", words).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(k)
+    return keyword_scored(rows, query, "score", key, words).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(k)
+
 
+def keyword_search(rows: DataFrame, queries: DataFrame, key: str, k: int = 3, least: float = 0.30) -> DataFrame:
+    """(query_id, key, score): for each of many queries (query_id, words) the ``k`` rows (key, words) that match best.
 
-def two_phase(rows: DataFrame, query: list[float], words: list[str], key: str, k: int = 3, many: int = 200, index: DataFrame | None = None) -> DataFrame:
+    Words are joined by equality, and by their first five characters, so no query meets a row with which it shares nothing.
+    """
+    asked = queries.select("query_id", F.size("words").alias("n"), F.explode("words").alias("query_word"))
+    entries = rows.select(key, F.explode("words").alias("word"))
+    exact = entries.join(asked.withColumn("word", F.col("query_word")), "word").select("query_id", "n", "query_word", key, F.lit(1.0).alias("m"))
+    pairs = prefix_matches(entries, asked.select(F.col("query_word").alias("word")).distinct())
+    near = pairs.where(F.col("word") != F.col("query_word")).select(key, "query_word").distinct().join(asked, "query_word").select("query_id", "n", "query_word", key, F.lit(0.5).alias("m"))
+    best = exact.union(near).groupBy("query_id", "n", key, "query_word").agg(F.max("m").alias("m"))
+    scored = best.groupBy("query_id", key, "n").agg((F.sum("m") / F.col("n")).alias("score")).where(F.col("score") >= least)
+    return best_of(scored.select("query_id", key, "score"), "query_id", key, k)
+
+
+def best_of(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    """The ``k`` best rows of each query by ``score``, ties to the smaller key."""
+    rank = F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), key))
+    return scored.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r")
+
+
+def packed_vectors(rows: DataFrame, key: str, vector: str, group: str | None = None, size: int = 4096) -> DataFrame:
+    """Blocks of at most ``size`` vectors of equal dimension: keys, groups (longs; 0 without a group) and the matrix as bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch.column("v").flatten().to_numpy(zero_copy_only=False), batch.column("v").offsets.to_numpy()
+            lengths = np.diff(ends)
+            for n in np.unique(lengths[lengths > 0]):
+                at = np.flatnonzero(lengths == n)
+                for i in range(0, len(at), size):
+                    some = at[i : i + size]
+                    matrix = flat[(ends[some] - ends[0])[:, None] + np.arange(n)]
+                    keys, groups = (batch.column(c).take(pa.array(some)).to_pylist() for c in ("key", "group"))
+                    yield pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(pa.int64())), pa.array([groups], pa.list_(pa.int64())), pa.array([np.ascontiguousarray(matrix, "<f8").tobytes()], pa.binary())], names=["keys", "groups", "matrix"])
+
+    label = F.col(group).cast("long") if group else F.lit(0).cast("long")
+    made = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(label, F.lit(-1)).alias("group"), F.col(vector).cast("array<double>").alias("v"))
+    return made.mapInArrow(pack, "keys array<long>, groups array<long>, matrix binary")
+
+
+def vector_search(rows: DataFrame, queries: DataFrame, key: str, query_key: str, k: int = 3, threshold: float = 0.3, vector: str = "embedding", group: str | None = None) -> DataFrame:
+    """(query_id, key, score): for each of many query vectors the ``k`` most similar rows above the threshold, within its group if one is given.
+
+    Queries and rows are packed into blocks; each pair of blocks is one product of matrices, of which each query's best rows go on.
+    """
+    left = packed_vectors(rows, key, vector, group)
+    right = packed_vectors(queries, query_key, vector, group, 1024).toDF("query_keys", "query_groups", "query_matrix")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, asked = np.array(r["keys"], np.int64), np.array(r["query_keys"], np.int64)
+                x, q = (np.frombuffer(r[m], "<f8").reshape(n, -1) for m, n in (("matrix", len(keys)), ("query_matrix", len(asked))))
+                if x.shape[1] != q.shape[1]:
+                    continue
+                order = np.argsort(keys, kind="stable")
+                s = q @ x[order].T
+                s[np.array(r["query_groups"])[:, None] != np.array(r["groups"])[order][None, :]] = -np.inf
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                i, j = np.repeat(np.arange(len(asked)), best.shape[1]), best.reshape(-1)
+                good = s[i, j] > threshold
+                i, j = i[good], j[good]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(keys[order][j]), pa.array(s[i, j])], names=["query_id", key, "score"])
+
+    return best_of(left.crossJoin(right).mapInArrow(score, f"query_id long, `{key}` long, score double"), "query_id", key, k)
+
+
+def two_phase(rows: DataFrame, query: list[float], words: list[str], key: str, k: int = 3, many: int = 200, own: Column | None = None) -> DataFrame:
     """Vector top-k over the rows that a keyword match reaches.
 
-    ``rows`` (key, words, embedding) are one domain's; ``index`` (word, key) is that of all domains (by default of ``rows``). All rows are
-    scored if there are under ``many``, if under max(3 k, 20) candidates are found in all domains, or none in this one.
+    ``rows`` (key, words, embedding) are those of all domains, ``own`` holds for those of the domain asked (by default all). All of its rows
+    are scored if there are under ``many``, if under max(3 k, 20) candidates are found in all domains, or none in this one. The counts are
+    one row of the same plan.
+    """
+    own = F.lit(True) if own is None else own
+    hit = F.size(_hits("words", words)) > 0 if words else F.lit(False)
+    flagged = rows.where(F.col("embedding").isNotNull() & (F.size("embedding") == len(query))).select(*[c for c in rows.columns if c != "words"], own.alias("__own"), hit.alias("__hit"))
+    counts = flagged.agg(F.count_if("__own").alias("__rows"), F.count_if("__hit").alias("__all"), F.count_if(F.col("__own") & F.col("__hit")).alias("__both"))
+    every = (F.col("__rows") < many) | (F.col("__all") < max(3 * k, 20)) | (F.col("__both") == 0)
+    chosen = flagged.where("__own").crossJoin(F.broadcast(counts)).where(F.col("__hit") | every)
+    return vector_topk(chosen.drop("__own", "__hit", "__rows", "__all", "__both"), query, key, k)
+
+
+def _hits(words: str, query: list[str]) -> Column:
+    """A row's words that match the query, equal or by prefix."""
+    long = [w for w in query if len(w) >= PREFIX]
+    near = lambda e: sum((F.when(e.startswith(w) | F.lit(w).startswith(e), 1).otherwise(0) for w in long), F.lit(0)) > 0
+    return F.filter(_near_words(words, query), lambda e: e.isin(query) | ((F.length(e) >= PREFIX) & near(e)))
+
+
+def retrieve(rows: DataFrame, query: list[float] | None, words: list[str], key: str, k: int = 3, domain: str | Column | None = None) -> DataFrame:
+    """The rows (key, words, embedding, domain_id) of a domain that answer a question, with ``score``.
+
+    If the question has a vector, by keyword and then vector, even if that gives nothing; else by keywords.
     """
-    spark = rows.sparkSession
-    rows = rows.where(F.col("embedding").isNotNull() & (F.size("embedding") == len(query)))
-    index = rows.select(F.explode("words").alias("word"), key) if index is None else index
-    found = candidates(index, words_frame(spark, words), key).withColumn("__c", F.lit(True))
-    total = found.agg(F.count(F.lit(1)).alias("n"))
-    marked = rows.join(found, key, "left")
-    counts = marked.agg(F.count(F.lit(1)).alias("rows"), F.count("__c").alias("own")).join(total, F.lit(True)).first()
-    every = counts["rows"] < many or counts["n"] < max(3 * k, 20) or counts["own"] == 0
-    return vector_topk((marked if every else marked.where("__c")).drop("__c"), query, key, k)
+    own = F.lit(True) if domain is None else F.col("domain_id") == domain
+    return two_phase(rows, query, words, key, k, own=own) if query is not None else keyword_retrieve(rows.where(own), words, key, k)
 
 
 def memory_retrieve(rows: DataFrame, query: list[float] | None, words: list[str], now: Column, key: str, k: int = 5) -> DataFrame:
@@ -103,5 +201,5 @@ def memory_retrieve(rows: DataFrame, query: list[float] | None, words: list[str]
             return near
     if not words:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
-    scored = keyword_scored(rows, words, "__s").where(F.col("__s") >= 0.25)
+    scored = keyword_scored(rows, words, "__s", key).where(F.col("__s") >= 0.25)
     return scored.withColumn("score", F.col("__s") + recency_bonus(F.col("created_at"), now) * 0.05).drop("__s").orderBy(F.desc("score"), key).limit(k)

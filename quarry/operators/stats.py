@@ -31,3 +31,25 @@ def queue_progress(status: Column) -> Column:
 def schema_chars(name: Column, description: Column, each: int = 80) -> Column:
     """An aggregate: characters that tool descriptions take in a prompt."""
     return F.coalesce(F.sum(F.length(name) + F.length(description) + each), F.lit(0))
+
+
+def base_totals(bases: DataFrame) -> DataFrame:
+    """One row: file_size and chunk_count in all, how many knowledge bases there are and how many have no domain."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return bases.agg(total("file_size"), total("chunk_count"), F.count(F.lit(1)).alias("bases"), F.count_if(F.col("domain_id").isNull()).alias("orphans"))
+
+
+def table_counts(**tables: DataFrame) -> DataFrame:
+    """(name, n): rows of each table."""
+    parts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def stored_bytes(conversations: DataFrame, memories: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: bytes of conversations and memories as JSON, of chunks and vectors (content, embedding), and in all."""
+    one = conversations.agg(json_size(*conversations.columns).alias("conversation_bytes")).crossJoin(memories.agg(json_size(*memories.columns).alias("memory_bytes")))
+    out = one.crossJoin(storage_by(chunks).select(F.col("bytes").alias("chunk_bytes")))
+    return out.withColumn("bytes", F.col("conversation_bytes") + F.col("memory_bytes") + F.col("chunk_bytes"))

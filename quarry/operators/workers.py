@@ -5,17 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import top_keywords, trim_space
-from quarry.operators.catalog import missing_by
+from quarry.functions.text import keywords_of, trim_space
+from quarry.operators.catalog import filled_in, missing_by
 
 # What the manager is told if it has workers, and the title of memories that were shared.
 MANAGER_NOTE = "\nYou have worker tools. Answer simple questions directly. Delegate specialised tasks to the matching tool."
 SHARED_SOURCE = "Shared Content"
+# The built-in workers (name, icon, when to use it, instructions).
+PRESETS = [
+    ("Proofread", "text.badge.checkmark", "Proofread, spell-check, or fix grammar.", "Fix all grammar, spelling, and punctuation errors. Preserve meaning and tone. Return corrected text, then briefly list changes."),
+    ("Summarize", "doc.text.magnifyingglass", "Summarize or condense long text.", "Produce a concise summary capturing key points. Use 2-3 sentences or bullet points. Never add information not in the original."),
+    ("Rewrite", "pencil.and.outline", "Rewrite or rephrase text for clarity.", "Rewrite the text to be clearer and more polished. Preserve core meaning. Match any tone the user requests."),
+    ("Code Reviewer", "terminal", "Review code for bugs or improvements.", "Review the code for bugs, performance, and best practices. Be specific. List critical issues first, then suggestions."),
+    ("Translator", "globe", "Translate text between languages.", "Translate accurately, preserving meaning and tone. Provide only the translation unless asked for notes."),
+    ("Explain Simply", "lightbulb", "Explain a concept in simple terms.", "Explain in clear, plain language. Use analogies and short sentences. No jargon."),
+]
+
+
+def presets(spark, now: Column) -> DataFrame:
+    """The built-in workers as rows of ``WORKER``, enabled."""
+    rows = spark.createDataFrame(PRESETS, "name string, icon string, `trigger` string, instructions string")
+    return rows.select(F.concat(F.lit("preset-"), F.lower(F.replace("name", F.lit(" "), F.lit("-")))).alias("id"), "name", "icon", "trigger", "instructions", F.lit(True).alias("is_enabled"), F.lit(True).alias("is_built_in"), now.cast("timestamp").alias("created_at"))
+
+
+def seeded_once(workers: DataFrame, presets: DataFrame) -> DataFrame:
+    """``workers`` with all presets if none of them is built in, else as they are."""
+    there = workers.where("is_built_in").limit(1).select(F.lit(1).alias("__there"))
+    return workers.unionByName(presets.join(there, F.lit(True), "left_anti").select(*workers.columns))
 
 
 def seeded(workers: DataFrame, presets: DataFrame) -> DataFrame:
-    """``workers`` with the caller's presets that are missing by name."""
-    return workers.unionByName(missing_by(presets, workers, "name").select(*workers.columns))
+    """``workers`` with the presets that are missing by name among the built-in ones."""
+    return workers.unionByName(missing_by(presets, workers.where("is_built_in"), "name").select(*workers.columns))
 
 
 def active(workers: DataFrame) -> DataFrame:
@@ -23,6 +44,36 @@ def active(workers: DataFrame) -> DataFrame:
     return workers.where("is_enabled").orderBy("name")
 
 
+def library(workers: DataFrame, built_in: bool) -> DataFrame:
+    """The built-in workers by name, or one's own with the newest first."""
+    rows = workers.where(F.col("is_built_in") == built_in)
+    return rows.orderBy("name") if built_in else rows.orderBy(F.desc("created_at"), "id")
+
+
+def created(workers: DataFrame, id_: str, name: str, trigger: str, instructions: str, now: Column, icon: str = "person.crop.circle") -> DataFrame:
+    """``workers`` with a new one, its texts trimmed; as they are if one of them is blank."""
+    texts = [F.lit(x) for x in (name, trigger, instructions)]
+    new = workers.sparkSession.range(1).where(filled_in(*texts))
+    name_, trigger_, instructions_ = map(trim_space, texts)
+    new = new.select(F.lit(id_).alias("id"), name_.alias("name"), F.lit(icon).alias("icon"), trigger_.alias("trigger"), instructions_.alias("instructions"), F.lit(True).alias("is_enabled"), F.lit(False).alias("is_built_in"), now.cast("timestamp").alias("created_at"))
+    return workers.unionByName(new.select(*workers.columns))
+
+
+def removed(workers: DataFrame, id_: str | None = None) -> DataFrame:
+    """Without a worker, or without all."""
+    return workers.where(F.col("id") != id_) if id_ is not None else workers.limit(0)
+
+
+def recorded(log: DataFrame, invocations: DataFrame) -> DataFrame:
+    """The log of invocations (conversation, seq, worker) with more of them."""
+    return log.unionByName(invocations.select(*log.columns))
+
+
+def drained(log: DataFrame, upto: Column) -> tuple[DataFrame, DataFrame]:
+    """The invocations up to a place of the log, in order, and the log without them."""
+    return log.where(F.col("seq") <= upto).orderBy("seq"), log.where(F.col("seq") > upto)
+
+
 def toggled(workers: DataFrame, id_: str) -> DataFrame:
     return workers.withColumn("is_enabled", F.when(F.col("id") == id_, ~F.col("is_enabled")).otherwise(F.col("is_enabled")))
 
@@ -55,7 +106,7 @@ def effective_instructions(own: Column, default: Column) -> Column:
 def shared_memories(shared: DataFrame) -> DataFrame:
     """(id, content, keywords, source_title) of shared texts (id, text, action) that are to be remembered."""
     rows = shared.where("action = 'saveAsMemory'").select("id", F.col("text").alias("content"))
-    return rows.join(top_keywords(rows, ["id"], "content", 5), "id").withColumn("source_title", F.lit(SHARED_SOURCE))
+    return rows.withColumns({"keywords": keywords_of(F.col("content"), 5), "source_title": F.lit(SHARED_SOURCE)})
 
 
 def shared_messages(shared: DataFrame) -> DataFrame:
@@ -64,7 +115,8 @@ def shared_messages(shared: DataFrame) -> DataFrame:
 
 
 def intake(items: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, text) of what came in together (kind ``text`` or ``url``): the plain texts, or else the addresses, with a blank line between."""
-    parts = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "kind", "value"))).alias("p"))
-    joined = lambda k: F.array_join(F.transform(F.filter("p", lambda x: x["kind"] == k), lambda x: x["value"]), "\n\n")
-    return parts.select(key, F.coalesce(F.nullif(joined("text"), F.lit("")), joined("url")).alias("text"))
+    """(key, text) of what came in together: texts and addresses in order, with a blank line between. Of an attachment that has both (rows of
+    kinds ``text`` and ``url`` at one place) the text counts. What is empty as a whole gives no row."""
+    one = items.where(F.col("kind").isin("text", "url")).groupBy(key, order).agg(F.min_by("value", "kind").alias("__v"))  # text comes before url
+    parts = one.where(F.col("__v").isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__v").alias("v")))).alias("p"))
+    return parts.select(key, F.array_join(F.transform("p", lambda x: x["v"]), "\n\n").alias("text")).where("text <> ''")

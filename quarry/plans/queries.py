@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 from quarry.functions import text as T
 from quarry.functions import vectors as V
 from quarry.operators import catalog, chunking, context, conversations, memory, retrieval, stats, workers
+from quarry import schemas
 from quarry.schemas import GENERAL
 from quarry.sources import documents as sources
+from quarry.streaming import ingest
 
 NOW = "2024-01-31 12:00:00"
 QUESTION = "Which license was released with the thble attion, thtion and erble of thanea?"
@@ -131,15 +133,14 @@ def vector_norms(spark, sf_dir):
 
 @query("SELECT vec_id, 8 * len(embedding) AS n_bytes, true AS same FROM embeddings")
 def vector_codec(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("b", V.to_bytes("v"))
-    return rows.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), (V.from_bytes("b") == F.col("v")).alias("same"))
+    rows = V.from_bytes(V.to_bytes(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v", "b"), "b", "w")
+    return rows.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), (F.col("w") == F.col("v")).alias("same"))
 
 
 @query("""WITH m AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(range(1, 65)) AS i, embedding[i]::DOUBLE AS v FROM embeddings) GROUP BY ALL), n AS (SELECT label, sqrt(sum(v * v)) AS n FROM m GROUP BY label)
 SELECT label, round(first(v / n) FILTER (i = 1), 5) AS first_value, round(sum(v * v / n / n), 5) AS squared FROM m JOIN n USING (label) GROUP BY label""")
 def mean_pooling(spark, sf_dir):
-    means = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    pooled = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v")).withColumn("v", V.normalized(F.col("v")))
+    pooled = V.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumnRenamed("embedding", "v")
     return pooled.select("label", F.round(F.col("v")[0], 5).alias("first_value"), F.round(V.dot(F.col("v"), F.col("v")), 5).alias("squared"))
 
 
@@ -214,13 +215,12 @@ def chunk_pages(spark, sf_dir):
 @query(f"""WITH RECURSIVE {chunk_sql('documents', 'doc_id', SPACED)}, k AS (SELECT doc_id * 1000000 + "index" AS id, doc_id, "index", content FROM chunks)
 SELECT doc_id, "index", coalesce(keywords, []) AS keywords FROM k LEFT JOIN {top_words('k', 'id', 'content', 8)} USING (id)""")
 def chunk_keywords(spark, sf_dir):
-    return chunking.with_keywords(chunking.chunk_sections(sections(spark, sf_dir), "doc_id"), ["doc_id", "index"]).select("doc_id", "index", "keywords")
+    return chunking.with_keywords(chunking.chunk_sections(sections(spark, sf_dir), "doc_id")).select("doc_id", "index", "keywords")
 
 
 @query("""SELECT source, pos_in_source AS "index", doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS pos_in_source FROM documents)""")
 def enumerated(spark, sf_dir):
-    index = F.row_number().over(W.partitionBy("source", "lang").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select("source", index.cast("long").alias("index"), "doc_id")
+    return chunking.enumerated(table(spark, sf_dir, "documents").select("source", "lang", "doc_id"), ["source", "lang"], "doc_id").select("source", "index", "doc_id")
 
 
 # --- index and keyword retrieval ---
@@ -229,7 +229,7 @@ def enumerated(spark, sf_dir):
 @query(f"SELECT w AS word, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest(list_append({toks('text')}, lower(source))) AS w FROM documents) GROUP BY w")
 def inverted_index(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("keywords", F.array("source"))
-    return retrieval.inverted_index(docs, "doc_id", "text", "keywords").groupBy("word").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
+    return retrieval.inverted_index(docs, "doc_id", "text", "keywords").groupBy("word").agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
 BENCH_WORDS = f"(SELECT DISTINCT unnest({toks('text')}) AS word FROM benchmark)"
@@ -312,12 +312,66 @@ def two_phase_retrieve(spark, sf_dir):
 
 @query(two_phase_sql("label = (SELECT label FROM embeddings WHERE vec_id = 0)"))
 def two_phase_small_domain(spark, sf_dir):
-    rows = vectors_with_words(spark, sf_dir)
-    index = rows.select(F.explode("words").alias("word"), "vec_id")
-    found = retrieval.two_phase(rows.where(F.col("label") == query_label(spark, sf_dir)), query_vector(spark, sf_dir), retrieval.query_words(spark, QUESTION), "vec_id", 5, index=index)
+    own = F.col("label") == query_label(spark, sf_dir)
+    found = retrieval.two_phase(vectors_with_words(spark, sf_dir), query_vector(spark, sf_dir), retrieval.query_words(spark, QUESTION), "vec_id", 5, own=own)
     return found.select("vec_id", "label", r6("score").alias("score"))
 
 
+def searched(spark, sf_dir, question: str, vector: list[float] | None) -> DataFrame:
+    rows = vectors_with_words(spark, sf_dir).withColumn("domain_id", F.col("label").cast("string"))
+    found = retrieval.retrieve(rows, vector, retrieval.query_words(spark, question), "vec_id", 5, domain=str(query_label(spark, sf_dir)))
+    return found.select("vec_id", "label", r6("score").alias("score"))
+
+
+@query(two_phase_sql("label = (SELECT label FROM embeddings WHERE vec_id = 0)"))
+def retrieve_with_vector(spark, sf_dir):
+    return searched(spark, sf_dir, QUESTION, query_vector(spark, sf_dir))
+
+
+@query(f"""SELECT vec_id, label, round(score, 6) AS score FROM (SELECT vec_id, label, {score_sql('ws')} AS score FROM (SELECT vec_id, label, list_distinct({toks('text')}) AS ws FROM embeddings JOIN documents ON doc_id = vec_id WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0)), {QWORDS})
+WHERE score >= 0.3 ORDER BY score DESC, vec_id LIMIT 5""")
+def retrieve_without_vector(spark, sf_dir):
+    return searched(spark, sf_dir, QUESTION, None)
+
+
+# --- searches with very many queries: every row whose id 100 divides, against all rows ---
+
+
+def hundredth(rows: DataFrame, key: str) -> DataFrame:
+    return rows.where(F.col(key) % 100 == 0)
+
+
+def search_sql(k: int, same: str = "true") -> str:
+    return f"""SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {DOT.format('e.embedding', 'q.embedding')} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND {same})
+WHERE score > 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k}"""
+
+
+@query(search_sql(5))
+def vector_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    found = retrieval.vector_search(rows, hundredth(rows, "vec_id"), "vec_id", "vec_id", 5)
+    return found.select("query_id", "vec_id", r6("score").alias("score"))
+
+
+@query(search_sql(3, "e.label = q.label"))
+def vector_search_by_domain(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    found = retrieval.vector_search(rows, hundredth(rows, "vec_id"), "vec_id", "vec_id", 3, group="label")
+    return found.select("query_id", "vec_id", r6("score").alias("score"))
+
+
+@query(f"""WITH d AS MATERIALIZED (SELECT doc_id, list_distinct({toks('text')}) AS ws FROM documents), w AS MATERIALIZED (SELECT doc_id, unnest(ws) AS word FROM d),
+q AS MATERIALIZED (SELECT doc_id AS query_id, len(ws) AS n, unnest(ws) AS query_word FROM d WHERE doc_id % 100 = 0),
+p AS (SELECT v.word, q.query_word FROM (SELECT DISTINCT word FROM w WHERE length(word) >= 5) v JOIN (SELECT DISTINCT query_word FROM q WHERE length(query_word) >= 5) q ON left(word, 5) = left(query_word, 5) WHERE word <> query_word AND (starts_with(word, query_word) OR starts_with(query_word, word))),
+m AS (SELECT query_id, n, doc_id, query_word, 1.0 AS m FROM q JOIN w ON word = query_word UNION ALL SELECT query_id, n, doc_id, query_word, 0.5 FROM q JOIN p USING (query_word) JOIN w USING (word)),
+s AS (SELECT query_id, doc_id, sum(m) / n AS score FROM (SELECT query_id, n, doc_id, query_word, max(m)::DOUBLE AS m FROM m GROUP BY ALL) GROUP BY query_id, doc_id, n)
+SELECT query_id, doc_id, round(score, 6) AS score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10""")
+def keyword_search(spark, sf_dir):
+    rows = docs_with_words(spark, sf_dir).select("doc_id", "words")
+    found = retrieval.keyword_search(rows, hundredth(rows, "doc_id").withColumnRenamed("doc_id", "query_id"), "doc_id", 10)
+    return found.select("query_id", "doc_id", r6("score").alias("score"))
+
+
 # --- context ---
 
 
@@ -492,7 +546,7 @@ def stored(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT sum(file_size)::BIGINT AS file_size, sum(chunk_count)::BIGINT AS chunk_count, count(*) FILTER (domain_id IS NULL) AS orphans FROM {BASES}")
 def base_totals(spark, sf_dir):
-    return bases(spark, sf_dir).agg(F.sum("file_size").alias("file_size"), F.sum("chunk_count").alias("chunk_count"), F.count_if(F.col("domain_id").isNull()).alias("orphans"))
+    return stats.base_totals(bases(spark, sf_dir)).drop("bases")
 
 
 STATUS = "CASE event_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'processing' ELSE 'queued' END"
@@ -510,9 +564,12 @@ def tool_schema_chars(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(stats.schema_chars(F.col("role"), F.col("text")).alias("chars"))
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT lang AS log, doc_id AS seq, md5(text) AS d, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents WHERE regexp_matches(text, '[^\\s]')),
+f AS (SELECT log, 0::BIGINT AS i, []::STRUCT(s BIGINT, d VARCHAR)[] AS held FROM (SELECT DISTINCT log FROM a)
+      UNION ALL SELECT f.log, a.i, CASE WHEN list_contains(list_transform(held, lambda h: h.d), a.d) THEN held ELSE list_append(held[greatest(1, len(held) - 98):], {'s': seq, 'd': a.d}) END FROM f JOIN a ON a.log = f.log AND a.i = f.i + 1),
+e AS (SELECT log, unnest(held).s AS seq FROM f QUALIFY row_number() OVER (PARTITION BY log ORDER BY i DESC) = 1) SELECT log, seq, text AS content FROM e JOIN documents ON doc_id = seq""")
 def memory_add_log(spark, sf_dir):
-    """A fold over each log in order; tests hold it against a plain fold."""
+    """A fold over each log in order."""
     return memory.memory_log(table(spark, sf_dir, "documents").select(F.col("lang").alias("log"), F.col("doc_id").alias("seq"), F.col("text").alias("content")))
 
 
@@ -529,9 +586,9 @@ def worker_usage(spark, sf_dir):
     return workers.usage_summaries(table(spark, sf_dir, "events"), "user_id", "event_type")
 
 
-@query(f"""SELECT conv_id, 'Be brief.' || CASE WHEN count(*) FILTER (role = 'assistant') > 0 THEN {quoted(workers.MANAGER_NOTE)} ELSE '' END || CASE WHEN max(text) <> '' THEN chr(10) || 'Context: ' || left(arg_min(text, turn), 40) ELSE '' END AS prompt FROM conversations GROUP BY conv_id""")
+@query(f"""SELECT conv_id, 'Be brief.' || CASE WHEN count(*) FILTER (role = 'assistant') > 0 THEN {quoted(workers.MANAGER_NOTE)} ELSE '' END || CASE WHEN max(text) <> '' THEN chr(10) || 'Context: ' || arg_min(text, turn) ELSE '' END AS prompt FROM conversations GROUP BY conv_id""")
 def manager_prompt(spark, sf_dir):
-    by = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("n"), F.left(F.min_by("text", "turn"), F.lit(40)).alias("s"))
+    by = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("n"), F.min_by("text", "turn").alias("s"))
     return by.select("conv_id", workers.manager_prompt(F.lit("Be brief."), F.col("n"), F.col("s")).alias("prompt"))
 
 
@@ -541,7 +598,235 @@ def shared_dispatch(spark, sf_dir):
     return workers.shared_memories(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", action.alias("action")))
 
 
-@query("""SELECT conv_id, CASE WHEN string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'user') IS NULL THEN string_agg(text, chr(10) || chr(10) ORDER BY turn) ELSE string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'user') END AS text FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(v, chr(10) || chr(10) ORDER BY place) AS text FROM (SELECT conv_id, turn // 2 AS place, coalesce(max(text) FILTER (role = 'user'), max(text) FILTER (role <> 'user')) AS v FROM conversations WHERE turn <> 5 GROUP BY ALL) GROUP BY conv_id HAVING string_agg(v, '') <> ''""")
 def shared_intake(spark, sf_dir):
-    items = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "text").otherwise("url").alias("kind"), F.col("text").alias("value"))
-    return workers.intake(items, "conv_id", "turn")
+    """Two turns are the forms of one attachment, as text and as address."""
+    rows = table(spark, sf_dir, "conversations").where("turn <> 5")
+    best = rows.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("place"), F.when(F.col("role") == "user", "text").otherwise("url").alias("kind")).agg(F.max("text").alias("value"))
+    return workers.intake(best, "conv_id", "place")
+
+
+@query("SELECT doc_id AS id, text AS content, 'user' AS role FROM documents WHERE doc_id % 2 <> 0")
+def shared_conversations(spark, sf_dir):
+    action = F.when(F.col("doc_id") % 2 == 0, "saveAsMemory").otherwise("startConversation")
+    return workers.shared_messages(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", action.alias("action")))
+
+
+# --- more of the catalogue: scans, flags, imports ---
+
+
+def dated(spark, sf_dir) -> DataFrame:
+    """Knowledge bases with the dates of events; every fifth was changed later."""
+    ts = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    later = F.when(F.col("id") % 5 == 0, F.col("created_at") + F.expr("interval 1 hour")).otherwise(F.col("created_at"))
+    return bases(spark, sf_dir).join(ts, "id").withColumn("updated_at", later)
+
+
+DATED = f"(SELECT b.*, ts AS created_at, CASE WHEN b.id % 5 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts END AS updated_at FROM {BASES} b JOIN events ON event_id = b.id)"
+
+
+@query(f"SELECT id, name, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM {DATED}")
+def bases_by_date(spark, sf_dir):
+    shown = catalog.listed(dated(spark, sf_dir), newest_first=True).select("id", "name", "created_at")
+    return shown.withColumn("place", F.row_number().over(W.orderBy(F.desc("created_at"), "id")).cast("long")).drop("created_at")
+
+
+def few_chunks(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 50).alias("knowledge_base_id"), F.col("vec_id").alias("index"), F.col("label").cast("string").alias("content"))
+
+
+@query("SELECT vec_id AS id, vec_id AS \"index\" FROM embeddings WHERE vec_id % 50 = 7")
+def chunks_of_base(spark, sf_dir):
+    return catalog.chunks_of(few_chunks(spark, sf_dir), 7).select("id", "index")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 50 = 7 ORDER BY vec_id LIMIT 5")
+def chunk_preview(spark, sf_dir):
+    return catalog.chunks_of(few_chunks(spark, sf_dir), 7, limit=5).select("id")
+
+
+@query("SELECT vec_id AS id, 'doc ' || (vec_id % 50) AS base_name FROM embeddings WHERE vec_id % 50 IN (SELECT doc_id FROM documents)")
+def loaded_chunks(spark, sf_dir):
+    return catalog.loaded(bases(spark, sf_dir), few_chunks(spark, sf_dir)).select("id", "base_name")
+
+
+@query(f"SELECT id, name FROM {BASES} WHERE id = 3")
+def base_by_id(spark, sf_dir):
+    return catalog.by_id(bases(spark, sf_dir), 3).select("id", "name")
+
+
+@query(f"SELECT id, updated_at > created_at AS is_updated, coalesce(model <> '', false) AS is_embedded FROM {DATED}")
+def base_flags(spark, sf_dir):
+    return catalog.with_flags(dated(spark, sf_dir)).select("id", "is_updated", "is_embedded")
+
+
+@query(f"SELECT id FROM {BASES} WHERE domain_id IS NULL")
+def orphaned_bases(spark, sf_dir):
+    return catalog.orphans(bases(spark, sf_dir)).select("id")
+
+
+@query(f"SELECT id, upper(domain_id) AS shown, coalesce(upper(domain_id), 'General') AS picked FROM {BASES}")
+def domain_labels(spark, sf_dir):
+    named = domains(spark, sf_dir)
+    shown = catalog.domain_label(bases(spark, sf_dir), named).select("id", F.col("domain_label").alias("shown"))
+    picked = catalog.domain_label(bases(spark, sf_dir), named, hide_general=False).select("id", F.col("domain_label").alias("picked"))
+    return shown.join(picked, "id")
+
+
+@query(f"SELECT id, CASE WHEN id % 10 = 0 THEN 2 ELSE chunk_count END AS chunk_count, CASE WHEN id % 10 = 0 THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at FROM {DATED}")
+def reimported_bases(spark, sf_dir):
+    b = dated(spark, sf_dir)
+    new = b.where("id % 10 = 0").select(F.col("id").alias("knowledge_base_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("index")).withColumn("content", F.lit("new"))
+    return catalog.reimported(b, new.limit(0), new, now())[0].select("id", "chunk_count", "updated_at")
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 50 < 10 THEN 'new' ELSE label::VARCHAR END AS content FROM embeddings WHERE vec_id % 50 >= 10 UNION ALL SELECT -doc_id, 'new' FROM documents WHERE doc_id < 10")
+def replaced_chunks(spark, sf_dir):
+    new = table(spark, sf_dir, "documents").where("doc_id < 10").select((-F.col("doc_id")).alias("id"), F.col("doc_id").alias("knowledge_base_id"), F.lit(0).cast("long").alias("index"), F.lit("new").alias("content"))
+    return catalog.replaced(few_chunks(spark, sf_dir), new).select("id", "content")
+
+
+@query(f"SELECT b.id, CASE WHEN chunk_count > 0 AND model IS DISTINCT FROM 'm1' THEN 'm1' ELSE model END AS model, CASE WHEN chunk_count > 0 AND model IS DISTINCT FROM 'm1' THEN length(text) ELSE 0 END AS made FROM {BASES} b JOIN documents ON doc_id = b.id")
+def reembedded_bases(spark, sf_dir):
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("knowledge_base_id"), F.col("text").alias("content"), F.array(F.lit(0.0)).alias("embedding"))
+    b, c = catalog.reembedded(bases(spark, sf_dir), chunks, "m1", lambda text: F.array(F.length(text).cast("double")))
+    return b.join(c, F.col("id") == F.col("knowledge_base_id")).select("id", F.col("embedding_model_id").alias("model"), F.col("embedding")[0].cast("long").alias("made"))
+
+
+@query(f"SELECT id FROM {BASES} WHERE id % 2 = 0 UNION ALL SELECT id FROM {BASES} WHERE id % 2 <> 0 AND id % 3 = 0")
+def migrated_bases(spark, sf_dir):
+    b = bases(spark, sf_dir)
+    chunks = few_chunks(spark, sf_dir)
+    return catalog.migrated(b.where("id % 2 = 0"), b.where("id % 6 = 0 or id % 3 = 0"), chunks, chunks)[0].select("id")
+
+
+@query(f"SELECT name AS key, CASE WHEN id % 2 = 0 THEN 'new' ELSE 'old' END AS value FROM {BASES}")
+def settings_migrated(spark, sf_dir):
+    b = bases(spark, sf_dir).select("id", F.col("name").alias("key"))
+    return catalog.settings_migrated(b.where("id % 2 = 0").select("key", F.lit("new").alias("value")), b.select("key", F.lit("old").alias("value")))
+
+
+@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'conversations', count(DISTINCT conv_id) FROM conversations UNION ALL SELECT 'messages', count(*) FROM conversations")
+def table_counts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return stats.table_counts(documents=table(spark, sf_dir, "documents"), conversations=c.select("conv_id").distinct(), messages=c)
+
+
+@query()
+def stored_bytes(spark, sf_dir):
+    """Bytes as JSON depend on the encoder; tests hold them against Python's."""
+    c = table(spark, sf_dir, "conversations")
+    return stats.stored_bytes(c, table(spark, sf_dir, "documents").select("doc_id", "text"), stored(spark, sf_dir))
+
+
+@query(f"SELECT vec_id, round(sqrt({DOT.format('embedding', 'embedding')}), 4) AS magnitude FROM embeddings WHERE len(embedding) = 64 AND vec_id % 10 <> 3")
+def matrix_rows(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 10 != 3, F.transform("embedding", lambda x: x * 3)))
+    return V.matrix_rows(e, "embedding", 64).select("vec_id", F.round(V.magnitude(F.col("embedding")), 4).alias("magnitude"))
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS first_value FROM embeddings")
+def pooled_tokens(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.round(V.mean_pooled(F.array("embedding", F.transform("embedding", lambda x: x * 3)))[0], 5).alias("first_value"))
+
+
+@query(f"SELECT doc_id, CASE WHEN length({trimmed('t')}) > 10 THEN coalesce(keywords, []) ELSE [] END AS keywords FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE '  ' || source || '  ' END AS t FROM documents) LEFT JOIN {top_words('(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE source END AS t FROM documents)', 'doc_id', 't', 5)} USING (doc_id)")
+def suggested_keywords(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("  "), "source", F.lit("  ")))
+    return table(spark, sf_dir, "documents").select("doc_id", T.suggested_keywords(t).alias("keywords"))
+
+
+@query(f"SELECT doc_id, coalesce(keywords, [])[1:3] AS preview FROM documents LEFT JOIN {top_words('documents', 'doc_id', 'text', 8)} USING (doc_id)")
+def keyword_preview(spark, sf_dir):
+    return T.top_keywords(table(spark, sf_dir, "documents"), ["doc_id"], "text", 8).select("doc_id", T.keyword_preview(F.col("keywords")).alias("preview"))
+
+
+# --- changes of memories, conversations, workers and jobs ---
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id = 4 THEN 'fr' ELSE lang END AS domain_id FROM documents WHERE doc_id <> 5")
+def memory_changes(spark, sf_dir):
+    m = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain_id"))
+    return memory.moved(memory.deleted(m, 5), 4, "fr")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE lang = 'de'")
+def memories_of_domain(spark, sf_dir):
+    return memory.of_domain(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain_id")), "de").select("id")
+
+
+def heads(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    own = conversations.titles(c, "conv_id", "turn", "text").withColumnRenamed("conv_id", "id")
+    return own.select("id", "title", now().alias("created_at"), F.lit(None).cast("string").alias("custom_system_prompt"), F.lit(None).cast("string").alias("domain_id"), F.lit(3).alias("turns"))
+
+
+TITLES = "(SELECT conv_id AS id, CASE WHEN length(t) > 30 THEN left(t, 30) || '...' ELSE t END AS title FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id))"
+
+
+@query(f"SELECT id, CASE WHEN id = 1 THEN 'Renamed' WHEN id = 2 THEN 'New Chat' ELSE title END AS title, CASE WHEN id = 3 THEN 'Be kind.' END AS prompt, CASE WHEN id IN (2, 3) THEN 0 ELSE 3 END AS turns FROM {TITLES} WHERE id % 10 <> 9")
+def conversation_changes(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    left, messages = conversations.deleted(heads(spark, sf_dir), c, F.col("id") % 10 == 9)
+    left, messages = conversations.restarted(conversations.retitled(left, 1, " Renamed "), messages, 2)
+    return conversations.prompted(left, 3, "Be kind.").select("id", "title", F.col("custom_system_prompt").alias("prompt"), "turns")
+
+
+@query("SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id % 10 <> 9 AND turn <> 1 GROUP BY conv_id")
+def messages_left(spark, sf_dir):
+    messages = conversations.deleted(heads(spark, sf_dir), table(spark, sf_dir, "conversations"), F.col("id") % 10 == 9)[1]
+    return conversations.message_deleted(messages, F.col("turn") == 1).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH t AS (SELECT conv_id, count(*) FILTER (role = 'assistant') AS turns FROM conversations GROUP BY conv_id), d AS (SELECT conv_id FROM t WHERE turns >= CASE WHEN conv_id % 2 = 0 THEN 2 ELSE 3 END),
+l AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) AS transcript FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6 GROUP BY conv_id)
+SELECT t.conv_id, CASE WHEN d.conv_id IS NULL THEN turns ELSE 0 END AS turns, CASE WHEN d.conv_id IS NULL THEN 'old' ELSE left(transcript, 20) END AS summary FROM t LEFT JOIN d USING (conv_id) LEFT JOIN l USING (conv_id)""")
+def rotated_conversations(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    turns = c.groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("turns")).withColumns({"has_workers": F.col("conv_id") % 2 == 0, "summary": F.lit("old")})
+    scaled = turns.withColumn("turns", F.when(F.col("turns") >= F.when(F.col("has_workers"), 2).otherwise(3), 6).otherwise(-F.col("turns")))
+    after = conversations.rotated(c, scaled, "conv_id", "turn", "text", lambda t: F.left(t, F.lit(20)))[2]
+    return after.select("conv_id", (-F.col("turns")).alias("turns"), "summary")
+
+
+def events_as_workers(spark, sf_dir) -> DataFrame:
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select(k.cast("string").alias("id"), F.concat(F.lit("worker "), k.cast("string")).alias("name"), F.lit("person").alias("icon"), F.lit("when asked").alias("trigger"), F.lit("Do it.").alias("instructions"), (k % 3 != 0).alias("is_enabled"), (k % 2 == 0).alias("is_built_in"), F.col("ts").alias("created_at"))
+
+
+@query("SELECT 'worker ' || event_id AS name, event_id % 2 = 0 AS is_built_in FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT unnest(['Proofread', 'Summarize', 'Rewrite', 'Code Reviewer', 'Translator', 'Explain Simply']), true")
+def workers_with_presets(spark, sf_dir):
+    rows = workers.seeded_once(events_as_workers(spark, sf_dir), workers.presets(spark, now()))  # some are built in, so nothing comes
+    return workers.active(workers.seeded(rows, workers.presets(spark, now()))).select("name", "is_built_in")
+
+
+@query("SELECT event_id::VARCHAR AS id, CASE WHEN event_id = 4 THEN 'Named' ELSE 'worker ' || event_id END AS name, CASE WHEN event_id = 4 THEN 'Then' ELSE 'when asked' END AS \"trigger\", CASE WHEN event_id = 6 THEN event_id % 3 = 0 ELSE event_id % 3 <> 0 END AS is_enabled FROM events WHERE event_id <> 8 UNION ALL SELECT 'mine', 'Mine', 'Always', true")
+def worker_changes(spark, sf_dir):
+    rows = workers.toggled(events_as_workers(spark, sf_dir), "6")
+    rows = workers.saved(workers.saved(rows, "4", " Named ", "Then ", "Do."), "5", " ", "Then", "Do.")
+    rows = workers.created(workers.created(rows, "mine", "Mine ", "Always", "Do.", now()), "blank", "Blank", " ", "Do.", now())
+    return workers.removed(rows, "8").select("id", "name", "trigger", "is_enabled")
+
+
+@query("SELECT event_type AS worker, count(*) AS n FROM events WHERE event_id > 100 GROUP BY event_type")
+def worker_log(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("conversation"), F.col("event_id").alias("seq"), F.col("event_type").alias("worker"))
+    both = workers.recorded(log.where("seq % 2 = 0"), log.where("seq % 2 = 1"))
+    return workers.drained(both, F.lit(100))[1].groupBy("worker").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND text <> '' THEN text ELSE 'default' END AS instructions FROM conversations")
+def effective_instructions(spark, sf_dir):
+    own = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.when(F.col("turn") % 3 == 0, ""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", workers.effective_instructions(own, F.lit("default")).alias("instructions"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 3 THEN 'failed' END AS status, CASE page_id % 4 WHEN 1 THEN 'Unsupported: .doc' WHEN 3 THEN 'Cancelled' WHEN 0 THEN 'Done' END AS label, CASE WHEN page_id % 4 = 0 THEN 'green' ELSE 'red' END AS colour FROM pages WHERE page_id % 4 <> 2")
+def job_changes(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").where("page_id % 4 <> 2")
+    jobs = ingest.queued(pages.select(F.col("page_id").cast("string").alias("path")))
+    k = F.col("page_id") % 4
+    done = pages.where(k < 2).select(F.col("page_id").cast("string").alias("path"), F.when(k == 0, "completed").otherwise("failed").alias("status"), F.when(k == 1, "Unsupported: .doc").alias("error"))
+    known = ingest.cancelled(jobs.drop("status", "error").join(done, "path", "left").withColumn("status", F.coalesce("status", F.lit("queued"))))
+    return known.select(F.col("path").cast("long").alias("page_id"), "status", schemas.state_label(F.col("status"), F.col("error")).alias("label"), schemas.state_colour(F.col("status")).alias("colour"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -23,7 +24,28 @@ MESSAGE = "id string, role string, content string, timestamp timestamp"
 CONVERSATION = f"id string, title string, created_at timestamp, messages array<struct<{', '.join(x.replace(' ', ': ', 1) for x in MESSAGE.split(', '))}>>, custom_system_prompt string, domain_id string"
 WORKER = "id string, name string, icon string, trigger string, instructions string, is_enabled boolean, is_built_in boolean, created_at timestamp"
 
+# Names and icons of document types; labels, icons and colours of a job's states.
 LABELS = {"pdf": "PDF", "epub": "ePUB", "text": "Text"}
+ICONS = {"pdf": "doc.richtext", "epub": "book", "text": "doc.text"}
+STATES = {
+    "queued": ("Queued", "clock", "secondary"),
+    "processing": ("Processing…", "arrow.trianglehead.2.clockwise", "blue"),
+    "completed": ("Done", "checkmark.circle.fill", "green"),
+    "failed": (None, "exclamationmark.triangle.fill", "red"),
+}
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """What is known of the caller's embedding: the model's name, its dimension, and the function of a text column (None: not available)."""
+
+    model: str
+    dimension: int
+    function: Callable[[Column], Column] | None = None
+
+    @property
+    def available(self) -> bool:
+        return self.function is not None
 
 
 @dataclass(frozen=True)
@@ -52,6 +74,29 @@ def type_label(raw: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv)), document_type(raw))
 
 
+def type_icon(raw: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in ICONS.items() for x in kv)), document_type(raw))
+
+
+def state_label(status: Column, error: Column) -> Column:
+    """A job's state in words: what went wrong, for a failed one."""
+    named = {k: v[0] for k, v in STATES.items() if v[0]}
+    return F.when(status == "failed", error).otherwise(F.element_at(F.create_map(*(F.lit(x) for kv in named.items() for x in kv)), status))
+
+
+def state_icon(status: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for k, v in STATES.items() for x in (k, v[1]))), status)
+
+
+def state_colour(status: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for k, v in STATES.items() for x in (k, v[2]))), status)
+
+
+def keywords_json(keywords: Column) -> Column:
+    """Keywords as JSON; an empty list for null."""
+    return F.coalesce(F.to_json(keywords), F.lit("[]"))
+
+
 def reference_date(seconds: Column) -> Column:
     """A JSON date as a timestamp."""
     return F.timestamp_seconds(seconds + EPOCH_2001)

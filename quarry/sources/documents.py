@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import io
 import posixpath
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import HTML_STEPS, strip_html, trim_space
 
 MOST_BYTES = 100 * 1024 * 1024
-PARTS = "path string, pos int, label string, text string, html string, error string"
+PARTS = "path string, kb_id string, pos int, label string, text string, html string, error string"
 
 
 def _matches(pattern: str, text: str) -> list[str]:
@@ -34,16 +34,29 @@ def spine_files(opf: str) -> list[str]:
     return [items[r] for t in _matches("<itemref[^>]*>", opf) if (r := _attribute("idref", t)) in items]
 
 
-def archive_files(data: bytes) -> dict[str, bytes]:
-    """Files of a ZIP archive in memory, stored or deflated ones; larger ones than 100 MiB and damaged ones are left out."""
+def archive_files(data: bytes, most: int = MOST_BYTES) -> dict[str, bytes]:
+    """Files of a ZIP archive in memory, walked from local header to local header, so a truncated archive gives what stands before the cut.
+
+    Stored and deflated files are read, others passed over, as are damaged ones. Of a deflated file that is larger the first ``most`` bytes count,
+    or as many as its header states.
+    """
     out: dict[str, bytes] = {}
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for info in z.infolist():
-            if info.is_dir() or info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) or info.file_size > MOST_BYTES:
-                continue
+    at = 0
+    while data[at : at + 4] == b"PK\3\4" and at + 30 <= len(data):
+        method, packed, size, name_size, extra = struct.unpack_from("<8xH8xIIHH", data, at)
+        begin = at + 30 + name_size + extra
+        name = _text(data[at + 30 : at + 30 + name_size])
+        if not name_size or begin + packed > len(data):
+            break
+        part, at = data[begin : begin + packed], begin + packed
+        if not name or name.endswith("/"):
+            continue
+        if method == zipfile.ZIP_STORED:
+            out[name] = part
+        elif method == zipfile.ZIP_DEFLATED:
             try:
-                out[info.filename] = z.read(info)
-            except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError):
+                out[name] = zlib.decompressobj(-15).decompress(part, min(max(size, 1024), most))
+            except zlib.error:
                 continue
     return out
 
@@ -87,12 +100,18 @@ def read_documents(spark: SparkSession, path: str, parse_pdf: Callable[[bytes],
     A file that gives nothing has one row with its error. kb_id is a digest of path and content, so a second read gives equal ids.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return parsed(files, parse_pdf)
+
+
+def parsed(files: DataFrame, parse_pdf: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """(path, kb_id, pos, label, text, error) of files (path, content), also of a stream of them."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+            for name, id_, content in zip(pdf["path"], pdf["kb_id"], pdf["content"], strict=True):
                 kind = name.rsplit(".", 1)[-1].lower() if "." in name.rsplit("/", 1)[-1] else ""
+                empty = [None, None, None]
                 try:
                     if kind == "txt":
                         text = _text(bytes(content))
@@ -102,17 +121,16 @@ def read_documents(spark: SparkSession, path: str, parse_pdf: Callable[[bytes],
                     elif kind == "pdf" and parse_pdf:
                         found = [(i, f"Page {i + 1}", text, None) for i, text in enumerate(parse_pdf(bytes(content))) if text.strip()]
                     else:
-                        rows.append((name, 0, None, None, None, f"Unsupported: .{kind}"))
+                        rows.append((name, id_, 0, *empty, f"Unsupported: .{kind}"))
                         continue
-                    rows += [(name, i, label, text, html, None) for i, label, text, html in found] or [(name, 0, None, None, None, "No text content found")]
-                except (zipfile.BadZipFile, ValueError) as e:
-                    rows.append((name, 0, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "pos", "label", "text", "html", "error"])
+                    rows += [(name, id_, i, label, text, html, None) for i, label, text, html in found] or [(name, id_, 0, *empty, "No text content found")]
+                except ValueError as e:
+                    rows.append((name, id_, 0, *empty, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "kb_id", "pos", "label", "text", "html", "error"])
 
     ids = files.select("path", F.sha2(F.concat(F.col("path").cast("binary"), F.lit("\n").cast("binary"), F.col("content")), 256).alias("kb_id"), "content")
-    parts = ids.select("path", "content").mapInPandas(parse, PARTS)
-    out = parts.withColumn("text", F.coalesce("text", strip_html(F.col("html")))).drop("html")
-    return out.withColumn("kb_id", F.sha2(F.col("path"), 256)).select("path", "kb_id", "pos", "label", "text", "error")
+    parts = ids.mapInPandas(parse, PARTS)
+    return parts.withColumn("text", F.coalesce("text", strip_html(F.col("html")))).select("path", "kb_id", "pos", "label", "text", "error")
 
 
 def pasted(texts: DataFrame) -> DataFrame:
@@ -145,8 +163,18 @@ def write_memories(memories: DataFrame, path: str) -> None:
     memories.drop("embedding").write.json(path)
 
 
-def read_memories(spark: SparkSession, path: str) -> DataFrame:
-    """Memories from JSON lines; vectors are null until they are filled."""
+def read_memories(spark: SparkSession, path: str, legacy: str | None = None) -> DataFrame:
+    """Memories from JSON lines; vectors are null until they are filled. Where there is no such file, those of ``legacy`` are read and written
+    there, once."""
+    from pyspark.errors import AnalysisException
+
     from quarry.schemas import MEMORY
 
-    return spark.read.schema(MEMORY).json(path)
+    try:
+        return spark.read.schema(MEMORY).json(path)
+    except AnalysisException:  # no such path
+        old = spark.read.schema(MEMORY).json(legacy) if legacy else spark.createDataFrame([], MEMORY)
+        if not legacy:
+            return old
+        write_memories(old, path)
+        return spark.read.schema(MEMORY).json(path)

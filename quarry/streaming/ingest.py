@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,23 +12,57 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.operators.chunking import chunk_sections, with_keywords
 from quarry.operators.memory import add_all
+from quarry.sources.documents import file_stem, parsed
 
 
-def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
-    """Read text files as they come, chunk them, and append chunks (kb_id, index, location_label, content, keywords) and a job row for
-    each file (path, status, error) as Parquet below ``target``. A file that gives no chunks fails without stopping the others."""
+def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1, parse_pdf: Callable[[bytes], list[str]] | None = None) -> StreamingQuery:
+    """Read text, ePUB and (with a parser) PDF files as they come, chunk them, and append chunks (kb_id, index, location_label, content,
+    keywords) and a job row for each file (path, status, error) as Parquet below ``target``. A file that gives no chunks fails without
+    stopping the others. A batch that is run again replaces its own files."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        texts = df.select(F.col("__path").alias("kb_id"), F.lit(0).alias("pos"), F.lit("Full Text").alias("label"), F.col("value").alias("text"))
-        chunks = with_keywords(chunk_sections(texts), ["kb_id", "index"])
-        chunks.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{target}/chunks/epoch={epoch}")
+        parts = parsed(df.select("path", "content"), parse_pdf)
+        parts.write.mode("overwrite").parquet(f"{target}/sections/epoch={epoch}")
+        parts = df.sparkSession.read.parquet(f"{target}/sections/epoch={epoch}")
+        chunks = with_keywords(chunk_sections(parts.where("error is null").select("kb_id", "pos", "label", "text")))
+        chunks.write.mode("overwrite").parquet(f"{target}/chunks/epoch={epoch}")
         made = df.sparkSession.read.parquet(f"{target}/chunks/epoch={epoch}").select("kb_id").distinct().withColumn("__m", F.lit(True))
-        jobs = texts.join(made, "kb_id", "left").select(F.col("kb_id").alias("path"), F.when(F.col("__m"), "completed").otherwise("failed").alias("status"), F.when(F.col("__m"), F.lit(None).cast("string")).when(F.trim("text") == "", "No text content found").otherwise("No chunks created").alias("error"))
+        by_file = parts.groupBy("path", "kb_id").agg(F.first("error", ignorenulls=True).alias("error")).join(made, "kb_id", "left")
+        error = F.when(F.col("__m").isNull(), F.coalesce("error", F.lit("No chunks created")))
+        jobs = by_file.select("path", F.when(F.col("__m"), "completed").otherwise("failed").alias("status"), error.alias("error"))
         jobs.write.mode("overwrite").parquet(f"{target}/jobs/epoch={epoch}")
 
-    files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(source)
-    rows = files.withColumn("__path", F.col("_metadata.file_path"))
-    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.*").option("maxFilesPerTrigger", files_per_batch).load(source)
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def queued(files: DataFrame, domain: str | None = None) -> DataFrame:
+    """Jobs (path, file_name, status, error, domain_id) for files (path) that wait."""
+    return files.select("path", file_stem(F.col("path")).alias("file_name"), F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(domain).cast("string").alias("domain_id"))
+
+
+def progressed(jobs: DataFrame, done: DataFrame) -> DataFrame:
+    """``jobs`` with the outcome (path, status, error) of those that ran; the first one that still waits, by path, is processed."""
+    known = jobs.drop("status", "error").join(done.select("path", F.col("status").alias("__s"), F.col("error").alias("error")), "path", "left")
+    waiting = known.where("__s is null").agg(F.min("path").alias("__next"))
+    status = F.coalesce("__s", F.when(F.col("path") == F.col("__next"), "processing").otherwise("queued"))
+    return known.crossJoin(F.broadcast(waiting)).withColumn("status", status).drop("__s", "__next").select(*jobs.columns)
+
+
+def cancelled(jobs: DataFrame) -> DataFrame:
+    """Jobs that wait fail as "Cancelled"; others go on."""
+    wait = F.col("status") == "queued"
+    return jobs.withColumns({"error": F.when(wait, "Cancelled").otherwise(F.col("error")), "status": F.when(wait, "failed").otherwise(F.col("status"))})
+
+
+def removed(jobs: DataFrame, path: str) -> DataFrame:
+    return jobs.where(F.col("path") != path)
+
+
+def unfinished(jobs: DataFrame) -> DataFrame:
+    """Without jobs that are completed or failed."""
+    return jobs.where(~F.col("status").isin("completed", "failed"))
 
 
 def memory_stream(adds: DataFrame, capacity: int = 100) -> DataFrame:

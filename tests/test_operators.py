@@ -51,9 +51,11 @@ def test_vector_math(spark):
 
 def test_vector_bytes(spark):
     values = [[1.0, -2.5, 3.14159, 0.0, -0.001], [], [42.0], [0.5] * 512]
-    df = spark.createDataFrame([(v,) for v in values], "v array<double>").withColumn("b", V.to_bytes("v"))
-    rows = df.select("v", F.octet_length("b").alias("n"), V.from_bytes("b").alias("w")).collect()
-    assert all(r.v == r.w and r.n == 8 * len(r.v) for r in rows)
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v array<double>").coalesce(1)
+    rows = V.from_bytes(V.to_bytes(df, "v", "b"), "b", "w").collect()
+    assert all(r.v == r.w and (r.v is None) == (r.b is None) and len(r.b or b"") == 8 * len(r.v or []) for r in rows) and len(rows) == 5
+    odd = spark.createDataFrame([(b"x" * 17,), (b"",)], "b binary")
+    assert sorted(len(r.w) for r in V.from_bytes(odd, "b", "w").collect()) == [0, 2]
 
 
 def words_df(spark, rows):
@@ -87,9 +89,8 @@ def test_two_phase_branches(spark):
     for n, share in ((199, 0.5), (250, 0.5), (250, 0.02), (250, 0.0)):
         rows = [(i, ["license"] if rng.random() < share else ["nothing"], [rng.uniform(-1, 1), rng.uniform(-1, 1)]) for i in range(n)]
         other = [(1000 + i, ["licensed"]) for i in range(30 if share == 0.0 else 0)]
-        df = words_df(spark, rows)
-        index = spark.createDataFrame([(w, i) for i, ws in [*((r[0], r[1]) for r in rows), *other] for w in ws], "word string, id int")
-        got = [r.id for r in retrieval.two_phase(df, [1.0, 0.0], ["license"], "id", 3, index=index).collect()]
+        df = words_df(spark, [*rows, *((i, ws, [0.0, 0.0]) for i, ws in other)])
+        got = [r.id for r in retrieval.two_phase(df, [1.0, 0.0], ["license"], "id", 3, own=F.col("id") < 1000).collect()]
         assert got == plain_two_phase(rows, [1.0, 0.0], ["license"], 3, [*((r[0], r[1]) for r in rows), *other])
 
 
