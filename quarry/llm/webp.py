@@ -6,13 +6,15 @@ place depends on all before it; so with one group the step from every bit to the
 steps are followed from the first one.
 
 The writer stores pixels by prefix codes from their frequencies, back-references for repeated runs, and a colour cache where that is
-shorter by entropy. Its transforms vary as those of images from many writers do: by the payload's CRC-32 an image gets the palette (if it has
-256 colours at most), a predictor per block, cross-colour multipliers per block, or subtract-green. So equal payloads have equal streams.
+shorter by entropy. Its transforms vary as those of images from many writers do, by the payload's CRC-32: a predictor per block; cross-colour
+multipliers per block, or the palette if there are 256 colours at most; subtract-green; or none, or the palette. So equal payloads have equal
+streams.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from functools import lru_cache
@@ -32,6 +34,9 @@ NEARBY = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0),
 MOST_SIDE = 16384
 
 
+_EIGHT = np.arange(8, dtype=np.uint64)
+
+
 class Bits:
     """Bits of a byte string, least significant first."""
 
@@ -78,7 +83,7 @@ class Code:
         used = np.flatnonzero(lengths)
         if len(used) < 2:  # takes no bits
             self.width, self.only = 0, int(used[0]) if len(used) else 0
-            self.symbols, self.lengths = np.array([self.only]), np.zeros(1, np.int64)
+            self.symbols, self.lengths = np.array([self.only], np.int16), np.zeros(1, np.uint8)
             return
         sizes = lengths[used]
         self.width = int(sizes.max())
@@ -87,7 +92,7 @@ class Code:
         order = np.argsort(sizes, kind="stable")
         shares = 1 << (self.width - sizes[order])
         turned = _turned(self.width)  # by the next ``width`` bits
-        self.symbols, self.lengths = np.repeat(used[order], shares)[turned], np.repeat(sizes[order], shares)[turned]
+        self.symbols, self.lengths = (np.repeat(x[order].astype(kind), shares).take(turned) for x, kind in ((used, np.int16), (sizes, np.uint8)))  # small tables
 
     def next(self, bits: Bits) -> int:
         if not self.width:
@@ -106,6 +111,39 @@ def _code_of_lengths(steps: bytes) -> tuple[list[int], list[int], int, int]:
     return code.symbols.tolist(), code.lengths.tolist(), code.width, code.only if not code.width else 0
 
 
+#: Bits behind a step of the code lengths, and the least number of lengths that it stands for.
+_EXTRA, _LEAST = np.array([0] * 16 + [2, 3, 7]), np.array([1] * 16 + [3, 3, 11])
+
+
+def _code_at_once(bits: Bits, alphabet: int, key: tuple, size: int = 1024) -> Code | None:
+    """The code whose lengths stand next: all steps from every bit are worked out, then followed. None where lengths are repeated or go on for long."""
+    first, shift = divmod(bits.at, 8)
+    part = bits.data[first : first + size // 8 + 9] + b"\0" * 16
+    ahead = (np.ndarray((size // 8 + 1,), "<u8", part, strides=(1,))[:, None] >> _EIGHT).view(np.int64).reshape(-1)[shift : shift + size] if len(part) > size // 8 + 16 else None
+    if ahead is None:
+        return None
+    k = ahead & ((1 << key[2]) - 1)
+    symbol, n = np.array(key[0]).take(k), np.array(key[1]).take(k)
+    extra = _EXTRA.take(symbol)
+    times = _LEAST.take(symbol) + ((ahead >> n) & ((1 << extra) - 1))
+    steps, counts, place, at, path = memoryview(n + extra), memoryview(times), 0, 0, []
+    while at < alphabet and place < size:
+        path.append(place)
+        at += counts[place]
+        place += steps[place]
+    on = np.array(path)
+    found = symbol[on]
+    if at != alphabet or place > size or (found == 16).any() or bits.at + place > bits.size:
+        return None
+    bits.at += place
+    return _code(np.repeat(np.where(found < 16, found, 0).astype(np.uint8), times[on]).tobytes())
+
+
+@lru_cache(64)
+def _code(lengths: bytes) -> Code:
+    return Code(np.frombuffer(lengths, np.uint8).astype(np.int64))
+
+
 def read_code(bits: Bits, alphabet: int) -> Code:
     lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):  # one or two symbols
@@ -124,7 +162,9 @@ def read_code(bits: Bits, alphabet: int) -> Code:
         most = 2 + bits.read(2 + 2 * bits.read(3))
         if most > alphabet:
             raise ValueError("too many code lengths")
-    symbols, sizes, width, only = _code_of_lengths(steps.astype(np.uint8).tobytes())
+    symbols, sizes, width, only = key = _code_of_lengths(steps.astype(np.uint8).tobytes())
+    if 0 < width < 6 and most == alphabet and (code := _code_at_once(bits, alphabet, key)):
+        return code
     at, last, mask = 0, 8, (1 << width) - 1
     ahead, place = bits.peek(2048), 0
     found: list[int] = []
@@ -212,7 +252,6 @@ def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
 
 #: Bits of which the steps are worked out at once, and bits that a step may reach beyond.
 CHUNK, REACH = 1 << 17, 128
-_EIGHT = np.arange(8, dtype=np.uint64)
 
 
 def _values(prefix: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,19 +275,19 @@ def _steps(bits: Bits, codes: list[Code], n: int) -> tuple[np.ndarray, np.ndarra
         ahead = (windows[:, None] >> _EIGHT).view(np.int64).reshape(-1)[shift : shift + size + REACH]  # 57 bits or more from each bit on
         here = np.arange(size)
         k = ahead[:size] & ((1 << green.width) - 1)
-        symbol, after = green.symbols[k], here + green.lengths[k]
+        symbol, after = green.symbols.take(k), here + green.lengths.take(k)
         at = [after]
         for code in (red, blue, alpha):  # where the next channel begins
-            at.append(at[-1] + code.lengths[ahead[at[-1]] & ((1 << code.width) - 1)] if code.width else at[-1])
+            at.append(at[-1] + code.lengths.take(ahead.take(at[-1]) & ((1 << code.width) - 1)) if code.width else at[-1])
         then, count, distance = at[3], np.broadcast_to(1, size), np.broadcast_to(0, size)
         if copies:
             then, count, distance = then.copy(), np.ones(size, np.int64), np.zeros(size, np.int64)
             many = np.flatnonzero((symbol >= 256) & (symbol < 256 + 24))
-            count[many], extra = _values(symbol[many] - 256, ahead[after[many]])
+            count[many], extra = _values(symbol[many].astype(np.int64) - 256, ahead[after[many]])
             to = after[many] + extra
             k = ahead[to] & ((1 << far.width) - 1)
             to += far.lengths[k]
-            distance[many], extra = _values(far.symbols[k], ahead[to])
+            distance[many], extra = _values(far.symbols[k].astype(np.int64), ahead[to])
             then[many] = to + extra
             held = symbol >= 256 + 24
             then[held] = after[held]
@@ -266,10 +305,10 @@ def _steps(bits: Bits, codes: list[Code], n: int) -> tuple[np.ndarray, np.ndarra
                 place = steps[place]
         bits.at += place
         on = np.array(path, np.int64)
-        pixel = symbol[on] << 8
+        pixel = symbol[on].astype(np.int64) << 8
         for code, begin, to in zip((red, blue, alpha), at, (16, 0, 24), strict=False):
-            pixel |= (code.symbols[ahead[begin[on]] & ((1 << code.width) - 1)] if code.width else np.int64(code.only)) << to
-        found.append((symbol[on], pixel, count[on], distance[on]))
+            pixel |= (code.symbols[ahead[begin[on]] & ((1 << code.width) - 1)].astype(np.int64) if code.width else np.int64(code.only)) << to
+        found.append((symbol[on].astype(np.int64), pixel, count[on], distance[on]))
     if bits.at > bits.size:
         raise ValueError("the stream ends early")
     if made > n:
@@ -459,7 +498,7 @@ def decode(data: bytes, most_pixels: int = 1 << 26) -> np.ndarray:
 
 # --- writer ------------------------------------------------------------------------------------------------------------
 
-MOST_LENGTH = 12  # bits of a code; 15 are allowed, but the reader's tables grow with it
+MOST_LENGTH = 11  # bits of a code; 15 are allowed, but the reader's tables grow with it
 #: Lengths of the code for code lengths: all are used but 16.
 STEP_LENGTHS = np.array([5 if s in (1, 13, 14, 15) else 4 for s in range(16)] + [0, 4, 4])
 
@@ -566,16 +605,15 @@ class _Writer:
         return b"".join(out) + np.packbits(left, bitorder="little").tobytes()
 
 
-def _write_code(w: _Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Write a prefix code for symbols with counts; its codes and lengths."""
+def _write_code(w: _Writer, counts: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Write a prefix code for symbols with counts, so many times; its codes and lengths."""
     used = np.flatnonzero(counts)
     if len(used) < 3 and (not len(used) or used[-1] < 256):
         some = used.tolist() or [0]
-        w.write(1, 1)
-        w.write(len(some) - 1, 1)
-        w.write(1, 1)  # symbols of 8 bits
-        for s in some:
-            w.write(s, 8)
+        for _ in range(times):
+            w.write(5 | (len(some) - 1) << 1, 3)  # one or two symbols of 8 bits
+            for s in some:
+                w.write(s, 8)
         codes, lengths = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
         if len(some) == 2:
             codes[some[1]], lengths[some] = 1, 1
@@ -584,7 +622,6 @@ def _write_code(w: _Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         counts = counts.copy()
         counts[0] += 1
     lengths = code_lengths(counts)
-    w.write(*_STEPS_HEAD)
     at = np.append(np.flatnonzero(lengths), len(lengths))
     gap = np.diff(at, prepend=-1) - 1
     while (gap > 138).any():  # more than one run of zeros
@@ -593,7 +630,10 @@ def _write_code(w: _Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         gap[k + 1] -= 138
     step = np.where(at < len(lengths), lengths[np.minimum(at, len(lengths) - 1)], 0)
     value, n = _ZEROS[0][gap], _ZEROS[1][gap]
-    w.many(value | np.where(step > 0, STEP_CODES[step], 0) << n, n + np.where(step > 0, STEP_LENGTHS[step], 0))
+    value, n = value | np.where(step > 0, STEP_CODES[step], 0) << n, n + np.where(step > 0, STEP_LENGTHS[step], 0)
+    for _ in range(times):
+        w.write(*_STEPS_HEAD)
+        w.many(value, n)
     return _codes(lengths), lengths
 
 
@@ -625,11 +665,10 @@ def _copies(px: np.ndarray, least: int = 3, most: int = 4096, far: int = (1 << 2
 
 def _entropy(*counts: np.ndarray) -> float:
     """Bits that symbols with these counts take."""
-    out = 0.0
-    for c in counts:
-        c = c[c > 0]
-        out += float((c * np.log2(c.sum() / c)).sum()) if len(c) else 0.0
-    return out
+    every = np.concatenate(counts)
+    every = every[every > 1]
+    totals = [int(c.sum()) for c in counts]
+    return sum(n * math.log2(n) for n in totals if n) - float(every @ np.log2(every))
 
 
 def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -648,10 +687,14 @@ def _write_image(w: _Writer, px: np.ndarray, width: int, top: bool = False, cach
     free = np.ones(n, bool)
     if len(copies):
         free[np.repeat(copies[:, 0] - (np.cumsum(copies[:, 1]) - copies[:, 1]), copies[:, 1]) + np.arange(copies[:, 1].sum())] = False
-    count = lambda where, sizes=(256, 256, 256, 256): [np.bincount(channels[where, k], minlength=m) for k, m in zip((1, 2, 0, 3), sizes, strict=True)]
+
+    def count(where: np.ndarray) -> list[np.ndarray]:
+        some = channels[where] if not where.all() else channels
+        return [np.bincount(some[:, k], minlength=256) for k in (1, 2, 0, 3)]
+
     held = np.zeros(n, bool)
     plain = count(free)
-    if n >= 64:
+    if n >= 256:
         slot = (px.astype(np.int64) * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits)
         order = np.argsort(slot, kind="stable")
         known = np.zeros(n, bool)
@@ -679,7 +722,8 @@ def _write_image(w: _Writer, px: np.ndarray, width: int, top: bool = False, cach
         keep = free.copy()
         keep[copies[:, 0]] = True
     green, green_n = _write_code(w, np.bincount(symbol[keep], minlength=256 + 24 + ((1 << cache_bits) if used else 0)))
-    (red, red_n), (blue, blue_n), (alpha, alpha_n) = (_write_code(w, c) for c in plain[1:])
+    red, red_n = blue, blue_n = _write_code(w, plain[1] + plain[2], 2)  # they are alike, so one code does
+    alpha, alpha_n = _write_code(w, plain[3])
     far, far_n = _write_code(w, np.bincount(distance, minlength=40))
     value, size = green[symbol], green_n[symbol]
     for k, codes, sizes in ((2, red, red_n), (0, blue, blue_n), (3, alpha, alpha_n)):
@@ -715,7 +759,7 @@ def _predict(c: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     guesses = np.stack([np.broadcast_to(BLACK.astype(np.int16), x.shape), left, *(guess(corner, up, right) for guess in ABOVE.values())])
     names = np.array([0, 1, *ABOVE])
     away = (x - guesses).astype(np.int8)
-    best = _blocks(np.abs(away.astype(np.int16)).sum(axis=-1).astype(np.int64), block).argmin(axis=0)
+    best = _blocks(np.abs(away[..., :3].astype(np.int16)).sum(axis=-1, dtype=np.int64), block).argmin(axis=0)
     wide = best.repeat(1 << block, 0).repeat(1 << block, 1)[:h, :width]
     out = np.take_along_axis(away, wide[None, :, :, None], axis=0)[0].view(np.uint8)
     out[0, 1:], out[1:, 0] = (x[0, 1:] - x[0, :-1]).astype(np.uint8), (x[1:, 0] - x[:-1, 0]).astype(np.uint8)
@@ -749,7 +793,7 @@ def encode(rgb: np.ndarray, block: int = 6) -> bytes:
     c[..., :3] = rgb[..., ::-1]
     px = c.view("<u4").reshape(-1)
     kind = zlib.crc32(rgb.tobytes()) & 3
-    colours = np.unique(px)
+    colours = np.unique(px) if kind & 1 else np.zeros(257)
     opaque = np.uint32(0xFF000000)
     if kind & 1 and len(colours) <= 256:
         packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
@@ -766,7 +810,7 @@ def encode(rgb: np.ndarray, block: int = 6) -> bytes:
         c[..., 0] -= c[..., 1]
         c[..., 2] -= c[..., 1]
         px = c.view("<u4").reshape(-1)
-    else:
+    elif kind < 2:
         fields, rest = _predict(c, block) if kind != 1 else _cross(c, block)
         fields = fields << 8 if kind != 1 else fields
         for value, n in ((1, 1), (int(kind == 1), 2), (block - 2, 3)):
