@@ -326,28 +326,43 @@ def _one_group(bits: Bits, codes: list[Code], n: int, width: int, cache_bits: in
     place = np.cumsum(count) - count
     if (back > place)[copy].any():
         raise ValueError("a back-reference leaves the image")
-    out = np.zeros(n, np.uint32)
+    out, literal = np.zeros(n, np.uint32), symbol < 256
+    runs = list(zip(place[copy].tolist(), count[copy].tolist(), back[copy].tolist(), strict=True))
+    out[place[literal]] = pixel[literal]
     if not cache_bits:
-        out[place[~copy]] = pixel[~copy]
-        for at, length, far in zip(place[copy].tolist(), count[copy].tolist(), back[copy].tolist(), strict=True):
+        for at, length, far in runs:
             out[at : at + length] = out[at - far : at - far + length] if far >= length else np.resize(out[at - far : at], length)
         return out
+    # a cached pixel is that which had its slot last, a copied one is its source; each chain ends at a literal
     shift = 32 - cache_bits
-    slot = np.where(symbol < 256, ((pixel * 0x1E35A7BD) & 0xFFFFFFFF) >> shift, symbol - 256 - 24)
-    cache, made = [0] * (1 << cache_bits), []
-    for s, p, k, length, far in zip(symbol.tolist(), pixel.tolist(), slot.tolist(), count.tolist(), back.tolist(), strict=True):
-        if s < 256:
-            cache[k] = p
-            made.append(p)
-        elif s >= 256 + 24:
-            made.append(cache[k])
-        else:
-            for _ in range(length):  # may overlap itself
-                p = made[-far]
-                cache[((0x1E35A7BD * p) & 0xFFFFFFFF) >> shift] = p
-                made.append(p)
-    out[:] = made
-    return out
+    slot, source, held = np.zeros(n, np.int64), np.arange(n), place[symbol >= 256 + 24]
+    slot[place[literal]] = ((pixel[literal] * 0x1E35A7BD) & 0xFFFFFFFF) >> shift
+    slot[held] = symbol[symbol >= 256 + 24] - 256 - 24
+    for at, length, far in runs:
+        slot[at : at + length] = slot[at - far : at - far + length] if far >= length else np.resize(slot[at - far : at], length)
+        source[at : at + length] -= far
+    order = np.argsort(slot, kind="stable")
+    before, same = np.full(n, -1), slot[order[1:]] == slot[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    if (before[held] < 0).any():
+        return _one_by_one(symbol, pixel, count, back, cache_bits)
+    source[held] = before[held]
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return out[source]
+        source = further
+
+
+def _one_by_one(symbol: np.ndarray, pixel: np.ndarray, count: np.ndarray, back: np.ndarray, cache_bits: int) -> np.ndarray:
+    """The same in order, for images that read slots of the cache which nothing was put into (0)."""
+    cache, made, shift = [0] * (1 << cache_bits), [], 32 - cache_bits
+    for s, p, length, far in zip(symbol.tolist(), pixel.tolist(), count.tolist(), back.tolist(), strict=True):
+        for _ in range(length if 256 <= s < 256 + 24 else 1):
+            q = p if s < 256 else cache[s - 256 - 24] if s >= 256 + 24 else made[-far]
+            cache[((0x1E35A7BD * q) & 0xFFFFFFFF) >> shift] = q
+            made.append(q)
+    return np.array(made, np.uint32)
 
 
 def _split(pixels: np.ndarray) -> np.ndarray:
