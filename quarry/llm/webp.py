@@ -105,10 +105,22 @@ class Code:
 
 
 @lru_cache(256)
-def _code_of_lengths(steps: bytes) -> tuple[list[int], list[int], int, int]:
-    """Symbols and lengths by the next bits, the number of these bits, and the symbol of a code without bits."""
-    code = Code(np.frombuffer(steps, np.uint8).astype(np.int64))
-    return code.symbols.tolist(), code.lengths.tolist(), code.width, code.only if not code.width else 0
+def _steps_code(n: int, value: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The code for code lengths, whose own ``n`` lengths stand in ``value`` by 3 bits: symbols and lengths by the next bits, the number of these
+    bits, and the symbol of a code without bits."""
+    lengths = np.zeros(19, np.int64)
+    for k in range(n):
+        lengths[LENGTH_ORDER[k]] = (value >> 3 * k) & 7
+    code = Code(lengths)
+    return code.symbols.astype(np.int64), code.lengths.astype(np.int64), code.width, code.only if not code.width else 0
+
+
+@lru_cache(256)
+def _few(alphabet: int, *symbols: int) -> Code:
+    """The code of one or two symbols."""
+    lengths = np.zeros(alphabet, np.int64)
+    lengths[list(symbols)] = 1
+    return Code(lengths)
 
 
 #: Bits behind a step of the code lengths, and the least number of lengths that it stands for.
@@ -123,7 +135,7 @@ def _code_at_once(bits: Bits, alphabet: int, key: tuple, size: int = 1024) -> Co
     if ahead is None:
         return None
     k = ahead & ((1 << key[2]) - 1)
-    symbol, n = np.array(key[0]).take(k), np.array(key[1]).take(k)
+    symbol, n = key[0].take(k), key[1].take(k)
     extra = _EXTRA.take(symbol)
     times = _LEAST.take(symbol) + ((ahead >> n) & ((1 << extra) - 1))
     steps, counts, place, at, path = memoryview(n + extra), memoryview(times), 0, 0, []
@@ -145,26 +157,21 @@ def _code(lengths: bytes) -> Code:
 
 
 def read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):  # one or two symbols
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
-        lengths[first] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return Code(lengths)
+        return _few(alphabet, first, bits.read(8)) if two else _few(alphabet, first)
     n = 4 + bits.read(4)
-    steps = np.zeros(19, np.int64)
-    for k in range(n):
-        steps[LENGTH_ORDER[k]] = bits.read(3)
+    key = _steps_code(n, bits.read(3 * n))
     most = alphabet
     if bits.read(1):
         most = 2 + bits.read(2 + 2 * bits.read(3))
         if most > alphabet:
             raise ValueError("too many code lengths")
-    symbols, sizes, width, only = key = _code_of_lengths(steps.astype(np.uint8).tobytes())
+    symbols, sizes, width, only = key
     if 0 < width < 6 and most == alphabet and (code := _code_at_once(bits, alphabet, key)):
         return code
+    symbols, sizes, lengths = symbols.tolist(), sizes.tolist(), np.zeros(alphabet, np.int64)
     at, last, mask = 0, 8, (1 << width) - 1
     ahead, place = bits.peek(2048), 0
     found: list[int] = []
@@ -528,20 +535,21 @@ def code_lengths(counts: np.ndarray, most: int = MOST_LENGTH) -> np.ndarray:
     counts = counts[used]
     while True:
         order = np.argsort(counts, kind="stable")
-        n, weights = len(order), counts[order].tolist()
-        inner, parent, i, j = [], [0] * (2 * n - 1), 0, 0
+        n = len(order)
+        weights, inner, parent, i, j = [*counts[order].tolist(), math.inf], [math.inf] * n, [0] * (2 * n - 1), 0, 0
         for k in range(n - 1):  # the two least of the leaves, and of the nodes made before, which are in order too
-            total = 0
-            for _ in range(2):
-                if i < n and (j >= len(inner) or weights[i] <= inner[j]):
-                    total += weights[i]
-                    parent[i] = n + k
-                    i += 1
-                else:
-                    total += inner[j]
-                    parent[n + j] = n + k
-                    j += 1
-            inner.append(total)
+            if weights[i] <= inner[j]:
+                total, parent[i] = weights[i], n + k
+                i += 1
+            else:
+                total, parent[n + j] = inner[j], n + k
+                j += 1
+            if weights[i] <= inner[j]:
+                inner[k], parent[i] = total + weights[i], n + k
+                i += 1
+            else:
+                inner[k], parent[n + j] = total + inner[j], n + k
+                j += 1
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
