@@ -5,8 +5,8 @@ two-dimensional distance codes, the colour cache, and the predictor, cross-colou
 place depends on all before it; so with one group the step from every bit to the next pixel is worked out at once by table, and then the
 steps are followed from the first one.
 
-The writer stores pixels by prefix codes from their frequencies, back-references for repeated runs, and a colour cache where that is
-shorter by entropy. Its transforms vary as those of images from many writers do, by the payload's CRC-32: a predictor per block; cross-colour
+The writer stores pixels by prefix codes from their frequencies, back-references for repeated runs, and (beside the predictor or none) a
+colour cache where that is shorter by entropy. Its transforms vary as those of images from many writers do, by the payload's CRC-32: a predictor per block; cross-colour
 multipliers per block, or the palette if there are 256 colours at most; subtract-green; or none, or the palette. So equal payloads have equal
 streams.
 """
@@ -66,6 +66,7 @@ class Bits:
         return np.unpackbits(np.frombuffer(self.data, np.uint8, (shift + n + 7) // 8, i), bitorder="little")[shift : shift + n]
 
 
+@lru_cache(16)
 def _turned(width: int) -> np.ndarray:
     """The numbers below 2**width with their bits turned round."""
     return _TURNED[: 1 << width] >> (16 - width)
@@ -127,7 +128,7 @@ def _few(alphabet: int, *symbols: int) -> Code:
 _EXTRA, _LEAST = np.array([0] * 16 + [2, 3, 7]), np.array([1] * 16 + [3, 3, 11])
 
 
-def _code_at_once(bits: Bits, alphabet: int, key: tuple, size: int = 1024) -> Code | None:
+def _code_at_once(bits: Bits, alphabet: int, key: tuple, size: int = 512) -> Code | None:
     """The code whose lengths stand next: all steps from every bit are worked out, then followed. None where lengths are repeated or go on for long."""
     first, shift = divmod(bits.at, 8)
     part = bits.data[first : first + size // 8 + 9] + b"\0" * 16
@@ -145,7 +146,9 @@ def _code_at_once(bits: Bits, alphabet: int, key: tuple, size: int = 1024) -> Co
         place += steps[place]
     on = np.array(path)
     found = symbol[on]
-    if at != alphabet or place > size or (found == 16).any() or bits.at + place > bits.size:
+    if at < alphabet and size < 2048:
+        return _code_at_once(bits, alphabet, key, 2048)
+    if at != alphabet or (found == 16).any() or bits.at + place > bits.size:
         return None
     bits.at += place
     return _code(np.repeat(np.where(found < 16, found, 0).astype(np.uint8), times[on]).tobytes())
@@ -210,7 +213,18 @@ def _number(bits: Bits, prefix: int) -> int:
 
 
 def _group(bits: Bits, cache_bits: int) -> list[Code]:
-    return [read_code(bits, n) for n in (256 + 24 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)]
+    green = read_code(bits, 256 + 24 + ((1 << cache_bits) if cache_bits else 0))
+    start = bits.at
+    red = read_code(bits, 256)
+    n, there = bits.at - start, bits.at
+    bits.at = start
+    written = bits.peek(n)
+    bits.at = there
+    if there + n <= bits.size and bits.peek(n) == written:  # the same bits make the same code
+        blue, bits.at = red, there + n
+    else:
+        blue = read_code(bits, 256)
+    return [green, red, blue, read_code(bits, 256), read_code(bits, 40)]
 
 
 def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
@@ -258,7 +272,7 @@ def _image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
 
 
 #: Bits of which the steps are worked out at once, and bits that a step may reach beyond.
-CHUNK, REACH = 1 << 17, 128
+CHUNK, REACH = 1 << 14, 128
 
 
 def _values(prefix: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +285,7 @@ def _steps(bits: Bits, codes: list[Code], n: int) -> tuple[np.ndarray, np.ndarra
     """Of each literal, copy or cached pixel of one group: the green symbol, the pixel, and for copies length and distance code."""
     green, red, blue, alpha, far = codes
     found: list[tuple] = []
-    made, copies = 0, bool((green.symbols >= 256).any())
+    made, wide = 0, bool((green.symbols >= 256).any())
     while made < n:
         size = min(bits.size - bits.at, CHUNK)
         if size <= 0:
@@ -280,42 +294,52 @@ def _steps(bits: Bits, codes: list[Code], n: int) -> tuple[np.ndarray, np.ndarra
         part = bits.data[first : first + (shift + size + REACH) // 8 + 2] + b"\0" * (REACH // 8 + 16)
         windows = np.ndarray(((shift + size + REACH) // 8 + 1,), "<u8", part, strides=(1,))
         ahead = (windows[:, None] >> _EIGHT).view(np.int64).reshape(-1)[shift : shift + size + REACH]  # 57 bits or more from each bit on
-        here = np.arange(size)
         k = ahead[:size] & ((1 << green.width) - 1)
-        symbol, after = green.symbols.take(k), here + green.lengths.take(k)
-        at = [after]
+        here = np.arange(size + REACH)
+        symbol, after = green.symbols.take(k), here[:size] + green.lengths.take(k)
+        at, known = [after], {}
         for code in (red, blue, alpha):  # where the next channel begins
-            at.append(at[-1] + code.lengths.take(ahead.take(at[-1]) & ((1 << code.width) - 1)) if code.width else at[-1])
-        then, count, distance = at[3], np.broadcast_to(1, size), np.broadcast_to(0, size)
-        if copies:
-            then, count, distance = then.copy(), np.ones(size, np.int64), np.zeros(size, np.int64)
-            many = np.flatnonzero((symbol >= 256) & (symbol < 256 + 24))
-            count[many], extra = _values(symbol[many].astype(np.int64) - 256, ahead[after[many]])
-            to = after[many] + extra
+            if code.width and id(code) not in known:
+                known[id(code)] = code.lengths.take(ahead & ((1 << code.width) - 1))
+            at.append(at[-1] + known[id(code)].take(at[-1]) if code.width else at[-1])
+        then = here  # what lies beyond waits for the next chunk
+        then[:size] = at[3]
+        if wide:
+            many = np.flatnonzero(symbol >= 256)
+            then[many] = after[many]  # a cached pixel has no more
+            many = many[symbol[many] < 256 + 24]
+            to = after[many]
+            to = to + _values(symbol[many].astype(np.int64) - 256, ahead[to])[1]
             k = ahead[to] & ((1 << far.width) - 1)
-            to += far.lengths[k]
-            distance[many], extra = _values(far.symbols[k].astype(np.int64), ahead[to])
-            then[many] = to + extra
-            held = symbol >= 256 + 24
-            then[held] = after[held]
-        steps, place, path = memoryview(then), 0, []
-        if copies:
-            counts = memoryview(count)
-            while place < size and made < n:
-                path.append(place)
-                made += counts[place]
-                place = steps[place]
-        else:
-            while place < size and made < n:
-                path.append(place)
-                made += 1
-                place = steps[place]
+            to = to + far.lengths[k]
+            then[many] = to + _values(far.symbols[k].astype(np.int64), ahead[to])[1]
+        two = then.take(then)
+        steps, place, path = memoryview(two.take(two)), 0, []  # four steps in one
+        while place < size:
+            path.append(place)
+            place = steps[place]
+        on = np.array(path)
+        on = np.stack((on, then[on], two[on], then[two[on]]), axis=1).reshape(-1)
+        on = on[on < size]
+        found_symbol, count, distance = symbol[on].astype(np.int64), np.ones(len(on), np.int64), np.zeros(len(on), np.int64)
+        if wide:
+            copy = np.flatnonzero((found_symbol >= 256) & (found_symbol < 256 + 24))
+            to = after[on[copy]]
+            count[copy], extra = _values(found_symbol[copy] - 256, ahead[to])
+            to = to + extra
+            k = ahead[to] & ((1 << far.width) - 1)
+            distance[copy] = _values(far.symbols[k].astype(np.int64), ahead[to + far.lengths[k]])[0]
+        total = np.cumsum(count)
+        last = int(np.searchsorted(total, n - made)) + 1
+        if last < len(on) or (last == len(on) and total[-1] + made >= n):  # all pixels are there
+            on, found_symbol, count, distance = on[:last], found_symbol[:last], count[:last], distance[:last]
+            place = int(then[on[-1]])
+        made += int(total[min(last, len(total)) - 1])
         bits.at += place
-        on = np.array(path, np.int64)
-        pixel = symbol[on].astype(np.int64) << 8
+        pixel = found_symbol << 8
         for code, begin, to in zip((red, blue, alpha), at, (16, 0, 24), strict=False):
             pixel |= (code.symbols[ahead[begin[on]] & ((1 << code.width) - 1)].astype(np.int64) if code.width else np.int64(code.only)) << to
-        found.append((symbol[on].astype(np.int64), pixel, count[on], distance[on]))
+        found.append((found_symbol, pixel, count, distance))
     if bits.at > bits.size:
         raise ValueError("the stream ends early")
     if made > n:
@@ -615,17 +639,16 @@ class _Writer:
 
     def bytes(self) -> bytes:
         self._flush()
-        out, left = [], np.zeros(0, np.uint8)
         values, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        for at in range(0, len(values), 100_000):
-            v, n = values[at : at + 100_000], sizes[at : at + 100_000]
-            upto = np.cumsum(n)
-            place = np.arange(upto[-1], dtype=np.uint64) - np.repeat((upto - n).astype(np.uint64), n)
-            bits = np.concatenate((left, ((np.repeat(v, n) >> place) & np.uint64(1)).astype(np.uint8)))
-            whole = len(bits) & ~7
-            out.append(np.packbits(bits[:whole], bitorder="little").tobytes())
-            left = bits[whole:]
-        return b"".join(out) + np.packbits(left, bitorder="little").tobytes()
+        upto = np.cumsum(sizes)
+        begin = upto - sizes
+        word, shift = begin >> 6, (begin & 63).astype(np.uint64)
+        out = np.zeros(int(upto[-1] >> 6) + 2, np.uint64)
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        out[word[first]] = np.add.reduceat(values << shift, first)  # fields don't overlap, so sums join them
+        over = np.flatnonzero((begin & 63) + sizes > 64)
+        out[word[over] + 1] += values[over] >> (np.uint64(64) - shift[over])
+        return out.tobytes()[: int(upto[-1] + 7) >> 3]
 
 
 def _write_code(w: _Writer, counts: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -646,7 +669,8 @@ def _write_code(w: _Writer, counts: np.ndarray, times: int = 1) -> tuple[np.ndar
         counts[0] += 1
     lengths = code_lengths(counts)
     at = np.append(np.flatnonzero(lengths), len(lengths))
-    gap = np.diff(at, prepend=-1) - 1
+    gap = at - 1
+    gap[0], gap[1:] = at[0], gap[1:] - at[:-1]
     while (gap > 138).any():  # more than one run of zeros
         k = int(np.argmax(gap > 138))
         at, gap = np.insert(at, k, at[k] - gap[k] + 137), np.insert(gap, k, 138)
@@ -676,7 +700,7 @@ def _copies(px: np.ndarray, least: int = 3, most: int = 4096, far: int = (1 << 2
     at = np.flatnonzero(back)
     same = (px[at] == px[at - back[at]]) & (px[at + 1] == px[at + 1 - back[at]]) & (px[at + 2] == px[at + 2 - back[at]]) & (back[at] <= far)
     back[at[~same]] = 0
-    edges = np.flatnonzero(np.diff(back, prepend=0))
+    edges = np.flatnonzero(back[1:] != back[:-1]) + 1  # nothing stands before the first
     out, reached = [], 0
     for first, last, distance in zip(edges.tolist(), [*edges[1:].tolist(), n], back[edges].tolist(), strict=True):
         begin, end = max(first, reached), last + least - 1
@@ -702,9 +726,15 @@ def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(v < 4, v, 2 * extra + ((v >> extra) & 1) + np.where(v < 4, 0, 2)), v & ((1 << extra) - 1), extra
 
 
-def _write_image(w: _Writer, px: np.ndarray, width: int, top: bool = False, cache_bits: int = 7) -> None:
-    """Write pixels (ARGB): prefix codes for one group, back-references, and the colour cache where it saves bits."""
+def _write_image(w: _Writer, px: np.ndarray, width: int, top: bool = False, cache_bits: int = 0) -> None:
+    """Write pixels (ARGB): prefix codes for one group, back-references, and a colour cache of ``cache_bits`` where that saves bits."""
     n = len(px)
+    if n == 1:
+        w.write(0, 1 + top)
+        for k in (1, 2, 0, 3):
+            w.write(5 | (int(px[0]) >> 8 * k & 255) << 3, 11)  # a code of this one symbol
+        w.write(5, 11)
+        return
     channels = _split(px)
     copies = np.array(_copies(px), np.int64).reshape(-1, 3)
     free = np.ones(n, bool)
@@ -717,7 +747,7 @@ def _write_image(w: _Writer, px: np.ndarray, width: int, top: bool = False, cach
 
     held = np.zeros(n, bool)
     plain = count(free)
-    if n >= 256:
+    if cache_bits and n >= 256:
         slot = (px.astype(np.int64) * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits)
         order = np.argsort(slot, kind="stable")
         known = np.zeros(n, bool)
@@ -816,7 +846,7 @@ def encode(rgb: np.ndarray, block: int = 6) -> bytes:
     c[..., :3] = rgb[..., ::-1]
     px = c.view("<u4").reshape(-1)
     kind = zlib.crc32(rgb.tobytes()) & 3
-    colours = np.unique(px) if kind & 1 else np.zeros(257)
+    colours = np.unique(px) if kind & 1 and len(np.unique(px[:512])) <= 256 else np.zeros(257)
     opaque = np.uint32(0xFF000000)
     if kind & 1 and len(colours) <= 256:
         packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
@@ -841,7 +871,7 @@ def encode(rgb: np.ndarray, block: int = 6) -> bytes:
         _write_image(w, opaque | fields.astype(np.uint32).reshape(-1), fields.shape[1])
         px = rest.view("<u4").reshape(-1)
     w.write(0, 1)  # no more transforms
-    _write_image(w, px, width, top=True)
+    _write_image(w, px, width, top=True, cache_bits=0 if kind in (1, 2) else 7)
     body = w.bytes()
     body += b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
