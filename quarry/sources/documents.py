@@ -150,7 +150,10 @@ def export_name(name):
 
 
 def exported_bases(bases: DataFrame, chunks: DataFrame, now) -> DataFrame:
-    """(id, file_name, json): each knowledge base with its chunks, by index, as one JSON text."""
+    """(id, file_name, json): each knowledge base with its chunks, by index, as one JSON text.
+
+    One document's chunks make one value, so a base must fit into a task, as it must into the file; larger ones go by ``write_exports``.
+    """
     parts = [c for c in chunks.columns if c not in ("knowledge_base_id", "index", "embedding")]
     held = chunks.groupBy(F.col("knowledge_base_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("index", *parts))).alias("chunks"))
     out = bases.join(held, "id", "left")
@@ -158,6 +161,14 @@ def exported_bases(bases: DataFrame, chunks: DataFrame, now) -> DataFrame:
     return out.select("id", export_name(F.col("name")).alias("file_name"), whole.alias("json"))
 
 
+def write_exports(bases: DataFrame, chunks: DataFrame, path: str) -> None:
+    """The same as JSON lines, without a bound on a base: bases below ``path``/bases, chunks below ``path``/chunks, in a folder for each base
+    and by index."""
+    bases.write.json(f"{path}/bases")
+    rows = chunks.drop("embedding").repartitionByRange("knowledge_base_id", "index").sortWithinPartitions("knowledge_base_id", "index")
+    rows.write.partitionBy("knowledge_base_id").json(f"{path}/chunks")
+
+
 def write_memories(memories: DataFrame, path: str) -> None:
     """As JSON lines, without vectors."""
     memories.drop("embedding").write.json(path)

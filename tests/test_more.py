@@ -192,3 +192,12 @@ def test_words_are_made_few_times(spark):
     for name, most in (("keyword_retrieve", 1), ("memory_keyword_retrieve", 1), ("two_phase_retrieve", 2), ("keywords_top8", 1), ("chunk_keywords", 1)):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert 1 <= plan.count("split(lower(") <= most, (name, plan.count("split(lower("))
+
+
+def test_exports_of_any_size(spark, tmp_path):
+    bases = spark.createDataFrame([("k", "name")], "id string, name string")
+    chunks = spark.createDataFrame([("k", i, f"c{i}", None) for i in (2, 0, 1)], "knowledge_base_id string, index int, content string, embedding array<double>")
+    S.write_exports(bases, chunks, str(tmp_path / "x"))
+    lines = [json.loads(x) for f in sorted((tmp_path / "x/chunks/knowledge_base_id=k").glob("*.json")) for x in f.read_text().splitlines()]
+    assert [x["content"] for x in lines] == ["c0", "c1", "c2"] and "embedding" not in lines[0]
+    assert spark.read.json(str(tmp_path / "x/bases")).first().name == "name"
