@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import clustering
 from quarry.llm.common import table
 from quarry.llm.line_dedup import LineDedup, dedup_lines
 from quarry.llm.licences import licences
@@ -114,6 +115,11 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), window=2048, end_id=1)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all embeddings after ten rounds. Vectors that aren't 64 finite numbers are left out; equal rows have equal answers. An empty table gives an empty result; clashing columns are no special case."""
+    return clustering.clusters(table(spark, sf_dir, "embeddings"), clustering.Clustering())
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -125,6 +131,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_minimax_sharding": op10_minimax_sharding,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 ORACLE = {
     "op1_minhash_near_dedup": OP1_SQL,
@@ -134,4 +141,5 @@ ORACLE = {
     "op5_source_mixing": mixing_sql(WEIGHTS, OTHER, BLOCK_BYTES, SEED),
     "op7_quality_cascade": QUALITY_SQL,
     "op8_secret_scan": secrets.oracle_sql(secrets.sample_weights()),
+    "op11_centroid_clustering": clustering.oracle_sql(),
 }

@@ -10,5 +10,5 @@ def test_query_equals_sql(spark, name):
     compare(spark, queries.QUERIES[name], queries.ORACLE[name], SF)
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, len(queries.QUERIES) + 1))
