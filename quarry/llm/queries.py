@@ -13,7 +13,7 @@ from quarry.llm.licences import oracle_sql as licences_sql
 from quarry.llm.mixing import mixed
 from quarry.llm.mixing import oracle_sql as mixing_sql
 from quarry.llm.near_dedup import NearDedup, near_duplicates
-from quarry.llm import secrets
+from quarry.llm import secrets, spelling
 from quarry.llm.packing import packed
 from quarry.llm.quality import ORACLE_SQL as QUALITY_SQL
 from quarry.llm.quality import quality
@@ -120,6 +120,15 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clusters(table(spark, sf_dir, "embeddings"), clustering.Clustering())
 
 
+#: A run of letters is misspelt where this divides its hash.
+TYPOS = 31
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, misspelt in places, with the frequent word one edit away. Null and empty texts have no words; equal rows count each. An empty table gives an empty result; very long texts and clashing columns are no special case."""
+    return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents"), typos=TYPOS))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -132,6 +141,7 @@ QUERIES = {
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_minimax_sharding": op10_minimax_sharding,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE = {
     "op1_minhash_near_dedup": OP1_SQL,
@@ -142,4 +152,5 @@ ORACLE = {
     "op7_quality_cascade": QUALITY_SQL,
     "op8_secret_scan": secrets.oracle_sql(secrets.sample_weights()),
     "op11_centroid_clustering": clustering.oracle_sql(),
+    "op13_spelling_variants": spelling.oracle_sql(typos=TYPOS),
 }
