@@ -111,8 +111,8 @@ def totals(rows: DataFrame, centroids: np.ndarray, p: Clustering) -> tuple[dict[
 
     parts = rows.mapInArrow(add, "c int, x array<long>").select("c", F.posexplode("x").alias("i", "x"))
     added: dict[int, list[int]] = {}
-    for r in parts.groupBy("c", "i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).sort("c", "i").toLocalIterator():
-        added.setdefault(r["c"], []).append(int(r["x"]))
+    for c, _, x in sorted(parts.groupBy("c", "i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect()):
+        added.setdefault(c, []).append(int(x))
     return {c: x[0] for c, x in added.items()}, {c: x[1] for c, x in added.items()}, {c: x[2:] for c, x in added.items()}
 
 
