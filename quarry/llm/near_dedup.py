@@ -161,21 +161,46 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: NearDedup) -> DataFrame:
     return both.select("a", "b", "words_a", "words_b").mapInArrow(arrow_batches(similar), LINKS)
 
 
+def confirmed_stars(pairs: DataFrame, docs: DataFrame, p: NearDedup) -> DataFrame:
+    """Those pairs (a, b, n) whose full sets are similar enough, where very many members a may share a leader b.
+
+    The members of a leader, with sets of n shingles, are dealt into parts of bounded size. A leader's set is sent once to each part, and
+    each member's set once: a row never carries both. ``pairs`` is a cut table, in which a member comes once.
+    """
+    parts = pairs.groupBy("b").agg(F.ceil(F.greatest(F.count(F.lit(1)) / p.block_rows, F.sum("n") * 8 / p.block_bytes)).cast("long").alias("parts"))
+    parts = cut(parts, "star-parts")
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "star-ids")
+    sets = cut(word_sets(docs, ids, p), "star-sets")
+    dealt = pairs.join(small(parts), "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.col("a").alias("doc_id"))
+    members = dealt.join(sets, "doc_id").select("b", "part", "doc_id", "words")
+    leaders = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("b").alias("doc_id")).join(sets, "doc_id").select("b", "part", "doc_id", "words")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, b = table.column("doc_id").to_numpy(), table.column("b").to_numpy()
+        words = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
+        lead = words[int(np.flatnonzero(ids == b)[0])]
+        found = np.array([i != x and _similar(w, lead, p) for w, i, x in zip(words, ids, b, strict=True)], bool)
+        return pa.table({"a": pa.array(ids[found]), "b": pa.array(b[found])})
+
+    return members.union(leaders).groupBy("b", "part").applyInArrow(compare, LINKS)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all ids in links (a, b): the smallest id that can be reached.
 
     Alternating large-star and small-star rounds: each links the neighbours of a node to the smallest of them, until nothing
-    changes. Minima are aggregated before the shuffle; the join of a node that very many links share is split by Spark's skew handling.
+    changes. Minima are aggregated before the shuffle; those of nodes that very many links share are broadcast to their links, so
+    no task gets all links of a node.
     """
     spark, before = links.sparkSession, None
     with scope(spark):
         edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
         while True:
             both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-            large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-            least = large.groupBy("a").agg(F.min("b").alias("m"))
-            star = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
+            least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+            large = cut(with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b"), "large-star")
+            least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+            star = with_least(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
             edges = cut(star, "links")
             now = edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 20)), F.bit_xor(F.xxhash64("b", "a"))).first()
             if now == before:
@@ -183,6 +208,19 @@ def components(links: DataFrame) -> DataFrame:
             before = now
 
 
+#: A node with more links gets its minimum by broadcast: there are at most 1 / HUB as many such nodes as links.
+HUB = 1000
+
+
+def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """``rows`` (a, b) with ``m`` of the cut table ``least`` (a, m, n), where n counts the rows of a."""
+    hubs = least.where(F.col("n") > HUB).select("a", "m")
+    if not hubs.limit(1).count():
+        return rows.join(least.select("a", "m"), "a")
+    few = rows.join(small(hubs.select("a")), "a", "left_anti").join(least.select("a", "m"), "a")
+    return few.unionByName(rows.join(small(hubs), "a"))
+
+
 LINKS = "a long, b long"
 
 
@@ -213,9 +251,26 @@ def _similar(x: np.ndarray, y: np.ndarray, p: NearDedup) -> bool:
     return 100 * both >= p.similar * (few + many - both)
 
 
-def links_in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDedup) -> DataFrame:
+def close_signatures(p: NearDedup):
+    """For a block's signatures a function of a row and others: those of them that may be similar to it, the nearest first."""
+
+    def close(table: pa.Table):
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+
+        def of(x: int, others: np.ndarray) -> np.ndarray:
+            far = (sig[others] != sig[x]).sum(axis=1)
+            near = np.flatnonzero(far <= p.most)
+            return others[near[np.argsort(far[near], kind="stable")]]
+
+        return of
+
+    return close
+
+
+def links_in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDedup, close=None) -> DataFrame:
     """Links (a, b) that, with those that made the groups, connect what is connected within each cluster.
 
+    ``classes``: rep, n_shingles, sig. ``close`` tells from the signatures of a block (n_shingles and sig) which rows to compare in full.
     ``members`` (rep, cluster, group) is cut. A group of a block's size or more fills blocks of its own, smaller ones share blocks, and
     two blocks of one large group aren't compared.
     """
@@ -231,13 +286,13 @@ def links_in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, p:
     rows = members.join(shares.select("cluster", "group", "own"), ["cluster", "group"]).join(parts, ["cluster", "own"])
     rows = rows.select("cluster", "rep", "group", F.struct("own", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")).alias("block"))
     ids = cut(rows.join(pairs.select("cluster", F.explode(F.array("i", "j")).alias("block")).distinct(), ["cluster", "block"], "left_semi").select(F.col("rep").alias("doc_id")), "block-ids")
-    rows = rows.join(classes.select("rep", "sig"), "rep").join(word_sets(docs, ids, p).withColumnRenamed("doc_id", "rep"), "rep")
-    left = rows.join(pairs, (rows["cluster"] == pairs["cluster"]) & (rows["block"] == pairs["i"])).select(rows["cluster"], "i", "j", F.lit(True).alias("left"), "rep", "group", "sig", "words")
-    right = rows.join(pairs, (rows["cluster"] == pairs["cluster"]) & (rows["block"] == pairs["j"])).where("i <> j").select(rows["cluster"], "i", "j", F.lit(False).alias("left"), "rep", "group", "sig", "words")
+    rows = rows.join(classes.select("rep", "n_shingles", "sig"), "rep").join(word_sets(docs, ids, p).withColumnRenamed("doc_id", "rep"), "rep")
+    left = rows.join(pairs, (rows["cluster"] == pairs["cluster"]) & (rows["block"] == pairs["i"])).select(rows["cluster"], "i", "j", F.lit(True).alias("left"), "rep", "group", "n_shingles", "sig", "words")
+    right = rows.join(pairs, (rows["cluster"] == pairs["cluster"]) & (rows["block"] == pairs["j"])).where("i <> j").select(rows["cluster"], "i", "j", F.lit(False).alias("left"), "rep", "group", "n_shingles", "sig", "words")
 
     def compare(table: pa.Table) -> pa.Table:
         rep = table.column("rep").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(rep), -1)
+        near = (close or close_signatures(p))(table)
         words = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
         first = table.column("left").to_numpy()
         left = np.flatnonzero(first)
@@ -253,10 +308,7 @@ def links_in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, p:
 
         found = []
         for x in left.tolist():
-            far = (sig[right] != sig[x]).sum(axis=1)
-            near = np.flatnonzero(far <= p.most)
-            for k in near[np.argsort(far[near], kind="stable")].tolist():
-                y = int(right[k])
+            for y in near(x, right).tolist():
                 if (right is left and y <= x) or find(x) == find(y) or not _similar(words[x], words[y], p):
                     continue
                 root[find(x)] = find(y)
@@ -286,7 +338,8 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
         large = shared.where((F.col("n") > p.listed) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b"))
         clusters = components(large)
         clusters = clusters.union(clusters.select("component", "component").distinct()).toDF("rep", "cluster")
-        led = cut(confirmed(cut(near_signatures(large.groupBy("a").agg(F.min("b").alias("b")), classes, p), "leaders"), docs, p), "led")
+        leaders = large.groupBy("a").agg(F.min("b").alias("b")).join(classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n")), "a")
+        led = cut(confirmed_stars(cut(leaders.select("a", "b", "n"), "leaders"), docs, p), "led")
         members = clusters.join(components(led).toDF("rep", "group"), "rep", "left").select("rep", "cluster", F.coalesce("group", "rep").alias("group"))
         members = cut(members, "members")
         inside = cut(links_in_blocks(members, classes, docs, p), "block-links")

@@ -13,6 +13,7 @@ from quarry.llm.licences import oracle_sql as licences_sql
 from quarry.llm.mixing import mixed
 from quarry.llm.mixing import oracle_sql as mixing_sql
 from quarry.llm.near_dedup import NearDedup, near_duplicates
+from quarry.llm.ngram_join import NgramJoin, ngram_components
 from quarry.llm import secrets, spelling
 from quarry.llm.packing import packed
 from quarry.llm.quality import ORACLE_SQL as QUALITY_SQL
@@ -120,6 +121,23 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clusters(table(spark, sf_dir, "embeddings"), clustering.Clustering())
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents at Jaccard similarity 0.9 or more on 3-word shingles, exactly. Null and empty texts are alone; equal rows share a component. An empty table gives an empty result; very long texts and clashing columns are no special case."""
+    return ngram_components(table(spark, sf_dir, "documents"), NgramJoin(words=3, similar=90))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+                                          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+"""
+
 #: A run of letters is misspelt where this divides its hash.
 TYPOS = 31
 
@@ -141,6 +159,7 @@ QUERIES = {
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_minimax_sharding": op10_minimax_sharding,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE = {
@@ -152,5 +171,6 @@ ORACLE = {
     "op7_quality_cascade": QUALITY_SQL,
     "op8_secret_scan": secrets.oracle_sql(secrets.sample_weights()),
     "op11_centroid_clustering": clustering.oracle_sql(),
+    "op12_ngram_jaccard_join": OP12_SQL,
     "op13_spelling_variants": spelling.oracle_sql(typos=TYPOS),
 }
