@@ -154,17 +154,19 @@ def most_turns(has_workers: Column, turns: int = 6) -> Column:
 REFRESHED = "Context refreshed — I still remember the key points."
 
 
-def rotated(messages: DataFrame, turns: DataFrame, key: str, order: str, content: str, summarise=None, recent: int = 6) -> tuple[DataFrame, DataFrame, DataFrame]:
+def rotated(messages: DataFrame, turns: DataFrame, key: str, order: str, content: str, summarise=None, recent: int = 6, extract=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rotate the context of the conversations whose ``turns`` (key, turns, has_workers, summary) have reached their most.
 
     Gives their transcripts of the ``recent`` last messages with the summary that the caller's function makes of them (null or no function:
-    the old one); the facts in the transcripts' lines, for the memory log; and the state after it (key, turns, summary).
+    the old one); the facts in the lines of what the caller's function ``extract`` answers to the transcripts (null or no function: none), for
+    the memory log; and the state after it (key, turns, summary). A transcript's own lines are no facts.
     """
     due = turns.where(F.col("turns") >= most_turns(F.col("has_workers")))
     text = transcripts(messages.join(due.select(key), key, "left_semi"), key, order, content, recent)
     made = F.coalesce(summarise(F.col("transcript")), F.col("summary"), F.lit("")) if summarise else F.coalesce("summary", F.lit(""))
     done = text.join(due.select(key, "summary"), key).select(key, "transcript", made.alias("summary"), F.lit(REFRESHED).alias("note"))
-    facts = fact_lines(text, key, "transcript")
+    answers = text.select(key, (extract(F.col("transcript")) if extract else F.lit(None)).cast("string").alias("answer"))
+    facts = fact_lines(answers, key, "answer")
     after = turns.withColumnRenamed("summary", "__old").join(done.select(key, F.col("summary").alias("__new")), key, "left")
     after = after.select(key, F.when(F.col("__new").isNotNull(), 0).otherwise(F.col("turns")).alias("turns"), F.coalesce("__new", "__old").alias("summary"))
     return done, facts, after

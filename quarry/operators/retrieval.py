@@ -54,10 +54,6 @@ def query_words(spark, text: str) -> list[str]:
     return list(spark.range(1).select(tokenize(F.lit(text)).alias("w")).first()["w"])
 
 
-def words_frame(spark, words: list[str]) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in words], "word string")
-
-
 def _near_words(words: str | Column, query: list[str]) -> Column:
     """The words of a row that can match one of the query's words: equal, or alike in the first five characters."""
     starts = sorted({w[:PREFIX] for w in query if len(w) >= PREFIX})
@@ -70,23 +66,28 @@ def _match(e: Column, w: str) -> Column:
     return (found.when((F.length(e) >= PREFIX) & (e.startswith(w) | F.lit(w).startswith(e)), 0.5) if len(w) >= PREFIX else found).otherwise(0.0)
 
 
-def keyword_scored(rows: DataFrame, query: list[str], name: str, key: str, words: str = "words") -> DataFrame:
-    """The rows (by ``key``) that match a word of the query, with a score: over the query's words the best match, divided by their number.
+def keyword_scored(rows: DataFrame, query: list[str], name: str, words: str = "words") -> DataFrame:
+    """``rows`` with a score in place of their words: over the query's words the best match, divided by their number.
 
-    Words are made once: those that may match are taken out of a row before anything else looks at them.
+    The words that may match are taken out of a row once; all is worked out within the row, so rows that share a key, or have none, stay rows
+    of their own, and nothing is shuffled.
     """
-    near = rows.select(*[c for c in rows.columns if c != words], F.explode(_near_words(words, query)).alias("__e"))
-    rest = [c for c in near.columns if c not in (key, "__e")]
-    best = near.groupBy(key).agg(*(F.any_value(c).alias(c) for c in rest), *(F.max(_match(F.col("__e"), w)).alias(f"__m{i}") for i, w in enumerate(query)))
-    total = sum((F.col(f"__m{i}") for i in range(len(query))), F.lit(0.0)) / max(1, len(query))
-    return best.select(key, *rest, total.alias(name))
+
+    def match(near: Column, w: str) -> Column:
+        return F.aggregate(near, F.lit(0.0), lambda s, e: F.greatest(s, _match(e, w)))
+
+    def best(near: Column) -> Column:
+        return sum((match(near, w) for w in query), F.lit(0.0)) / max(1, len(query))
+
+    score = F.transform(F.array(_near_words(words, query)), best)  # of one entry; as a generator's output a filter on it isn't worked out twice
+    return rows.select(*[c for c in rows.columns if c not in (words, name)], F.explode(score).alias(name))
 
 
 def keyword_retrieve(rows: DataFrame, query: list[str], key: str, k: int = 3, least: float = 0.30, words: str = "words") -> DataFrame:
     """The ``k`` rows that match the query's words best, with ``score``; none for a query without words."""
     if not query:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
-    return keyword_scored(rows, query, "score", key, words).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(k)
+    return keyword_scored(rows, query, "score", words).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(k)
 
 
 def keyword_search(rows: DataFrame, queries: DataFrame, key: str, k: int = 3, least: float = 0.30) -> DataFrame:
@@ -161,12 +162,13 @@ def two_phase(rows: DataFrame, query: list[float], words: list[str], key: str, k
     """Vector top-k over the rows that a keyword match reaches.
 
     ``rows`` (key, words, embedding) are those of all domains, ``own`` holds for those of the domain asked (by default all). All of its rows
-    are scored if there are under ``many``, if under max(3 k, 20) candidates are found in all domains, or none in this one. The counts are
-    one row of the same plan.
+    with a vector are scored if there are under ``many``, if under max(3 k, 20) candidates are found among all rows, with or without a
+    vector, or none with one in this domain. The counts are one row of the same plan; products are only made for rows that are scored.
     """
     own = F.lit(True) if own is None else own
     hit = F.size(_hits("words", words)) > 0 if words else F.lit(False)
-    flagged = rows.where(F.col("embedding").isNotNull() & (F.size("embedding") == len(query))).select(*[c for c in rows.columns if c != "words"], own.alias("__own"), hit.alias("__hit"))
+    usable = F.coalesce(F.col("embedding").isNotNull() & (F.size("embedding") == len(query)), F.lit(False))
+    flagged = rows.select(*[c for c in rows.columns if c != "words"], (F.coalesce(own, F.lit(False)) & usable).alias("__own"), F.coalesce(hit, F.lit(False)).alias("__hit"))
     counts = flagged.agg(F.count_if("__own").alias("__rows"), F.count_if("__hit").alias("__all"), F.count_if(F.col("__own") & F.col("__hit")).alias("__both"))
     every = (F.col("__rows") < many) | (F.col("__all") < max(3 * k, 20)) | (F.col("__both") == 0)
     chosen = flagged.where("__own").crossJoin(F.broadcast(counts)).where(F.col("__hit") | every)
@@ -192,14 +194,14 @@ def retrieve(rows: DataFrame, query: list[float] | None, words: list[str], key:
 def memory_retrieve(rows: DataFrame, query: list[float] | None, words: list[str], now: Column, key: str, k: int = 5) -> DataFrame:
     """The memories that fit a query: by similarity above 0.3 with a small bonus for new ones, or else by keywords (0.25 or more).
 
-    ``rows``: key, words, created_at, embedding. Adds ``score`` (the rank is by it).
+    ``rows``: key, words, created_at, embedding. Adds ``score`` (the rank is by it). Whether any memory is similar is one row of the same plan,
+    so nothing runs before the result is asked for.
     """
-    if query is not None:
-        similar = rows.where("embedding is not null").withColumn("__s", cosine(F.col("embedding"), literal(query))).where(F.col("__s") > 0.3)
-        near = similar.withColumn("score", F.col("__s") + recency_bonus(F.col("created_at"), now) * 0.02).drop("__s").orderBy(F.desc("score"), key).limit(k)
-        if near.limit(1).count():
-            return near
-    if not words:
-        return rows.withColumn("score", F.lit(0.0)).limit(0)
-    scored = keyword_scored(rows, words, "__s", key).where(F.col("__s") >= 0.25)
-    return scored.withColumn("score", F.col("__s") + recency_bonus(F.col("created_at"), now) * 0.05).drop("__s").orderBy(F.desc("score"), key).limit(k)
+    bonus = recency_bonus(F.col("created_at"), now)
+    scored = keyword_scored(rows, words, "__k") if words else rows.withColumn("__k", F.lit(0.0)).drop("words")
+    like = cosine(F.col("embedding"), literal(query)) if query is not None else F.lit(None).cast("double")
+    ranked = scored.withColumn("__s", like).where((F.coalesce("__s", F.lit(0.0)) > 0.3) | ((F.col("__k") >= 0.25) if words else F.lit(False)))
+    near = F.coalesce(F.col("__s") > 0.3, F.lit(False))
+    ranked = ranked.withColumns({"__near": near, "score": F.when(near, F.col("__s") + bonus * 0.02).otherwise(F.col("__k") + bonus * 0.05)})
+    some = rows.agg(F.coalesce(F.bool_or(like > 0.3), F.lit(False)).alias("__some"))
+    return ranked.crossJoin(F.broadcast(some)).where(F.col("__near") == F.col("__some")).drop("__s", "__k", "__near", "__some").orderBy(F.desc("score"), key).limit(k)

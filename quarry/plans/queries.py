@@ -293,15 +293,16 @@ def memory_retrieve(spark, sf_dir):
 
 
 def two_phase_sql(where: str) -> str:
-    return f"""WITH r AS (SELECT vec_id, label, embedding, list_distinct({toks('text')}) AS ws FROM embeddings JOIN documents ON doc_id = vec_id),
+    return f"""WITH r AS (SELECT doc_id AS vec_id, label, embedding, list_distinct({toks('text')}) AS ws FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
 c AS (SELECT *, len(list_filter(ws, lambda e: list_contains(q, e) OR (length(e) >= 5 AND len(list_filter(q, lambda w: length(w) >= 5 AND (starts_with(e, w) OR starts_with(w, e)))) > 0))) > 0 AS hit FROM r, {QWORDS}),
-n AS (SELECT (SELECT count(*) FROM c WHERE hit) AS everywhere, count(*) AS own_rows, count(*) FILTER (hit) AS own FROM c WHERE {where}),
-s AS (SELECT vec_id, label, hit, {DOT.format('c.embedding', 'v.embedding')} AS score FROM c, (SELECT embedding FROM embeddings WHERE vec_id = 0) v WHERE {where})
+n AS (SELECT (SELECT count(*) FROM c WHERE hit) AS everywhere, count(*) AS own_rows, count(*) FILTER (hit) AS own FROM c WHERE embedding IS NOT NULL AND {where}),
+s AS (SELECT vec_id, label, hit, {DOT.format('c.embedding', 'v.embedding')} AS score FROM c, (SELECT embedding FROM embeddings WHERE vec_id = 0) v WHERE c.embedding IS NOT NULL AND {where})
 SELECT vec_id, label, round(score, 6) AS score FROM s, n WHERE score > 0.3 AND (hit OR own_rows < 200 OR everywhere < 20 OR own = 0) ORDER BY s.score DESC, vec_id LIMIT 5"""
 
 
 def vectors_with_words(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").join(docs_with_words(spark, sf_dir).withColumnRenamed("doc_id", "vec_id"), "vec_id")
+    """All documents; those without a vector count as candidates too."""
+    return docs_with_words(spark, sf_dir).withColumnRenamed("doc_id", "vec_id").join(table(spark, sf_dir, "embeddings"), "vec_id", "left")
 
 
 @query(two_phase_sql("true"))
@@ -328,7 +329,7 @@ def retrieve_with_vector(spark, sf_dir):
     return searched(spark, sf_dir, QUESTION, query_vector(spark, sf_dir))
 
 
-@query(f"""SELECT vec_id, label, round(score, 6) AS score FROM (SELECT vec_id, label, {score_sql('ws')} AS score FROM (SELECT vec_id, label, list_distinct({toks('text')}) AS ws FROM embeddings JOIN documents ON doc_id = vec_id WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0)), {QWORDS})
+@query(f"""SELECT vec_id, label, round(score, 6) AS score FROM (SELECT vec_id, label, {score_sql('ws')} AS score FROM (SELECT vec_id, label, list_distinct({toks('text')}) AS ws FROM documents LEFT JOIN embeddings ON doc_id = vec_id WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0)), {QWORDS})
 WHERE score >= 0.3 ORDER BY score DESC, vec_id LIMIT 5""")
 def retrieve_without_vector(spark, sf_dir):
     return searched(spark, sf_dir, QUESTION, None)

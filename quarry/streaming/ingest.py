@@ -37,17 +37,33 @@ def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def queued(files: DataFrame, domain: str | None = None) -> DataFrame:
-    """Jobs (path, file_name, status, error, domain_id) for files (path) that wait."""
-    return files.select("path", file_stem(F.col("path")).alias("file_name"), F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(domain).cast("string").alias("domain_id"))
+def queued(files: DataFrame, domain: str | None = None, before: DataFrame | None = None) -> DataFrame:
+    """Jobs (path, file_name, status, error, domain_id, arrived) for files (path, and arrived where their order is known) that wait.
+
+    ``arrived`` numbers them in order, after those of the jobs ``before`` them; without such a column, in the order of the files' rows.
+    """
+    place = F.col("arrived").cast("long") if "arrived" in files.columns else F.monotonically_increasing_id()
+    jobs = files.select("path", file_stem(F.col("path")).alias("file_name"), F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(domain).cast("string").alias("domain_id"), place.alias("arrived"))
+    if before is None:
+        return jobs
+    last = before.agg(F.coalesce(F.max("arrived"), F.lit(-1)).alias("__last"))
+    first = jobs.agg(F.min("arrived").alias("__first"))
+    moved = jobs.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(first)).withColumn("arrived", F.col("arrived") - F.col("__first") + F.col("__last") + 1)
+    return before.unionByName(moved.drop("__last", "__first"))
 
 
 def progressed(jobs: DataFrame, done: DataFrame) -> DataFrame:
-    """``jobs`` with the outcome (path, status, error) of those that ran; the first one that still waits, by path, is processed."""
-    known = jobs.drop("status", "error").join(done.select("path", F.col("status").alias("__s"), F.col("error").alias("error")), "path", "left")
-    waiting = known.where("__s is null").agg(F.min("path").alias("__next"))
-    status = F.coalesce("__s", F.when(F.col("path") == F.col("__next"), "processing").otherwise("queued"))
-    return known.crossJoin(F.broadcast(waiting)).withColumn("status", status).drop("__s", "__next").select(*jobs.columns)
+    """``jobs`` with the outcome (path, status, error) of those that ran; of those that still wait the first to arrive is processed.
+
+    Jobs that were cancelled, or are in work, keep their state.
+    """
+    known = jobs.withColumnsRenamed({"status": "__was", "error": "__why"}).join(done.select("path", F.col("status").alias("__s"), F.col("error").alias("__e")), "path", "left")
+    busy = F.bool_or(F.col("__s").isNull() & (F.col("__was") == "processing"))
+    waiting = known.agg(F.coalesce(busy, F.lit(False)).alias("__busy"), F.min(F.when(F.col("__s").isNull() & (F.col("__was") == "queued"), F.struct("arrived", "path"))).alias("__next"))
+    mine = (F.col("__was") == "queued") & ~F.col("__busy") & (F.struct("arrived", "path") == F.col("__next"))
+    status = F.coalesce("__s", F.when(mine, "processing").otherwise(F.col("__was")))
+    out = known.crossJoin(F.broadcast(waiting)).withColumns({"status": status, "error": F.when(F.col("__s").isNotNull(), F.col("__e")).otherwise(F.col("__why"))})
+    return out.select(*jobs.columns)
 
 
 def cancelled(jobs: DataFrame) -> DataFrame:

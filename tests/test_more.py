@@ -136,10 +136,13 @@ def test_texts_and_addresses_come_in_together(spark):
 def test_rotation(spark):
     messages = spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", f"garden{t} plant") for t in range(10)] + [(2, 0, "user", "hi")], "c int, t int, role string, text string")
     turns = spark.createDataFrame([(1, 5, True, "before"), (2, 5, False, "kept")], "c int, turns int, has_workers boolean, summary string")
-    done, facts, after = conversations.rotated(messages, turns, "c", "t", "text")
+    extract = lambda t: F.concat(F.lit("[Plants, Soil] The garden\nNONE\n[] no keywords\n[bare]\nwatering daily "), F.substring(t, 7, 7))
+    done, facts, after = conversations.rotated(messages, turns, "c", "t", "text", extract=extract)
     row = done.first()
     assert done.count() == 1 and row.transcript.startswith("User: garden4 plant\nAssistant: garden5") and (row.summary, row.note) == ("before", conversations.REFRESHED)
-    assert facts.count() == 6 and {(r.c, r.turns, r.summary) for r in after.collect()} == {(1, 0, "before"), (2, 5, "kept")}
+    assert [(r.content, r.keywords) for r in facts.sort("line").collect()] == [("The garden", ["plants", "soil"]), ("watering daily garden4", ["daily", "garden4", "watering"])]
+    assert conversations.rotated(messages, turns, "c", "t", "text")[1].count() == 0  # a transcript's lines are no facts
+    assert {(r.c, r.turns, r.summary) for r in after.collect()} == {(1, 0, "before"), (2, 5, "kept")}
 
 
 def test_jobs(spark):
@@ -147,6 +150,13 @@ def test_jobs(spark):
     assert {(r.file_name, r.status, r.domain_id) for r in jobs.collect()} == {(n, "queued", "d") for n in "abc"}
     now = ingest.progressed(jobs, spark.createDataFrame([("/x/a.txt", "failed", "why")], "path string, status string, error string"))
     assert {r.path[3]: (r.status, r.error) for r in now.collect()} == {"a": ("failed", "why"), "b": ("processing", None), "c": ("queued", None)}
+    late = ingest.queued(spark.createDataFrame([("/z.txt", 7), ("/a.txt", 9)], "path string, arrived long"))
+    next_ = ingest.progressed(late, spark.createDataFrame([], "path string, status string, error string"))
+    assert {r.path: r.status for r in next_.collect()} == {"/z.txt": "processing", "/a.txt": "queued"}  # by arrival, not by name
+    more = ingest.queued(spark.createDataFrame([("/0.txt",)], "path string"), before=next_)
+    assert {r.path: r.status for r in ingest.progressed(more, spark.createDataFrame([("/z.txt", "completed", None)], "path string, status string, error string")).collect()} == {"/z.txt": "completed", "/a.txt": "processing", "/0.txt": "queued"}
+    stopped = ingest.progressed(ingest.cancelled(next_), spark.createDataFrame([("/z.txt", "completed", None)], "path string, status string, error string"))
+    assert {r.path: (r.status, r.error) for r in stopped.collect()} == {"/z.txt": ("completed", None), "/a.txt": ("failed", "Cancelled")}
     ended = ingest.cancelled(now)
     assert {r.path[3]: r.error for r in ended.collect()} == {"a": "why", "b": None, "c": "Cancelled"}
     assert [r.path for r in ingest.unfinished(ended).collect()] == ["/x/b.pdf"] and ingest.removed(ended, "/x/b.pdf").count() == 2
