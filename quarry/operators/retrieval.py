@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,85 +86,27 @@ def keyword_retrieve(rows: DataFrame, query: list[str], key: str, k: int = 3, le
     return keyword_scored(rows, query, "score", words).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(k)
 
 
-def keyword_search(rows: DataFrame, queries: DataFrame, key: str, k: int = 3, least: float = 0.30) -> DataFrame:
-    """(query_id, key, score): for each of many queries (query_id, words) the ``k`` rows (key, words) that match best.
-
-    Words are joined by equality, and by their first five characters, so no query meets a row with which it shares nothing.
-    """
-    asked = queries.select("query_id", F.size("words").alias("n"), F.explode("words").alias("query_word"))
-    entries = rows.select(key, F.explode("words").alias("word"))
-    exact = entries.join(asked.withColumn("word", F.col("query_word")), "word").select("query_id", "n", "query_word", key, F.lit(1.0).alias("m"))
-    pairs = prefix_matches(entries, asked.select(F.col("query_word").alias("word")).distinct())
-    near = pairs.where(F.col("word") != F.col("query_word")).select(key, "query_word").distinct().join(asked, "query_word").select("query_id", "n", "query_word", key, F.lit(0.5).alias("m"))
-    best = exact.union(near).groupBy("query_id", "n", key, "query_word").agg(F.max("m").alias("m"))
-    scored = best.groupBy("query_id", key, "n").agg((F.sum("m") / F.col("n")).alias("score")).where(F.col("score") >= least)
-    return best_of(scored.select("query_id", key, "score"), "query_id", key, k)
-
-
 def best_of(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
     """The ``k`` best rows of each query by ``score``, ties to the smaller key."""
     rank = F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), key))
     return scored.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r")
 
 
-def packed_vectors(rows: DataFrame, key: str, vector: str, group: str | None = None, size: int = 4096) -> DataFrame:
-    """Blocks of at most ``size`` vectors of equal dimension: keys, groups (longs; 0 without a group) and the matrix as bytes."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, ends = batch.column("v").flatten().to_numpy(zero_copy_only=False), batch.column("v").offsets.to_numpy()
-            lengths = np.diff(ends)
-            for n in np.unique(lengths[lengths > 0]):
-                at = np.flatnonzero(lengths == n)
-                for i in range(0, len(at), size):
-                    some = at[i : i + size]
-                    matrix = flat[(ends[some] - ends[0])[:, None] + np.arange(n)]
-                    keys, groups = (batch.column(c).take(pa.array(some)).to_pylist() for c in ("key", "group"))
-                    yield pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(pa.int64())), pa.array([groups], pa.list_(pa.int64())), pa.array([np.ascontiguousarray(matrix, "<f8").tobytes()], pa.binary())], names=["keys", "groups", "matrix"])
-
-    label = F.col(group).cast("long") if group else F.lit(0).cast("long")
-    made = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(label, F.lit(-1)).alias("group"), F.col(vector).cast("array<double>").alias("v"))
-    return made.mapInArrow(pack, "keys array<long>, groups array<long>, matrix binary")
-
-
-def vector_search(rows: DataFrame, queries: DataFrame, key: str, query_key: str, k: int = 3, threshold: float = 0.3, vector: str = "embedding", group: str | None = None) -> DataFrame:
-    """(query_id, key, score): for each of many query vectors the ``k`` most similar rows above the threshold, within its group if one is given.
-
-    Queries and rows are packed into blocks; each pair of blocks is one product of matrices, of which each query's best rows go on.
-    """
-    left = packed_vectors(rows, key, vector, group)
-    right = packed_vectors(queries, query_key, vector, group, 1024).toDF("query_keys", "query_groups", "query_matrix")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                keys, asked = np.array(r["keys"], np.int64), np.array(r["query_keys"], np.int64)
-                x, q = (np.frombuffer(r[m], "<f8").reshape(n, -1) for m, n in (("matrix", len(keys)), ("query_matrix", len(asked))))
-                if x.shape[1] != q.shape[1]:
-                    continue
-                order = np.argsort(keys, kind="stable")
-                s = q @ x[order].T
-                s[np.array(r["query_groups"])[:, None] != np.array(r["groups"])[order][None, :]] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                i, j = np.repeat(np.arange(len(asked)), best.shape[1]), best.reshape(-1)
-                good = s[i, j] > threshold
-                i, j = i[good], j[good]
-                yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(keys[order][j]), pa.array(s[i, j])], names=["query_id", key, "score"])
-
-    return best_of(left.crossJoin(right).mapInArrow(score, f"query_id long, `{key}` long, score double"), "query_id", key, k)
-
-
-def two_phase(rows: DataFrame, query: list[float], words: list[str], key: str, k: int = 3, many: int = 200, own: Column | None = None) -> DataFrame:
+def two_phase(rows: DataFrame, query: list[float], words: list[str], key: str, k: int = 3, many: int = 200, own: Column | None = None, hits: DataFrame | None = None) -> DataFrame:
     """Vector top-k over the rows that a keyword match reaches.
 
+    ``hits`` (key) are the rows that a kept index finds for the question; without them the rows' own ``words`` are looked at.
     ``rows`` (key, words, embedding) are those of all domains, ``own`` holds for those of the domain asked (by default all). All of its rows
     with a vector are scored if there are under ``many``, if under max(3 k, 20) candidates are found among all rows, with or without a
     vector, or none with one in this domain. The counts are one row of the same plan; products are only made for rows that are scored.
     """
     own = F.lit(True) if own is None else own
-    hit = F.size(_hits("words", words)) > 0 if words else F.lit(False)
+    if hits is not None:
+        rows, hit = rows.join(hits.select(key, F.lit(True).alias("__found")), key, "left"), F.col("__found")
+    else:
+        hit = F.size(_hits("words", words)) > 0 if words else F.lit(False)
     usable = F.coalesce(F.col("embedding").isNotNull() & (F.size("embedding") == len(query)), F.lit(False))
-    flagged = rows.select(*[c for c in rows.columns if c != "words"], (F.coalesce(own, F.lit(False)) & usable).alias("__own"), F.coalesce(hit, F.lit(False)).alias("__hit"))
+    flagged = rows.select(*[c for c in rows.columns if c not in ("words", "__found")], (F.coalesce(own, F.lit(False)) & usable).alias("__own"), F.coalesce(hit, F.lit(False)).alias("__hit"))
     counts = flagged.agg(F.count_if("__own").alias("__rows"), F.count_if("__hit").alias("__all"), F.count_if(F.col("__own") & F.col("__hit")).alias("__both"))
     every = (F.col("__rows") < many) | (F.col("__all") < max(3 * k, 20)) | (F.col("__both") == 0)
     chosen = flagged.where("__own").crossJoin(F.broadcast(counts)).where(F.col("__hit") | every)

@@ -10,10 +10,11 @@ from pyspark.sql import Window as W
 
 from quarry.functions import text as T
 from quarry.functions import vectors as V
-from quarry.operators import catalog, chunking, context, conversations, memory, retrieval, stats, workers
+from quarry.operators import catalog, chunking, context, conversations, keyword_index, memory, retrieval, stats, vector_search as pruned, workers
 from quarry import schemas
 from quarry.schemas import GENERAL
 from quarry.sources import documents as sources
+from quarry.storage import shared_path
 from quarry.streaming import ingest
 
 NOW = "2024-01-31 12:00:00"
@@ -350,14 +351,14 @@ WHERE score > 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY scor
 @query(search_sql(5))
 def vector_search(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    found = retrieval.vector_search(rows, hundredth(rows, "vec_id"), "vec_id", "vec_id", 5)
+    found = pruned.vector_search(rows, hundredth(rows, "vec_id"), "vec_id", "vec_id", 5)
     return found.select("query_id", "vec_id", r6("score").alias("score"))
 
 
 @query(search_sql(3, "e.label = q.label"))
 def vector_search_by_domain(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    found = retrieval.vector_search(rows, hundredth(rows, "vec_id"), "vec_id", "vec_id", 3, group="label")
+    found = pruned.vector_search(rows, hundredth(rows, "vec_id"), "vec_id", "vec_id", 3, group="label")
     return found.select("query_id", "vec_id", r6("score").alias("score"))
 
 
@@ -369,10 +370,48 @@ s AS (SELECT query_id, doc_id, sum(m) / n AS score FROM (SELECT query_id, n, doc
 SELECT query_id, doc_id, round(score, 6) AS score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10""")
 def keyword_search(spark, sf_dir):
     rows = docs_with_words(spark, sf_dir).select("doc_id", "words")
-    found = retrieval.keyword_search(rows, hundredth(rows, "doc_id").withColumnRenamed("doc_id", "query_id"), "doc_id", 10)
+    found = keyword_index.keyword_search(rows, hundredth(rows, "doc_id").withColumnRenamed("doc_id", "query_id"), "doc_id", 10)
     return found.select("query_id", "doc_id", r6("score").alias("score"))
 
 
+# --- the kept keyword index ---
+
+
+def changed_index(spark, sf_dir) -> keyword_index.KeywordIndex:
+    """An index after three changes: every fourth document comes with other text first and is replaced, every tenth is deleted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("keywords"))
+    index = keyword_index.KeywordIndex(spark, shared_path(spark, "keyword-index"), ("doc_id",))
+    index.changed(put=docs.withColumn("text", F.when(F.col("doc_id") % 4 == 0, "outdated wording").otherwise(F.col("text"))), content="text", keywords="keywords")
+    index.changed(put=docs.where("doc_id % 4 = 0"), content="text", keywords="keywords", change="mended")
+    return index.changed(deleted=docs.where("doc_id % 10 = 9"), change="tidied").changed(deleted=docs, change="tidied")
+
+
+LIVE = f"(SELECT doc_id, list_distinct(list_append({toks('text')}, lower(source))) AS ws FROM documents WHERE doc_id % 10 <> 9)"
+
+
+@query(f"SELECT w AS word, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest(ws) AS w FROM {LIVE}) GROUP BY w")
+def kept_index(spark, sf_dir):
+    rows = changed_index(spark, sf_dir).postings().select("word", "id.doc_id")
+    return rows.groupBy("word").agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"""SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, {score_sql('ws')} AS score FROM {LIVE}, {QWORDS}) WHERE score >= 0.3 ORDER BY score DESC, doc_id LIMIT 10""")
+def indexed_retrieve(spark, sf_dir):
+    found = changed_index(spark, sf_dir).compacted().retrieved(retrieval.query_words(spark, QUESTION), 10)
+    return found.select("doc_id", r6("score").alias("score"))
+
+
+@query(two_phase_sql("true"))
+def indexed_two_phase(spark, sf_dir):
+    """As two_phase_retrieve, but the candidates come from a kept index and no text is read."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    index = keyword_index.KeywordIndex(spark, shared_path(spark, "keyword-index"), ("vec_id",)).changed(put=docs, content="text")
+    words = retrieval.query_words(spark, QUESTION)
+    rows = docs.select("vec_id").join(table(spark, sf_dir, "embeddings"), "vec_id", "left")
+    found = retrieval.two_phase(rows, query_vector(spark, sf_dir), words, "vec_id", 5, hits=index.candidates(words))
+    return found.select("vec_id", "label", r6("score").alias("score"))
+
+
 # --- context ---
 
 

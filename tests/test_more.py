@@ -175,21 +175,6 @@ def test_streams_of_all_kinds(spark, tmp_path):
     assert {(r.location_label, tuple(r.keywords)) for r in chunks} == {("Full Text", ("word",)), ("Chapter 1", ("chapter",)), ("Page 1", ("page",))}
 
 
-def test_searches_with_many_queries_equal_brute_force(spark):
-    rng = random.Random(21)
-    unit = lambda: [rng.uniform(-1, 1) for _ in range(3)]
-    rows = [(i, unit() if i % 11 else None, i % 3) for i in range(120)] + [(500, [1.0, 2.0], 0)]
-    df = spark.createDataFrame(rows, "id long, embedding array<double>, g int")
-    for group in (None, "g"):
-        got = retrieval.vector_search(df.repartition(5), df.where("id % 10 = 0"), "id", "id", 4, group=group).collect()
-        for i, v, g in rows:
-            if i % 10 or v is None:
-                continue
-            scored = [(sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w, h in rows if w and len(w) == len(v) and (group is None or g == h)]
-            best = sorted((x for x in scored if x[0] > 0.3), key=lambda x: (-round(x[0], 9), x[1]))[:4]
-            assert sorted((r.id_ if hasattr(r, "id_") else r["id"]) for r in got if r.query_id == i) == sorted(j for _, j in best)
-
-
 def test_numbers_of_a_large_group(spark):
     df = spark.range(2500).select(F.col("id"), (F.col("id") % 7 == 0).alias("k"), F.lit(None).cast("string").alias("n"))
     rows = chunking.enumerated(df, ["k", "n"], "id", span=100).collect()
