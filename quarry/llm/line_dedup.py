@@ -139,7 +139,9 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     A line may have very many words: its variants cost their number times its logarithm.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    docs, new = numbered(docs.select(*columns))
+    others = [c for c in columns if c not in ("doc_id", "text")]
+    nested = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("others")] if others else []  # so no name of the caller's clashes with ours
+    docs, new = numbered(docs.select("doc_id", "text", *nested))
     source = docs.select("doc_id", "text")
     w = F.col("w")
     lines = _lines(source, p.min_words).select("doc_id", "pos", F.transform("words", lambda x: F.xxhash64(x)).alias("w"))
@@ -161,4 +163,4 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     gone = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n - F.size("__stay"))
     out = out.withColumns({"text": F.when(F.col("text").isNotNull(), text), "n_lines": n, "n_dropped": gone})
     out = out.withColumn("doc_id", F.col("named")) if new else out
-    return out.select(*columns, "n_lines", "n_dropped")
+    return out.select(*(c if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in columns), "n_lines", "n_dropped")

@@ -50,7 +50,8 @@ def mixed(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_byt
 
     ``weights``: whole positive weights of named sources; all other sources and null share one lane of weight ``other``. Added
     (long): block, slot, release, due, place (bytes of the lane before the document, so (slot, place, doc_id) sorts the mix).
-    A document counts as its UTF-8 bytes plus 1 (null text: 1); one of several blocks stays whole and begins in its first. Rows without
+    A document counts as its UTF-8 bytes plus 1 (null text: 1); a very long one, of several blocks, stays whole and takes the slot of its
+    first, so the deviation of less than a block is one of block counts, not of bytes. Rows without
     a doc_id are ordered by their text; rows of a lane that are equal in what orders them have equal places. Columns with these names are
     replaced. An empty table gives an empty result. Only ``with_text`` are texts shuffled, once.
     """
@@ -59,15 +60,16 @@ def mixed(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_byt
     added = ("block", "slot", "release", "due", "place")
     rest = [c for c in docs.columns if (with_text or c != "text") and c not in added]
     order = F.coalesce(*(F.md5(F.concat(F.lit(f"{seed}:{by}:" if by == "text" else f"{seed}:"), F.col(by).cast("string"))) for by in ("doc_id", "text")))
-    rows = docs.select(*rest, lane.alias("__lane"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("__size"), F.coalesce(order, F.lit("0" * 32)).alias("__order"))
+    nested = F.struct(*(F.col(f"`{c}`") for c in rest)).alias("__rest")  # so no name of the caller's clashes with ours
+    rows = docs.select(nested, F.col("doc_id").alias("__id"), lane.alias("__lane"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("__size"), F.coalesce(order, F.lit("0" * 32)).alias("__order"))
     rows = rows.withColumn("__slice", (F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") * SLICES / 2**32).cast("int"))
     rows = rows if with_text else cut(rows, "mix")  # sizes are read twice; texts aren't written for that
 
     sums = rows.groupBy("__lane", "__slice").agg(F.sum("__size").alias("__sum"))  # at most SLICES rows a lane
     before = sums.withColumn("__before", F.sum("__sum").over(W.partitionBy("__lane").orderBy("__slice")) - F.col("__sum")).drop("__sum")
     # rows with an equal order are peers: what they add is taken off again, so they share a place
-    same = W.partitionBy("__lane", "__slice", "__order", "doc_id")
-    placed = rows.withColumn("__upto", F.sum("__size").over(W.partitionBy("__lane", "__slice").orderBy("__order", "doc_id"))).withColumn("__own", F.sum("__size").over(same))
+    same = W.partitionBy("__lane", "__slice", "__order", "__id")
+    placed = rows.withColumn("__upto", F.sum("__size").over(W.partitionBy("__lane", "__slice").orderBy("__order", "__id"))).withColumn("__own", F.sum("__size").over(same))
     placed = placed.join(F.broadcast(before), ["__lane", "__slice"]).withColumn("place", F.col("__before") + F.col("__upto") - F.col("__own"))
     placed = placed.withColumn("block", F.floor(F.col("place") / block_bytes))
 
@@ -78,7 +80,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_byt
     placed = placed.withColumn("__nth", F.col("block") % share).withColumn("__lap", F.floor(F.col("block") / share))
     placed = placed.join(F.broadcast(period), ["__lane", "__nth"])
     lap = F.col("__lap") * total
-    return placed.select(*rest, "block", (lap + F.col("turn")).alias("slot"), (lap + F.col("release")).alias("release"), (lap + F.col("due")).alias("due"), "place")
+    return placed.select(*(F.col("__rest").getField(c).alias(c) for c in rest), "block", (lap + F.col("turn")).alias("slot"), (lap + F.col("release")).alias("release"), (lap + F.col("due")).alias("due"), "place")
 
 
 def oracle_sql(weights: Mapping[str, int], other: int, block_bytes: int, seed: int) -> str:

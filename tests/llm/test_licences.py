@@ -149,3 +149,12 @@ def test_public_notices(spark):
     wrong = {i: (text, want, got[i]) for i, (text, want) in enumerate(NOTICES.items()) if got[i][0] != want}
     assert not wrong
 
+
+
+def test_long_sentences_take_linear_time(spark):
+    import time
+
+    rows = [(i, t) for i, t in enumerate(["no warranty here " + "word " * 200_000, "distributed under " * 50_000, "you should have received a copy of the gnu " * 20_000, "Distributed under these terms, " + "word " * 1000 + "of a licence"])] * 2
+    began = time.perf_counter()
+    got = {r.doc_id: r.sentence_ids for r in licences(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert time.perf_counter() - began < 60 and got == {0: "", 1: "", 2: "", 3: "LicenceOther"}

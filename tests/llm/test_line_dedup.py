@@ -64,3 +64,13 @@ def test_a_line_of_very_many_words(spark):
     rows = [(1, " ".join(line)), (2, " ".join(line[:15_000] + ["other"] + line[15_001:])), (3, " ".join(line[:700] + line[701:])), (4, " ".join(line[:5] + line[7:]))]
     got = {r.doc_id: r.n_dropped for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_columns_of_any_name_come_back(spark):
+    rows = [(1, "a b c\nx", "keepme", 1, "l", 5), (1, "a b c\ny", "too", 2, "m", 6), (None, None, "three", 3, "n", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, named string, __keep int, __lines string, n_lines int")
+    got = dedup_lines(docs).collect()
+    assert dedup_lines(docs).columns == ["doc_id", "text", "named", "__keep", "__lines", "n_lines", "n_dropped"]
+    assert sorted((r["named"], r["__keep"], r["__lines"]) for r in got) == [("keepme", 1, "l"), ("three", 3, "n"), ("too", 2, "m")]
+    unique = dedup_lines(spark.createDataFrame([(1, "a b c", "keepme", 9)], "doc_id long, text string, named string, others int")).first()
+    assert (unique.named, unique.others) == ("keepme", 9)

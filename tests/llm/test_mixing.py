@@ -45,3 +45,9 @@ def test_rows_without_an_id_are_spread_by_their_text(spark):
     for with_text in (True, False):
         got = mixed(df, {"a": 1}, other=1, block_bytes=50, with_text=with_text).collect()
         assert len(got) == 400 and len({r.place for r in got}) == 400 and len({r.slot for r in got}) > 50
+
+
+def test_columns_of_any_name_come_back(spark):
+    docs = spark.createDataFrame([(1, "x", "a", 7, 8, "o", 9)], "doc_id long, text string, source string, __size int, __lane int, __order string, __slice int")
+    row = mixed(docs, {"a": 1}, 1, 100, 17, with_text=True).first()
+    assert (row["__size"], row["__lane"], row["__order"], row["__slice"], row["text"], row["place"]) == (7, 8, "o", 9, "x", 0)

@@ -95,3 +95,10 @@ def test_against_labels(spark, sf):
 def test_empty_table(spark):
     assert quality(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert quality(spark.range(3).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))).where("kept").count() == 0
+
+
+def test_columns_of_the_result_cannot_be_carried(spark):
+    docs = spark.createDataFrame([(1, "a b", 5)], "doc_id long, text string, n_words long")
+    with pytest.raises(ValueError, match="n_words"):
+        quality(docs, carry=["n_words"])
+    assert quality(docs).first().n_words == 2
