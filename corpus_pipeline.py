@@ -10,6 +10,7 @@ those of documents are left out; an empty table gives an empty one; a very long
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,18 +26,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects. Null and empty texts have no words, so they go; of equal rows all stay or go."""
+    """Documents that no quality rule rejects. Null and empty texts have no words, so they go; of equal rows all stay or go, whether they have
+    a doc_id or not. An empty table gives an empty one; a very long text is judged whole."""
     return quality(docs.select(*COLUMNS), carry=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand earlier, by (doc_id, line); n_chars is counted anew. A document of which no word is left goes."""
+    """Texts without lines that stand earlier, by (doc_id, line); n_chars is counted anew. A document of which no word is left goes.
+    Null and empty texts stay as they are; rows that repeat a doc_id, or have none, are documents of their own; an empty table gives an empty one."""
     out = dedup_lines(docs.select(*COLUMNS)).where((F.col("n_dropped") == 0) | (F.size(words_of(F.col("text"))) > 0))
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (also of equal rows) the document with the smallest doc_id. Texts are shuffled only if very many go."""
+    """Of each group of near copies (also of equal rows) the document with the smallest doc_id. Texts are shuffled only if very many go.
+    Null and empty texts are copies of nothing and stay; rows without a doc_id come last; an empty table gives an empty one; a very long text is one set."""
     docs, new = numbered(docs.select(*COLUMNS))
     with scope(spark):
         copies = cut(near_duplicates(docs, NearDedup(words=5, similar=80)).where("not kept").select("doc_id"), "copies", keep=True)
@@ -45,17 +49,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix, over all partitions. Rows with equal places stand side by side."""
+    """All documents in the order of the mix, over all partitions. Rows with equal places, as repeated ones, stand side by side.
+    Null texts count one byte; rows without a source share the lane of the others; an empty table gives an empty one; a very long text stays whole."""
     rows = mixed(docs.select(*COLUMNS), WEIGHTS, OTHER, BLOCK_BYTES, SEED, with_text=True)
     return rows.sort("slot", "place", "doc_id").select(*COLUMNS)
 
 
+def read_from_files(docs: DataFrame) -> bool:
+    """Rows know their files; only the plan is looked at."""
+    try:
+        return bool(docs.select("_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 tokens; sequence_id follows the order of the files' rows.
 
-    A table that isn't read from files goes in the order of its partitions.
+    A table that isn't read from files goes in the order of its partitions. Null and empty texts are the end id alone; rows that repeat a
+    doc_id, or have none, are packed each; a very long text is cut into as many pieces as it needs; an empty table gives an empty one.
     """
-    if docs.inputFiles():
+    if read_from_files(docs):
         name = F.col("_metadata.file_name")
         number = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).cast("long"), F.lit(0))
         part, row = number("part-([0-9]+)") * 1_000_000 + number("-c([0-9]+)[.]"), F.col("_metadata.row_index")
