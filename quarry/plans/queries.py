@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from quarry.functions import text as T
 from quarry.functions import vectors as V
-from quarry.operators import catalog, chunking, context, conversations, keyword_index, memory, retrieval, stats, vector_search as pruned, workers
+from quarry.operators import catalog, chunking, context, conversations, keyword_index, memory, retrieval, stats, substring_index, vector_search as pruned, workers
 from quarry import schemas
 from quarry.schemas import GENERAL
 from quarry.sources import documents as sources
@@ -488,6 +488,18 @@ def conversation_search(spark, sf_dir):
     return conversations.search(c, conversations.titles(c, "conv_id", "turn", "text"), "TION the", "conv_id", "text")
 
 
+@query("""WITH q AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS query_id FROM conversations WHERE conv_id % 100 = 0)
+SELECT query_id, conv_id, turn FROM conversations JOIN q ON contains(lower(text), query_id)""")
+def message_search(spark, sf_dir):
+    """The words of every hundredth conversation, each looked for in all messages, by a trigram index that came in two changes."""
+    c = table(spark, sf_dir, "conversations")
+    index = keyword_index.KeywordIndex(spark, shared_path(spark, "trigram-index"), ("conv_id", "turn"))
+    substring_index.put_texts(index, c.withColumn("text", F.when(F.col("turn") > 0, F.col("text")).otherwise("to come")), "text")
+    substring_index.put_texts(index, c.where("turn = 0"), "text")
+    words = c.where("conv_id % 100 = 0").select(F.explode(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+")).alias("query_id")).where("query_id <> ''").distinct()
+    return substring_index.containing(index, c, words.withColumn("text", F.col("query_id")), "text")
+
+
 @query("""SELECT conv_id, least(floor(count(*) FILTER (role <> 'system') / 2), 6)::BIGINT AS turns FROM conversations GROUP BY conv_id""")
 def restored_turns(spark, sf_dir):
     return conversations.restored_turns(table(spark, sf_dir, "conversations"), "conv_id")
