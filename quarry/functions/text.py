@@ -16,18 +16,22 @@ what which who how when where why
 """.split()
 
 NOT_ALNUM = "[^\\p{L}\\p{M}\\p{N}]+"
-BLANK = "[\\p{Zs}\\t]+"
 SPACE = "[\\t\\n\\x0B\\f\\r\\x{85}\\p{Z}]+"
 
 
+# The characters that Unicode calls blanks (Zs), and those that count as white space besides.
+BLANKS = "\t \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+SPACES = BLANKS + "\n\x0b\f\r\x85\u2028\u2029"
+
+
 def trim_blanks(text: Column) -> Column:
     """Without blanks and tabs at both ends; line breaks stay."""
-    return F.regexp_replace(text, f"^{BLANK}|{BLANK}$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def trim_space(text: Column) -> Column:
     """Without any white space at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def tokens(text: Column) -> Column:
