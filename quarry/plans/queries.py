@@ -15,7 +15,7 @@ from quarry import schemas
 from quarry.schemas import GENERAL
 from quarry.sources import documents as sources
 from quarry.storage import shared_path
-from quarry.streaming import ingest
+from quarry.streaming import ingest, rotation
 
 NOW = "2024-01-31 12:00:00"
 QUESTION = "Which license was released with the thble attion, thtion and erble of thanea?"
@@ -842,6 +842,17 @@ def rotated_conversations(spark, sf_dir):
     return after.select("conv_id", (-F.col("turns")).alias("turns"), "summary")
 
 
+@query(f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS turns, 0::BIGINT AS done, []::VARCHAR[] AS lines, NULL::VARCHAR AS transcript, NULL::BIGINT AS turn FROM conversations
+  UNION ALL SELECT conv_id, i, CASE WHEN r THEN 0 ELSE turns END + CASE WHEN role = 'assistant' THEN 1 ELSE 0 END, done + r::INT, CASE WHEN r THEN list_append(l, {quoted("Assistant: " + conversations.REFRESHED)})[-6:] ELSE l END, CASE WHEN r THEN array_to_string(l, chr(10)) END, turn
+  FROM (SELECT m.conv_id, m.i, m.turn, role, turns, done, list_append(lines, CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text)[-6:] AS l, role = 'user' AND turns >= CASE WHEN m.conv_id % 2 = 0 THEN 3 ELSE 2 END AS r FROM f JOIN m ON m.conv_id = f.conv_id AND m.i = f.i + 1))
+SELECT conv_id, turn, done AS rotation, transcript FROM f WHERE transcript IS NOT NULL""")
+def rotation_replay(spark, sf_dir):
+    """All rotations of whole conversations; a stream gives the same."""
+    c = table(spark, sf_dir, "conversations").withColumn("has_workers", F.col("conv_id") % 2 == 0)
+    return rotation.rotated_batch(c, most=2).select("conv_id", "turn", "rotation", "transcript")
+
+
 def events_as_workers(spark, sf_dir) -> DataFrame:
     k = F.col("event_id")
     return table(spark, sf_dir, "events").select(k.cast("string").alias("id"), F.concat(F.lit("worker "), k.cast("string")).alias("name"), F.lit("person").alias("icon"), F.lit("when asked").alias("trigger"), F.lit("Do it.").alias("instructions"), (k % 3 != 0).alias("is_enabled"), (k % 2 == 0).alias("is_built_in"), F.col("ts").alias("created_at"))
