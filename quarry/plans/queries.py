@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from quarry.functions import text as T
 from quarry.functions import vectors as V
-from quarry.operators import catalog, chunking, context, conversations, keyword_index, memory, retrieval, stats, substring_index, vector_search as pruned, workers
+from quarry.operators import catalog, catalog_store, chunking, context, conversations, keyword_index, memory, retrieval, stats, substring_index, vector_search as pruned, workers
 from quarry import schemas
 from quarry.schemas import GENERAL
 from quarry.sources import documents as sources
@@ -732,6 +732,19 @@ def reimported_bases(spark, sf_dir):
     return catalog.reimported(b, new.limit(0), new, now())[0].select("id", "chunk_count", "updated_at")
 
 
+@query("""SELECT b.id, b.name, c.id AS chunk_id, c.content FROM (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 'again ' ELSE 'doc ' END || doc_id AS name FROM documents WHERE doc_id % 7 <> 6) b
+LEFT JOIN (SELECT vec_id AS id, vec_id % 50 AS kb, label::VARCHAR AS content FROM embeddings WHERE vec_id % 50 % 10 <> 0 UNION ALL SELECT -doc_id, doc_id, 'new' FROM documents WHERE doc_id % 10 = 0) c ON c.kb = b.id""")
+def stored_catalog(spark, sf_dir):
+    """Knowledge bases with their chunks, stored; some are read again, some deleted, each as one change to both tables."""
+    b = bases(spark, sf_dir).select("id", "name")
+    store = catalog_store.CatalogStore(spark, shared_path(spark, "catalog")).changed(b, few_chunks(spark, sf_dir), change="first")
+    again = b.where("id % 10 = 0").withColumn("name", F.concat(F.lit("again "), F.col("id").cast("string")))
+    new = again.select((-F.col("id")).alias("id"), F.col("id").alias("knowledge_base_id"), F.lit(0).cast("long").alias("index"), F.lit("new").alias("content"))
+    store.changed(again, new, change="again").changed(again.limit(0), new.limit(0), change="again").changed(deleted=b.where("id % 7 = 6"), change="gone")
+    chunks = store.chunks().select(F.col("id").alias("chunk_id"), F.col("knowledge_base_id").alias("id"), "content")
+    return store.bases().join(chunks, "id", "left").select("id", "name", "chunk_id", "content")
+
+
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 50 < 10 THEN 'new' ELSE label::VARCHAR END AS content FROM embeddings WHERE vec_id % 50 >= 10 UNION ALL SELECT -doc_id, 'new' FROM documents WHERE doc_id < 10")
 def replaced_chunks(spark, sf_dir):
     new = table(spark, sf_dir, "documents").where("doc_id < 10").select((-F.col("doc_id")).alias("id"), F.col("doc_id").alias("knowledge_base_id"), F.lit(0).cast("long").alias("index"), F.lit("new").alias("content"))
