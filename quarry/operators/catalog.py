@@ -160,8 +160,10 @@ def stale(bases: DataFrame, model: str) -> DataFrame:
 
 
 def updated_vectors(chunks: DataFrame, updates: DataFrame) -> DataFrame:
-    """Vectors by id from ``updates`` (id, embedding): a null clears, an absent id leaves as is."""
-    new = updates.select("id", F.col("embedding").alias("__e"), F.lit(True).alias("__u"))
+    """Vectors by id from ``updates`` (id, embedding, and ``seq`` where their order is known): a null clears, an absent id leaves as is; of
+    several updates of an id the last one counts, and without an order a vector rather than a null, so no chunk is doubled."""
+    order = F.struct(F.col("seq"), F.col("embedding").isNotNull(), "embedding") if "seq" in updates.columns else F.struct(F.col("embedding").isNotNull(), F.col("embedding"))
+    new = updates.groupBy("id").agg(F.max_by(F.struct("embedding"), order).alias("__l")).select("id", F.col("__l.embedding").alias("__e"), F.lit(True).alias("__u"))
     return chunks.join(new, "id", "left").withColumn("embedding", F.when(F.col("__u"), F.col("__e")).otherwise(F.col("embedding"))).drop("__e", "__u")
 
 

@@ -92,14 +92,14 @@ def with_keywords(chunks: DataFrame, limit: int = 8) -> DataFrame:
     return chunks.withColumn("keywords", keywords_of(F.col("content"), limit))
 
 
-def enumerated(rows: DataFrame, keys: list[str], order: str, span: int = 100_000) -> DataFrame:
-    """``rows`` with ``index``: their place by ``order`` (a whole number) among those of equal keys, from 0.
+def enumerated(rows: DataFrame, keys: list[str], order: str, span: int = 100_000, then: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``index``: their place by ``order`` (a whole number), then by the columns ``then``, among those of equal keys, from 0.
 
     A key's rows are numbered in ranges of ``span`` values of the order, and the ranges' counts are summed, so no key is one task.
     """
     ranged = rows.withColumn("__range", F.floor(F.col(order) / span))
     counts = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(W.partitionBy(*keys).orderBy("__range")) - F.col("__n")).drop("__n")
-    inside = F.row_number().over(W.partitionBy(*keys, "__range").orderBy(order)) - 1
+    inside = F.row_number().over(W.partitionBy(*keys, "__range").orderBy(order, *then)) - 1
     out = ranged.withColumn("__i", inside).alias("a").join(before.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "__range")])
     return out.select("a.*", (F.col("b.__before") + F.col("a.__i")).cast("long").alias("index")).drop("__range", "__i")

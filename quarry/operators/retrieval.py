@@ -132,14 +132,16 @@ def retrieve(rows: DataFrame, query: list[float] | None, words: list[str], key:
 def memory_retrieve(rows: DataFrame, query: list[float] | None, words: list[str], now: Column, key: str, k: int = 5) -> DataFrame:
     """The memories that fit a query: by similarity above 0.3 with a small bonus for new ones, or else by keywords (0.25 or more).
 
-    ``rows``: key, words, created_at, embedding. Adds ``score`` (the rank is by it). Whether any memory is similar is one row of the same plan,
-    so nothing runs before the result is asked for.
+    ``rows``: key, words, created_at, embedding. Adds ``score`` (the rank is by it). Whether any memory is similar is a row of the same plan, so
+    nothing runs before the result is asked for; once it is known that one is, Spark leaves the keyword branch out.
     """
     bonus = recency_bonus(F.col("created_at"), now)
-    scored = keyword_scored(rows, words, "__k") if words else rows.withColumn("__k", F.lit(0.0)).drop("words")
-    like = cosine(F.col("embedding"), literal(query)) if query is not None else F.lit(None).cast("double")
-    ranked = scored.withColumn("__s", like).where((F.coalesce("__s", F.lit(0.0)) > 0.3) | ((F.col("__k") >= 0.25) if words else F.lit(False)))
-    near = F.coalesce(F.col("__s") > 0.3, F.lit(False))
-    ranked = ranked.withColumns({"__near": near, "score": F.when(near, F.col("__s") + bonus * 0.02).otherwise(F.col("__k") + bonus * 0.05)})
-    some = rows.agg(F.coalesce(F.bool_or(like > 0.3), F.lit(False)).alias("__some"))
-    return ranked.crossJoin(F.broadcast(some)).where(F.col("__near") == F.col("__some")).drop("__s", "__k", "__near", "__some").orderBy(F.desc("score"), key).limit(k)
+    best = lambda found: found.orderBy(F.desc("score"), key).limit(k)
+    by_words = keyword_scored(rows, words, "__s").where(F.col("__s") >= 0.25) if words else rows.drop("words").withColumn("__s", F.lit(0.0)).limit(0)
+    by_words = by_words.withColumn("score", F.col("__s") + bonus * 0.05).drop("__s")
+    if query is None:
+        return best(by_words)
+    like = cosine(F.col("embedding"), literal(query))
+    near = rows.drop("words").withColumn("__s", like).where(F.col("__s") > 0.3).withColumn("score", F.col("__s") + bonus * 0.02).drop("__s")
+    none = rows.agg(F.coalesce(F.bool_or(like > 0.3), F.lit(False)).alias("__some")).where("not __some")
+    return best(near.unionByName(by_words.crossJoin(F.broadcast(none)).drop("__some")))

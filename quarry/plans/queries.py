@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quarry.functions import text as T
 from quarry.functions import vectors as V
@@ -369,8 +368,10 @@ m AS (SELECT query_id, n, doc_id, query_word, 1.0 AS m FROM q JOIN w ON word = q
 s AS (SELECT query_id, doc_id, sum(m) / n AS score FROM (SELECT query_id, n, doc_id, query_word, max(m)::DOUBLE AS m FROM m GROUP BY ALL) GROUP BY query_id, doc_id, n)
 SELECT query_id, doc_id, round(score, 6) AS score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10""")
 def keyword_search(spark, sf_dir):
-    rows = docs_with_words(spark, sf_dir).select("doc_id", "words")
-    found = keyword_index.keyword_search(rows, hundredth(rows, "doc_id").withColumnRenamed("doc_id", "query_id"), "doc_id", 10)
+    """All documents go into an index; the words of the questions come from there too, so each text is tokenised once."""
+    index = keyword_index.KeywordIndex(spark, shared_path(spark, "keyword-index"), ("doc_id",)).filled(docs_with_words(spark, sf_dir).select("doc_id", "words"))
+    asked = index.words().where("id.doc_id % 100 = 0").select(F.col("id.doc_id").alias("query_id"), "words")
+    found = index.searched(asked, 10)
     return found.select("query_id", "doc_id", r6("score").alias("score"))
 
 
@@ -679,8 +680,10 @@ DATED = f"(SELECT b.*, ts AS created_at, CASE WHEN b.id % 5 = 0 THEN ts + INTERV
 
 @query(f"SELECT id, name, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM {DATED}")
 def bases_by_date(spark, sf_dir):
-    shown = catalog.listed(dated(spark, sf_dir), newest_first=True).select("id", "name", "created_at")
-    return shown.withColumn("place", F.row_number().over(W.orderBy(F.desc("created_at"), "id")).cast("long")).drop("created_at")
+    """Places are numbered within ranges of a day, so no task has all rows."""
+    rows = dated(spark, sf_dir).select("id", "name", "created_at", (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("order"))
+    placed = chunking.enumerated(rows, [], "order", span=86_400_000_000, then=("id",))
+    return catalog.listed(placed.withColumn("place", F.col("index") + 1), newest_first=True).select("id", "name", "place")
 
 
 def few_chunks(spark, sf_dir) -> DataFrame:
@@ -745,6 +748,23 @@ def stored_catalog(spark, sf_dir):
     return store.bases().join(chunks, "id", "left").select("id", "name", "chunk_id", "content")
 
 
+@query("""SELECT vec_id AS id, vec_id % 50 AS kb, label::VARCHAR AS content FROM embeddings WHERE vec_id % 50 NOT IN (SELECT doc_id FROM documents JOIN events ON event_id = doc_id WHERE doc_id % 10 = 0)
+UNION ALL SELECT NULL, doc_id, 'new ' || k FROM documents JOIN events ON event_id = doc_id, (VALUES (0), (1)) v(k) WHERE doc_id % 10 = 0""")
+def reimported_chunks(spark, sf_dir):
+    b = dated(spark, sf_dir)
+    new = b.where("id % 10 = 0").select(F.lit(None).cast("long").alias("id"), F.col("id").alias("knowledge_base_id"), F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>")).alias("index"))
+    new = new.withColumn("content", F.concat(F.lit("new "), F.col("index").cast("string")))
+    return catalog.reimported(b, few_chunks(spark, sf_dir), new, now())[1].select("id", F.col("knowledge_base_id").alias("kb"), "content")
+
+
+@query("""SELECT vec_id AS id, vec_id % 50 AS kb FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 50 % 2 = 0 UNION ALL SELECT vec_id, vec_id % 50 FROM embeddings WHERE vec_id % 50 % 2 = 1 AND vec_id % 50 % 3 = 0 AND vec_id % 50 IN (SELECT doc_id FROM documents)""")
+def migrated_chunks(spark, sf_dir):
+    """Chunks come with the knowledge bases that are new; those of others don't come again."""
+    b, chunks = bases(spark, sf_dir), few_chunks(spark, sf_dir)
+    held = chunks.where("id % 2 = 0 and knowledge_base_id % 2 = 0")
+    return catalog.migrated(b.where("id % 2 = 0"), b.where("id % 3 = 0"), held, chunks)[1].select("id", F.col("knowledge_base_id").alias("kb"))
+
+
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 50 < 10 THEN 'new' ELSE label::VARCHAR END AS content FROM embeddings WHERE vec_id % 50 >= 10 UNION ALL SELECT -doc_id, 'new' FROM documents WHERE doc_id < 10")
 def replaced_chunks(spark, sf_dir):
     new = table(spark, sf_dir, "documents").where("doc_id < 10").select((-F.col("doc_id")).alias("id"), F.col("doc_id").alias("knowledge_base_id"), F.lit(0).cast("long").alias("index"), F.lit("new").alias("content"))

@@ -196,3 +196,10 @@ def test_exports_of_any_size(spark, tmp_path):
     lines = [json.loads(x) for f in sorted((tmp_path / "x/chunks/knowledge_base_id=k").glob("*.json")) for x in f.read_text().splitlines()]
     assert [x["content"] for x in lines] == ["c0", "c1", "c2"] and "embedding" not in lines[0]
     assert spark.read.json(str(tmp_path / "x/bases")).first().name == "name"
+
+
+def test_two_updates_of_a_vector_change_one_chunk(spark):
+    chunks = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [3.0])], "id int, embedding array<double>")
+    updates = spark.createDataFrame([(1, 1, [5.0]), (1, 2, None), (2, 1, None), (2, 2, [7.0])], "id int, seq int, embedding array<double>")
+    assert sorted((r.id, r.embedding) for r in catalog.updated_vectors(chunks, updates).collect()) == [(1, None), (2, [7.0]), (3, [3.0])]
+    assert sorted((r.id, r.embedding) for r in catalog.updated_vectors(chunks, updates.drop("seq")).collect()) == [(1, [5.0]), (2, [7.0]), (3, [3.0])]
