@@ -15,22 +15,28 @@ from quarry.operators.memory import add_all
 from quarry.sources.documents import file_stem, parsed
 
 
+def ingest_files(files: DataFrame, target: str, epoch: int | str, parse_pdf: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """Chunks and jobs of ``files`` (path, content), written below ``target`` under the number ``epoch`` in place of what was there; gives the jobs."""
+    spark = files.sparkSession
+    parsed(files, parse_pdf).write.mode("overwrite").parquet(f"{target}/sections/epoch={epoch}")
+    parts = spark.read.parquet(f"{target}/sections/epoch={epoch}")
+    chunks = with_keywords(chunk_sections(parts.where("error is null").select("kb_id", "pos", "label", "text")))
+    chunks.write.mode("overwrite").parquet(f"{target}/chunks/epoch={epoch}")
+    made = spark.read.parquet(f"{target}/chunks/epoch={epoch}").select("kb_id").distinct().withColumn("__m", F.lit(True))
+    by_file = parts.groupBy("path", "kb_id").agg(F.first("error", ignorenulls=True).alias("error")).join(made, "kb_id", "left")
+    error = F.when(F.col("__m").isNull(), F.coalesce("error", F.lit("No chunks created")))
+    jobs = by_file.select("path", F.when(F.col("__m"), "completed").otherwise("failed").alias("status"), error.alias("error"))
+    jobs.write.mode("overwrite").parquet(f"{target}/jobs/epoch={epoch}")
+    return spark.read.parquet(f"{target}/jobs/epoch={epoch}")
+
+
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1, parse_pdf: Callable[[bytes], list[str]] | None = None) -> StreamingQuery:
     """Read text, ePUB and (with a parser) PDF files as they come, chunk them, and append chunks (kb_id, index, location_label, content,
     keywords) and a job row for each file (path, status, error) as Parquet below ``target``. A file that gives no chunks fails without
     stopping the others. A batch that is run again replaces its own files."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        parts = parsed(df.select("path", "content"), parse_pdf)
-        parts.write.mode("overwrite").parquet(f"{target}/sections/epoch={epoch}")
-        parts = df.sparkSession.read.parquet(f"{target}/sections/epoch={epoch}")
-        chunks = with_keywords(chunk_sections(parts.where("error is null").select("kb_id", "pos", "label", "text")))
-        chunks.write.mode("overwrite").parquet(f"{target}/chunks/epoch={epoch}")
-        made = df.sparkSession.read.parquet(f"{target}/chunks/epoch={epoch}").select("kb_id").distinct().withColumn("__m", F.lit(True))
-        by_file = parts.groupBy("path", "kb_id").agg(F.first("error", ignorenulls=True).alias("error")).join(made, "kb_id", "left")
-        error = F.when(F.col("__m").isNull(), F.coalesce("error", F.lit("No chunks created")))
-        jobs = by_file.select("path", F.when(F.col("__m"), "completed").otherwise("failed").alias("status"), error.alias("error"))
-        jobs.write.mode("overwrite").parquet(f"{target}/jobs/epoch={epoch}")
+        ingest_files(df.select("path", "content"), target, epoch, parse_pdf)
 
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.*").option("maxFilesPerTrigger", files_per_batch).load(source)
