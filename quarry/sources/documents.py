@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import HTML_STEPS, strip_html, trim_space
 
 MOST_BYTES = 100 * 1024 * 1024
+#: Sections of a file go on together up to so many characters.
+FEW_CHARACTERS = 4_000_000
 PARTS = "path string, kb_id string, pos int, label string, text string, html string, error string"
 
 
@@ -34,13 +36,12 @@ def spine_files(opf: str) -> list[str]:
     return [items[r] for t in _matches("<itemref[^>]*>", opf) if (r := _attribute("idref", t)) in items]
 
 
-def archive_files(data: bytes, most: int = MOST_BYTES) -> dict[str, bytes]:
-    """Files of a ZIP archive in memory, walked from local header to local header, so a truncated archive gives what stands before the cut.
+def archive_entries(data: bytes) -> dict[str, list[tuple[int, int, int, int]]]:
+    """Where the files of a ZIP archive are: by name (method, begin, packed size, stated size), the last one with a name last.
 
-    Stored and deflated files are read, others passed over, as are damaged ones. Of a deflated file that is larger the first ``most`` bytes count,
-    or as many as its header states.
+    The archive is walked from local header to local header, so a truncated one gives what stands before the cut. Nothing is inflated.
     """
-    out: dict[str, bytes] = {}
+    out: dict[str, list[tuple[int, int, int, int]]] = {}
     at = 0
     while data[at : at + 4] == b"PK\3\4" and at + 30 <= len(data):
         method, packed, size, name_size, extra = struct.unpack_from("<8xH8xIIHH", data, at)
@@ -48,19 +49,31 @@ def archive_files(data: bytes, most: int = MOST_BYTES) -> dict[str, bytes]:
         name = _text(data[at + 30 : at + 30 + name_size])
         if not name_size or begin + packed > len(data):
             break
-        part, at = data[begin : begin + packed], begin + packed
-        if not name or name.endswith("/"):
-            continue
-        if method == zipfile.ZIP_STORED:
-            out[name] = part
-        elif method == zipfile.ZIP_DEFLATED:
-            try:
-                out[name] = zlib.decompressobj(-15).decompress(part, min(max(size, 1024), most))
-            except zlib.error:
-                continue
+        at = begin + packed
+        if name and not name.endswith("/") and method in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            out.setdefault(name, []).append((method, begin, packed, size))
     return out
 
 
+def inflated(data: bytes, places: list[tuple[int, int, int, int]] | None, most: int = MOST_BYTES) -> bytes | None:
+    """One file of an archive, the last undamaged one of its name. Of a deflated file that is larger the first ``most`` bytes count, or as many as
+    its header states."""
+    for method, begin, packed, size in reversed(places or []):
+        part = memoryview(data)[begin : begin + packed]
+        if method == zipfile.ZIP_STORED:
+            return bytes(part)
+        try:
+            return zlib.decompressobj(-15).decompress(part, min(max(size, 1024), most))
+        except zlib.error:
+            continue
+    return None
+
+
+def archive_files(data: bytes, most: int = MOST_BYTES) -> dict[str, bytes]:
+    """All files of a ZIP archive in memory; stored and deflated ones, damaged ones passed over."""
+    return {name: found for name, places in archive_entries(data).items() if (found := inflated(data, places, most)) is not None}
+
+
 def _text(data: bytes | None) -> str | None:
     try:
         return None if data is None else data.decode("utf-8")
@@ -75,23 +88,26 @@ def _blank(html: str) -> bool:
     return not html.strip()
 
 
-def archive_sections(data: bytes) -> list[tuple[int, str, str]]:
-    """(pos, label, html): chapters in spine order, or all HTML files by path where no chapter can be found."""
-    files = archive_files(data)
-    chapters = []
-    container = _text(files.get("META-INF/container.xml"))
+def archive_sections(data: bytes) -> Iterator[tuple[int, str, str]]:
+    """(pos, label, html): chapters in spine order, or all HTML files by path where no chapter can be found. One file is inflated at a time."""
+    entries = archive_entries(data)
+    read = lambda name: _text(inflated(data, entries.get(name)))
+    container = read("META-INF/container.xml")
     package = re.search('full-path="([^"]+)"', container) if container else None
-    opf = _text(files.get(package.group(1))) if package else None
+    opf = read(package.group(1)) if package else None
+    found = False
     if opf:
         folder = posixpath.dirname(package.group(1))
         for i, name in enumerate(spine_files(opf)):
-            html = _text(files.get(posixpath.normpath(posixpath.join(folder, name))))
+            html = read(posixpath.normpath(posixpath.join(folder, name)))
             if html is not None and not _blank(html):
-                chapters.append((i, f"Chapter {i + 1}", html))
-    if not chapters:
-        pages = sorted(n for n in files if n.endswith((".xhtml", ".html", ".htm")))
-        chapters = [(i, f"Section {i + 1}", html) for i, n in enumerate(pages) if (html := _text(files[n])) is not None and not _blank(html)]
-    return chapters
+                found = True
+                yield i, f"Chapter {i + 1}", html
+    if not found:
+        pages = sorted(n for n in entries if n.endswith((".xhtml", ".html", ".htm")) and inflated(data, entries[n]) is not None)
+        for i, name in enumerate(pages):
+            if (html := read(name)) is not None and not _blank(html):
+                yield i, f"Section {i + 1}", html
 
 
 def read_documents(spark: SparkSession, path: str, parse_pdf: Callable[[bytes], list[str]] | None = None, recursive: bool = False) -> DataFrame:
@@ -104,7 +120,11 @@ def read_documents(spark: SparkSession, path: str, parse_pdf: Callable[[bytes],
 
 
 def parsed(files: DataFrame, parse_pdf: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """(path, kb_id, pos, label, text, error) of files (path, content), also of a stream of them."""
+    """(path, kb_id, pos, label, text, error) of files (path, content), also of a stream of them.
+
+    Parts of a file go on a few megabytes at a time, so of an archive that is unpacked there is little more in memory than its own bytes.
+    """
+    names = ["path", "kb_id", "pos", "label", "text", "html", "error"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -117,16 +137,24 @@ def parsed(files: DataFrame, parse_pdf: Callable[[bytes], list[str]] | None = No
                         text = _text(bytes(content))
                         found = [(0, "Full Text", text, None)] if text and text.strip() else []
                     elif kind == "epub":
-                        found = [(i, label, None, html) for i, label, html in archive_sections(bytes(content))]
+                        found = ((i, label, None, html) for i, label, html in archive_sections(bytes(content)))
                     elif kind == "pdf" and parse_pdf:
                         found = [(i, f"Page {i + 1}", text, None) for i, text in enumerate(parse_pdf(bytes(content))) if text.strip()]
                     else:
                         rows.append((name, id_, 0, *empty, f"Unsupported: .{kind}"))
                         continue
-                    rows += [(name, id_, i, label, text, html, None) for i, label, text, html in found] or [(name, id_, 0, *empty, "No text content found")]
+                    any_, held = False, 0
+                    for i, label, text, html in found:
+                        any_, held = True, held + len(text or html)
+                        rows.append((name, id_, i, label, text, html, None))
+                        if held > FEW_CHARACTERS:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, held = [], 0
+                    if not any_:
+                        rows.append((name, id_, 0, *empty, "No text content found"))
                 except ValueError as e:
                     rows.append((name, id_, 0, *empty, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "kb_id", "pos", "label", "text", "html", "error"])
+            yield pd.DataFrame(rows, columns=names)
 
     ids = files.select("path", F.sha2(F.concat(F.col("path").cast("binary"), F.lit("\n").cast("binary"), F.col("content")), 256).alias("kb_id"), "content")
     parts = ids.mapInPandas(parse, PARTS)

@@ -203,3 +203,23 @@ def test_two_updates_of_a_vector_change_one_chunk(spark):
     updates = spark.createDataFrame([(1, 1, [5.0]), (1, 2, None), (2, 1, None), (2, 2, [7.0])], "id int, seq int, embedding array<double>")
     assert sorted((r.id, r.embedding) for r in catalog.updated_vectors(chunks, updates).collect()) == [(1, None), (2, [7.0]), (3, [3.0])]
     assert sorted((r.id, r.embedding) for r in catalog.updated_vectors(chunks, updates.drop("seq")).collect()) == [(1, [5.0]), (2, [7.0]), (3, [3.0])]
+
+
+def test_members_of_an_archive_are_inflated_one_by_one(spark, tmp_path, monkeypatch):
+    """A small archive that unpacks to 80 MB: what is in memory at once are its bytes and one member."""
+    import tracemalloc
+
+    pages = {f"p{i:02d}.html": "<p>" + "word " * 800_000 + f"{i}</p>" for i in range(20)}
+    data = archive(pages)
+    assert len(data) < 1_000_000
+    tracemalloc.start()
+    n = sum(len(html) for _, _, html in S.archive_sections(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 79_000_000 and peak < 60_000_000
+    monkeypatch.setattr(S, "FEW_CHARACTERS", 100)
+    (tmp_path / "a.epub").write_bytes(archive({f"p{i}.html": "<p>" + "chapter " * 40 + "</p>" for i in range(5)}))
+    (tmp_path / "b.epub").write_bytes(archive({"x.html": " "}))
+    rows = S.read_documents(spark, str(tmp_path)).collect()
+    assert sorted((r.label, r.error) for r in rows if r.path.endswith("a.epub")) == [(f"Section {i}", None) for i in range(1, 6)]
+    assert [r.error for r in rows if r.path.endswith("b.epub")] == ["No text content found"]
