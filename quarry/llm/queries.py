@@ -64,15 +64,15 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '
 """
 
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as gzip members of WARC archives and read back by the salvage reader. A null html is empty; equal rows are all records. An empty table gives an empty result; very long texts and clashing columns are no special case."""
-    return archived_pages(table(spark, sf_dir, "pages"))
+    """Pages written as gzip members of WARC archives and read back by the salvage reader, also from a copy in which every 13th is damaged. A null html is empty; equal rows are all records. An empty table gives an empty result; very long texts and clashing columns are no special case."""
+    return archived_pages(table(spark, sf_dir, "pages"), damage=F.col("page_id") % 13 == 5)
 
 
 OP3_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first < page_id THEN first END AS refers_to, 0::BIGINT AS gap_before FROM p LEFT JOIN f USING (d)
+       CASE WHEN first < page_id THEN first END AS refers_to, 0::BIGINT AS gap_before, page_id % 13 <> 5 AS salvaged FROM p LEFT JOIN f USING (d)
 """
 
 

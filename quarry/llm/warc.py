@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, shared_path, small
@@ -235,13 +235,15 @@ EMPTY = gzip.compress(b"", mtime=0)
 
 
 def _members(records: DataFrame) -> DataFrame:
-    """``records`` (value string) as gzip members without their last byte."""
+    """``records`` (value string, damaged boolean) as gzip members without their last byte; a byte of the checksum is wrong where one is damaged."""
 
     def of(batches):
         for batch in batches:
             out, size = [], 0
-            for x in batch.column("value"):
+            for x, damaged in zip(batch.column("value"), batch.column("damaged"), strict=True):
                 member = gzip.compress(x.as_buffer(), 6, mtime=0)
+                if damaged.as_py():
+                    member = member[:-8] + bytes([member[-8] ^ 0xFF]) + member[-7:]
                 out.append(member[:-1] if member[-1] == 0 else member + EMPTY[:-1])
                 size += len(out[-1])
                 if size > 8_000_000:
@@ -249,19 +251,20 @@ def _members(records: DataFrame) -> DataFrame:
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    return records.select(F.col("value").cast("binary")).mapInArrow(of, "value binary").select(F.col("value").cast("string"))
+    return records.select(F.col("value").cast("binary"), "damaged").mapInArrow(of, "value binary").select(F.col("value").cast("string"))
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 100, records_per_file: int | None = None, date: str = "2024-01-01T00:00:00Z", members: bool = True) -> None:
+def write_warc(pages: DataFrame, path: str, least: int = 100, records_per_file: int | None = None, date: str = "2024-01-01T00:00:00Z", members: bool = True, damage: Column | None = None) -> None:
     """Write a record per row of ``pages`` (page_id, url, html; others are ignored) below ``path``, each a gzip member, or plain.
 
     Of records with equal payloads of ``least`` bytes or more, those with the smallest page_id are responses, the others are revisits
     without a payload. A null html is an empty payload, a null url an empty address; without a page_id a row is a response whose record has
     no number. Rows that repeat a page_id are each written. An archive holds about 64 MB of records, and 1 GB at most, unless
-    ``records_per_file`` is given. An empty table gives no record.
+    ``records_per_file`` is given. An empty table gives no record. Gzip members of pages for which ``damage`` holds are written with a wrong
+    checksum, to try out what a reader recovers.
     """
     body = F.coalesce("html", F.lit(""))
-    pages = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", "").alias("url"), body.alias("payload"), F.sha2(body.cast("binary"), 256).alias("digest"))
+    pages = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", "").alias("url"), body.alias("payload"), F.sha2(body.cast("binary"), 256).alias("digest"), F.coalesce(F.lit(False) if damage is None else damage, F.lit(False)).alias("damaged"))
     digests = cut(pages.select("page_id", F.octet_length("payload").alias("n"), "digest"), "digests")
     again = cut(record_types(digests, least), "revisits")
     rows = pages.join(small(again), ["page_id", "digest"], "left")
@@ -287,8 +290,8 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, records_per_file:
         F.col("b"),
         F.lit(""),
     )
-    lines = rows.withColumn("b", block).select(record.alias("value"))
-    lines = _members(lines.select(F.concat("value", F.lit(crlf)).alias("value"))) if members else lines
+    lines = rows.withColumn("b", block).select(record.alias("value"), "damaged")
+    lines = _members(lines.select(F.concat("value", F.lit(crlf)).alias("value"), "damaged")) if members else lines.select("value")
     lines.write.option("lineSep", "\0" if members else crlf).option("maxRecordsPerFile", records_per_file or records_for(digests)).text(path)
 
 
@@ -310,12 +313,21 @@ def quarantine(records: DataFrame) -> DataFrame:
     return records.where("gap is not null").select("path", "offset", "length", "gap")
 
 
-def archived_pages(pages: DataFrame) -> DataFrame:
+def archived_pages(pages: DataFrame, damage: Column | None = None) -> DataFrame:
     """Write ``pages`` as archives in the shared folder and read them back; a row per record, as ``pages_of`` gives it.
 
-    All that was read stays as a table there, gaps included; a record behind a gap names the bytes lost before it.
+    With ``damage``, a condition on a page's columns, a second copy is written in which the members of those pages are damaged; the column
+    ``salvaged`` tells whether that copy, too, gave the page, past the damage before it. All that was read stays as tables there, gaps included; a
+    record behind a gap names the bytes lost before it. A null html is empty; rows that repeat a page_id, or have none, are records each; an empty
+    table gives an empty result; other columns are ignored; a very long html is one record up to the reader's bound of a member (256 MB).
     """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_warc(pages, path)
-    return pages_of(cut(read_warc(spark, path, payloads=False), "warc-records"))
+    read = pages_of(cut(read_warc(spark, path, payloads=False), "warc-records"))
+    if damage is None:
+        return read
+    other = shared_path(spark, "warc-damaged")
+    write_warc(pages, other, damage=damage)
+    found = cut(pages_of(cut(read_warc(spark, other, payloads=False), "warc-salvaged")).select(F.col("page_id").alias("found")).distinct(), "warc-found")
+    return read.join(small(found.withColumn("salvaged", F.lit(True))), read["page_id"].eqNullSafe(F.col("found")), "left").select(*read.columns, F.coalesce("salvaged", F.lit(False)).alias("salvaged"))
