@@ -136,7 +136,16 @@ def salvage(data: bytes, most: int = 1 << 28) -> Iterator[Record | tuple[int, in
 
     A member that inflates to more than ``most`` bytes is a gap.
     """
-    at, known = 0, None
+    at, known, version = 0, None, -1
+
+    def next_version(after: int) -> int | None:
+        """The next version line, looked for once only: what has been looked through for one gap isn't for the next."""
+        nonlocal version
+        if version is not None and version <= after:
+            m = VERSION.search(data, after + 1)
+            version = m.start() if m else None
+        return version
+
     while at < len(data):
         if data.startswith(MEMBER, at):
             member = known or member_at(data, at, most)
@@ -163,8 +172,7 @@ def salvage(data: bytes, most: int = 1 << 28) -> Iterator[Record | tuple[int, in
             why = found
         following = at
         while True:  # the next place at which a member or a record holds
-            m = VERSION.search(data, following + 1)
-            nexts = [x for x in (data.find(MEMBER, following + 1), m.start() if m else -1) if x >= 0]
+            nexts = [x for x in (data.find(MEMBER, following + 1), next_version(following)) if x is not None and x >= 0]
             following = min(nexts, default=len(data))
             if not nexts or (known := member_at(data, following, most) if data.startswith(MEMBER, following) else None):
                 break
