@@ -3,14 +3,20 @@
 Every place of a text, in lower case, begins a trigram; the last two are filled up with a character that no text has. The trigrams are kept as a
 ``KeywordIndex``, so an index changes by generations. A question of three characters or more takes its rarest trigrams: rows must have
 all of them, and what they leave is checked on the text. A shorter question is the beginning of trigrams, which answer it without a look at texts.
+
+Questions and the index's rows meet in pairs of blocks (``blocks``), so what trigrams leave stays in its task and only what is found comes out.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators import blocks
 from quarry.operators.keyword_index import KeywordIndex
 
 FILL = "￿"  # not a character
@@ -19,9 +25,13 @@ FILL = "
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of a text in lower case; none for an empty or null one."""
     low = F.lower(text)
-    filled = F.concat(low, F.lit(FILL * 2))
-    places = F.when(F.length(low) > 0, F.sequence(F.lit(1), F.length(low))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(filled, i, F.lit(3))))
+    fill = F.lit(FILL)
+
+    def made(chars: Column) -> Column:
+        return F.array_distinct(F.transform(chars, lambda c, i: F.concat(c, F.coalesce(F.get(chars, i + 1), fill), F.coalesce(F.get(chars, i + 2), fill))))
+
+    chars = F.when(F.length(low) > 0, F.split(low, "")).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(chars), made), F.lit(0))  # a text is cut into its characters once
 
 
 def put_texts(index: KeywordIndex, rows: DataFrame, content: str, deleted: DataFrame | None = None, change: str | None = None) -> KeywordIndex:
@@ -32,25 +42,49 @@ def put_texts(index: KeywordIndex, rows: DataFrame, content: str, deleted: DataF
 def containing(index: KeywordIndex, rows: DataFrame, queries: DataFrame, content: str, rarest: int = 3) -> DataFrame:
     """(query_id, keys): for each question (query_id, text) the rows (keys, content) that the index has and whose content holds its text.
 
-    An empty question finds every row, as no filter is set; a null one none. ``rows`` are those that were put in; their texts are only read for
-    rows that have the ``rarest`` trigrams of a question, of which lists are read by equality.
+    An empty question finds every row, as no filter is set; a null one none. ``rows`` are those that were put in; their texts are only looked at for
+    rows that have the ``rarest`` trigrams of a question.
     """
-    keys = list(index.keys)
-    asked = queries.select("query_id", F.lower("text").alias("q")).where("q is not null")
-    vocabulary = index._all("postings").groupBy("word").agg(F.sum("n").alias("f"))
-
-    long = asked.where(F.length("q") >= 3)
-    grams = long.select("query_id", "q", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - 2), lambda i: F.substring("q", i, F.lit(3))))).alias("word"))
-    known = grams.join(vocabulary, "word", "left")
-    by = W.partitionBy("query_id", "q")
-    known = known.withColumns({"absent": F.max(F.col("f").isNull()).over(by), "of": F.count(F.lit(1)).over(by), "place": F.row_number().over(by.orderBy("f", "word"))})
-    chosen = known.where(~F.col("absent") & (F.col("place") <= rarest)).select("query_id", "q", "word", F.least("of", F.lit(rarest)).alias("needed"))
-    met = chosen.join(index.postings().select("word", "id"), "word").groupBy("query_id", "q", "needed", "id").agg(F.count(F.lit(1)).alias("c")).where("c = needed")
-    texts = rows.select(F.struct(*keys).alias("id"), F.lower(content).alias("t"))
-    found = met.select("query_id", "q", "id").join(texts, "id").where(F.contains("t", "q")).select("query_id", "id")
-
-    short = asked.where((F.length("q") > 0) & (F.length("q") < 3))
-    begins = vocabulary.select("word", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).select("word", F.substring("word", F.lit(1), F.col("n")).alias("q"), "n").where(F.length("q") == F.col("n"))
-    brief = short.join(begins, "q").join(index.postings().select("word", "id"), "word").select("query_id", "id")
-    every = asked.where("q = ''").select("query_id", F.lit(True).alias("all")).join(rows.select(F.struct(*keys).alias("id"), F.lit(True).alias("all")), "all").select("query_id", "id")
-    return found.union(brief).union(every).distinct().select("query_id", "id.*")
+    id_ = F.struct(*index.keys).alias("id")
+    words = index.words().groupBy("id").agg(F.flatten(F.collect_list("words")).alias("words"))
+    texts = rows.groupBy(id_).agg(F.collect_set(F.lower(content)).alias("texts"))
+    asked = queries.where("text is not null").groupBy(F.col("query_id").alias("id")).agg(F.collect_set(F.lower("text")).alias("words"))
+    some = blocks.question_blocks(asked.where("not array_contains(words, '')"), "substring-questions")
+
+    def found(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+        q, d = block_matches(blocks.read(block), blocks.read(block, "q_"), block.column("texts").flatten().to_pylist(), rarest)
+        return q, d, []
+
+    part = blocks.met(blocks.packed(words.join(texts, "id"), "substring-rows"), some, found)
+    every = asked.where("array_contains(words, '')").select(F.col("id").alias("query_id")).crossJoin(rows.select(id_).distinct())
+    return part.union(every).select("query_id", "id.*")
+
+
+def block_matches(trigrams: blocks.Words, asked: blocks.Words, texts: list[list[str]], rarest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(question, row) of a pair of blocks. The words of ``asked`` are what is looked for, in lower case."""
+    known, starts = trigrams.vocabulary.to_pylist(), trigrams.starts.tolist()
+    place, mark, rows = {g: i for i, g in enumerate(known)}, np.zeros(len(texts), bool), trigrams.rows
+    single = [t[0] if len(t) == 1 else None for t in texts]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for q, (a, b) in zip(asked.vocabulary.to_pylist(), zip(asked.starts, asked.ends, strict=False), strict=True):
+        if len(q) < 3:
+            d = np.unique(rows[starts[bisect_left(known, q)] : starts[bisect_left(known, q + "\U0010ffff" * 3)]])
+        else:
+            at = [place.get(g) for g in {q[i : i + 3] for i in range(len(q) - 2)}]
+            if None in at:
+                continue
+            first, *more = sorted((starts[i + 1] - starts[i], i) for i in at)[:rarest]
+            d = rows[starts[first[1]] : starts[first[1] + 1]]
+            for _, i in more:
+                mine = rows[starts[i] : starts[i + 1]]
+                mark[mine] = True
+                d = d[mark[d]]
+                mark[mine] = False
+            d = np.array([i for i in d.tolist() if (q in single[i] if single[i] is not None else any(q in t for t in texts[i]))], np.int64)
+        if len(d):
+            by = asked.rows[a:b]
+            out.append((np.repeat(by, len(d)), np.tile(d, len(by))))
+    q, d = (np.concatenate(x) for x in zip(*out, strict=True))
+    if len(asked.rows) > len(np.unique(asked.rows)):  # a question of several texts
+        q, d = np.divmod(np.unique(q * len(texts) + d), len(texts))
+    return q, d

@@ -26,3 +26,15 @@ def test_texts_change(spark, tmp_path):
     want = {("alpha", 3), ("bet", 3), ("gam", 1), ("a", 1), ("a", 3), ("mm", 1)}
     assert {(r.query_id, r.k) for r in containing(index, now, queries, "content").collect()} == want
     assert {(r.query_id, r.k) for r in containing(index.compacted(), now, queries, "content").collect()} == want
+
+
+def test_what_trigrams_leave_stays_in_its_task(spark, tmp_path):
+    """No list of a trigram's rows is dealt out for each question; a question of several texts finds a row once."""
+    rows = spark.createDataFrame([(i, f"the same words {i}") for i in range(50)], TEXTS)
+    index = put_texts(KeywordIndex(spark, str(tmp_path / "ix"), ("k",)), rows, "content")
+    queries = spark.createDataFrame([(1, "same"), (1, "words"), (1, "e"), (2, "words 7"), (3, ""), (3, "same")], "query_id int, text string")
+    found = containing(index, rows, queries, "content")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "postings" not in plan and "Generate" not in plan
+    got = sorted((r.query_id, r.k) for r in found.collect())
+    assert got == sorted([(1, i) for i in range(50)] + [(2, 7)] + [(3, i) for i in range(50)])
