@@ -2,6 +2,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tokenize
 from quarry.operators import retrieval
+from quarry.plans import queries
+from tests.conftest import SF
 
 
 def test_rows_that_share_a_key_or_have_none_stay_apart(spark):
@@ -27,3 +29,16 @@ def test_memories_by_similarity_or_else_by_keywords(spark):
     now = F.lit("2024-01-05").cast("timestamp")
     find = lambda v, w: [r.id for r in retrieval.memory_retrieve(df, v, w, now, "id").collect()]
     assert find([1.0, 0.0], ["garden"]) == [1] and find([-1.0, 0.0], ["garden"]) == [2, 1] and find(None, ["garden"]) == [2, 1] and find([-1.0, 0.0], []) == []
+
+
+def test_only_words_that_can_match_cross_a_join(spark):
+    """Narrowed rows answer as whole ones, and have only words that are equal to the question's or begin like them."""
+    rows = spark.createDataFrame([(1, ["garden", "gardener", "winter", "of"]), (2, ["gard", "house"]), (3, None)], "id long, words array<string>")
+    near = retrieval.narrowed(rows, ["gardens", "of"])
+    assert [r.words for r in near.orderBy("id").collect()] == [["garden", "gardener", "of"], [], None]
+    score = lambda df: [(r.id, r.score) for r in retrieval.keyword_scored(df, ["gardens", "of"], "score").orderBy("id").collect()]
+    assert score(near) == score(rows)
+    for name in ("retrieve_with_vector", "two_phase_small_domain", "two_phase_retrieve"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        made = [line for line in plan.splitlines() if "split(lower(" in line]
+        assert made and all("substring(" in line and "Project" in line for line in made), name  # the words are narrowed where they are made
