@@ -3,7 +3,7 @@
 The decoder reads the lossless bit stream: prefix codes (one group or many, chosen by an entropy image), back-references with the
 two-dimensional distance codes, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms. A symbol's
 place depends on all before it; so with one group the step from every bit to the next pixel is worked out at once by table, and then the
-steps are followed from the first one.
+steps are followed from the first one. Many files are read side by side instead: each array operation takes a step in all of them.
 
 The writer stores pixels by prefix codes from their frequencies, back-references for repeated runs, and (beside the predictor or none) a
 colour cache where that is shorter by entropy. Its transforms vary as those of images from many writers do, by the payload's CRC-32: a predictor per block; cross-colour
@@ -17,6 +17,7 @@ import hashlib
 import math
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -52,9 +53,9 @@ class Bits:
         self.at += n
         return (int.from_bytes(self.data[i : i + (shift + n + 7) // 8], "little") >> shift) & ((1 << n) - 1)
 
-    def peek(self, n: int) -> int:
+    def peek(self, n: int, at: int | None = None) -> int:
         """Up to ``n`` bits, zeros beyond the end."""
-        i, shift = divmod(self.at, 8)
+        i, shift = divmod(self.at if at is None else at, 8)
         return (int.from_bytes(self.data[i : i + (shift + n + 7) // 8], "little") >> shift) & ((1 << n) - 1)
 
     def array(self, n: int) -> np.ndarray:
@@ -95,6 +96,13 @@ class Code:
         turned = _turned(self.width)  # by the next ``width`` bits
         self.symbols, self.lengths = (np.repeat(x[order].astype(kind), shares).take(turned) for x, kind in ((used, np.int16), (sizes, np.uint8)))  # small tables
 
+    @classmethod
+    def known(cls, width: int, symbols: np.ndarray, lengths: np.ndarray) -> Code:
+        """The code of which the tables are made already."""
+        code = cls.__new__(cls)
+        code.width, code.only, code.symbols, code.lengths = width, 0, symbols, lengths
+        return code
+
     def next(self, bits: Bits) -> int:
         if not self.width:
             return self.only
@@ -350,10 +358,19 @@ def _steps(bits: Bits, codes: list[Code], n: int) -> tuple[np.ndarray, np.ndarra
 def _one_group(bits: Bits, codes: list[Code], n: int, width: int, cache_bits: int) -> np.ndarray:
     if not any(c.width for c in codes[:4]) and codes[0].only < 256:
         return np.full(n, codes[3].only << 24 | codes[1].only << 16 | codes[0].only << 8 | codes[2].only, np.uint32)
-    symbol, pixel, count, code = _steps(bits, codes, n)
+    return _placed(*_steps(bits, codes, n), n, width, cache_bits)
+
+
+@lru_cache(64)
+def _near(width: int) -> np.ndarray:
+    """Distances by distance code."""
+    return np.array([0, *(max(1, x + y * width) for x, y in NEARBY)])
+
+
+def _placed(symbol: np.ndarray, pixel: np.ndarray, count: np.ndarray, code: np.ndarray, n: int, width: int, cache_bits: int) -> np.ndarray:
+    """The pixels from what ``_steps`` found."""
     copy = (symbol >= 256) & (symbol < 256 + 24)
-    near = np.array([0, *(max(1, x + y * width) for x, y in NEARBY)])
-    back = np.where(code > 120, code - 120, near[np.minimum(code, 120)])
+    back = np.where(code > 120, code - 120, _near(width)[np.minimum(code, 120)])
     place = np.cumsum(count) - count
     if (back > place)[copy].any():
         raise ValueError("a back-reference leaves the image")
@@ -372,7 +389,7 @@ def _one_group(bits: Bits, codes: list[Code], n: int, width: int, cache_bits: in
     for at, length, far in runs:
         slot[at : at + length] = slot[at - far : at - far + length] if far >= length else np.resize(slot[at - far : at], length)
         source[at : at + length] -= far
-    order = np.argsort(slot, kind="stable")
+    order = np.argsort(slot.astype(np.int16), kind="stable")  # by radix
     before, same = np.full(n, -1), slot[order[1:]] == slot[order[:-1]]
     before[order[1:][same]] = order[:-1][same]
     if (before[held] < 0).any():
@@ -481,9 +498,8 @@ def _uncross(pixels: np.ndarray, elements: np.ndarray, block: int, width: int, h
     return c.reshape(-1, 4).view("<u4").reshape(-1)
 
 
-def decode(data: bytes, most_pixels: int = 1 << 26) -> np.ndarray:
-    """The pixels of a lossless WebP file: height x width x 4 (red, green, blue, alpha). A few bytes can name a very large image of one
-    colour; beyond ``most_pixels`` that is an error."""
+def _opened(data: bytes, most_pixels: int) -> tuple[Bits, int, int, tuple]:
+    """Where a file's image begins, the size it is stored in, and what ``_closed`` needs: transforms are read."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at, chunk = 12, None
@@ -517,7 +533,11 @@ def decode(data: bytes, most_pixels: int = 1 << 26) -> np.ndarray:
             packed = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             undo.append((kind, width, packed, palette))
             width = -(-width >> packed)
-    pixels = _image(bits, width, height, True)
+    return bits, width, height, (full, alpha, undo)
+
+
+def _closed(pixels: np.ndarray, height: int, full: int, alpha: int, undo: list[tuple]) -> np.ndarray:
+    """The samples of an image after its transforms are undone."""
     for kind, width, block, extra in reversed(undo):
         if kind == 0:
             pixels = _unpredict(pixels, ((extra >> 8) & 15).reshape(-1, -(-width >> block)).tolist(), block, width, height)
@@ -536,15 +556,248 @@ def decode(data: bytes, most_pixels: int = 1 << 26) -> np.ndarray:
             table = np.zeros((256, 4), np.uint8)
             table[: len(extra)] = extra
             pixels = table[index.reshape(-1)].view("<u4").reshape(-1)
-    out = _split(pixels).reshape(height, full, 4)[..., [2, 1, 0, 3]]
+    pixels = pixels.astype("<u4")
+    swapped = pixels & 0xFF00FF00 | pixels >> 16 & 0xFF | (pixels & 0xFF) << 16  # to red, green, blue, alpha
     if not alpha:
-        out[..., 3] = 255
-    return out
+        swapped |= 0xFF000000
+    return swapped.view(np.uint8).reshape(height, full, 4)
+
+
+def decode(data: bytes, most_pixels: int = 1 << 26) -> np.ndarray:
+    """The pixels of a lossless WebP file: height x width x 4 (red, green, blue, alpha). A few bytes can name a very large image of one
+    colour; beyond ``most_pixels`` that is an error."""
+    bits, width, height, rest = _opened(data, most_pixels)
+    return _closed(_image(bits, width, height, True), height, *rest)
+
+
+# --- many files at once ------------------------------------------------------------------------------------------------
+
+#: Lanes below which images go on one by one; files, and bytes of them, that are read side by side.
+FEW_LANES, SIDE_BY_SIDE, SIDE_BYTES = 64, 2000, 5_000_000
+#: By green symbol or distance prefix: the least number meant, and the bits that are added to it.
+_EXTRAS = np.array([0] * 4 + [(k - 2) >> 1 for k in range(4, 40)])
+_BASES = np.array([k + 1 for k in range(4)] + [((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(4, 40)])
+_ONES = (1 << np.arange(64, dtype=np.int64)) - 1
+
+
+class _Lanes:
+    """Files side by side: a step is taken in all of them by the same few array operations."""
+
+    def __init__(self, every: list[Bits]) -> None:
+        self.every = every
+        starts = np.cumsum([0, *(len(b.data) for b in every)])
+        self.start = 8 * starts[:-1]
+        joined = b"".join([*(b.data for b in every), b"\0" * 16])
+        self.windows = np.ndarray((len(joined) - 8,), "<i8", joined, strides=(1,))
+        self.last = len(joined) - 9
+
+    def ahead(self, at: np.ndarray) -> np.ndarray:
+        """57 bits or more from each place on; those above are of no meaning."""
+        return self.windows[np.minimum(at >> 3, self.last)] >> (at & 7)  # take would copy all windows
+
+    def codes(self, lanes: list[int], alphabets: list[int]) -> list[Code]:
+        """The codes that stand next in these lanes, as ``read_code`` would read them one by one."""
+        found: dict[int, Code] = {}
+        begun, many, tables, places = {}, [], [], {}
+        for i, alphabet in zip(lanes, alphabets, strict=True):
+            bits = self.every[i]
+            begun[i] = bits.at
+            if not bits.peek(1):
+                bits.at += 1
+                n = 4 + bits.read(4)
+                value = bits.read(3 * n)
+                symbols, sizes, width, _ = _steps_code(n, value)
+                if 0 < width and not bits.read(1):
+                    if (n, value) not in places:
+                        places[n, value] = 128 * len(tables)
+                        tables.append(np.pad(symbols | sizes << 8 | _EXTRA[symbols] << 16 | _LEAST[symbols] << 24, (0, 128 - len(symbols))))
+                    many.append((i, alphabet, places[n, value], (1 << width) - 1))
+                    continue
+            bits.at = begun[i]
+            found[i] = read_code(bits, alphabet)
+        if not many:
+            return [found[i] for i in lanes]
+        lane, wanted, base, mask = np.array(many).T
+        table, pos, row, at = np.concatenate(tables), self.start[lane] + np.array([self.every[i].at for i in lane.tolist()]), np.arange(len(lane)), np.zeros(len(lane), np.int64)
+        lengths = np.zeros((len(lane), int(wanted.max())), np.uint8)
+        ended, good = np.zeros(len(lane), np.int64), np.zeros(len(lane), bool)
+        live_wanted, broken = wanted, np.zeros(len(lane), bool)
+        while len(row):
+            w = self.ahead(pos)
+            e = table.take((w & mask) + base)
+            symbol, n, extra = e & 255, (e >> 8) & 255, (e >> 16) & 255
+            lengths[row, at] = np.where(symbol < 16, symbol, 0)
+            broken[row[symbol == 16]] = True  # lengths that are repeated: one by one
+            at = at + (e >> 24) + ((w >> n) & _ONES.take(extra))
+            pos = pos + n + extra
+            on = at < live_wanted
+            if not on.all():
+                off = ~on
+                ended[row[off]], good[row[off]] = pos[off], at[off] == live_wanted[off]
+                row, at, pos, mask, base, live_wanted = row[on], at[on], pos[on], mask[on], base[on], live_wanted[on]
+        ended -= self.start[lane]
+        good &= ~broken
+        made = [code for k in range(0, len(lengths), 256) for code in _many_codes(lengths[k : k + 256])]
+        for k, i in enumerate(lane.tolist()):
+            bits = self.every[i]
+            if good[k] and made[k] is not None and ended[k] <= bits.size:
+                bits.at, found[i] = int(ended[k]), made[k]
+            else:
+                bits.at = begun[i]
+                found[i] = read_code(bits, int(wanted[k]))
+        return [found[i] for i in lanes]
+
+    def pixels(self, lanes: list[int], groups: list[list[Code]], counts: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """As ``_steps`` for each lane (no code of alpha has bits); the last few lanes, of the largest images, are left to it."""
+        parts, places, upto = [], {}, 0
+        for group in groups:
+            for code in (group[0], group[1], group[2], group[4]):
+                if id(code) not in places:
+                    places[id(code)] = upto
+                    parts.append(code.symbols | code.lengths.astype(np.int64) << 16)
+                    upto += len(code.symbols)
+        table = np.concatenate(parts)
+        green, red, blue, far = (np.array([places[id(g[k])] for g in groups]) for k in (0, 1, 2, 4))
+        green_mask, red_mask, blue_mask, far_mask = (np.array([(1 << g[k].width) - 1 for g in groups]) for k in (0, 1, 2, 4))
+        alpha = [g[3].only for g in groups]
+        begun = np.array([self.every[i].at for i in lanes])
+        pos, left = self.start[lanes] + begun, np.array(counts)
+        room = np.minimum(left, np.array([self.every[i].size for i in lanes]) - begun + 1)  # a step takes a bit at least
+        first = np.cumsum(room) - room
+        told, row, to, limit = np.zeros(int(room.sum()), np.int64), np.arange(len(lanes)), first.copy(), first + room
+        ends = [(0, 0, 0)] * len(lanes)
+
+        def end(off: np.ndarray) -> None:
+            for k, a, b, c in zip(row[off].tolist(), to[off].tolist(), pos[off].tolist(), left[off].tolist(), strict=True):
+                ends[k] = a, b, c
+
+        while len(row) >= FEW_LANES:
+            w = self.ahead(pos)
+            e = table.take((w & green_mask) + green)
+            symbol, n = e & 0xFFFF, e >> 16
+            w >>= n
+            e = table.take((w & red_mask) + red)
+            more = e >> 16
+            f = table.take(((w >> more) & blue_mask) + blue)
+            used = n + more + (f >> 16)
+            out = symbol * (1 << 40 | 1 << 8) + ((e & 0xFFFF) << 16) + (f & 0xFFFF)
+            left -= 1
+            other = np.flatnonzero(symbol >= 256)
+            if len(other):
+                s, w, n = symbol[other], w[other], n[other]
+                used[other], out[other] = n, s << 40  # a cached pixel has no more
+                if not (s < 256 + 24).all():
+                    copy = np.flatnonzero(s < 256 + 24)
+                    other, s, w, n = other[copy], s[copy], w[copy], n[copy]
+                s = s - 256
+                extra = _EXTRAS.take(s)
+                length = _BASES.take(s) + (w & _ONES.take(extra))
+                w >>= extra
+                e = table.take((w & far_mask[other]) + far[other])
+                more, e = e >> 16, e & 0xFFFF
+                back = _EXTRAS.take(e)
+                out[other] |= length << 21 | _BASES.take(e) + ((w >> more) & _ONES.take(back))
+                used[other] = n + extra + more + back
+                left[other] -= length - 1
+            told[to] = out
+            to += 1
+            pos += used
+            on = (left > 0) & (to < limit)
+            if not on.all():
+                end(~on)
+                row, to, limit, pos, left, green, red, blue, far, green_mask, red_mask, blue_mask, far_mask = (x[on] for x in (row, to, limit, pos, left, green, red, blue, far, green_mask, red_mask, blue_mask, far_mask))
+        end(np.ones(len(row), bool))
+        found = []
+        for k, i in enumerate(lanes):
+            bits, (upto, at, rest) = self.every[i], ends[k]
+            bits.at = at - int(self.start[i])
+            if bits.at > bits.size:
+                raise ValueError("the stream ends early")
+            if rest < 0:
+                raise ValueError("a back-reference leaves the image")
+            some = told[first[k] : upto]
+            symbol = some >> 40
+            copy = (symbol >= 256) & (symbol < 256 + 24)
+            four = symbol, (some & 0xFFFFFFFF) | alpha[k] << 24, np.where(copy, (some >> 21) & 0x1FFF, 1), np.where(copy, some & 0x1FFFFF, 0)
+            found.append(tuple(np.concatenate(x) for x in zip(four, _steps(bits, groups[k], rest), strict=True)) if rest else four)
+        return found
+
+
+def _many_codes(lengths: np.ndarray) -> list[Code | None]:
+    """The code of each row of lengths; None where ``Code`` is to tell what is wrong, or there are under two symbols."""
+    which, symbol = np.nonzero(lengths)
+    size = lengths[which, symbol].astype(np.int64)
+    width = lengths.max(axis=1).astype(np.int64)
+    order = np.argsort(which << 4 | size, kind="stable")
+    which, symbol, size = which[order], symbol[order], size[order]
+    shares = 1 << (width[which] - size)
+    whole = np.bincount(which, shares, len(lengths)) == 1 << width
+    whole &= np.bincount(which, minlength=len(lengths)) > 1
+    kept = whole[which]
+    which, symbol, size, shares = which[kept], symbol[kept], size[kept], shares[kept]
+    total = np.where(whole, 1 << width, 0)
+    begin = np.cumsum(total) - total
+    of = np.repeat(np.arange(len(lengths)), total)
+    place = begin[of] + (_TURNED.take(np.arange(len(of)) - begin[of]) >> (16 - width[of]))
+    symbols, sizes = np.empty(len(of), np.int16), np.empty(len(of), np.uint8)
+    symbols[place], sizes[place] = np.repeat(symbol, shares), np.repeat(size, shares)
+    return [Code.known(w, symbols[b : b + t], sizes[b : b + t]) if t else None for w, b, t in zip(width.tolist(), begin.tolist(), total.tolist(), strict=True)]
+
+
+def decode_many(files: list[bytes], most_pixels: int = 1 << 26) -> Iterator[np.ndarray]:
+    """As ``decode`` of each file in turn, with codes and pixels of many read side by side."""
+    some, size = [], 0
+    for x in files:
+        if len(some) == SIDE_BY_SIDE or some and size + len(x) > SIDE_BYTES:
+            yield from _side_by_side(some, most_pixels)
+            some, size = [], 0
+        some.append(x)
+        size += len(x)
+    yield from _side_by_side(some, most_pixels)
+
+
+def _side_by_side(files: list[bytes], most_pixels: int) -> Iterator[np.ndarray]:
+    opened = [_opened(x, most_pixels) for x in files]
+    lanes, caches = _Lanes([x[0] for x in opened]), {}
+    for i, (bits, *_) in enumerate(opened):
+        begun = bits.at
+        cache_bits = bits.read(4) if bits.read(1) else 0
+        if cache_bits > 11 or bits.read(1):  # an entropy image: one by one
+            bits.at = begun
+        else:
+            caches[i] = cache_bits
+    side = list(caches)
+    codes = [lanes.codes(side, [256 + 24 + ((1 << c) if c else 0) for c in caches.values()])]
+    begun = [lanes.every[i].at for i in side]
+    codes.append(lanes.codes(side, [256] * len(side)))
+    blue, apart = dict(zip(side, codes[1], strict=True)), []
+    for i, start in zip(side, begun, strict=True):
+        bits = lanes.every[i]
+        n = bits.at - start
+        if bits.at + n <= bits.size and bits.peek(n) == bits.peek(n, start):  # the same bits make the same code
+            bits.at += n
+        else:
+            apart.append(i)
+    blue |= dict(zip(apart, lanes.codes(apart, [256] * len(apart)), strict=True))
+    codes.append([blue[i] for i in side])
+    codes += [lanes.codes(side, [size] * len(side)) for size in (256, 40)]
+    groups = dict(zip(side, map(list, zip(*codes, strict=True)), strict=True))
+    fit = [i for i, (g, r, b, a, f) in groups.items() if g.width and not a.width and g.width + r.width + b.width <= 57 and g.width + 10 + f.width + 18 <= 57]
+    steps = dict(zip(fit, lanes.pixels(fit, [groups[i] for i in fit], [opened[i][1] * opened[i][2] for i in fit]), strict=True)) if fit else {}
+    for i, (bits, width, height, rest) in enumerate(opened):
+        if i in steps:
+            pixels = _placed(*steps.pop(i), width * height, width, caches[i])
+        elif i in groups:
+            pixels = _one_group(bits, groups[i], width * height, width, caches[i])
+        else:
+            pixels = _image(bits, width, height, True)
+        yield _closed(pixels, height, *rest)
 
 
 # --- writer ------------------------------------------------------------------------------------------------------------
 
 MOST_LENGTH = 11  # bits of a code; 15 are allowed, but the reader's tables grow with it
+TOGETHER = 128  # images of which the codes are made together
 #: Lengths of the code for code lengths: all are used but 16.
 STEP_LENGTHS = np.array([5 if s in (1, 13, 14, 15) else 4 for s in range(16)] + [0, 4, 4])
 
@@ -583,13 +836,14 @@ def code_lengths(counts: np.ndarray, most: int = MOST_LENGTH) -> np.ndarray:
         counts = (counts >> 1) | 1
 
 
-def _codes(lengths: np.ndarray) -> np.ndarray:
-    """The canonical codes as they stand in the stream, the first bit lowest."""
-    used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
+def _codes(lengths: np.ndarray, code: np.ndarray | None = None) -> np.ndarray:
+    """The canonical codes as they stand in the stream, the first bit lowest; of many complete codes, where ``code`` numbers them."""
+    used = np.flatnonzero(lengths > 0)
+    size = lengths[used] if code is None else lengths[used] | code[used] << 4
+    order = used[np.argsort(size, kind="stable")]
     shares = 1 << (16 - lengths[order])
     out = np.zeros(len(lengths), np.int64)
-    out[order] = _TURNED[np.cumsum(shares) - shares]
+    out[order] = _TURNED[(np.cumsum(shares) - shares) & 0xFFFF]
     return out
 
 
@@ -606,6 +860,7 @@ def _zeros(gap: int) -> tuple[int, int]:
     return int(STEP_CODES[s]) | (gap - least) << int(STEP_LENGTHS[s]), int(STEP_LENGTHS[s]) + extra
 
 
+_END = np.array([-1])
 _ZEROS = np.array([_zeros(g) for g in range(139)], np.int64).T
 
 
@@ -651,37 +906,44 @@ class _Writer:
         return out.tobytes()[: int(upto[-1] + 7) >> 3]
 
 
-def _write_code(w: _Writer, counts: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Write a prefix code for symbols with counts, so many times; its codes and lengths."""
-    used = np.flatnonzero(counts)
-    if len(used) < 3 and (not len(used) or used[-1] < 256):
-        some = used.tolist() or [0]
-        for _ in range(times):
-            w.write(5 | (len(some) - 1) << 1, 3)  # one or two symbols of 8 bits
-            for s in some:
-                w.write(s, 8)
-        codes, lengths = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
-        if len(some) == 2:
-            codes[some[1]], lengths[some] = 1, 1
-        return codes, lengths
-    if len(used) == 1:
-        counts = counts.copy()
-        counts[0] += 1
-    lengths = code_lengths(counts)
-    at = np.append(np.flatnonzero(lengths), len(lengths))
+def _made_codes(every: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For counts of symbols, each: the prefix code's codes and lengths, and the fields that write it (values and sizes)."""
+    found: list = [None] * len(every)
+    ordinary, lengths = [], []
+    for k, counts in enumerate(every):
+        some = np.flatnonzero(counts).tolist()
+        if len(some) < 3 and (not some or some[-1] < 256):
+            some = some or [0]
+            codes, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+            if len(some) == 2:
+                codes[some[1]], sizes[some] = 1, 1
+            found[k] = codes, sizes, np.array([5 | (len(some) - 1) << 1, *some]), np.array([3, *[8] * len(some)])  # one or two symbols of 8 bits
+            continue
+        if len(some) == 1:
+            counts = counts.copy()
+            counts[0] += 1
+        ordinary.append(k)
+        lengths += [code_lengths(counts), _END]
+    if not ordinary:
+        return found
+    flat = np.concatenate(lengths)  # an end stands after each code's lengths
+    codes = _codes(flat, np.repeat(np.arange(len(ordinary)), [len(every[k]) + 1 for k in ordinary]))
+    at = np.flatnonzero(flat)
     gap = at - 1
     gap[0], gap[1:] = at[0], gap[1:] - at[:-1]
-    while (gap > 138).any():  # more than one run of zeros
-        k = int(np.argmax(gap > 138))
-        at, gap = np.insert(at, k, at[k] - gap[k] + 137), np.insert(gap, k, 138)
-        gap[k + 1] -= 138
-    step = np.where(at < len(lengths), lengths[np.minimum(at, len(lengths) - 1)], 0)
-    value, n = _ZEROS[0][gap], _ZEROS[1][gap]
-    value, n = value | np.where(step > 0, STEP_CODES[step], 0) << n, n + np.where(step > 0, STEP_LENGTHS[step], 0)
-    for _ in range(times):
-        w.write(*_STEPS_HEAD)
-        w.many(value, n)
-    return _codes(lengths), lengths
+    step, size = STEP_CODES[flat[at]], STEP_LENGTHS[flat[at]]
+    step[flat[at] < 0], size[flat[at] < 0] = 0, 0
+    more = np.maximum(gap - 1, 0) // 138  # more than one run of zeros
+    last = np.cumsum(more + 1) - 1
+    value, n = np.full(last[-1] + 1, _ZEROS[0][138]), np.full(last[-1] + 1, _ZEROS[1][138])
+    gap -= 138 * more
+    value[last], n[last] = _ZEROS[0][gap] | step << _ZEROS[1][gap], _ZEROS[1][gap] + size
+    begin, upto = 0, 0
+    for k, end in zip(ordinary, (last[flat[at] < 0] + 1).tolist(), strict=True):
+        here = slice(upto, upto + len(every[k]))
+        found[k] = codes[here], flat[here], np.append(_STEPS_HEAD[0], value[begin:end]), np.append(_STEPS_HEAD[1], n[begin:end])
+        begin, upto = end, here.stop + 1
+    return found
 
 
 def _copies(px: np.ndarray, least: int = 3, most: int = 4096, far: int = (1 << 20) - 120) -> list[tuple[int, int, int]]:
@@ -691,8 +953,10 @@ def _copies(px: np.ndarray, least: int = 3, most: int = 4096, far: int = (1 << 2
         return []
     x = px.astype(np.uint64)
     key = mix(x[:n] | x[1 : n + 1] << np.uint64(32)) ^ x[2 : n + 2]
-    order = np.argsort(key, kind="stable")
-    again = key[order[1:]] == key[order[:-1]]
+    low = np.uint64((1 << n.bit_length()) - 1)  # the place stands in the key's low bits, so a plain sort does
+    key = np.sort(key * np.uint64(0x9E3779B97F4A7C15) & ~low | np.arange(n, dtype=np.uint64))
+    order, key = (key & low).astype(np.int64), key & ~low
+    again = key[1:] == key[:-1]
     if not again.any():
         return []
     back = np.zeros(n + 1, np.int64)
@@ -701,6 +965,8 @@ def _copies(px: np.ndarray, least: int = 3, most: int = 4096, far: int = (1 << 2
     same = (px[at] == px[at - back[at]]) & (px[at + 1] == px[at + 1 - back[at]]) & (px[at + 2] == px[at + 2 - back[at]]) & (back[at] <= far)
     back[at[~same]] = 0
     edges = np.flatnonzero(back[1:] != back[:-1]) + 1  # nothing stands before the first
+    if not len(edges):
+        return []
     out, reached = [], 0
     for first, last, distance in zip(edges.tolist(), [*edges[1:].tolist(), n], back[edges].tolist(), strict=True):
         begin, end = max(first, reached), last + least - 1
@@ -720,14 +986,23 @@ def _entropy(*counts: np.ndarray) -> float:
 
 def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix code, extra bits and how many, of numbers from 1."""
+    if len(values) and len(_PREFIXES[0]) and values.max() < len(_PREFIXES[0]):
+        return tuple(x.take(values) for x in _PREFIXES)
     v = values - 1
     extra = np.maximum(np.frexp(v.astype(np.float64))[1] - 2, 0)
     extra = np.where(v < 4, 0, extra)
     return np.where(v < 4, v, 2 * extra + ((v >> extra) & 1) + np.where(v < 4, 0, 2)), v & ((1 << extra) - 1), extra
 
 
-def _write_image(w: _Writer, px: np.ndarray, width: int, top: bool = False, cache_bits: int = 0) -> None:
-    """Write pixels (ARGB): prefix codes for one group, back-references, and a colour cache of ``cache_bits`` where that saves bits."""
+_PREFIXES = ((), (), ())
+_PREFIXES = tuple(np.concatenate(([0], x)) for x in _prefixes(np.arange(1, 1 << 14)))
+
+
+def _write_image(w: _Writer, px: np.ndarray, width: int, top: bool = False, cache_bits: int = 0) -> Iterator[list[np.ndarray]]:
+    """Write pixels (ARGB): prefix codes for one group, back-references, and a colour cache of ``cache_bits`` where that saves bits.
+
+    The codes are asked for (``_made_codes``), so that those of many images are made together.
+    """
     n = len(px)
     if n == 1:
         w.write(0, 1 + top)
@@ -749,7 +1024,7 @@ def _write_image(w: _Writer, px: np.ndarray, width: int, top: bool = False, cach
     plain = count(free)
     if cache_bits and n >= 256:
         slot = (px.astype(np.int64) * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits)
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot.astype(np.int16), kind="stable")  # by radix
         known = np.zeros(n, bool)
         known[order[1:]] = (px[order[1:]] == px[order[:-1]]) & (slot[order[1:]] == slot[order[:-1]])
         known &= free
@@ -774,10 +1049,12 @@ def _write_image(w: _Writer, px: np.ndarray, width: int, top: bool = False, cach
         symbol[copies[:, 0]] = 256 + length
         keep = free.copy()
         keep[copies[:, 0]] = True
-    green, green_n = _write_code(w, np.bincount(symbol[keep], minlength=256 + 24 + ((1 << cache_bits) if used else 0)))
-    red, red_n = blue, blue_n = _write_code(w, plain[1] + plain[2], 2)  # they are alike, so one code does
-    alpha, alpha_n = _write_code(w, plain[3])
-    far, far_n = _write_code(w, np.bincount(distance, minlength=40))
+    greens = np.bincount(symbol[keep], minlength=256 + 24 + ((1 << cache_bits) if used else 0))
+    made = yield [greens, plain[1] + plain[2], plain[3], np.bincount(distance, minlength=40)]
+    (green, green_n), (red, red_n), (alpha, alpha_n), (far, far_n) = (x[:2] for x in made)
+    blue, blue_n = red, red_n  # they are alike, so one code does
+    for k in (0, 1, 1, 2, 3):
+        w.many(*made[k][2:])
     value, size = green[symbol], green_n[symbol]
     for k, codes, sizes in ((2, red, red_n), (0, blue, blue_n), (3, alpha, alpha_n)):
         if sizes.any():
@@ -836,6 +1113,28 @@ def _cross(c: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(rgb: np.ndarray, block: int = 6) -> bytes:
     """A lossless WebP file of height x width x 3 samples."""
+    return encode_many([rgb], block)[0]
+
+
+def encode_many(images: list[np.ndarray], block: int = 6) -> list[bytes]:
+    """As ``encode`` of each image, with their prefix codes made together."""
+    files: list = [None] * len(images)
+    waiting, made = [(k, _encoding(rgb, block)) for k, rgb in enumerate(images)], [None] * len(images)
+    while waiting:
+        asked, after = [], []
+        for (k, steps), codes in zip(waiting, made, strict=True):
+            try:
+                asked.append(steps.send(codes))
+                after.append((k, steps))
+            except StopIteration as e:
+                files[k] = e.value
+        waiting, every = after, iter(_made_codes([counts for x in asked for counts in x]))
+        made = [[next(every) for _ in x] for x in asked]
+    return files
+
+
+def _encoding(rgb: np.ndarray, block: int) -> Iterator[list[np.ndarray]]:
+    """``encode``, as a generator that asks for prefix codes."""
     height, width, _ = rgb.shape
     if not (0 < width <= MOST_SIDE and 0 < height <= MOST_SIDE):
         raise ValueError("the image is too large")
@@ -846,13 +1145,13 @@ def encode(rgb: np.ndarray, block: int = 6) -> bytes:
     c[..., :3] = rgb[..., ::-1]
     px = c.view("<u4").reshape(-1)
     kind = zlib.crc32(rgb.tobytes()) & 3
-    colours = np.unique(px) if kind & 1 and len(np.unique(px[:512])) <= 256 else np.zeros(257)
+    colours = np.unique(px) if kind & 1 and len(set(px[:512].tolist())) <= 256 else np.zeros(257)
     opaque = np.uint32(0xFF000000)
     if kind & 1 and len(colours) <= 256:
         packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
         for value, n in ((1, 1), (3, 2), (len(colours) - 1, 8)):
             w.write(value, n)
-        _write_image(w, np.diff(_split(colours), axis=0, prepend=np.zeros((1, 4), np.uint8)).view("<u4").reshape(-1), len(colours))
+        yield from _write_image(w, np.diff(_split(colours), axis=0, prepend=np.zeros((1, 4), np.uint8)).view("<u4").reshape(-1), len(colours))
         index = np.searchsorted(colours, px).astype(np.uint32).reshape(height, width)
         index = np.pad(index, ((0, 0), (0, -width % (1 << packed)))).reshape(height, -1, 1 << packed)
         index = (index << (np.arange(1 << packed, dtype=np.uint32) * np.uint32(8 >> packed))).sum(axis=2, dtype=np.uint32)
@@ -868,10 +1167,10 @@ def encode(rgb: np.ndarray, block: int = 6) -> bytes:
         fields = fields << 8 if kind != 1 else fields
         for value, n in ((1, 1), (int(kind == 1), 2), (block - 2, 3)):
             w.write(value, n)
-        _write_image(w, opaque | fields.astype(np.uint32).reshape(-1), fields.shape[1])
+        yield from _write_image(w, opaque | fields.astype(np.uint32).reshape(-1), fields.shape[1])
         px = rest.view("<u4").reshape(-1)
     w.write(0, 1)  # no more transforms
-    _write_image(w, px, width, top=True, cache_bits=0 if kind in (1, 2) else 7)
+    yield from _write_image(w, px, width, top=True, cache_bits=0 if kind in (1, 2) else 7)
     body = w.bytes()
     body += b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
@@ -895,7 +1194,8 @@ def to_media(docs: DataFrame) -> DataFrame:
     def of(batch: pa.RecordBatch):
         for i, j, data, offsets in text_pieces(batch.column("text"), most=4_000_000):
             texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(j - i)]
-            media = [encode(image_of(payload_of(x))) for x in texts]
+            cuts = [*range(0, len(texts), TOGETHER), len(texts)]
+            media = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in encode_many([image_of(payload_of(t)) for t in texts[a:b]])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrow_batches(of), "doc_id long, n_bytes long, media binary")
@@ -938,12 +1238,13 @@ def media_report(media: DataFrame) -> DataFrame:
 
     def of(batch: pa.RecordBatch):
         rows = []
-        for doc, n, stored in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
-            stored = stored.as_py()
-            rgb = decode(stored)[..., :3]
+        every = batch.column("media").to_pylist()
+        for doc, n, stored, image in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), every, decode_many(every), strict=True):
+            rgb = np.ascontiguousarray(image[..., :3])
             payload = rgb.tobytes()[: max(192, -(-n // 192) * 192)]
-            means = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64) * 1000 // (rgb.shape[0] * rgb.shape[1])
-            step = int(np.abs(np.diff(rgb.astype(np.int16), axis=1)).sum(dtype=np.int64)) * 1000 // (3 * rgb.shape[0] * (rgb.shape[1] - 1))
+            means = [int(rgb[..., k].sum(dtype=np.int64)) * 1000 // (rgb.shape[0] * rgb.shape[1]) for k in range(3)]
+            right, left = rgb[:, 1:], rgb[:, :-1]
+            step = int((np.maximum(right, left) - np.minimum(right, left)).sum(dtype=np.int64)) * 1000 // (3 * rgb.shape[0] * (rgb.shape[1] - 1))
             feature = f"{rgb.shape[1]}x{rgb.shape[0]}:{means[0]}:{means[1]}:{means[2]}:{step}"
             rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
         kinds = [pa.string() if "string" in x else pa.int64() for x in REPORT.split(", ")]

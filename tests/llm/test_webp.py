@@ -384,3 +384,51 @@ def test_pixel_arrays(spark):
 
 def test_wide_images_for_long_payloads():
     assert image_of(b" " * 192 * (webp.MOST_SIDE + 1)).shape[1] == 128
+
+
+@pytest.mark.parametrize("few", [1, 6, 1000])
+def test_files_side_by_side(monkeypatch, few):
+    """Files of any kind are read as one by one: all in lanes to the end, the last of them one by one, or all."""
+    monkeypatch.setattr(webp, "FEW_LANES", few)
+    rng, files, wanted = random.Random(5), [], []
+    for k in range(24):
+        width, height, colours = ((1, 1, 1), (7, 9, 3), (33, 20, 40), (64, 64, 300), (40, 3, 9), (16, 90, 120))[k % 6]
+        pixels = picture(rng, width, height, colours)
+        if k % 4:  # opaque
+            pixels = [p | 0xFF000000 for p in pixels]
+        o = head(width, height)
+        o.put(0, 1)
+        o.image(pixels, width, rng, "groups" if k % 5 == 4 else "one", (0, 3, 11)[k % 3])
+        files.append(o.file())
+        wanted.append(rgba(pixels, width))
+    for text in (b"", b"abc" * 70_000, b"the quick brown fox " * 90, bytes(range(32, 127)) * 40, *(b"%d words and numbers %d\n" % (k, k * k) * (3 + k) for k in range(40))):
+        image = image_of(payload_of(text))
+        files.append(encode(image))
+        wanted.append(np.dstack((image, np.full(image.shape[:2], 255, np.uint8))))
+    for got, image in zip(webp.decode_many(files), wanted, strict=True):
+        assert got.shape == image.shape and (got == image).all()
+    assert list(webp.decode_many([])) == []
+    monkeypatch.setattr(webp, "SIDE_BYTES", 3000)
+    assert all((got == image).all() for got, image in zip(webp.decode_many(files), wanted, strict=True))
+    for bad in (files[-1][: len(files[-1]) // 2], files[-1][:40], b"RIFF"):
+        with pytest.raises((ValueError, IndexError)):
+            list(webp.decode_many([*files, bad]))
+
+
+def test_many_images_take_few_calls(monkeypatch):
+    """Codes are made for all images together and pixels of all files are followed together; streams are those of one image at a time."""
+    import pyarrow.parquet as pq
+
+    calls = {}
+    for name in ("_made_codes", "_steps", "_code_at_once"):
+        real = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a, name=name, real=real: calls.update({name: calls.get(name, 0) + 1}) or real(*a))
+    monkeypatch.setattr(webp, "FEW_LANES", 8)
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    images = [image_of(payload_of((t or "").encode())) for t in texts]
+    files = webp.encode_many(images)
+    assert calls["_made_codes"] <= 4
+    assert hashlib.sha256(b"".join(files)).hexdigest() == "a2fcf7fde422994391dc6e81d75f732fe8f4cc29e4eb6f628fe8baa76bbf2bc9"  # as the streams were before
+    calls.clear()
+    assert all((x[..., :3] == y).all() for x, y in zip(webp.decode_many(files), images, strict=True))
+    assert calls.get("_steps", 0) < len(files) // 2
