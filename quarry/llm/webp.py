@@ -19,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +125,7 @@ def _steps_code(n: int, value: int) -> tuple[np.ndarray, np.ndarray, int, int]:
     return code.symbols.astype(np.int64), code.lengths.astype(np.int64), code.width, code.only if not code.width else 0
 
 
-@lru_cache(256)
+@lru_cache(4096)
 def _few(alphabet: int, *symbols: int) -> Code:
     """The code of one or two symbols."""
     lengths = np.zeros(alphabet, np.int64)
@@ -168,6 +169,10 @@ def _code(lengths: bytes) -> Code:
 
 
 def read_code(bits: Bits, alphabet: int) -> Code:
+    k = bits.peek(19)
+    if k & 5 == 5 and bits.at + 19 <= bits.size:  # one or two symbols of 8 bits
+        bits.at += 19 if k & 2 else 11
+        return _few(alphabet, k >> 3 & 255, k >> 11) if k & 2 else _few(alphabet, k >> 3 & 255)
     if bits.read(1):  # one or two symbols
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
@@ -369,6 +374,8 @@ def _near(width: int) -> np.ndarray:
 
 def _placed(symbol: np.ndarray, pixel: np.ndarray, count: np.ndarray, code: np.ndarray, n: int, width: int, cache_bits: int) -> np.ndarray:
     """The pixels from what ``_steps`` found."""
+    if len(symbol) == n and symbol.max() < 256:  # a literal each
+        return pixel.astype(np.uint32)
     copy = (symbol >= 256) & (symbol < 256 + 24)
     back = np.where(code > 120, code - 120, _near(width)[np.minimum(code, 120)])
     place = np.cumsum(count) - count
@@ -498,8 +505,8 @@ def _uncross(pixels: np.ndarray, elements: np.ndarray, block: int, width: int, h
     return c.reshape(-1, 4).view("<u4").reshape(-1)
 
 
-def _opened(data: bytes, most_pixels: int) -> tuple[Bits, int, int, tuple]:
-    """Where a file's image begins, the size it is stored in, and what ``_closed`` needs: transforms are read."""
+def _decoding(data: bytes, most_pixels: int) -> Iterator[tuple[Bits, int, int, bool]]:
+    """``decode``, as a generator that asks for the pixels of each image that stands next (``_image``), the transforms' first."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at, chunk = 12, None
@@ -524,16 +531,16 @@ def _opened(data: bytes, most_pixels: int) -> tuple[Bits, int, int, tuple]:
         kind = bits.read(2)
         if kind in (0, 1):
             block = bits.read(3) + 2
-            undo.append((kind, width, block, _image(bits, -(-width >> block), -(-height >> block), False)))
+            undo.append((kind, width, block, (yield bits, -(-width >> block), -(-height >> block), False)))
         elif kind == 2:
             undo.append((kind, width, 0, None))
         else:
             n = bits.read(8) + 1
-            palette = np.cumsum(_split(_image(bits, n, 1, False)), axis=0, dtype=np.uint8)
+            palette = np.cumsum(_split((yield bits, n, 1, False)), axis=0, dtype=np.uint8)
             packed = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             undo.append((kind, width, packed, palette))
             width = -(-width >> packed)
-    return bits, width, height, (full, alpha, undo)
+    return _closed((yield bits, width, height, True), height, full, alpha, undo)
 
 
 def _closed(pixels: np.ndarray, height: int, full: int, alpha: int, undo: list[tuple]) -> np.ndarray:
@@ -566,14 +573,19 @@ def _closed(pixels: np.ndarray, height: int, full: int, alpha: int, undo: list[t
 def decode(data: bytes, most_pixels: int = 1 << 26) -> np.ndarray:
     """The pixels of a lossless WebP file: height x width x 4 (red, green, blue, alpha). A few bytes can name a very large image of one
     colour; beyond ``most_pixels`` that is an error."""
-    bits, width, height, rest = _opened(data, most_pixels)
-    return _closed(_image(bits, width, height, True), height, *rest)
+    steps = _decoding(data, most_pixels)
+    asked = next(steps)
+    while True:
+        try:
+            asked = steps.send(_image(*asked))
+        except StopIteration as e:
+            return e.value
 
 
 # --- many files at once ------------------------------------------------------------------------------------------------
 
 #: Lanes below which images go on one by one; files, and bytes of them, that are read side by side.
-FEW_LANES, SIDE_BY_SIDE, SIDE_BYTES = 64, 2000, 5_000_000
+FEW_LANES, SIDE_BY_SIDE, SIDE_BYTES = 128, 6000, 12_000_000
 #: By green symbol or distance prefix: the least number meant, and the bits that are added to it.
 _EXTRAS = np.array([0] * 4 + [(k - 2) >> 1 for k in range(4, 40)])
 _BASES = np.array([k + 1 for k in range(4)] + [((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(4, 40)])
@@ -647,24 +659,64 @@ class _Lanes:
                 found[i] = read_code(bits, int(wanted[k]))
         return [found[i] for i in lanes]
 
-    def pixels(self, lanes: list[int], groups: list[list[Code]], counts: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """As ``_steps`` for each lane (no code of alpha has bits); the last few lanes, of the largest images, are left to it."""
+    def images(self, lanes: list[int], asked: list[tuple[Bits, int, int, bool]]) -> Iterator[np.ndarray]:
+        """The images that stand next in these lanes, as ``_image`` would read them one by one."""
+        caches, sizes = {}, {}
+        for i in lanes:
+            bits, width, height, top = asked[i]
+            begun, sizes[i] = bits.at, width * height
+            cache_bits = bits.read(4) if bits.read(1) else 0
+            if cache_bits > 11 or top and bits.read(1):  # an entropy image: one by one
+                bits.at = begun
+            else:
+                caches[i] = cache_bits
+        side = list(caches)
+        codes = [self.codes(side, [256 + 24 + ((1 << c) if c else 0) for c in caches.values()])]
+        begun = [self.every[i].at for i in side]
+        codes.append(self.codes(side, [256] * len(side)))
+        blue, apart = dict(zip(side, codes[1], strict=True)), []
+        for i, start in zip(side, begun, strict=True):
+            bits = self.every[i]
+            n = bits.at - start
+            if bits.at + n <= bits.size and bits.peek(n) == bits.peek(n, start):  # the same bits make the same code
+                bits.at += n
+            else:
+                apart.append(i)
+        blue |= dict(zip(apart, self.codes(apart, [256] * len(apart)), strict=True))
+        codes.append([blue[i] for i in side])
+        codes += [self.codes(side, [size] * len(side)) for size in (256, 40)]
+        groups = dict(zip(side, map(list, zip(*codes, strict=True)), strict=True))
+        fit = [i for i, (g, r, b, a, f) in groups.items() if g.width and g.width + r.width + b.width + a.width <= 57 and g.width + 10 + f.width + 18 <= 57]
+        found, fit = self.pixels(fit, [groups[i] for i in fit], [sizes[i] for i in fit], [asked[i][1] for i in fit], [caches[i] for i in fit]), set(fit)
+        for i in lanes:
+            bits, width, height, top = asked[i]
+            if i in fit:
+                yield next(found)
+            elif i in groups:
+                yield _one_group(bits, groups[i], sizes[i], width, caches[i])
+            else:
+                yield _image(bits, width, height, top)
+
+    def pixels(self, lanes: list[int], groups: list[list[Code]], counts: list[int], widths: list[int], caches: list[int]) -> Iterator[np.ndarray]:
+        """As ``_one_group`` for each lane; the last few lanes, of the largest images, are left to it."""
         parts, places, upto = [], {}, 0
         for group in groups:
-            for code in (group[0], group[1], group[2], group[4]):
+            for code in group:
                 if id(code) not in places:
                     places[id(code)] = upto
-                    parts.append(code.symbols | code.lengths.astype(np.int64) << 16)
+                    parts.append(code.symbols.astype(np.uint16) | code.lengths.astype(np.uint16) << 12)  # small, as all tables are used at once
                     upto += len(code.symbols)
         table = np.concatenate(parts)
-        green, red, blue, far = (np.array([places[id(g[k])] for g in groups]) for k in (0, 1, 2, 4))
-        green_mask, red_mask, blue_mask, far_mask = (np.array([(1 << g[k].width) - 1 for g in groups]) for k in (0, 1, 2, 4))
-        alpha = [g[3].only for g in groups]
-        begun = np.array([self.every[i].at for i in lanes])
-        pos, left = self.start[lanes] + begun, np.array(counts)
-        room = np.minimum(left, np.array([self.every[i].size for i in lanes]) - begun + 1)  # a step takes a bit at least
+        green, red, blue, alpha, far = (np.array([places[id(g[k])] for g in groups]) for k in range(5))
+        green_mask, red_mask, blue_mask, alpha_mask, far_mask = (np.array([(1 << g[k].width) - 1 for g in groups]) for k in range(5))
+        clear = not alpha_mask.any()  # alpha has no bits
+        if clear:
+            alpha, alpha_mask = np.zeros((2, 0), np.int64)
+        begun, size = np.array([self.every[i].at for i in lanes]), np.array([self.every[i].size for i in lanes])
+        pos, left, last = self.start[lanes] + begun, np.array(counts), self.start[lanes] + size
+        room = np.minimum(left, size - begun + 1)  # a step takes a bit at least
         first = np.cumsum(room) - room
-        told, row, to, limit = np.zeros(int(room.sum()), np.int64), np.arange(len(lanes)), first.copy(), first + room
+        told, row, to = np.zeros(int(room.sum()), np.int64), np.arange(len(lanes)), first.copy()
         ends = [(0, 0, 0)] * len(lanes)
 
         def end(off: np.ndarray) -> None:
@@ -672,42 +724,62 @@ class _Lanes:
                 ends[k] = a, b, c
 
         while len(row) >= FEW_LANES:
-            w = self.ahead(pos)
+            w = self.windows[pos >> 3]
+            w >>= pos & 7
             e = table.take((w & green_mask) + green)
-            symbol, n = e & 0xFFFF, e >> 16
+            symbol, n = e & 0xFFF, (e >> 12).astype(np.int64)
             w >>= n
             e = table.take((w & red_mask) + red)
-            more = e >> 16
-            f = table.take(((w >> more) & blue_mask) + blue)
-            used = n + more + (f >> 16)
-            out = symbol * (1 << 40 | 1 << 8) + ((e & 0xFFFF) << 16) + (f & 0xFFFF)
+            used = (e >> 12).astype(np.int64)
+            f = table.take(((w >> used) & blue_mask) + blue)
+            used += f >> 12
+            if not clear:
+                a = table.take(((w >> used) & alpha_mask) + alpha)
+                used += a >> 12
+            used += n
+            out = symbol * np.int64(1 << 40 | 1 << 8)
+            out += (e & 0xFFF) * np.int64(1 << 16)
+            out += f & 0xFFF
+            if not clear:
+                out += (a & 0xFFF) * np.int64(1 << 24)
             left -= 1
-            other = np.flatnonzero(symbol >= 256)
+            other = (symbol >= 256).nonzero()[0]
             if len(other):
-                s, w, n = symbol[other], w[other], n[other]
+                s, w, n = symbol[other].astype(np.int64), w[other], n[other]
                 used[other], out[other] = n, s << 40  # a cached pixel has no more
-                if not (s < 256 + 24).all():
-                    copy = np.flatnonzero(s < 256 + 24)
-                    other, s, w, n = other[copy], s[copy], w[copy], n[copy]
-                s = s - 256
-                extra = _EXTRAS.take(s)
-                length = _BASES.take(s) + (w & _ONES.take(extra))
-                w >>= extra
-                e = table.take((w & far_mask[other]) + far[other])
-                more, e = e >> 16, e & 0xFFFF
-                back = _EXTRAS.take(e)
-                out[other] |= length << 21 | _BASES.take(e) + ((w >> more) & _ONES.take(back))
-                used[other] = n + extra + more + back
-                left[other] -= length - 1
+                copy = (s < 256 + 24).nonzero()[0]
+                if len(copy):
+                    if len(copy) < len(s):
+                        other, s, w, n = other[copy], s[copy], w[copy], n[copy]
+                    s = s - 256
+                    extra = _EXTRAS.take(s)
+                    length = _BASES.take(s) + (w & _ONES.take(extra))
+                    w >>= extra
+                    e = table.take((w & far_mask[other]) + far[other])
+                    more, e = (e >> 12).astype(np.int64), e & 0xFFF
+                    back = _EXTRAS.take(e)
+                    out[other] |= length << 21 | _BASES.take(e) + ((w >> more) & _ONES.take(back))
+                    used[other] = n + extra + more + back
+                    left[other] -= length - 1
             told[to] = out
             to += 1
             pos += used
-            on = (left > 0) & (to < limit)
+            on = (left > 0) & (pos <= last)
             if not on.all():
                 end(~on)
-                row, to, limit, pos, left, green, red, blue, far, green_mask, red_mask, blue_mask, far_mask = (x[on] for x in (row, to, limit, pos, left, green, red, blue, far, green_mask, red_mask, blue_mask, far_mask))
+                row, to, last, pos, left, green, red, blue, far, green_mask, red_mask, blue_mask, far_mask = (x[on] for x in (row, to, last, pos, left, green, red, blue, far, green_mask, red_mask, blue_mask, far_mask))
+                if not clear:
+                    alpha, alpha_mask = alpha[on], alpha_mask[on]
         end(np.ones(len(row), bool))
-        found = []
+        done: list[int] = []
+
+        def placed() -> Iterator[np.ndarray]:
+            """The images of lanes that came to their ends."""
+            if done:
+                yield from _placed_many([told[first[k] : ends[k][0]] for k in done], [counts[k] for k in done], [widths[k] for k in done], [caches[k] for k in done])
+                done.clear()
+
+        pixels = 0
         for k, i in enumerate(lanes):
             bits, (upto, at, rest) = self.every[i], ends[k]
             bits.at = at - int(self.start[i])
@@ -715,12 +787,84 @@ class _Lanes:
                 raise ValueError("the stream ends early")
             if rest < 0:
                 raise ValueError("a back-reference leaves the image")
-            some = told[first[k] : upto]
-            symbol = some >> 40
-            copy = (symbol >= 256) & (symbol < 256 + 24)
-            four = symbol, (some & 0xFFFFFFFF) | alpha[k] << 24, np.where(copy, (some >> 21) & 0x1FFF, 1), np.where(copy, some & 0x1FFFFF, 0)
-            found.append(tuple(np.concatenate(x) for x in zip(four, _steps(bits, groups[k], rest), strict=True)) if rest else four)
-        return found
+            if clear and (only := groups[k][3].only):
+                told[first[k] : upto] |= np.where(told[first[k] : upto] >> 40 < 256, only << 24, 0)
+            if rest:
+                yield from placed()
+                four = (np.concatenate(x) for x in zip(_told(told[first[k] : upto]), _steps(bits, groups[k], rest), strict=True))
+                yield _placed(*four, counts[k], widths[k], caches[k])
+                continue
+            if pixels + counts[k] > TOGETHER_PIXELS:
+                yield from placed()
+            pixels = pixels + counts[k] if done else counts[k]
+            done.append(k)
+        yield from placed()
+
+
+def _told(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What lanes tell of steps, as ``_steps`` does: the green symbol; a literal's pixel, or a copy's length and distance code."""
+    symbol = steps >> 40
+    copy = (symbol >= 256) & (symbol < 256 + 24)
+    return symbol, steps & 0xFFFFFFFF, np.where(copy, (steps >> 21) & 0x1FFF, 1), np.where(copy, steps & 0x1FFFFF, 0)
+
+
+def _ends(source: np.ndarray, some: np.ndarray) -> None:
+    """Follow the chains of ``source`` from some places to their ends."""
+    while len(some):
+        to = source[some]
+        further = source[to]
+        source[some] = further
+        some = some[further != to]
+
+
+def _placed_many(told: list[np.ndarray], sizes: list[int], widths: list[int], caches: list[int]) -> Iterator[np.ndarray]:
+    """As ``_placed`` of what lanes tell, with many images as one array."""
+    steps, n = np.concatenate(told), np.array(sizes)
+    owner, begin = np.repeat(np.arange(len(told)), [len(x) for x in told]), np.cumsum(n) - n
+    symbol = steps >> 40
+    literal = symbol < 256
+    out, copied = np.zeros(int(n.sum()), np.uint32), np.zeros(0, np.int64)
+    if literal.all():
+        out[:] = steps & 0xFFFFFFFF
+    else:
+        copy, held = ((symbol >= 256) & (symbol < 256 + 24)).nonzero()[0], (symbol >= 256 + 24).nonzero()[0]
+        count = np.ones(len(steps), np.int64)
+        count[copy] = length = (steps[copy] >> 21) & 0x1FFF
+        place, code, of = np.cumsum(count) - count, steps[copy] & 0x1FFFFF, owner[copy]
+        x, y = _NEARBY.take(np.minimum(code, 120), axis=1)
+        back = np.where(code > 120, code - 120, np.maximum(1, x + y * np.array(widths)[of]))
+        if (back > place[copy] - begin[of]).any():
+            raise ValueError("a back-reference leaves the image")
+        out[place[literal]] = steps[literal] & 0xFFFFFFFF
+        source = np.arange(len(out))
+        if len(copy):
+            copied = np.repeat(place[copy] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            source[copied] -= np.repeat(back, length)
+            _ends(source, copied)
+        if len(held):  # a cached pixel is that which had its slot last
+            bits = np.array(caches)
+            most, slot = int(bits.max()), np.zeros(len(out), np.int64)
+            slot[place[literal]] = (steps[literal] & 0xFFFFFFFF) * 0x1E35A7BD % (1 << 32) >> (32 - bits)[owner[literal]]
+            slot[place[held]] = symbol[held] - 256 - 24
+            slot[copied] = slot[source[copied]]
+            slot += np.repeat(np.arange(len(told)) << most, n)
+            order = np.argsort(slot.astype(np.uint16) if len(told) << most <= 1 << 16 else slot, kind="stable")  # by radix
+            before, same = np.full(len(out), -1), slot[order[1:]] == slot[order[:-1]]
+            before[order[1:][same]] = order[:-1][same]
+            held = place[held]
+            if (before[held] < 0).any():  # slots that nothing was put into
+                for some, *rest in zip(told, sizes, widths, caches, strict=True):
+                    yield _placed(*_told(some), *rest)
+                return
+            source[held] = before[held]
+            copied = np.concatenate((held, copied))
+            _ends(source, copied)
+        out[copied] = out[source[copied]]
+    yield from np.split(out, begin[1:])
+
+
+#: Of distance codes 1 to 120: across and down.
+_NEARBY = np.array([(0, 0), *NEARBY]).T
 
 
 def _many_codes(lengths: np.ndarray) -> list[Code | None]:
@@ -757,83 +901,79 @@ def decode_many(files: list[bytes], most_pixels: int = 1 << 26) -> Iterator[np.n
 
 
 def _side_by_side(files: list[bytes], most_pixels: int) -> Iterator[np.ndarray]:
-    opened = [_opened(x, most_pixels) for x in files]
-    lanes, caches = _Lanes([x[0] for x in opened]), {}
-    for i, (bits, *_) in enumerate(opened):
-        begun = bits.at
-        cache_bits = bits.read(4) if bits.read(1) else 0
-        if cache_bits > 11 or bits.read(1):  # an entropy image: one by one
-            bits.at = begun
-        else:
-            caches[i] = cache_bits
-    side = list(caches)
-    codes = [lanes.codes(side, [256 + 24 + ((1 << c) if c else 0) for c in caches.values()])]
-    begun = [lanes.every[i].at for i in side]
-    codes.append(lanes.codes(side, [256] * len(side)))
-    blue, apart = dict(zip(side, codes[1], strict=True)), []
-    for i, start in zip(side, begun, strict=True):
-        bits = lanes.every[i]
-        n = bits.at - start
-        if bits.at + n <= bits.size and bits.peek(n) == bits.peek(n, start):  # the same bits make the same code
-            bits.at += n
-        else:
-            apart.append(i)
-    blue |= dict(zip(apart, lanes.codes(apart, [256] * len(apart)), strict=True))
-    codes.append([blue[i] for i in side])
-    codes += [lanes.codes(side, [size] * len(side)) for size in (256, 40)]
-    groups = dict(zip(side, map(list, zip(*codes, strict=True)), strict=True))
-    fit = [i for i, (g, r, b, a, f) in groups.items() if g.width and not a.width and g.width + r.width + b.width <= 57 and g.width + 10 + f.width + 18 <= 57]
-    steps = dict(zip(fit, lanes.pixels(fit, [groups[i] for i in fit], [opened[i][1] * opened[i][2] for i in fit]), strict=True)) if fit else {}
-    for i, (bits, width, height, rest) in enumerate(opened):
-        if i in steps:
-            pixels = _placed(*steps.pop(i), width * height, width, caches[i])
-        elif i in groups:
-            pixels = _one_group(bits, groups[i], width * height, width, caches[i])
-        else:
-            pixels = _image(bits, width, height, True)
-        yield _closed(pixels, height, *rest)
+    every = [_decoding(x, most_pixels) for x in files]
+    asked = [next(steps) for steps in every]
+    lanes = _Lanes([bits for bits, *_ in asked])
+    while some := [i for i, (*_, top) in enumerate(asked) if not top]:  # images of the transforms
+        for i, pixels in zip(some, lanes.images(some, asked), strict=True):
+            asked[i] = every[i].send(pixels)
+    for steps, pixels in zip(every, lanes.images(list(range(len(files))), asked), strict=True):
+        try:
+            steps.send(pixels)
+        except StopIteration as e:
+            yield e.value
 
 
 # --- writer ------------------------------------------------------------------------------------------------------------
 
 MOST_LENGTH = 11  # bits of a code; 15 are allowed, but the reader's tables grow with it
-TOGETHER = 128  # images of which the codes are made together
+TOGETHER, TOGETHER_PIXELS = 128, 400_000  # images, and pixels of them, that are worked on as one array
+CACHE_BITS = 7
 #: Lengths of the code for code lengths: all are used but 16.
 STEP_LENGTHS = np.array([5 if s in (1, 13, 14, 15) else 4 for s in range(16)] + [0, 4, 4])
 
 
 def code_lengths(counts: np.ndarray, most: int = MOST_LENGTH) -> np.ndarray:
     """Huffman's lengths for symbols with counts; where one would be longer than ``most``, counts are evened out."""
-    lengths = np.zeros(len(counts), np.int64)
     used = np.flatnonzero(counts)
     if len(used) < 2:
+        lengths = np.zeros(len(counts), np.int64)
         lengths[used if len(used) else [0]] = 1
         return lengths
-    counts = counts[used]
-    while True:
-        order = np.argsort(counts, kind="stable")
-        n = len(order)
-        weights, inner, parent, i, j = [*counts[order].tolist(), math.inf], [math.inf] * n, [0] * (2 * n - 1), 0, 0
-        for k in range(n - 1):  # the two least of the leaves, and of the nodes made before, which are in order too
-            if weights[i] <= inner[j]:
-                total, parent[i] = weights[i], n + k
-                i += 1
-            else:
-                total, parent[n + j] = inner[j], n + k
-                j += 1
-            if weights[i] <= inner[j]:
-                inner[k], parent[i] = total + weights[i], n + k
-                i += 1
-            else:
-                inner[k], parent[n + j] = total + inner[j], n + k
-                j += 1
-        depth = [0] * (2 * n - 1)
-        for k in range(2 * n - 3, -1, -1):
-            depth[k] = depth[parent[k]] + 1
-        if max(depth[:n]) <= most:
-            lengths[used[order]] = depth[:n]
-            return lengths
-        counts = (counts >> 1) | 1
+    return _many_lengths(counts, np.array([len(counts)]), most)
+
+
+def _many_lengths(flat: np.ndarray, sizes: np.ndarray, most: int = MOST_LENGTH) -> np.ndarray:
+    """As ``code_lengths`` of each run of counts (``sizes`` tells their lengths), of two symbols or more: a step is taken in all of them."""
+    used, of = np.flatnonzero(flat), np.repeat(np.arange(len(sizes)), sizes)
+    n = np.bincount(of[used], minlength=len(sizes))
+    rank = np.argsort(-n, kind="stable")  # those with most symbols first
+    lane = np.empty_like(rank)
+    lane[rank] = np.arange(len(rank))
+    n, lane, lanes = n[rank], lane[of[used]], len(rank)
+    order = np.argsort(lane << 32 | flat[used], kind="stable")
+    used, lane = used[order], lane[order]
+    place = (np.arange(len(used)) - (np.cumsum(n) - n)[lane]) * lanes + lane
+    weights, inner = np.full((n[0] + 1) * lanes, 1 << 62), np.full(n[0] * lanes, 1 << 62)
+    weights[place] = flat[used]
+    above, above_inner = np.zeros(len(weights), np.int64), np.zeros(len(inner), np.int64)
+    live = np.searchsorted(-n, -np.arange(1, n[0] + 1), side="left").tolist()  # lanes with more symbols than that
+    i, j = np.arange(lanes), np.arange(lanes)
+    for k in range(n[0] - 1):  # the two least of the leaves, and of the nodes made before, which are in order too
+        if live[k] < len(i):
+            i, j = i[: live[k]], j[: live[k]]
+        total = 0
+        for _ in range(2):
+            x, y = weights.take(i), inner.take(j)
+            above[i], above_inner[j] = k, k  # the last to write it has taken it
+            total = total + np.minimum(x, y)
+            leaf = (x <= y) * lanes
+            i += leaf
+            j += lanes - leaf
+        inner[k * lanes : k * lanes + len(i)] = total
+    depth = np.zeros(len(inner), np.int64)
+    for k in range(n[0] - 3, -1, -1):
+        here = slice(k * lanes, k * lanes + live[k + 1])
+        depth[here] = depth.take(above_inner[here] * lanes + np.arange(live[k + 1])) + 1
+    found = depth.take(above[place] * lanes + lane) + 1
+    lengths = np.zeros(len(flat), np.int64)
+    lengths[used] = found
+    long = np.zeros(len(sizes), bool)
+    long[rank[lane[found > most]]] = True
+    if long.any():
+        again = long[of]
+        lengths[again] = _many_lengths(np.where(flat > 0, (flat >> 1) | 1, 0)[again], sizes[long], most)
+    return lengths
 
 
 def _codes(lengths: np.ndarray, code: np.ndarray | None = None) -> np.ndarray:
@@ -860,56 +1000,40 @@ def _zeros(gap: int) -> tuple[int, int]:
     return int(STEP_CODES[s]) | (gap - least) << int(STEP_LENGTHS[s]), int(STEP_LENGTHS[s]) + extra
 
 
-_END = np.array([-1])
 _ZEROS = np.array([_zeros(g) for g in range(139)], np.int64).T
 
 
 @lru_cache(64)
-def _near_codes(width: int) -> dict[int, int]:
-    """Distance codes of the nearby pixels, by distance."""
-    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEARBY)))}
-
-
-
-
-class _Writer:
-    """Fields of bits, the first lowest; they are joined at the end."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.few: tuple[list[int], list[int]] = ([], [])
-
-    def write(self, value: int, n: int) -> None:
-        self.few[0].append(value)
-        self.few[1].append(n)
-
-    def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self._flush()
-        self.parts.append((values.astype(np.uint64), sizes.astype(np.int64)))
-
-    def _flush(self) -> None:
-        if self.few[0]:
-            self.parts.append((np.array(self.few[0], np.uint64), np.array(self.few[1], np.int64)))
-            self.few = ([], [])
-
-    def bytes(self) -> bytes:
-        self._flush()
-        values, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        upto = np.cumsum(sizes)
-        begin = upto - sizes
-        word, shift = begin >> 6, (begin & 63).astype(np.uint64)
-        out = np.zeros(int(upto[-1] >> 6) + 2, np.uint64)
-        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        out[word[first]] = np.add.reduceat(values << shift, first)  # fields don't overlap, so sums join them
-        over = np.flatnonzero((begin & 63) + sizes > 64)
-        out[word[over] + 1] += values[over] >> (np.uint64(64) - shift[over])
-        return out.tobytes()[: int(upto[-1] + 7) >> 3]
+def _near_codes(width: int) -> np.ndarray:
+    """Distance codes by distance, as far as there are nearby pixels."""
+    codes = np.arange(8 * width + 9) + 120
+    for k, (x, y) in reversed(list(enumerate(NEARBY))):
+        codes[max(1, x + y * width)] = k + 1
+    return codes
+
+
+def _joined(files: list[list[tuple[np.ndarray, np.ndarray]]]) -> list[bytes]:
+    """The bytes of each file's fields (values and sizes in bits), the first bit lowest; each file begins at a whole word."""
+    values, sizes = (np.concatenate([part[k] for parts in files for part in parts]).astype(kind, copy=False) for k, kind in ((0, np.uint64), (1, np.int64)))
+    n = np.array([sum(len(part[1]) for part in parts) for parts in files])
+    total = np.add.reduceat(sizes, np.cumsum(n) - n)
+    words = (total + 127) >> 6  # and one for what reaches over
+    start = np.cumsum(words) - words
+    begin = np.cumsum(sizes) - sizes + np.repeat(64 * start - (np.cumsum(total) - total), n)
+    word, shift = begin >> 6, (begin & 63).astype(np.uint64)
+    out = np.zeros(int(words.sum()), np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    out[word[first]] = np.add.reduceat(values << shift, first)  # fields don't overlap, so sums join them
+    over = np.flatnonzero((begin & 63) + sizes > 64)
+    out[word[over] + 1] += values[over] >> (np.uint64(64) - shift[over])
+    whole = out.tobytes()
+    return [whole[8 * a : 8 * a + (b + 7 >> 3)] for a, b in zip(start.tolist(), total.tolist(), strict=True)]
 
 
 def _made_codes(every: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For counts of symbols, each: the prefix code's codes and lengths, and the fields that write it (values and sizes)."""
     found: list = [None] * len(every)
-    ordinary, lengths = [], []
+    ordinary, asked = [], []
     for k, counts in enumerate(every):
         some = np.flatnonzero(counts).tolist()
         if len(some) < 3 and (not some or some[-1] < 256):
@@ -923,11 +1047,12 @@ def _made_codes(every: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, n
             counts = counts.copy()
             counts[0] += 1
         ordinary.append(k)
-        lengths += [code_lengths(counts), _END]
+        asked.append(counts)
     if not ordinary:
         return found
-    flat = np.concatenate(lengths)  # an end stands after each code's lengths
-    codes = _codes(flat, np.repeat(np.arange(len(ordinary)), [len(every[k]) + 1 for k in ordinary]))
+    sizes = np.array([len(counts) for counts in asked])
+    flat = np.insert(_many_lengths(np.concatenate(asked), sizes), np.cumsum(sizes), -1)  # an end stands after each code's lengths
+    codes = _codes(flat, np.repeat(np.arange(len(ordinary)), sizes + 1))
     at = np.flatnonzero(flat)
     gap = at - 1
     gap[0], gap[1:] = at[0], gap[1:] - at[:-1]
@@ -946,42 +1071,59 @@ def _made_codes(every: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, n
     return found
 
 
-def _copies(px: np.ndarray, least: int = 3, most: int = 4096, far: int = (1 << 20) - 120) -> list[tuple[int, int, int]]:
-    """(place, length, distance) of runs of pixels that stand before: always the last place at which the same three pixels stood."""
-    n = len(px) - least + 1
+def _copies(px: np.ndarray, begin: np.ndarray, least: int = 3, most: int = 4096, far: int = (1 << 20) - 120) -> np.ndarray:
+    """Place, length and distance of runs of pixels that stand before in their image (images begin at ``begin``): always the last place at
+    which the same three pixels stood."""
+    n, images = len(px) - least + 1, len(begin)
     if n < 2:
-        return []
+        return np.zeros((0, 3), np.int64)
     x = px.astype(np.uint64)
-    key = mix(x[:n] | x[1 : n + 1] << np.uint64(32)) ^ x[2 : n + 2]
-    low = np.uint64((1 << n.bit_length()) - 1)  # the place stands in the key's low bits, so a plain sort does
-    key = np.sort(key * np.uint64(0x9E3779B97F4A7C15) & ~low | np.arange(n, dtype=np.uint64))
+    key = (mix(x[:n] | x[1 : n + 1] << np.uint64(32)) ^ x[2 : n + 2]) * np.uint64(0x9E3779B97F4A7C15)
+    if images > 1:  # the image stands in the key's high bits
+        high = np.uint64((images - 1).bit_length())
+        key = key >> high | np.repeat(np.arange(images, dtype=np.uint64) << (np.uint64(64) - high), np.diff(begin, append=len(px)))[:n]
+    low = np.uint64((1 << n.bit_length()) - 1)  # and the place in the low bits, so a plain sort does
+    key = np.sort(key & ~low | np.arange(n, dtype=np.uint64))
     order, key = (key & low).astype(np.int64), key & ~low
-    again = key[1:] == key[:-1]
-    if not again.any():
-        return []
+    again = np.flatnonzero(key[1:] == key[:-1])
     back = np.zeros(n + 1, np.int64)
-    back[order[1:][again]] = (order[1:] - order[:-1])[again]
+    to = order[again + 1]
+    back[to] = to - order[again]
+    for k in range(1, least):  # too near the end of an image
+        back[np.minimum(begin[1:] - k, n)] = 0
     at = np.flatnonzero(back)
-    same = (px[at] == px[at - back[at]]) & (px[at + 1] == px[at + 1 - back[at]]) & (px[at + 2] == px[at + 2 - back[at]]) & (back[at] <= far)
-    back[at[~same]] = 0
+    before = at - back[at]
+    same = (px[at] == px[before]) & (px[at + 1] == px[before + 1]) & (px[at + 2] == px[before + 2])
+    if images > 1 and not same.all():  # keys that meet by chance must not depend on what else is in the batch
+        cuts = [*begin.tolist(), len(px)]
+        return np.concatenate([_copies(px[a:b], begin[:1], least, most, far) + np.array([a, 0, 0]) for a, b in zip(cuts, cuts[1:], strict=False)])
+    back[at[~same | (back[at] > far)]] = 0
     edges = np.flatnonzero(back[1:] != back[:-1]) + 1  # nothing stands before the first
-    if not len(edges):
-        return []
+    runs = np.flatnonzero(back[edges])
     out, reached = [], 0
-    for first, last, distance in zip(edges.tolist(), [*edges[1:].tolist(), n], back[edges].tolist(), strict=True):
-        begin, end = max(first, reached), last + least - 1
-        if distance and end - begin >= least:
-            out += [(k, min(most, end - k), distance) for k in range(begin, end, most)]
+    for first, end, distance in zip(edges[runs].tolist(), (edges[runs + 1] + least - 1).tolist() if len(runs) else (), back[edges[runs]].tolist(), strict=True):
+        place = first if first > reached else reached
+        if end - place >= least:
+            out += [(k, min(most, end - k), distance) for k in range(place, end, most)] if end - place > most else [(place, end - place, distance)]
             reached = end
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _weights(counts: np.ndarray) -> np.ndarray:
+    """n log2 n in 2**-20; sums of whole numbers don't depend on their order."""
+    out = _WEIGHTS.take(counts, mode="clip")
+    for k in np.flatnonzero(counts >= len(_WEIGHTS)):
+        n = int(counts.flat[k])
+        out.flat[k] = round(n * math.log2(n) * (1 << 20))
     return out
 
 
-def _entropy(*counts: np.ndarray) -> float:
-    """Bits that symbols with these counts take."""
-    every = np.concatenate(counts)
-    every = every[every > 1]
-    totals = [int(c.sum()) for c in counts]
-    return sum(n * math.log2(n) for n in totals if n) - float(every @ np.log2(every))
+_WEIGHTS = np.array([0, *(round(n * math.log2(n) * (1 << 20)) for n in range(1, 1 << 13))])
+
+
+def _entropy(*counts: np.ndarray) -> np.ndarray:
+    """Bits (in 2**-20) that symbols with these counts take, by row."""
+    return sum(_weights(c.sum(axis=1)) - _weights(c).sum(axis=1) for c in counts)
 
 
 def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -998,117 +1140,158 @@ _PREFIXES = ((), (), ())
 _PREFIXES = tuple(np.concatenate(([0], x)) for x in _prefixes(np.arange(1, 1 << 14)))
 
 
-def _write_image(w: _Writer, px: np.ndarray, width: int, top: bool = False, cache_bits: int = 0) -> Iterator[list[np.ndarray]]:
-    """Write pixels (ARGB): prefix codes for one group, back-references, and a colour cache of ``cache_bits`` where that saves bits.
+class _Image(NamedTuple):
+    """Pixels (ARGB) to write; ``top``: not part of a transform; ``cache``: whether a colour cache is tried."""
+
+    px: np.ndarray
+    width: int
+    top: bool = False
+    cache: bool = False
 
-    The codes are asked for (``_made_codes``), so that those of many images are made together.
+
+def _written(images: list[_Image]) -> Iterator[list[np.ndarray]]:
+    """The fields (values and sizes) that write each image: prefix codes for one group, back-references, and a colour cache where that saves bits.
+
+    All images are worked on as one array. The codes are asked for (``_made_codes``), so that those of many arrays are made together.
     """
-    n = len(px)
-    if n == 1:
-        w.write(0, 1 + top)
-        for k in (1, 2, 0, 3):
-            w.write(5 | (int(px[0]) >> 8 * k & 255) << 3, 11)  # a code of this one symbol
-        w.write(5, 11)
-        return
+    found: list = [None] * len(images)
+    for i, (px, _, top, _) in enumerate(images):
+        if len(px) == 1:  # codes of one symbol
+            value = sum((5 | (int(px[0]) >> 8 * k & 255) << 3) << 11 * j for j, k in enumerate((1, 2, 0, 3))) | 5 << 44
+            found[i] = [(np.array([value << (1 + top)]), np.array([56 + top]))]
+    some = [i for i, parts in enumerate(found) if parts is None]
+    if not some:
+        yield []
+        return found
+    m, sizes = len(some), np.array([len(images[i].px) for i in some])
+    px, begin, owner = np.concatenate([images[i].px for i in some]), np.cumsum(sizes) - sizes, np.repeat(np.arange(m, dtype=np.int32), sizes)
     channels = _split(px)
-    copies = np.array(_copies(px), np.int64).reshape(-1, 3)
-    free = np.ones(n, bool)
-    if len(copies):
-        free[np.repeat(copies[:, 0] - (np.cumsum(copies[:, 1]) - copies[:, 1]), copies[:, 1]) + np.arange(copies[:, 1].sum())] = False
+    keys = [channels[:, k] + (owner << 8) for k in range(4)]  # blue, green, red, alpha
+    at, lengths, backs = _copies(px, begin).T
+    free = np.ones(len(px), bool)
+    free[np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())] = False
 
     def count(where: np.ndarray) -> list[np.ndarray]:
-        some = channels[where] if not where.all() else channels
-        return [np.bincount(some[:, k], minlength=256) for k in (1, 2, 0, 3)]
-
-    held = np.zeros(n, bool)
-    plain = count(free)
-    if cache_bits and n >= 256:
-        slot = (px.astype(np.int64) * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits)
-        order = np.argsort(slot.astype(np.int16), kind="stable")  # by radix
-        known = np.zeros(n, bool)
-        known[order[1:]] = (px[order[1:]] == px[order[:-1]]) & (slot[order[1:]] == slot[order[:-1]])
-        known &= free
-        rest = count(free & ~known)
-        slots = np.bincount(slot[known], minlength=1 << cache_bits)
-        if 1.04 * _entropy(np.concatenate((rest[0], slots)), *rest[1:]) + 400 < _entropy(*plain):  # the cache's symbols have code lengths too
-            held, plain = known, rest
-    used = held.any()
-    w.write(int(used), 1)
-    if used:
-        w.write(cache_bits, 4)
-    if top:
-        w.write(0, 1)  # no entropy image
+        return [np.bincount(key[where], minlength=m << 8).reshape(m, 256) for key in keys]
+
+    plain, used, held = count(free), np.zeros(m, bool), np.zeros(len(px), bool)
+    tried = np.array([images[i].cache for i in some]) & (sizes >= 256)
+    if tried.any():
+        slot = (px * np.uint32(0x1E35A7BD)) >> np.uint32(32 - CACHE_BITS)
+        in_slot = (owner << CACHE_BITS | slot).astype(np.uint16 if m << CACHE_BITS <= 1 << 16 else np.int64)
+        order = np.argsort(in_slot, kind="stable")  # by radix
+        before, after = order[:-1], order[1:]
+        held[after] = (px[after] == px[before]) & (in_slot[after] == in_slot[before])
+        held &= free & tried[owner]
+        rest, slots = count(free & ~held), np.bincount(in_slot[held], minlength=m << CACHE_BITS).reshape(m, -1)
+        cached = _entropy(np.concatenate((rest[1], slots), axis=1), rest[0], rest[2], rest[3])
+        used = tried & (104 * cached + (40_000 << 20) < 100 * _entropy(*plain)) & (slots.sum(axis=1) > 0)  # the cache's symbols have code lengths too
+        held &= used[owner]
+        plain = [np.where(used[:, None], x, y) for x, y in zip(rest, plain, strict=True)]
     symbol = channels[:, 1].astype(np.int64)
-    if used:
+    if used.any():
         symbol[held] = 256 + 24 + slot[held]
-    keep, distance = free, np.zeros(0, np.int64)
-    if len(copies):
-        length, length_bits, length_extra = _prefixes(copies[:, 1])
-        near = _near_codes(width)
-        distance, distance_bits, distance_extra = _prefixes(np.array([near.get(d, d + 120) for d in copies[:, 2].tolist()], np.int64))
-        symbol[copies[:, 0]] = 256 + length
-        keep = free.copy()
-        keep[copies[:, 0]] = True
-    greens = np.bincount(symbol[keep], minlength=256 + 24 + ((1 << cache_bits) if used else 0))
-    made = yield [greens, plain[1] + plain[2], plain[3], np.bincount(distance, minlength=40)]
-    (green, green_n), (red, red_n), (alpha, alpha_n), (far, far_n) = (x[:2] for x in made)
-    blue, blue_n = red, red_n  # they are alike, so one code does
-    for k in (0, 1, 1, 2, 3):
-        w.many(*made[k][2:])
-    value, size = green[symbol], green_n[symbol]
-    for k, codes, sizes in ((2, red, red_n), (0, blue, blue_n), (3, alpha, alpha_n)):
-        if sizes.any():
-            c = channels[:, k]
-            more, wider = codes[c] << size, sizes[c]
-            if used or len(copies):
-                more[~free | held], wider[~free | held] = 0, 0
-            value, size = value | more, size + wider
-    at = copies[:, 0]
-    for v, m in ((length_bits, length_extra), (far[distance], far_n[distance]), (distance_bits, distance_extra)) if len(copies) else ():
-        value[at] |= v << size[at]
-        size[at] += m
-    w.many(value[keep], size[keep])
-
-
-def _blocks(cost: np.ndarray, block: int) -> np.ndarray:
-    """Sums over blocks of the last two axes."""
-    *rest, h, w = cost.shape
-    side = 1 << block
-    padded = np.zeros((*rest, -(-h // side) * side, -(-w // side) * side), cost.dtype)
-    padded[..., :h, :w] = cost
-    return padded.reshape(*rest, -(-h // side), side, -(-w // side), side).sum(axis=(-3, -1))
-
-
-def _predict(c: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Modes by block and what is left of the samples (height x width x 4)."""
-    h, width, _ = c.shape
-    x = c.astype(np.int16)
-    left, up, corner = np.roll(x, 1, axis=1), np.roll(x, 1, axis=0), np.roll(np.roll(x, 1, axis=0), 1, axis=1)
-    right = np.roll(up, -1, axis=1)
-    right[:, -1] = x[:, 0]
-    guesses = np.stack([np.broadcast_to(BLACK.astype(np.int16), x.shape), left, *(guess(corner, up, right) for guess in ABOVE.values())])
-    names = np.array([0, 1, *ABOVE])
-    away = (x - guesses).astype(np.int8)
-    best = _blocks(np.abs(away[..., :3].astype(np.int16)).sum(axis=-1, dtype=np.int64), block).argmin(axis=0)
-    wide = best.repeat(1 << block, 0).repeat(1 << block, 1)[:h, :width]
-    out = np.take_along_axis(away, wide[None, :, :, None], axis=0)[0].view(np.uint8)
-    out[0, 1:], out[1:, 0] = (x[0, 1:] - x[0, :-1]).astype(np.uint8), (x[1:, 0] - x[:-1, 0]).astype(np.uint8)
-    out[0, 0] = (x[0, 0] - BLACK).astype(np.uint8)
-    return names[best], np.ascontiguousarray(out)
+    length, length_bits, length_extra = _prefixes(lengths)
+    far = backs + 120
+    for width in {images[some[k]].width for k in set(owner[at].tolist())}:
+        near, here = _near_codes(width), np.array([images[i].width == width for i in some])[owner[at]] & (backs < 8 * width + 9)
+        far[here] = near[backs[here]]
+    distance, distance_bits, distance_extra = _prefixes(far)
+    symbol[at] = 256 + length
+    keep = free.copy()
+    keep[at] = True
+    alphabets = np.where(used, 256 + 24 + (1 << CACHE_BITS), 256 + 24)
+    first = np.cumsum(alphabets) - alphabets
+    kept = np.flatnonzero(keep)
+    symbol = symbol[kept] + first[owner[kept]]
+    greens, distance = np.bincount(symbol, minlength=alphabets.sum()), distance + 40 * owner[at]
+    asked = zip(np.split(greens, first[1:]), plain[2] + plain[0], plain[3], np.bincount(distance, minlength=40 * m).reshape(m, 40), strict=True)
+    made = yield [counts for x in asked for counts in x]
+    codes = [[np.concatenate([x[k] for x in made[which::4]]) for k in (0, 1)] for which in range(4)]  # red and blue are alike, so one code does
+    value, size = (x[symbol] for x in codes[0])
+    literal = free[kept] & ~held[kept]
+    whole = literal.all()
+    for key, (code, n) in zip((keys[2], keys[0], keys[3]), (codes[1], codes[1], codes[2]), strict=True):
+        if n.any():
+            k = key[kept]
+            more, wider = code[k] << size, n[k]
+            if not whole:
+                more *= literal
+                wider = wider * literal
+            value |= more
+            size += wider
+    if len(at):
+        to = np.searchsorted(kept, at)
+        for v, n in ((length_bits, length_extra), (codes[3][0][distance], codes[3][1][distance]), (distance_bits, distance_extra)):
+            value[to] |= v << size[to]
+            size[to] += n
+    cuts = np.searchsorted(kept, begin[1:])
+    for k, (i, uses, values, wide) in enumerate(zip(some, used.tolist(), np.split(value, cuts), np.split(size, cuts), strict=True)):
+        begun = np.array([1 | CACHE_BITS << 1 if uses else 0]), np.array([1 + 4 * uses + images[i].top])  # with the cache; and no entropy image
+        found[i] = [begun, *(made[4 * k + j][2:] for j in (0, 1, 1, 2, 3)), (values, wide)]
+    return found
+
+
+class _Blocks:
+    """Blocks of images of one width that stand one above another."""
+
+    def __init__(self, heights: np.ndarray, width: int, block: int) -> None:
+        self.side, down = 1 << block, -(-heights >> block)
+        top, first = np.cumsum(heights) - heights, np.cumsum(down) - down
+        self.cuts = first[1:]
+        self.rows = np.repeat(top, down) + self.side * (np.arange(down.sum()) - np.repeat(first, down))
+        self.columns = np.arange(0, width, self.side)
+        self.of_row, self.top = np.repeat(np.arange(len(self.rows)), np.diff(self.rows, append=heights.sum())), top
+        self.above = np.arange(heights.sum()) - 1
+        self.above[top] += heights  # above the first row: the last
+        self.of_column = np.arange(width) >> block
+
+    def sums(self, x: np.ndarray, each: int = 1) -> np.ndarray:
+        """Sums of rows of ``each`` values a pixel, by block."""
+        across = x.sum(axis=1, dtype=np.int64)[:, None] if len(self.columns) == 1 else np.add.reduceat(x, each * self.columns, axis=1, dtype=np.int64)
+        return np.add.reduceat(across, self.rows, axis=0)
 
+    def wide(self, x: np.ndarray) -> np.ndarray:
+        """Values by block as values by pixel."""
+        return x[self.of_row][:, self.of_column]
 
-def _cross(c: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _half(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As ``_floor_half``, within bytes."""
+    return (a & b) + ((a ^ b) >> 1)
+
+
+def _predict(c: np.ndarray, blocks: _Blocks) -> tuple[np.ndarray, np.ndarray]:
+    """Modes by block and what is left of opaque samples (rows x width x 4); bytes wrap around."""
+    up = c[blocks.above]
+    left, corner, right = np.roll(c, 1, axis=1), np.roll(up, 1, axis=1), np.roll(up, -1, axis=1)
+    right[:, -1] = c[:, 0]
+    guesses = (BLACK.astype(np.uint8), left, up, right, corner, _half(corner, up), _half(up, right))
+    names = np.array([0, 1, *ABOVE])
+    away = np.stack([c - x for x in guesses])
+    cost = np.minimum(away, -away).reshape(len(names), len(c), -1)
+    best = np.stack([blocks.sums(x, 4) for x in cost]).argmin(axis=0)
+    out = np.empty_like(c)
+    for k, column in enumerate(blocks.columns.tolist()):
+        here = slice(column, column + blocks.side)
+        out[:, here] = away[best[blocks.of_row, k], np.arange(len(c)), here]
+    top = blocks.top
+    out[:, 0] = away[2, :, 0]
+    out[top] = away[1, top]
+    out[top, 0] = away[0, top, 0]
+    return names[best], out
+
+
+def _cross(c: np.ndarray, blocks: _Blocks) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers by block (least squares, in 32nds) and what is left of the samples."""
-    h, width, _ = c.shape
-    blue, green, red = (c[..., k].view(np.int8).astype(np.int64) for k in (0, 1, 2))
-    square = np.maximum(_blocks(green * green, block), 1)
-    fit = lambda s: np.clip(np.rint(32 * s / square), -127, 127).astype(np.int64)
-    to_red, to_blue = fit(_blocks(green * red, block)), fit(_blocks(green * blue, block))
-    wide = lambda e: e.repeat(1 << block, 0).repeat(1 << block, 1)[:h, :width]
+    blue, green, red = (c[..., k].view(np.int8).astype(np.int16) for k in (0, 1, 2))
+    square = np.maximum(blocks.sums(green * green), 1)
+    fit = lambda s: np.clip(np.rint(32 * s / square), -127, 127).astype(np.int16)
+    to_red, to_blue = fit(blocks.sums(green * red)), fit(blocks.sums(green * blue))
     out = c.copy()
-    out[..., 2] = (red - ((wide(to_red) * green) >> 5)).astype(np.uint8)
-    out[..., 0] = (blue - ((wide(to_blue) * green) >> 5)).astype(np.uint8)
-    return (to_blue & 255) << 8 | (to_red & 255), out
+    out[..., 2] = (red - ((blocks.wide(to_red) * green) >> 5)).astype(np.uint8)
+    out[..., 0] = (blue - ((blocks.wide(to_blue) * green) >> 5)).astype(np.uint8)
+    return ((to_blue & 255) << 8 | (to_red & 255)).astype(np.uint32), out
 
 
 def encode(rgb: np.ndarray, block: int = 6) -> bytes:
@@ -1117,63 +1300,92 @@ def encode(rgb: np.ndarray, block: int = 6) -> bytes:
 
 
 def encode_many(images: list[np.ndarray], block: int = 6) -> list[bytes]:
-    """As ``encode`` of each image, with their prefix codes made together."""
-    files: list = [None] * len(images)
-    waiting, made = [(k, _encoding(rgb, block)) for k, rgb in enumerate(images)], [None] * len(images)
-    while waiting:
-        asked, after = [], []
-        for (k, steps), codes in zip(waiting, made, strict=True):
-            try:
-                asked.append(steps.send(codes))
-                after.append((k, steps))
-            except StopIteration as e:
-                files[k] = e.value
-        waiting, every = after, iter(_made_codes([counts for x in asked for counts in x]))
-        made = [[next(every) for _ in x] for x in asked]
-    return files
-
-
-def _encoding(rgb: np.ndarray, block: int) -> Iterator[list[np.ndarray]]:
-    """``encode``, as a generator that asks for prefix codes."""
-    height, width, _ = rgb.shape
-    if not (0 < width <= MOST_SIDE and 0 < height <= MOST_SIDE):
-        raise ValueError("the image is too large")
-    w = _Writer()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 4)):  # no alpha, version 0
-        w.write(value, n)
-    c = np.full((height, width, 4), 255, np.uint8)
-    c[..., :3] = rgb[..., ::-1]
-    px = c.view("<u4").reshape(-1)
-    kind = zlib.crc32(rgb.tobytes()) & 3
-    colours = np.unique(px) if kind & 1 and len(set(px[:512].tolist())) <= 256 else np.zeros(257)
+    """As ``encode`` of each image, with those of a group worked on as one array, and the prefix codes of all made together."""
+    groups, pixels = [], 0
+    for rgb in images:
+        height, width, _ = rgb.shape
+        if not (0 < width <= MOST_SIDE and 0 < height <= MOST_SIDE):
+            raise ValueError("the image is too large")
+        pixels += height * width
+        if not groups or len(groups[-1]) == TOGETHER or pixels > TOGETHER_PIXELS:
+            groups.append([])
+            pixels = height * width
+        groups[-1].append(rgb)
+    waiting = [_encoding(group, block) for group in groups]
+    asked = [next(steps) for steps in waiting]
+    every = iter(_made_codes([counts for x in asked for counts in x]))
+    return [x for steps, some in zip(waiting, asked, strict=True) for x in _last(steps, [next(every) for _ in some])]
+
+
+def _last(steps: Iterator, answer: list) -> list[bytes]:
+    """What a generator returns after an answer."""
+    try:
+        steps.send(answer)
+    except StopIteration as e:
+        return e.value
+    raise RuntimeError("codes are asked for once")
+
+
+def _encoding(images: list[np.ndarray], block: int) -> Iterator[list[np.ndarray]]:
+    """``encode_many`` of a group, as a generator that asks for prefix codes."""
+    kinds = [zlib.crc32(np.ascontiguousarray(rgb)) & 3 for rgb in images]
     opaque = np.uint32(0xFF000000)
-    if kind & 1 and len(colours) <= 256:
-        packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
-        for value, n in ((1, 1), (3, 2), (len(colours) - 1, 8)):
-            w.write(value, n)
-        yield from _write_image(w, np.diff(_split(colours), axis=0, prepend=np.zeros((1, 4), np.uint8)).view("<u4").reshape(-1), len(colours))
-        index = np.searchsorted(colours, px).astype(np.uint32).reshape(height, width)
-        index = np.pad(index, ((0, 0), (0, -width % (1 << packed)))).reshape(height, -1, 1 << packed)
-        index = (index << (np.arange(1 << packed, dtype=np.uint32) * np.uint32(8 >> packed))).sum(axis=2, dtype=np.uint32)
-        width = index.shape[1]
-        px = opaque | index.reshape(-1) << np.uint32(8)
-    elif kind == 2:
-        w.write(0b101, 3)  # subtract green
-        c[..., 0] -= c[..., 1]
-        c[..., 2] -= c[..., 1]
-        px = c.view("<u4").reshape(-1)
-    elif kind < 2:
-        fields, rest = _predict(c, block) if kind != 1 else _cross(c, block)
-        fields = fields << 8 if kind != 1 else fields
-        for value, n in ((1, 1), (int(kind == 1), 2), (block - 2, 3)):
-            w.write(value, n)
-        yield from _write_image(w, opaque | fields.astype(np.uint32).reshape(-1), fields.shape[1])
-        px = rest.view("<u4").reshape(-1)
-    w.write(0, 1)  # no more transforms
-    yield from _write_image(w, px, width, top=True, cache_bits=0 if kind in (1, 2) else 7)
-    body = w.bytes()
-    body += b"\0" * (len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
+    heads: list = [None] * len(images)  # fields before the first image, and that, if there is one
+    mains: list = [None] * len(images)
+    by_width: dict[int, list[int]] = {}
+    for i, rgb in enumerate(images):
+        by_width.setdefault(rgb.shape[1], []).append(i)
+    for width, here in by_width.items():
+        heights = np.array([images[i].shape[0] for i in here])
+        c = np.full((heights.sum(), width, 4), 255, np.uint8)
+        np.concatenate([images[i] for i in here], out=c[..., 2::-1])
+        apart = dict(zip(here, np.split(c, np.cumsum(heights)[:-1]), strict=True))
+        for i in here:
+            px = apart[i].view("<u4").reshape(-1)
+            colours = np.unique(px) if kinds[i] & 1 and len(set(px[:512].tolist())) <= 256 else ()
+            if not 0 < len(colours) <= 256:
+                continue
+            packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+            heads[i] = (0b111 | len(colours) - 1 << 3, 11), _Image(np.diff(_split(colours), axis=0, prepend=np.zeros((1, 4), np.uint8)).view("<u4").reshape(-1), len(colours))
+            index = np.searchsorted(colours, px).astype(np.uint32).reshape(-1, width)
+            if packed:
+                index = np.pad(index, ((0, 0), (0, -width % (1 << packed)))).reshape(len(index), -1, 1 << packed)
+                index = (index << (np.arange(1 << packed, dtype=np.uint32) * np.uint32(8 >> packed))).sum(axis=2, dtype=np.uint32)
+            mains[i] = _Image(opaque | index.reshape(-1) << np.uint32(8), index.shape[1], True, kinds[i] == 3)
+        for kind in range(4):
+            some = [i for i in here if kinds[i] == kind and not mains[i]]
+            if not some:
+                continue
+            rest = np.concatenate([apart[i] for i in some])
+            heights = np.array([images[i].shape[0] for i in some])
+            if kind == 2:  # subtract green
+                rest[..., 0] -= rest[..., 1]
+                rest[..., 2] -= rest[..., 1]
+            elif kind < 2:
+                blocks = _Blocks(heights, width, block)
+                fields, rest = (_cross if kind else _predict)(rest, blocks)
+                fields = opaque | (fields if kind else fields << 8).astype(np.uint32)
+            for k, (i, x) in enumerate(zip(some, np.split(rest, np.cumsum(heights)[:-1]), strict=True)):
+                mains[i] = _Image(x.view("<u4").reshape(-1), width, True, kind in (0, 3))
+                if kind == 2:
+                    heads[i] = (0b101, 3), None
+                elif kind == 3:
+                    heads[i] = (0, 0), None
+                elif not k:
+                    for j, part in zip(some, np.split(fields, blocks.cuts), strict=True):
+                        heads[j] = (1 | kind << 1 | block - 2 << 3, 6), _Image(part.reshape(-1), fields.shape[1])
+    parts = yield from _written([x for (_, sub), main in zip(heads, mains, strict=True) for x in ((sub, main) if sub else (main,))])
+    parts, files = iter(parts), []
+    for rgb, ((value, n), sub) in zip(images, heads, strict=True):  # no alpha, version 0; the transform; after it, no more transforms
+        fields = [(np.array([0x2F | rgb.shape[1] - 1 << 8 | rgb.shape[0] - 1 << 22 | value << 40]), np.array([40 + n]))]
+        if sub:
+            fields += next(parts)
+        files.append([*fields, (_NONE, _ONE), *next(parts)])
+    bodies = [body + b"\0" * (len(body) & 1) for body in _joined(files)]
+    return [b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body for body in bodies]
+
+
+_NONE, _ONE = np.array([0]), np.array([1])
 
 
 def payload_of(text: bytes) -> bytes:
@@ -1194,7 +1406,7 @@ def to_media(docs: DataFrame) -> DataFrame:
     def of(batch: pa.RecordBatch):
         for i, j, data, offsets in text_pieces(batch.column("text"), most=4_000_000):
             texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(j - i)]
-            cuts = [*range(0, len(texts), TOGETHER), len(texts)]
+            cuts = [*range(0, len(texts), 4 * TOGETHER), len(texts)]
             media = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in encode_many([image_of(payload_of(t)) for t in texts[a:b]])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 

@@ -1,4 +1,5 @@
 import hashlib
+import heapq
 import random
 import zlib
 
@@ -432,3 +433,54 @@ def test_many_images_take_few_calls(monkeypatch):
     calls.clear()
     assert all((x[..., :3] == y).all() for x, y in zip(webp.decode_many(files), images, strict=True))
     assert calls.get("_steps", 0) < len(files) // 2
+
+
+def test_groups_of_images_are_one_array(monkeypatch):
+    """Not a pass for each image: a group's pixels are searched for copies at once, and images of transforms are read side by side too."""
+    import pyarrow.parquet as pq
+
+    calls = dict.fromkeys(("_copies", "_image", "_placed"), 0)
+    for name in calls:
+        real = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a, name=name, real=real: calls.update({name: calls[name] + 1}) or real(*a))
+    monkeypatch.setattr(webp, "FEW_LANES", 1)
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    images = [image_of(payload_of((t or "").encode())) for t in texts]
+    files = webp.encode_many(images)
+    assert len(files) == len(texts) and calls["_copies"] <= -(-len(texts) // webp.TOGETHER)
+    assert all((x[..., :3] == y).all() for x, y in zip(webp.decode_many(files), images, strict=True))
+    assert calls["_image"] == calls["_placed"] == 0
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_a_stream_does_not_depend_on_its_group(monkeypatch, clash):
+    """Images of all sizes and kinds, in any group: the streams of one image alone, even where hashes of pixels clash."""
+    if clash:
+        monkeypatch.setattr(webp, "mix", lambda x: x & np.uint64(0x100))
+    rng = np.random.default_rng(3)
+    images = [rng.integers(0, k, (h, w, 3), dtype=np.uint8) for h, w, k in ((1, 1, 256), (1, 2, 2), (1, 3, 2), (90, 64, 2), (5, 64, 256), (70, 100, 3), (130, 128, 4), (3, 7, 2), (65, 64, 40))]
+    images += [image_of(payload_of(t)) for t in (b"", b"a", b"abc" * 5000, b"some words and more words " * 70, *(b"%d then %d\n" % (k, k * k) * (2 + 9 * k) for k in range(40)))]
+    alone = [encode(x) for x in images]
+    assert webp.encode_many(images) == alone
+    assert webp.encode_many(images[::-1]) == alone[::-1]
+    monkeypatch.setattr(webp, "TOGETHER", 7)
+    assert webp.encode_many(images) == alone
+    monkeypatch.setattr(webp, "TOGETHER_PIXELS", 1000)
+    assert webp.encode_many(images) == alone and webp.encode_many([]) == []
+    monkeypatch.setattr(webp, "FEW_LANES", 3)
+    assert all((x[..., :3] == y).all() for x, y in zip(webp.decode_many(alone), images, strict=True))
+
+
+def test_code_lengths_of_many_are_shortest():
+    rng = np.random.default_rng(4)
+    every = [rng.integers(0, 40, 60) * rng.integers(0, 2, 60) + (np.arange(60) < 2) for _ in range(30)] + [np.array([1, 1]), np.ones(280, np.int64), 3 ** np.arange(20)]
+    lengths = np.split(webp._many_lengths(np.concatenate(every), np.array([len(x) for x in every])), np.cumsum([len(x) for x in every])[:-1])
+    for counts, found in zip(every, lengths, strict=True):
+        assert (found == webp.code_lengths(counts)).all() and found.max() <= webp.MOST_LENGTH and (2.0 ** -found[counts > 0]).sum() == 1
+        heap, cost = counts[counts > 0].tolist(), 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            cost += both
+            heapq.heappush(heap, both)
+        assert int(counts @ found) == cost or len(counts) == 20  # the last would be longer than allowed
