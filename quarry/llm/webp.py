@@ -1077,15 +1077,24 @@ def _copies(px: np.ndarray, begin: np.ndarray, least: int = 3, most: int = 4096,
     n, images = len(px) - least + 1, len(begin)
     if n < 2:
         return np.zeros((0, 3), np.int64)
-    x = px.astype(np.uint64)
-    key = (mix(x[:n] | x[1 : n + 1] << np.uint64(32)) ^ x[2 : n + 2]) * np.uint64(0x9E3779B97F4A7C15)
+    key = px[1 : n + 1].astype(np.uint64)
+    key <<= np.uint64(32)
+    key |= px[:n]
+    key = mix(key)
+    key ^= px[2:]
+    key *= np.uint64(0x9E3779B97F4A7C15)
     if images > 1:  # the image stands in the key's high bits
         high = np.uint64((images - 1).bit_length())
-        key = key >> high | np.repeat(np.arange(images, dtype=np.uint64) << (np.uint64(64) - high), np.diff(begin, append=len(px)))[:n]
+        key >>= high
+        key |= np.repeat(np.arange(images, dtype=np.uint64) << (np.uint64(64) - high), np.diff(begin, append=len(px)))[:n]
     low = np.uint64((1 << n.bit_length()) - 1)  # and the place in the low bits, so a plain sort does
-    key = np.sort(key & ~low | np.arange(n, dtype=np.uint64))
-    order, key = (key & low).astype(np.int64), key & ~low
+    key &= ~low
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & low).view(np.int64)
+    key &= ~low
     again = np.flatnonzero(key[1:] == key[:-1])
+    del key
     back = np.zeros(n + 1, np.int64)
     to = order[again + 1]
     back[to] = to - order[again]
@@ -1166,13 +1175,17 @@ def _written(images: list[_Image]) -> Iterator[list[np.ndarray]]:
     m, sizes = len(some), np.array([len(images[i].px) for i in some])
     px, begin, owner = np.concatenate([images[i].px for i in some]), np.cumsum(sizes) - sizes, np.repeat(np.arange(m, dtype=np.int32), sizes)
     channels = _split(px)
-    keys = [channels[:, k] + (owner << 8) for k in range(4)]  # blue, green, red, alpha
+
+    def keys(k: int, where: np.ndarray) -> np.ndarray:
+        """A channel's values (0 to 3: blue, green, red, alpha), numbered by image."""
+        return channels[where, k] + (owner[where] << 8)
+
     at, lengths, backs = _copies(px, begin).T
     free = np.ones(len(px), bool)
     free[np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())] = False
 
     def count(where: np.ndarray) -> list[np.ndarray]:
-        return [np.bincount(key[where], minlength=m << 8).reshape(m, 256) for key in keys]
+        return [np.bincount(keys(k, where), minlength=m << 8).reshape(m, 256) for k in range(4)]
 
     plain, used, held = count(free), np.zeros(m, bool), np.zeros(len(px), bool)
     tried = np.array([images[i].cache for i in some]) & (sizes >= 256)
@@ -1211,9 +1224,9 @@ def _written(images: list[_Image]) -> Iterator[list[np.ndarray]]:
     value, size = (x[symbol] for x in codes[0])
     literal = free[kept] & ~held[kept]
     whole = literal.all()
-    for key, (code, n) in zip((keys[2], keys[0], keys[3]), (codes[1], codes[1], codes[2]), strict=True):
+    for channel, (code, n) in zip((2, 0, 3), (codes[1], codes[1], codes[2]), strict=True):
         if n.any():
-            k = key[kept]
+            k = keys(channel, kept)
             more, wider = code[k] << size, n[k]
             if not whole:
                 more *= literal
