@@ -1,7 +1,10 @@
 import random
 
+import pyarrow as pa
+
+from quarry.operators import blocks
 from quarry.operators.keyword_index import KeywordIndex
-from quarry.operators.substring_index import containing, put_texts
+from quarry.operators.substring_index import containing, put_texts, token_matches
 
 TEXTS = "k int, content string"
 
@@ -38,3 +41,17 @@ def test_what_trigrams_leave_stays_in_its_task(spark, tmp_path):
     assert "postings" not in plan and "Generate" not in plan
     got = sorted((r.query_id, r.k) for r in found.collect())
     assert got == sorted([(1, i) for i in range(50)] + [(2, 7)] + [(3, i) for i in range(50)])
+
+
+def test_words_are_looked_up_by_tokens_not_by_question_and_block(spark, tmp_path):
+    """White space, length and several texts of a question decide which way it goes; the ways agree with a plain search."""
+    texts = {0: "An\x0bunder-\x1fstated Überfluß", 1: "x" * 40 + " y", 2: None, 3: "", 4: "a b aa\tAAA", 5: "İi ıI 😀x"}
+    rows = spark.createDataFrame(list(texts.items()), TEXTS)
+    index = put_texts(KeywordIndex(spark, str(tmp_path / "ix"), ("k",)), rows, "content")
+    asked = [(0, "R-\x1fS"), (1, "a b"), (2, "x" * 32), (3, "x" * 33), (4, "b a"), (5, "aa"), (5, "aaa"), (6, "y"), (6, "x y"), (7, "rfluß"), (8, "😀"), (9, "n\x0bu"), (10, "stated ")]
+    got = sorted((r.query_id, r.k) for r in containing(index, rows, spark.createDataFrame(asked, "query_id int, text string"), "content").collect())
+    assert got == sorted({(i, k) for i, q in asked for k, t in texts.items() if t and q.lower() in t.lower()})
+    tokens, words = (blocks.words_of(pa.array(x)) for x in ([["abab", "b"], ["ba"], []], [["a"], ["ab", "ba"], ["b"], ["c"]]))
+    for entries in (1, 2, 1 << 22):
+        found = [(int(q), int(d)) for qs, ds in token_matches(tokens, words, 3, entries) for q, d in zip(qs, ds, strict=True)]
+        assert found == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1)]
